@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from .language_id import op8_language_id
 from .packing import op1_best_fit_packing
+from .simhash import op7_simhash_near_dedup
 from .token_counts import op9_token_counts
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op9_token_counts": op9_token_counts}
+QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_language_id": op8_language_id,
+    "op9_token_counts": op9_token_counts,
+}
 
 ORACLE_SQL: dict[str, str] = {}
