@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .language_id import op8_language_id
+from .lm_score import op4_lm_score
 from .packing import op1_best_fit_packing
 from .simhash import op7_simhash_near_dedup
 from .token_counts import op9_token_counts
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op4_lm_score": op4_lm_score,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
