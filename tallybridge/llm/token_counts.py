@@ -55,7 +55,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, *, text:
     chosen = texts.join(misses, same, "left_semi").select("digest", "text")
     counted = chosen.mapInArrow(_encoder(tokenizer_path, version), CACHE_SCHEMA)
     # repeated rows of one id and text may come twice here; they carry the same count
-    counted.dropDuplicates(["digest"]).write.mode("append").parquet(cache_path)
+    counted.groupBy("digest", "tokenizer").agg(F.max("n_tokens").alias("n_tokens")).write.mode("append").parquet(cache_path)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return docs.join(counts, "digest")
 
@@ -64,6 +64,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of all documents by the byte-level tokenizer, through a new cache in the shared folder."""
     import public_tokenizers
 
-    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    # the length is taken before the join, so that no text travels with it
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     counted = count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), C.new_path(spark, "token-cache"))
-    return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
