@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _common as C
 
@@ -189,7 +190,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     C.small_batches(spark)
     docs = docs.drop("lang_pred", "score", "rejected")
-    schema = docs.schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    schema = T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     return docs.mapInArrow(_predictor(spark.sparkContext.broadcast(model)), schema)
 
 
