@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .embedding_dedup import op2_embedding_near_dedup
 from .language_id import op8_language_id
 from .lm_score import op4_lm_score
 from .packing import op1_best_fit_packing
@@ -10,6 +11,7 @@ from .token_counts import op9_token_counts
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op4_lm_score": op4_lm_score,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_language_id": op8_language_id,
