@@ -5,6 +5,7 @@ from __future__ import annotations
 from .embedding_dedup import op2_embedding_near_dedup
 from .language_id import op8_language_id
 from .lm_score import op4_lm_score
+from .order_minhash import op10_order_minhash
 from .packing import op1_best_fit_packing
 from .simhash import op7_simhash_near_dedup
 from .token_counts import op9_token_counts
@@ -16,6 +17,7 @@ QUERIES = {
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
+    "op10_order_minhash": op10_order_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
