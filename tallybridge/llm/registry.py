@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .embedding_dedup import op2_embedding_near_dedup
 from .language_id import op8_language_id
+from .license_scan import op6_license_scan
 from .lm_score import op4_lm_score
 from .order_minhash import op10_order_minhash
 from .packing import op1_best_fit_packing
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op4_lm_score": op4_lm_score,
+    "op6_license_scan": op6_license_scan,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
