@@ -1,12 +1,51 @@
-"""From raw documents to packed training sequences: the stages, in order, each written and read again."""
+"""From raw documents to packed training sequences: the stages, in order, each written and read again.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of ``docs``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallybridge.llm import _common as C
+from tallybridge.llm import language_id, mixing, packing, simhash
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; those that the model rejects go (no letters, or a calibrated score below its threshold)."""
+    model = language_id.fit(docs, F.lit(True))
+    judged = language_id.identify(docs.withColumnsRenamed({c: f"_in_{c}" for c in docs.columns if c in ("lang_pred", "score", "rejected")}), model)
+    return judged.where(~F.col("rejected")).withColumnsRenamed({f"_in_{c}": c for c in docs.columns}).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of SimHash near-duplicates, over shingles of five words: the one with the smallest doc_id.
+
+    Repeated rows of that id and text leave one row; a document with a null id stays, as no other could stand for it.
+    """
+    groups = simhash.near_duplicates(docs, size=5).select(F.col("doc_id").alias("_id"), "component_id").where(F.col("_id") == F.col("component_id")).select("_id").distinct()
+    kept = docs.join(groups, docs["doc_id"] == F.col("_id"), "left_semi")
+    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+
+
+def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The temperature mixture of sources: every document at least once, those of small sources again in later epochs."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their place in packed sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
+
 
-STAGES: list = []
+STAGES = [
+    ("language ID", known_language),
+    ("SimHash near-dedup", one_of_each_group),
+    ("mixing sources to target weights", to_target_weights),
+    ("best-fit packing", into_sequences),
+]
 #: Language identification trains a model; SQL can't express it.
 ORACLE_SQL = None
 
@@ -14,6 +53,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each stage's result is written to the shared folder and reread."""
     docs = C.table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = C.materialize(stage(spark, docs, sf_dir), f"stage{k}")
     return docs

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .chat_format import op5_chat_format
 from .embedding_dedup import op2_embedding_near_dedup
 from .language_id import op8_language_id
 from .license_scan import op6_license_scan
 from .lm_score import op4_lm_score
+from .mixing import op3_mixing
 from .order_minhash import op10_order_minhash
 from .packing import op1_best_fit_packing
 from .simhash import op7_simhash_near_dedup
@@ -14,7 +16,9 @@ from .token_counts import op9_token_counts
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_mixing": op3_mixing,
     "op4_lm_score": op4_lm_score,
+    "op5_chat_format": op5_chat_format,
     "op6_license_scan": op6_license_scan,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_language_id": op8_language_id,
