@@ -1,6 +1,382 @@
-"""Every query of the linkage engine, with the DuckDB statement that it must agree with."""
+"""Every query of the linkage engine over the driver's tables, with the DuckDB statement that it must agree with.
+
+The ledger is the whole of ``customer`` and the statement the whole of ``supplier``; their firm names follow from the keys by arithmetic
+that both engines share. Statement names repeat ledger names with wide brackets, invisible characters, lost suffixes, wrong characters, regions or
+aliases. Where a measure needs the windows of the partial ratio SQL is too slow, and tests compare with plain versions instead.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import cleaning, folding, similarity
+from ..functions import vocab as V
+from ..operators import assign as S
+from ..operators import explain as X
+from ..operators import results as R
+from ..operators import scoring
+from .linkage import changed_rows, link, shared_names
+
+_REGION = ["", "中国", "上海", "北京", "深圳", "广东", "江苏", "", "杭州"]
+_FIRST = list("顺申圆韵百京天华安永大正信联恒万通美格海")
+_SECOND = list("丰通达东猫为明华邦源科润利瑞泰和兴盛远")
+_THIRD = list("宝龙星辰川岳")
+_LINE = ["控股", "快递", "科技", "石油", "银行", "建设银行", "化工", "", "平安保险", "网络技术", "物流", "会计师事务所"]
+_ORG = ["股份有限公司", "有限公司", "集团有限公司", "(集团)有限公司", "", "有限公司(特殊普通合伙)"]
+
+
+def _pick(words: list[str], index: str) -> str:
+    cases = " ".join(f"WHEN {k} THEN '{w}'" for k, w in enumerate(words))
+    return f"(CASE ({index}) % {len(words)} {cases} END)"
+
+
+def _core(k: str) -> str:
+    third = _pick(_THIRD, f"CAST(FLOOR({k} / 380) AS BIGINT)")
+    return f"{_pick(_FIRST, k)} || {_pick(_SECOND, f'CAST(FLOOR({k} / 20) AS BIGINT)')} || (CASE WHEN {k} % 3 = 0 THEN '' ELSE {third} END)"
+
+
+def _line(k: str) -> str:
+    return _pick(_LINE, f"CAST(FLOOR({k} / 5) AS BIGINT)")
+
+
+def _ledger_name(k: str) -> str:
+    whole = f"{_pick(_REGION, k)} || {_core(k)} || {_line(k)} || {_pick(_ORG, f'CAST(FLOOR({k} / 3) AS BIGINT)')}"
+    wide = f"CASE WHEN {k} % 29 = 1 THEN '（）' ELSE '()' END"
+    return f"(CASE WHEN {k} % 29 = 0 THEN ' ' ELSE '' END) || translate({whole}, '()', {wide}) || (CASE WHEN {k} % 29 = 2 THEN 'ab 1' ELSE '' END)"
+
+
+def _statement_name(s: str) -> str:
+    """By s modulo 8: as in the ledger; wide brackets; invisible characters; no suffix; a wrong character; another region; an alias; wide letters added."""
+    k, form = f"({s} * 7)", f"{s} % 8"
+    when = lambda n, x, y: f"(CASE WHEN {form} IN ({n}) THEN {x} ELSE {y} END)"
+    region = when("6", "''", when("5", "'上海'", _pick(_REGION, k)))
+    core = when("4", f"{_pick(_FIRST, k)} || '误'", _core(k))
+    line = when("6", "''", _line(k))
+    org = when("3, 6", "''", _pick(_ORG, f"CAST(FLOOR({k} / 3) AS BIGINT)"))
+    whole = f"{region} || {when('2', chr(39) + chr(160) + chr(39), chr(39) * 2)} || {core} || {when('2', chr(39) + chr(0x200B) + chr(39), chr(39) * 2)} || {line} || {org}"
+    return f"translate({whole}, '()', {when('1', chr(39) + '（）' + chr(39), chr(39) + '()' + chr(39))}) || {when('7', chr(39) + 'Ａb－2' + chr(39), chr(39) * 2)}"
+
+
+_A = [("a_idx", "c_custkey"), ("客户编码", "c_name"), ("客户名称", _ledger_name("c_custkey")), ("交易金额（元）", "c_acctbal"), ("交易日期", "CAST(DATE '2024-01-01' + CAST(c_custkey % 60 AS INT) AS DATE)"), ("业务类型", "c_mktsegment")]
+_B = [("b_idx", "s_suppkey"), ("对方户名", _statement_name("s_suppkey")), ("对方账号", "s_name"), ("交易金额（元）", "s_acctbal"), ("交易日期", "CAST(DATE '2024-01-01' + CAST((s_suppkey * 7) % 60 AS INT) AS DATE)"), ("流水号", "CAST(s_nationkey AS VARCHAR(9))")]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "customer").selectExpr(*(f"{e} AS `{n}`" for n, e in _A))
+
+
+def statement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "supplier").selectExpr(*(f"{e} AS `{n}`" for n, e in _B))
+
+
+def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return ledger(spark, sf_dir), statement(spark, sf_dir)
+
+
+def _run(spark: SparkSession, sf_dir: str, **options):
+    return link(*_both(spark, sf_dir), **options)
+
+
+# --- names -----------------------------------------------------------------------------------------------------------------------------
+
+
+def clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _both(spark, sf_dir)
+    rows = a.select(F.lit("a").alias("side"), F.col("a_idx").alias("idx"), F.col("客户名称").alias("raw")).union(b.select(F.lit("b"), "b_idx", "对方户名"))
+    clean = cleaning.clean_name(F.col("raw"))
+    return rows.select("side", "idx", clean.alias("clean"), cleaning.strip_punct(clean).alias("core"), cleaning.strip_parens(clean).alias("bare"), cleaning.has_invisible(F.col("raw")).alias("invisible"))
+
+
+def fold_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = clean_names(spark, sf_dir)
+    fold = folding.collapse_generic(F.col("clean"))
+    return c.select("side", "idx", fold.alias("fold"), folding.protected_in(F.col("clean")).alias("protected")).withColumn("industry", folding.collapse_industry(F.col("fold")))
+
+
+def changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changed_rows(ledger(spark, sf_dir), "客户名称").select("a_idx", F.col("客户名称").alias("raw"))
+
+
+def shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_names(*_both(spark, sf_dir))
+
+
+def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = cleaning.clean_name(F.col("url"))
+    return _table(spark, sf_dir, "pages").select("page_id", clean.alias("clean"), cleaning.strip_punct(clean).alias("core"))
+
+
+def document_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = cleaning.clean_name(F.col("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.length(clean).cast("long").alias("n_clean"), F.md5(clean).alias("clean_md5"))
+
+
+def lenient_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _table(spark, sf_dir, "part")
+    written = F.concat_ws("", F.when(F.col("p_partkey") % 5 == 0, "n/a"), F.lit(" "), F.col("p_size").cast("string"), F.lit(",000"))
+    return p.select("p_partkey", cleaning.lenient_number(written).alias("amount"))
+
+
+def unicode_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = statement(spark, sf_dir).select("b_idx", cleaning.unicode_report(F.col("对方户名")).alias("r"))
+    return b.select("b_idx", "r.length", "r.codepoints", "r.surrounded", F.size("r.invisibles").alias("n_invisible"), "r.non_ascii", "r.categories")
+
+
+# --- pairs -----------------------------------------------------------------------------------------------------------------------------
+
+
+def _name_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    a, b = _both(spark, sf_dir)
+    return scoring.names(a, "客户名称", "a"), scoring.names(b, "对方户名", "b")
+
+
+def _ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with the plain ratio of their cleaned names."""
+    x, y = _name_tables(spark, sf_dir)
+    pairs = scoring.candidates(x.select("a_clean"), y.select("b_clean"))
+    scored = pairs.withColumn("score", F.rint(similarity.ratio_score("a_clean", "b_clean") * 10000) / 10000)
+    a, b = _both(spark, sf_dir)
+    return scored.join(a.select("a_idx", cleaning.clean_name(F.col("客户名称")).alias("a_clean")), "a_clean").join(b.select("b_idx", cleaning.clean_name(F.col("对方户名")).alias("b_clean")), "b_clean").select("a_idx", "b_idx", "score")
+
+
+def score_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ratio_pairs(spark, sf_dir)
+
+
+def exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = _name_tables(spark, sf_dir)
+    return x.join(y, (F.col("a_core") == F.col("b_core")) & (F.col("a_core") != "")).select("a_clean", "b_clean", (F.col("a_clean") == F.col("b_clean")).alias("same_clean"))
+
+
+def fold_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = _name_tables(spark, sf_dir)
+    return x.join(y, (F.col("a_fold") == F.col("b_fold")) & (F.col("a_fold") != "")).select("a_clean", "b_clean", F.col("a_fold").alias("fold"))
+
+
+def industry_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = _name_tables(spark, sf_dir)
+    x, y = x.where(F.col("a_industry") != F.col("a_fold")), y.where(F.col("b_industry") != F.col("b_fold"))
+    return x.join(y, (F.col("a_industry") == F.col("b_industry")) & (F.col("a_industry") != "")).select("a_clean", "b_clean", F.col("a_industry").alias("industry"))
+
+
+def brand_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conflicting pairs per ledger name: sets of protected names are few, so names are counted by set first."""
+    x, y = _name_tables(spark, sf_dir)
+    sets = y.groupBy("b_protected").agg(F.count("*").alias("n"))
+    met = x.join(F.broadcast(sets), F.col("a_protected") != F.col("b_protected"))  # at most 2 to the number of protected names
+    return met.groupBy("a_clean", "a_protected").agg(F.sum("n").cast("long").alias("n_conflicts"))
+
+
+def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = _name_tables(spark, sf_dir)
+    pairs = scoring.candidates(x.select("a_clean"), y.select("b_clean")).withColumn("lift", F.rint(scoring.contained_score() * 10000) / 10000)
+    return pairs.where(F.col("lift") > 0)
+
+
+def topk_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _ratio_pairs(spark, sf_dir).withColumn("same_day", F.lit(False)).withColumn("gap", F.lit(0.0))
+    return S.top_candidates(pairs, 2).select("a_idx", "b_idx", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def mutual_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _ratio_pairs(spark, sf_dir).withColumn("same_day", F.lit(False)).withColumn("gap", F.lit(0.0))
+    return S.mutual_best(pairs)
+
+
+def tie_break_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best candidate by score, then same day, then amount gap."""
+    a, b = _both(spark, sf_dir)
+    pairs = S.with_tie_keys(_ratio_pairs(spark, sf_dir), a, b, amount=("交易金额（元）", "交易金额（元）"), date=("交易日期", "交易日期"))
+    return S.top_candidates(pairs, 1).select("a_idx", "b_idx", "score", "same_day")
+
+
+def tiers_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = _ratio_pairs(spark, sf_dir).groupBy("a_idx").agg(F.max("score").alias("score"))
+    tiers = spark.createDataFrame([(t,) for t in V.TIERS], "tier string")
+    counted = best.groupBy(scoring.Thresholds().tier(F.col("score")).alias("tier")).agg(F.count("*").alias("n"))
+    return tiers.join(counted, "tier", "left").select("tier", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def score_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_names(*_name_tables(spark, sf_dir)).select("a_clean", "b_clean", "ratio", "partial", "wratio", "core", "penalty", "base", "score")
+
+
+def core_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_weighted(spark, sf_dir).where(F.col("penalty") < 1).select("a_clean", "b_clean", "penalty")
+
+
+def score_jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_names(*_name_tables(spark, sf_dir), algorithm="jaro_winkler").select("a_clean", "b_clean", "base", "score")
+
+
+def blocked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.candidates(*_name_tables(spark, sf_dir), blocking="bigram").select("a_clean", "b_clean")
+
+
+def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _both(spark, sf_dir)
+    pairs = scoring.score_records(a, b, "客户名称", "对方户名").withColumn("same_day", F.lit(False)).withColumn("gap", F.lit(0.0))
+    return S.top_candidates(pairs, 1).select("a_idx", "b_idx", "score", scoring.Thresholds().tier(F.col("score")).alias("tier"))
+
+
+# --- whole runs ------------------------------------------------------------------------------------------------------------------------
+
+
+def assign_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir).done
+
+
+def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir).matches
+
+
+def a_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir).a_only
+
+
+def b_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir).b_only
+
+
+def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir).summary
+
+
+def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir).statistics
+
+
+def claim_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.claim_groups(_run(spark, sf_dir).pairs)
+
+
+def status_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.status_distribution(_run(spark, sf_dir).matches)
+
+
+def reconciliation_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = _run(spark, sf_dir)
+    return R.reconciliation_shares(run.a, run.b, run.done)
+
+
+def sample_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.sample_band(_run(spark, sf_dir).done, 40, 60)
+
+
+def tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of every ledger row with its best candidate."""
+    a, b = _both(spark, sf_dir)
+    best = best_candidate(spark, sf_dir).join(a.select("a_idx", "客户名称"), "a_idx").join(b.select("b_idx", "对方户名"), "b_idx")
+    return R.tag_histogram(best.select(X.explain(F.col("客户名称"), F.col("对方户名")).alias("tags")))
+
+
+QUERIES = {f.__name__: f for f in (
+    best_candidate, clean_names, fold_core, changed, shared, page_urls, document_names, lenient_amounts, unicode_reports, score_ratio, exact_match, fold_match, industry_match,
+    brand_conflict, containment, topk_ratio, mutual_ratio, tie_break_ratio, tiers_ratio, score_weighted, core_penalty, score_jaro_winkler, blocked_candidates,
+    assign_one_to_one, matches, a_only, b_only, summary, statistics, claim_groups, status_distribution, reconciliation_shares, sample_band, tag_histogram,
+)}
+
+
+# --- the same in DuckDB ----------------------------------------------------------------------------------------------------------------
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _clean_sql(c: str) -> str:
+    invisible = f"regexp_replace(coalesce({c}, ''), {_q(cleaning.INVISIBLE_CLASS)}, '', 'g')"
+    # DuckDB has ẞ for the upper case of ß, where Unicode's full mapping has SS
+    return f"replace(upper(replace(translate({invisible}, {_q(cleaning._WIDE)}, {_q(cleaning._NARROW)}), ' ', '')), 'ẞ', 'SS')"
+
+
+def _punct_sql(c: str) -> str:
+    return f"translate({c}, {_q(V.PUNCTUATION)}, '')"
+
+
+def _bare_sql(c: str) -> str:
+    return f"regexp_replace({c}, '\\([^()]*\\)', '', 'g')"
+
+
+def _tail_sql(c: str, words: list[str]) -> str:
+    pattern = _q(f"^(.+?)(?:{cleaning.quoted(words)})$")
+    for _ in range(8):
+        c = f"regexp_replace({c}, {pattern}, '\\1')"
+    return c
+
+
+def _nothing_sql(c: str) -> str:
+    return f"(CASE WHEN {c} IN ({', '.join(_q(w) for w in dict.fromkeys([*V.REGIONS, *V.GENERIC]))}) THEN '' ELSE {c} END)"
+
+
+def _protected_sql(c: str) -> str:
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN contains({c}, '{w}') THEN '{w}' END" for w in V.PROTECTED) + ")"
+
+
+def _with_names() -> str:
+    """a and b: records; na and nb: distinct names with all that depends on one name."""
+    a = ", ".join(f'{e} AS "{n}"' for n, e in _A)
+    b = ", ".join(f'{e} AS "{n}"' for n, e in _B)
+
+    def names(side: str, name: str) -> str:
+        steps = f"""n{side}0 AS (SELECT DISTINCT {_clean_sql(f'"{name}"')} AS clean FROM {side}),
+            n{side}1 AS (SELECT clean, {_punct_sql('clean')} AS core, {_bare_sql('clean')} AS bare, {_protected_sql('clean')} AS protected FROM n{side}0),
+            n{side}2 AS (SELECT *, {_tail_sql('bare', V.GENERIC)} AS fold0 FROM n{side}1), n{side}3 AS (SELECT *, {_nothing_sql('fold0')} AS fold FROM n{side}2),
+            n{side}4 AS (SELECT *, {_tail_sql('fold', V.INDUSTRIES)} AS industry0 FROM n{side}3),
+            n{side} AS (SELECT clean AS {side}_clean, core AS {side}_core, bare AS {side}_bare, protected AS {side}_protected, fold AS {side}_fold, {_nothing_sql('industry0')} AS {side}_industry FROM n{side}4)"""
+        return steps
+
+    return f"WITH a AS (SELECT {a} FROM customer), b AS (SELECT {b} FROM supplier), {names('a', '客户名称')}, {names('b', '对方户名')}"
+
+
+def _with_ratio() -> str:
+    """Adds ``pairs`` (a_idx, b_idx, score): the common subsequence by bit masks, one addition for each character."""
+    return _with_names() + f""", met AS (SELECT a_clean, b_clean, CASE WHEN length(a_clean) <= length(b_clean) THEN a_clean ELSE b_clean END AS s,
+        CASE WHEN length(a_clean) <= length(b_clean) THEN b_clean ELSE a_clean END AS t FROM na, nb),
+        masked AS (SELECT a_clean, b_clean, length(s) AS m, length(t) AS n, (1::BIGINT << length(s)) - 1 AS every,
+            list_transform(string_split(t, ''), lambda c: list_aggregate(list_transform(range(length(s)), lambda i: CASE WHEN s[i + 1] = c THEN 1::BIGINT << i ELSE 0::BIGINT END), 'sum')::BIGINT) AS masks FROM met),
+        ended AS (SELECT *, CASE WHEN m = 0 THEN 0 ELSE list_reduce(list_prepend(every, masks), lambda v, k: ((v + (v & k)) | (v - (v & k))) & every) END AS v FROM masked),
+        named AS (SELECT a_clean, b_clean, CASE WHEN m + n = 0 THEN 100.0 ELSE round_even((200.0 * (m - bit_count(v))::DOUBLE / (m + n)) * 10000, 0) / 10000 END AS score FROM ended),
+        ka AS (SELECT *, {_clean_sql('"客户名称"')} AS a_clean FROM a), kb AS (SELECT *, {_clean_sql('"对方户名"')} AS b_clean FROM b),
+        pairs AS (SELECT a_idx, b_idx, score::DOUBLE AS score, ka."交易日期" = kb."交易日期" AS same_day, abs(ka."交易金额（元）" - kb."交易金额（元）") AS gap FROM named JOIN ka USING (a_clean) JOIN kb USING (b_clean))"""
+
+
+def _oracles() -> dict[str, str]:
+    n, r = _with_names(), _with_ratio()
+    raw = f"{n}, r AS (SELECT 'a' AS side, a_idx AS idx, \"客户名称\" AS raw FROM a UNION ALL SELECT 'b', b_idx, \"对方户名\" FROM b), c AS (SELECT *, {_clean_sql('raw')} AS clean FROM r)"
+    sides = "SELECT 'a' AS side, a_clean AS clean, a_fold AS fold, a_protected AS protected, a_industry AS industry FROM na UNION ALL SELECT 'b', b_clean, b_fold, b_protected, b_industry FROM nb"
+    t = scoring.Thresholds()
+    tier = f"CASE WHEN score >= 100 THEN '{V.TIERS[0]}' WHEN score >= {t.high} THEN '{V.TIERS[1]}' WHEN score >= {t.low} THEN '{V.TIERS[2]}' WHEN score >= {t.floor} THEN '{V.TIERS[3]}' ELSE '{V.TIERS[4]}' END"
+    short = "CASE WHEN length(a_clean) <= length(b_clean) THEN a_clean ELSE b_clean END"
+    long = "CASE WHEN length(a_clean) <= length(b_clean) THEN b_clean ELSE a_clean END"
+    return {
+        "clean_names": f"{raw} SELECT side, idx, clean, {_punct_sql('clean')} AS core, {_bare_sql('clean')} AS bare, regexp_matches(raw, {_q(cleaning.INVISIBLE_CLASS)}) AS invisible FROM c",
+        "fold_core": f"{raw}, f AS ({sides}) SELECT c.side, c.idx, f.fold, f.protected, f.industry FROM c JOIN f ON c.side = f.side AND c.clean = f.clean",
+        "changed": f"{n} SELECT a_idx, \"客户名称\" AS raw FROM a WHERE \"客户名称\" IS DISTINCT FROM {_clean_sql('"客户名称"')}",
+        "shared": f"{n} SELECT a_clean AS name FROM na WHERE a_clean <> '' INTERSECT SELECT b_clean FROM nb",
+        "page_urls": f"SELECT page_id, {_clean_sql('url')} AS clean, {_punct_sql(_clean_sql('url'))} AS core FROM pages",
+        "document_names": f"SELECT doc_id, length({_clean_sql('text')}) AS n_clean, md5({_clean_sql('text')}) AS clean_md5 FROM documents",
+        "lenient_amounts": "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 0.0::DOUBLE ELSE (p_size * 1000)::DOUBLE END AS amount FROM part",
+        "score_ratio": f"{r} SELECT a_idx, b_idx, score FROM pairs",
+        "exact_match": f"{n} SELECT a_clean, b_clean, a_clean = b_clean AS same_clean FROM na JOIN nb ON a_core = b_core AND a_core <> ''",
+        "fold_match": f"{n} SELECT a_clean, b_clean, a_fold AS fold FROM na JOIN nb ON a_fold = b_fold AND a_fold <> ''",
+        "industry_match": f"{n} SELECT a_clean, b_clean, a_industry AS industry FROM na JOIN nb ON a_industry = b_industry AND a_industry <> '' AND a_industry <> a_fold AND b_industry <> b_fold",
+        "brand_conflict": f"{n} SELECT a_clean, a_protected, count(*) AS n_conflicts FROM na JOIN nb ON a_protected <> b_protected GROUP BY ALL",
+        "containment": f"""{n}, p AS (SELECT a_clean, b_clean, {short} AS s, {long} AS l FROM na, nb), k AS (SELECT *, 100.0::DOUBLE - (1.0::DOUBLE - length(s)::DOUBLE / length(l)) *
+            CASE WHEN starts_with(l, s) OR ends_with(l, s) THEN {V.CONTAINED_EDGE}::DOUBLE ELSE {V.CONTAINED_INSIDE}::DOUBLE END AS x FROM p WHERE length(s) >= 2 AND length(s) < length(l) AND contains(l, s))
+            SELECT a_clean, b_clean, round_even(CASE WHEN length(s) <= 3 THEN greatest(x, {V.CONTAINED_SHORT}::DOUBLE) ELSE x END * 10000, 0) / 10000 AS lift FROM k""",
+        "topk_ratio": f"{r} SELECT * FROM (SELECT a_idx, b_idx, score, row_number() OVER (PARTITION BY a_idx ORDER BY score DESC, b_idx) AS rank FROM pairs) WHERE rank <= 2",
+        "mutual_ratio": f"""{r} SELECT a_idx, b_idx, score FROM (SELECT a_idx, b_idx, score, row_number() OVER (PARTITION BY a_idx ORDER BY score DESC, b_idx) AS x,
+            row_number() OVER (PARTITION BY b_idx ORDER BY score DESC, a_idx) AS y FROM pairs) WHERE x = 1 AND y = 1""",
+        "tie_break_ratio": f"{r} SELECT a_idx, b_idx, score, same_day FROM (SELECT *, row_number() OVER (PARTITION BY a_idx ORDER BY score DESC, same_day DESC, gap, b_idx) AS x FROM pairs) WHERE x = 1",
+        "tiers_ratio": f"""{r}, best AS (SELECT a_idx, max(score) AS score FROM pairs GROUP BY a_idx), g AS (SELECT {tier} AS tier, count(*) AS n FROM best GROUP BY 1)
+            SELECT t.tier, coalesce(g.n, 0) AS n FROM (VALUES {', '.join(f"('{x}')" for x in V.TIERS)}) t(tier) LEFT JOIN g USING (tier)""",
+    }
+
+
+ORACLE_SQL = _oracles()
