@@ -16,8 +16,10 @@ from tallybridge.llm import language_id, mixing, packing, simhash
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those that the model rejects go (no letters, or a calibrated score below its threshold)."""
     model = language_id.fit(docs, F.lit(True))
-    judged = language_id.identify(docs.withColumnsRenamed({c: f"_in_{c}" for c in docs.columns if c in ("lang_pred", "score", "rejected")}), model)
-    return judged.where(~F.col("rejected")).withColumnsRenamed({f"_in_{c}": c for c in docs.columns}).select(*docs.columns)
+    added = ["lang_pred", "score", "rejected"]
+    clashing = {c: f"_in_{c}" for c in docs.columns if c in added}
+    judged = language_id.identify(docs.withColumnsRenamed(clashing), model).where(~F.col("rejected")).drop(*added)
+    return judged.withColumnsRenamed({v: k for k, v in clashing.items()}).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
