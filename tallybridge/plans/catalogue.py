@@ -2,7 +2,7 @@
 
 The ledger is the whole of ``customer`` and the statement the whole of ``supplier``; their firm names follow from the keys by arithmetic
 that both engines share. Statement names repeat ledger names with wide brackets, invisible characters, lost suffixes, wrong characters, regions or
-aliases. Where a measure needs the windows of the partial ratio SQL is too slow, and tests compare with plain versions instead.
+aliases.
 """
 
 from __future__ import annotations
@@ -346,8 +346,81 @@ def _with_ratio() -> str:
         pairs AS (SELECT a_idx, b_idx, score::DOUBLE AS score, ka."交易日期" = kb."交易日期" AS same_day, abs(ka."交易金额（元）" - kb."交易金额（元）") AS gap FROM named JOIN ka USING (a_clean) JOIN kb USING (b_clean))"""
 
 
+def _masks_sql(s: str, t: str) -> str:
+    return f"list_transform(string_split({t}, ''), lambda c: coalesce(list_aggregate(list_transform(range(length({s})), lambda i: CASE WHEN {s}[i + 1] = c THEN 1::BIGINT << i ELSE 0::BIGINT END), 'sum')::BIGINT, 0))"
+
+
+def _reduced_sql(m: str, masks: str) -> str:
+    """Common subsequence of a string of length m with the characters that the masks stand for."""
+    return f"({m} - bit_count(list_reduce(list_prepend((1::BIGINT << {m}) - 1, {masks}), lambda v, k: ((v + (v & k)) | (v - (v & k))) & ((1::BIGINT << {m}) - 1))))"
+
+
+def _ratio_sql(s: str, t: str) -> str:
+    return f"(CASE WHEN length({s}) + length({t}) = 0 THEN 100.0::DOUBLE ELSE 200.0::DOUBLE * {_reduced_sql(f'length({s})', _masks_sql(s, t))} / (length({s}) + length({t})) END)"
+
+
+def _windows_sql(m: str, n: str, masks: str) -> str:
+    """Best ratio of the shorter string over the windows of the longer one, whose masks are a column."""
+    inner = lambda low, high: f"({m} - bit_count(list_reduce(list_prepend((1::BIGINT << {m}) - 1, {masks}[{low}:{high}]), lambda v, k: ((v + (v & k)) | (v - (v & k))) & ((1::BIGINT << {m}) - 1))))"
+    whole = f"list_max(list_transform(range({n}), lambda w: 200.0::DOUBLE * {inner('w + 1', f'w + {m}')} / ({m} + least({m}, {n} - w))))"
+    heads = f"coalesce(list_max(list_transform(range(1, {m}), lambda h: 200.0::DOUBLE * {inner('1', 'h')} / ({m} + h))), 0.0::DOUBLE)"
+    return f"greatest({whole}, {heads})"
+
+
+def _with_scores() -> str:
+    """Adds ``named`` (a_clean, b_clean, the measures, base, score) and ``pairs`` (a_idx, b_idx, score, same_day, gap) by the whole method."""
+
+    def view(a: str, b: str, to: str, source: str, tag: str) -> str:
+        """Penalty of one view as a column of a further step."""
+        return f"""{tag}0 AS (SELECT *, list_max(list_filter(range(0, least(length({a}), length({b})) + 1), lambda i: {a}[1:i] = {b}[1:i])) AS pre FROM {source}),
+        {tag}1 AS (SELECT *, list_max(list_filter(range(0, least(length({a}), length({b})) - pre + 1), lambda i: right({a}, i) = right({b}, i))) AS suf FROM {tag}0),
+        {tag}2 AS (SELECT *, CASE WHEN {a} = '' OR {b} = '' OR {a} = {b} THEN '' ELSE substr({a}, pre + 1, length({a}) - pre - suf) END AS ca,
+            CASE WHEN {a} = '' OR {b} = '' OR {a} = {b} THEN '' ELSE substr({b}, pre + 1, length({b}) - pre - suf) END AS cb FROM {tag}1),
+        {tag}3 AS (SELECT *, CASE WHEN length(ca) <= length(cb) THEN ca ELSE cb END AS cs, CASE WHEN length(ca) <= length(cb) THEN cb ELSE ca END AS cl, {_ratio_sql('ca', 'cb')} AS cr FROM {tag}2),
+        {tag} AS (SELECT * EXCLUDE (pre, suf, ca, cb, cs, cl, cr), CASE WHEN cl = '' THEN 1.0::DOUBLE WHEN cs = '' THEN (CASE WHEN length(cl) = 1 THEN 1.0::DOUBLE WHEN length(cl) = 2 THEN {V.PENALTY_TWO}::DOUBLE ELSE {V.PENALTY_LONG}::DOUBLE END)
+            WHEN length(cl) <= 1 OR (length(cs) <= 2 AND contains(cl, cs)) OR cr >= {V.CORE_KEEP} THEN 1.0::DOUBLE WHEN cr >= {V.CORE_MILD} THEN {V.PENALTY_MILD}::DOUBLE ELSE {V.PENALTY_HEAVY}::DOUBLE END AS {to} FROM {tag}3)"""
+
+    short = "CASE WHEN length(a_clean) <= length(b_clean) THEN a_clean ELSE b_clean END"
+    long = "CASE WHEN length(a_clean) <= length(b_clean) THEN b_clean ELSE a_clean END"
+    w = V.WEIGHTS
+    lift = f"""CASE WHEN m >= 2 AND m < n AND contains(t, s) THEN (CASE WHEN m <= 3 THEN greatest(edge, {V.CONTAINED_SHORT}::DOUBLE) ELSE edge END) ELSE 0.0::DOUBLE END"""
+    return _with_names() + f""", met AS (SELECT *, {short} AS s, {long} AS t FROM na, nb), sized AS (SELECT *, length(s) AS m, length(t) AS n, {_masks_sql('s', 't')} AS masks, {_masks_sql('t', 's')} AS swapped FROM met),
+        measured AS (SELECT *, {_ratio_sql('s', 't')} AS ratio, CASE WHEN n = 0 THEN 100.0::DOUBLE WHEN m = 0 THEN 0.0::DOUBLE WHEN m = n THEN greatest({_windows_sql('m', 'n', 'masks')}, {_windows_sql('n', 'm', 'swapped')}) ELSE {_windows_sql('m', 'n', 'masks')} END AS partial,
+            {_ratio_sql('a_core', 'b_core')} AS core FROM sized),
+        weighed AS (SELECT * EXCLUDE (masks, swapped), CASE WHEN m = 0 THEN 0.0::DOUBLE WHEN n::DOUBLE / m < 1.5 THEN ratio ELSE greatest(ratio, partial * CASE WHEN n::DOUBLE / m <= 8 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END) END AS wratio FROM measured),
+        {view('a_clean', 'b_clean', 'p1', 'weighed', 'va')}, {view('a_bare', 'b_bare', 'p2', 'va', 'vb')},
+        based AS (SELECT *, CASE WHEN a_bare = b_bare THEN 1.0::DOUBLE ELSE least(p1, p2) END AS penalty, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE ratio * {w['ratio']}::DOUBLE + partial * {w['partial']}::DOUBLE + wratio * {w['wratio']}::DOUBLE + core * {w['core']}::DOUBLE END AS base FROM vb),
+        r1 AS (SELECT *, CASE WHEN a_fold <> '' AND a_fold = b_fold THEN greatest(base * penalty, {V.SAME_FOLD_SCORE}::DOUBLE) ELSE base * penalty END AS x FROM based),
+        r2 AS (SELECT * EXCLUDE x, CASE WHEN a_industry <> '' AND a_industry = b_industry AND a_industry <> a_fold AND b_industry <> b_fold AND x < {V.INDUSTRY_BELOW} THEN least(x * {V.INDUSTRY_FACTOR}::DOUBLE, {V.INDUSTRY_TOP}::DOUBLE) ELSE x END AS x FROM r1),
+        r3 AS (SELECT * EXCLUDE x, CASE WHEN a_protected <> b_protected THEN least(x * {V.CONFLICT_FACTOR}::DOUBLE, {V.CONFLICT_TOP}::DOUBLE) ELSE x END AS x,
+            100.0::DOUBLE - (1.0::DOUBLE - m::DOUBLE / n) * CASE WHEN starts_with(t, s) OR ends_with(t, s) THEN {V.CONTAINED_EDGE}::DOUBLE ELSE {V.CONTAINED_INSIDE}::DOUBLE END AS edge FROM r2),
+        named AS (SELECT a_clean, b_clean, ratio, partial, wratio, core, penalty, base, CASE WHEN n = 0 THEN 0.0::DOUBLE WHEN (a_core = b_core AND a_core <> '') OR (a_clean = b_clean AND a_clean <> '') THEN 100.0::DOUBLE
+            ELSE round_even(least(greatest(greatest(x, {lift}), 0.0::DOUBLE), 100.0::DOUBLE) * 10000, 0) / 10000 END AS score FROM r3),
+        ka AS (SELECT *, {_clean_sql('"客户名称"')} AS a_clean FROM a), kb AS (SELECT *, {_clean_sql('"对方户名"')} AS b_clean FROM b),
+        pairs AS (SELECT a_idx, b_idx, score, ka."交易日期" = kb."交易日期" AS same_day, abs(ka."交易金额（元）" - kb."交易金额（元）") AS gap FROM named JOIN ka USING (a_clean) JOIN kb USING (b_clean) WHERE score > 0)"""
+
+
+def _with_assignment() -> str:
+    """Adds ``done`` (a_idx, b_idx, score, best_idx, best_score, displaced, assigned, matched, mutual, tier): one ledger row after the other takes its best free row."""
+    t = scoring.Thresholds()
+    tier = f"CASE WHEN score >= 100 THEN '{V.TIERS[0]}' WHEN score >= {t.high} THEN '{V.TIERS[1]}' WHEN score >= {t.low} THEN '{V.TIERS[2]}' ELSE '{V.TIERS[3]}' END"
+    return "WITH RECURSIVE " + _with_scores()[5:] + f""", ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY a_idx ORDER BY score DESC, same_day DESC, gap, b_idx) AS place FROM pairs),
+        best AS (SELECT a_idx, b_idx AS best_idx, score AS best_score FROM ranked WHERE place = 1),
+        listed AS MATERIALIZED (SELECT a_idx, list(struct_pack(b := b_idx, s := score) ORDER BY place) AS wants FROM ranked GROUP BY a_idx),
+        turns AS MATERIALIZED (SELECT row_number() OVER (ORDER BY best_score DESC, a_idx) AS turn, a_idx, wants FROM best JOIN listed USING (a_idx) WHERE best_score >= {t.floor}),
+        run AS (SELECT 0::BIGINT AS turn, NULL::BIGINT AS a_idx, NULL::STRUCT(b BIGINT, s DOUBLE) AS got, []::BIGINT[] AS taken UNION ALL
+            SELECT turn, a_idx, got, CASE WHEN got IS NULL THEN taken ELSE list_append(taken, got.b) END FROM
+            (SELECT turns.turn, turns.a_idx, list_filter(turns.wants, lambda w: NOT list_contains(run.taken, w.b))[1] AS got, run.taken FROM run JOIN turns ON turns.turn = run.turn + 1)),
+        best_b AS (SELECT b_idx, a_idx AS for_b FROM (SELECT *, row_number() OVER (PARTITION BY b_idx ORDER BY score DESC, a_idx) AS place FROM pairs) WHERE place = 1),
+        joined AS (SELECT best.a_idx, coalesce(run.got.b, best_idx) AS b_idx, CASE WHEN best_score < {t.floor} THEN best_score ELSE coalesce(run.got.s, 0) END AS score, best_idx, best_score,
+            coalesce(run.got.b <> best_idx, false) AS displaced, run.got IS NOT NULL AS assigned FROM best LEFT JOIN run ON best.a_idx = run.a_idx),
+        done AS (SELECT joined.*, assigned AND score >= {t.floor} AS matched, coalesce(for_b = a_idx, false) AS mutual, CASE WHEN assigned AND score >= {t.floor} THEN {tier} ELSE '{V.TIERS[4]}' END AS tier FROM joined LEFT JOIN best_b USING (b_idx))"""
+
+
 def _oracles() -> dict[str, str]:
-    n, r = _with_names(), _with_ratio()
+    n, r, w, g = _with_names(), _with_ratio(), _with_scores(), _with_assignment()
+    advice = lambda occupied, taken, lower: f"CASE WHEN {occupied} THEN '{taken}' WHEN top < 40 THEN '{lower[0]}' WHEN top < 55 THEN '{lower[1]}' ELSE '{R.NEAR}' END"
+    share = lambda x, y: f"CASE WHEN {y} = 0 THEN 0 ELSE round_even(({x})::DOUBLE / {y}, 4) END"
     raw = f"{n}, r AS (SELECT 'a' AS side, a_idx AS idx, \"客户名称\" AS raw FROM a UNION ALL SELECT 'b', b_idx, \"对方户名\" FROM b), c AS (SELECT *, {_clean_sql('raw')} AS clean FROM r)"
     sides = "SELECT 'a' AS side, a_clean AS clean, a_fold AS fold, a_protected AS protected, a_industry AS industry FROM na UNION ALL SELECT 'b', b_clean, b_fold, b_protected, b_industry FROM nb"
     t = scoring.Thresholds()
@@ -376,6 +449,27 @@ def _oracles() -> dict[str, str]:
         "tie_break_ratio": f"{r} SELECT a_idx, b_idx, score, same_day FROM (SELECT *, row_number() OVER (PARTITION BY a_idx ORDER BY score DESC, same_day DESC, gap, b_idx) AS x FROM pairs) WHERE x = 1",
         "tiers_ratio": f"""{r}, best AS (SELECT a_idx, max(score) AS score FROM pairs GROUP BY a_idx), g AS (SELECT {tier} AS tier, count(*) AS n FROM best GROUP BY 1)
             SELECT t.tier, coalesce(g.n, 0) AS n FROM (VALUES {', '.join(f"('{x}')" for x in V.TIERS)}) t(tier) LEFT JOIN g USING (tier)""",
+        "score_weighted": f"{w} SELECT * FROM named",
+        "core_penalty": f"{w} SELECT a_clean, b_clean, penalty FROM named WHERE penalty < 1",
+        "best_candidate": f"{w} SELECT a_idx, b_idx, score, {tier} AS tier FROM (SELECT *, row_number() OVER (PARTITION BY a_idx ORDER BY score DESC, b_idx) AS x FROM pairs) WHERE x = 1",
+        "assign_one_to_one": f"{g} SELECT * FROM done",
+        "status_distribution": f"{g} SELECT tier AS 匹配状态, count(*) AS n FROM done WHERE matched GROUP BY 1",
+        "a_only": f"""{g} SELECT row_number() OVER (ORDER BY a.a_idx) AS 序号, a."客户编码" AS 客户编码, a."客户名称" AS 客户名称, a."交易金额（元）" AS "交易金额（元）", a."交易日期"::VARCHAR AS 交易日期, a."业务类型" AS 业务类型, '' AS 部门,
+            round_even(top, 2) AS "最高相似度(%)", coalesce(b."对方户名", '') AS B系统最佳候选, {advice(f"top >= {t.floor} AND best_idx IN (SELECT b_idx FROM done WHERE matched)", R.OCCUPIED_A, R.ADVICE_A)} AS 处理建议
+            FROM a LEFT JOIN (SELECT *, best_score AS top FROM done) d ON a.a_idx = d.a_idx LEFT JOIN b ON b.b_idx = d.best_idx WHERE NOT coalesce(matched, false)""",
+        "b_only": f"""{g}, rest AS (SELECT b.*, for_b, coalesce(p.score, 0) AS top FROM b LEFT JOIN best_b USING (b_idx) LEFT JOIN pairs p ON p.b_idx = b.b_idx AND p.a_idx = for_b WHERE b.b_idx NOT IN (SELECT b_idx FROM done WHERE matched))
+            SELECT row_number() OVER (ORDER BY rest.b_idx) AS 序号, "对方户名" AS 对方户名, "对方账号" AS 对方账号, rest."交易金额（元）" AS "交易金额（元）", rest."交易日期"::VARCHAR AS 交易日期, "流水号" AS 流水号, '' AS 摘要, round_even(top, 2) AS "最高相似度(%)",
+            coalesce(a."客户名称", '') AS A系统最佳候选, {advice(f"top >= {t.floor} AND d.b_idx <> rest.b_idx", R.OCCUPIED_B, R.ADVICE_B)} AS 处理建议 FROM rest LEFT JOIN a ON a.a_idx = for_b LEFT JOIN done d ON d.a_idx = for_b""",
+        "summary": f"""{g}, k AS (SELECT (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb, count(*) FILTER (matched) AS m, count(*) FILTER (tier = '{V.TIERS[0]}') AS t0, count(*) FILTER (tier = '{V.TIERS[1]}') AS t1,
+            count(*) FILTER (tier = '{V.TIERS[2]}') AS t2, count(*) FILTER (tier = '{V.TIERS[3]}') AS t3 FROM done)
+            SELECT 1 AS place, 'A系统总记录数' AS metric, na AS n, 1.0::DOUBLE AS share FROM k UNION ALL SELECT 2, 'B系统总记录数', nb, 1 FROM k UNION ALL SELECT 3, '完全匹配（100%）', t0, {share('t0', 'na')} FROM k
+            UNION ALL SELECT 4, '高度匹配（≥{t.high:g}%）', t1, {share('t1', 'na')} FROM k UNION ALL SELECT 5, '中低匹配（{t.low:g}% ≤ score < {t.high:g}%）', t2, {share('t2', 'na')} FROM k UNION ALL SELECT 6, '低置信度匹配（<{t.low:g}%）', t3, {share('t3', 'na')} FROM k
+            UNION ALL SELECT 7, 'A系统独有记录', na - m, {share('na - m', 'na')} FROM k UNION ALL SELECT 8, 'B系统独有记录', nb - m, {share('nb - m', 'nb')} FROM k UNION ALL SELECT 9, '总匹配成功数', m, {share('m', 'na')} FROM k""",
+        "statistics": f"""{g}, wanted AS (SELECT best_idx, count(*) AS n FROM done WHERE best_score >= {t.floor} GROUP BY 1 HAVING count(*) > 1)
+            SELECT count(*) FILTER (matched AND score >= 100) AS exact_100, count(*) FILTER (displaced) AS displaced, count(*) FILTER (matched) AS b_claimed, count(*) FILTER (matched AND mutual) AS mutual_best,
+            (SELECT count(*) FROM wanted) AS conflict_targets, (SELECT coalesce(sum(n), 0)::BIGINT FROM wanted) AS conflict_rows, (SELECT count(*) FROM a) * (SELECT count(*) FROM b) AS pairs FROM done""",
+        "reconciliation_shares": f"""{g}, k AS (SELECT (SELECT count(*) FROM done WHERE matched) AS matched, (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb)
+            SELECT matched, na - matched AS a_only, nb - matched AS b_only, matched / (na + nb - matched) AS matched_share, (na - matched) / (na + nb - matched) AS a_only_share, (nb - matched) / (na + nb - matched) AS b_only_share FROM k""",
     }
 
 

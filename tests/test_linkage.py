@@ -54,13 +54,14 @@ def serial(pairs, floor):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_assignment_is_the_serial_one(spark, seed):
+@pytest.mark.parametrize("seed,chunk,serial_up_to", [(0, 2000, 100), (1, 3, 100), (0, 1, 0), (1, 1, 0)])
+def test_assignment_is_the_serial_one(spark, monkeypatch, seed, chunk, serial_up_to):
+    monkeypatch.setattr(assign, "CHUNK", chunk)
     rng = random.Random(seed)
     n, m = rng.randint(3, 14), rng.randint(2, 10)
     pairs = [(a, b, float(rng.choice([20, 55, 60, 70, 80, 90, 100]))) for a in range(n) for b in range(m)]
     df = spark.createDataFrame(pairs, "a_idx long, b_idx long, score double").withColumn("same_day", F.lit(False)).withColumn("gap", F.lit(0.0))
-    got = {r.a_idx: r for r in assign.assign(df, 60.0).collect()}
+    got = {r.a_idx: r for r in assign.assign(df, 60.0, serial_up_to=serial_up_to).collect()}
     want = serial(pairs, 60.0)
     assert {a: (r.b_idx, r.score) for a, r in got.items() if r.assigned} == {a: p for a, p in want.items() if p}
     assert all(got[a].score == 0 and not got[a].assigned for a, p in want.items() if p is None)
