@@ -23,11 +23,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates, over shingles of five words: the one with the smallest doc_id.
+    """One document of each group of SimHash near-duplicates, over shingles of five words at a similarity of 0.8: the one with the smallest doc_id.
 
     Repeated rows of that id and text leave one row; a document with a null id stays, as no other could stand for it.
     """
-    groups = simhash.near_duplicates(docs, size=5).select(F.col("doc_id").alias("_id"), "component_id").where(F.col("_id") == F.col("component_id")).select("_id").distinct()
+    groups = simhash.near_duplicates(docs, size=5, similarity=0.8).select(F.col("doc_id").alias("_id"), "component_id").where(F.col("_id") == F.col("component_id")).select("_id").distinct()
     kept = docs.join(groups, docs["doc_id"] == F.col("_id"), "left_semi")
     return kept.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
 

@@ -8,6 +8,9 @@ every lane in it is past the radius. Links become spanning forests per bucket, a
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -19,6 +22,8 @@ from . import _common as C
 SEED = 42
 #: Members of a bucket that one task queries; a larger bucket's queries are shared among tasks.
 SLICE = 2048
+#: Words of 64 bits in a wide fingerprint, and members of a random bucket that set the bits of its key.
+WIDE, BUCKET = 4, 1024
 #: (query, word) cells compared at a time in a task.
 CELLS = 1 << 16
 
@@ -42,19 +47,29 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _fingerprinter(size: int):
+def wide_simhash(hashes: np.ndarray, words: int) -> list[int]:
+    """``words`` fingerprints of 64 bits; the first is the plain one, the others are those of remixed hashes."""
+    with np.errstate(over="ignore"):
+        return [simhash(hashes if w == 0 else C.mix64(hashes + np.uint64(w) * np.uint64(0x9E3779B97F4A7C15))) for w in range(words)]
+
+
+def _columns(words: int) -> list[str]:
+    return ["fp", *(f"fp{w}" for w in range(1, words))]
+
+
+def _fingerprinter(size: int, words: int):
     def run(batches):
         for batch in batches:
-            prints = np.fromiter((simhash(shingle_hashes(t or "", size)) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            prints = np.array([wide_simhash(shingle_hashes(t or "", size), words) for t in batch.column("text").to_pylist()], np.uint64).reshape(-1, words)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(prints[:, w]).view(np.int64)) for w in range(words))], ["doc_id", *_columns(words)])
 
     return run
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fp): the 64-bit fingerprint of every row as a signed long; null text counts as empty, which has fingerprint zero."""
+def fingerprints(docs: DataFrame, size: int = 3, words: int = 1) -> DataFrame:
+    """(doc_id, fp, fp1, …): ``words`` 64-bit fingerprints of every row as signed longs; null text counts as empty, which has fingerprint zero."""
     C.small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_fingerprinter(size), "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(_fingerprinter(size, words), "doc_id long, " + ", ".join(f"{c} long" for c in _columns(words)))
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:
@@ -125,61 +140,112 @@ def _close_pairs(values: np.ndarray, ends: np.ndarray, queries: np.ndarray, radi
             yield q[cell[c]], w[cell[c]] * 64 + lane
 
 
-def _linker(radius: int):
+def _linker(radius: int, words: int = 1, wide_radius: int = 0):
     def link(batches):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got)
         block, key, part, parts, fp, rep = (t.column(c).to_numpy() for c in ("block", "key", "part", "parts", "fp", "rep"))
-        order = np.lexsort((fp, part, key, block))
+        order = np.lexsort((rep, fp, part, key, block))
         block, key, part, parts, fp, rep = (x[order] for x in (block, key, part, parts, fp, rep))
+        wide = np.array([t.column(c).to_numpy()[order] for c in _columns(words)]).view(np.uint64)
         new = np.ones(len(fp), bool)
         new[1:] = (block[1:] != block[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1])
         start = np.flatnonzero(new)
         ends = np.repeat(np.append(start[1:], len(fp)), np.diff(np.append(start, len(fp))))
         rank = np.arange(len(fp)) - np.repeat(start, np.diff(np.append(start, len(fp))))
         queries = np.flatnonzero(rank % parts == part)
-        values = fp.view(np.uint64)
-        label = C.forest(len(fp), _close_pairs(values, ends, queries, radius))
+        pairs = _close_pairs(fp.view(np.uint64), ends, queries, radius)
+        if words > 1:
+            pairs = _also_wide(pairs, wide, wide_radius)
+        label = C.forest(len(fp), pairs)
         out = np.flatnonzero(label != np.arange(len(fp)))
         yield pa.RecordBatch.from_arrays([pa.array(rep[out]), pa.array(rep[label[out]])], ["a", "b"])
 
     return link
 
 
+def _also_wide(pairs, wide: np.ndarray, radius: int):
+    """Those of the pairs whose whole fingerprints are within ``radius``."""
+    for i, j in pairs:
+        near = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in wide) <= radius
+        yield i[near], j[near]
+
+
+def _edges(keyed: DataFrame, linker) -> DataFrame:
+    """Edges between members of equal (block, key). A bucket over ``SLICE`` members goes to several tasks, each of which compares a share of
+    the members with all of them."""
+    large = keyed.groupBy("block", "key").count().where(F.col("count") > SLICE).select("block", "key", F.ceil(F.col("count") / SLICE).cast("int").alias("parts"))
+    dealt = keyed.join(C.materialize(large, "large-buckets"), ["block", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = dealt.repartition(C.partitions(keyed.sparkSession), "block", "key", "part")
+    return placed.mapInArrow(linker, "a long, b long").distinct()
+
+
 def close_links(classes: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
     """Edges (a, b) over ``rep`` whose components are those of all links between the distinct ``fp`` of ``classes`` (fp, rep).
 
     ``blocks`` beyond the radius + 1 (the default) make wider keys for larger inputs: any two close values agree on
-    ``blocks - radius`` of them, and every choice of so many is a key. A bucket over ``SLICE`` members goes to several tasks, each of which
-    compares a share of the members with all of them.
+    ``blocks - radius`` of them, and every choice of so many is a key.
     """
-    from itertools import combinations
-
     blocks = blocks or radius + 1
     cut = [64 * k // blocks for k in range(blocks + 1)]
     masks = [sum(((1 << cut[k + 1]) - (1 << cut[k])) for k in chosen) for chosen in combinations(range(blocks), blocks - radius)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = classes.select("fp", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("block", "key"))
-    large = keyed.groupBy("block", "key").count().where(F.col("count") > SLICE).select("block", "key", F.ceil(F.col("count") / SLICE).cast("int").alias("parts"))
-    dealt = keyed.join(large, ["block", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = dealt.repartition(C.partitions(classes.sparkSession), "block", "key", "part")
-    return placed.mapInArrow(_linker(radius), "a long, b long").distinct()
+    keyed = classes.select("fp", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")) for m in masks])).alias("block", "key"))
+    return _edges(keyed, _linker(radius))
+
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
-def near_duplicates(docs: DataFrame, *, size: int = 3, radius: int = 3, blocks: int | None = None) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: the smallest doc_id reachable over fingerprints at most ``radius`` bits apart.
+
+def differing_bits(similarity: float) -> float:
+    """Share of fingerprint bits that differ between two sets of shingles of one size with this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def similar_links(classes: DataFrame, n: int, similarity: float, words: int = WIDE, recall: float = 0.99) -> DataFrame:
+    """Edges (a, b) over ``rep`` between wide fingerprints that speak for a similarity of ``similarity`` or more of their shingles.
+
+    Such fingerprints differ in too many bits for whole blocks to agree. Instead tables of random bits make the buckets, as many tables as
+    ``recall`` asks for and as many bits as hold random buckets of ``n`` members to ``BUCKET``. In a bucket the first 64 bits are compared by bit planes
+    at three standard deviations beyond what is expected, and what passes by all bits at two.
+    """
+    p = differing_bits(similarity)
+    bits = max(12, math.ceil(math.log2(max(n, 1) / BUCKET)))
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** bits))
+    beyond = lambda width, sigmas: int(width * p + sigmas * math.sqrt(width * p * (1 - p)))
+    rng = np.random.default_rng(64)
+    keys = []
+    for _ in range(tables):
+        masks = [0] * words
+        for b in rng.choice(64 * words, bits, replace=False).tolist():
+            masks[b // 64] |= 1 << b % 64
+        keys.append(F.xxhash64(*(F.col(c).bitwiseAND(F.lit(_signed(m)).cast("long")) for c, m in zip(_columns(words), masks))))
+    keyed = classes.select(*_columns(words), "rep", F.posexplode(F.array(*keys)).alias("block", "key"))
+    return _edges(keyed, _linker(beyond(64, 3), words, beyond(64 * words, 2)))
+
+
+def near_duplicates(docs: DataFrame, *, size: int = 3, radius: int = 3, blocks: int | None = None, similarity: float | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) for every row: the smallest doc_id reachable over fingerprints at most ``radius`` bits apart, or, where
+    ``similarity`` is given, over wide fingerprints that speak for so similar sets of shingles.
 
     Null and empty texts have fingerprint zero and link like any other. Rows with a null id keep a row and take the component of their
     fingerprint; a component in which every id is null has component null. Repeated rows stay. An empty table gives no rows. Other columns are not read.
     """
-    prints = C.materialize(fingerprints(docs, size), "fingerprints")
-    classes = prints.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    components = C.connected_components(close_links(classes, radius, blocks))
-    of = classes.join(components, classes["rep"] == components["id"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(of, "fp", "left").select("doc_id", "fp", "component_id")
+    words = 1 if similarity is None else WIDE
+    own = _columns(words)
+    prints = C.materialize(fingerprints(docs, size, words), "fingerprints")
+    classes = prints.where(F.col("doc_id").isNotNull()).groupBy(*own).agg(F.min("doc_id").alias("rep"))
+    if similarity is None:
+        links = close_links(classes, radius, blocks)
+    else:
+        classes = C.materialize(classes, "classes")
+        links = similar_links(classes, classes.count(), similarity)
+    components = C.connected_components(links)
+    of = classes.join(components, classes["rep"] == components["id"], "left").select(*own, F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(of, own, "left").select("doc_id", "fp", "component_id")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

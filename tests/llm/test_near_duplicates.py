@@ -79,6 +79,26 @@ def test_near_duplicate_documents(spark, monkeypatch, blocks):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_similar_documents(spark):
+    """Copies with single words changed are found at a similarity of 0.8 or more; others are left alone."""
+    rng = random.Random(11)
+    rows, want = [], {}
+    for g in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(220)]
+        for c in range(3):
+            words = list(base)
+            for at in rng.sample(range(220), 3 * c):
+                words[at] = "changed"
+            rows.append((len(rows), " ".join(words)))
+            want[len(rows) - 1] = 3 * g
+    for _ in range(200):
+        rows.append((len(rows), " ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randint(1, 80)))))
+        want[len(rows) - 1] = len(rows) - 1
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=5, similarity=0.8).collect()}
+    assert all(got[k] == k for k in range(120, 320)) and all(got[k] in (want[k], k) for k in range(120))
+    assert sum(got[k] == want[k] for k in range(120)) >= 116
+
+
 def test_large_buckets_are_shared(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SLICE", 16)
     rng = random.Random(6)
