@@ -60,14 +60,18 @@ def _columns(words: int) -> list[str]:
 def _fingerprinter(size: int, words: int):
     def run(batches):
         for batch in batches:
-            prints = np.array([wide_simhash(shingle_hashes(t or "", size), words) for t in batch.column("text").to_pylist()], np.uint64).reshape(-1, words)
+            hashes = (shingle_hashes(t or "", size) for t in batch.column("text").to_pylist())
+            prints = np.array([wide_simhash(h if words == 1 else np.unique(h), words) for h in hashes], np.uint64).reshape(-1, words)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(prints[:, w]).view(np.int64)) for w in range(words))], ["doc_id", *_columns(words)])
 
     return run
 
 
 def fingerprints(docs: DataFrame, size: int = 3, words: int = 1) -> DataFrame:
-    """(doc_id, fp, fp1, …): ``words`` 64-bit fingerprints of every row as signed longs; null text counts as empty, which has fingerprint zero."""
+    """(doc_id, fp, fp1, …): ``words`` 64-bit fingerprints of every row as signed longs; null text counts as empty, which has fingerprint zero.
+
+    A plain fingerprint counts a repeated shingle each time, wide ones count it once, as they stand for the similarity of sets.
+    """
     C.small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_fingerprinter(size, words), "doc_id long, " + ", ".join(f"{c} long" for c in _columns(words)))
 
