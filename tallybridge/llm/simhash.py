@@ -23,7 +23,7 @@ SEED = 42
 #: Members of a bucket that one task queries; a larger bucket's queries are shared among tasks.
 SLICE = 2048
 #: Words of 64 bits in a wide fingerprint, and members of a random bucket that set the bits of its key.
-WIDE, BUCKET = 4, 1024
+WIDE, BUCKET = 8, 1024
 #: (query, word) cells compared at a time in a task.
 CELLS = 1 << 16
 
@@ -214,7 +214,7 @@ def similar_links(classes: DataFrame, n: int, similarity: float, words: int = WI
 
     Such fingerprints differ in too many bits for whole blocks to agree. Instead tables of random bits make the buckets, as many tables as
     ``recall`` asks for and as many bits as hold random buckets of ``n`` members to ``BUCKET``. In a bucket the first 64 bits are compared by bit planes
-    at three standard deviations beyond what is expected, and what passes by all bits at two.
+    at three standard deviations beyond what is expected, and what passes by all bits at two and a half.
     """
     p = differing_bits(similarity)
     bits = max(12, math.ceil(math.log2(max(n, 1) / BUCKET)))
@@ -228,7 +228,7 @@ def similar_links(classes: DataFrame, n: int, similarity: float, words: int = WI
             masks[b // 64] |= 1 << b % 64
         keys.append(F.xxhash64(*(F.col(c).bitwiseAND(F.lit(_signed(m)).cast("long")) for c, m in zip(_columns(words), masks))))
     keyed = classes.select(*_columns(words), "rep", F.posexplode(F.array(*keys)).alias("block", "key"))
-    return _edges(keyed, _linker(beyond(64, 3), words, beyond(64 * words, 2)))
+    return _edges(keyed, _linker(beyond(64, 3), words, beyond(64 * words, 2.5)))
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 3, radius: int = 3, blocks: int | None = None, similarity: float | None = None) -> DataFrame:
