@@ -154,9 +154,11 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, recall: floa
     classes = C.materialize(v.where(valid).groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).where(F.col("id").isNotNull()), "vectors")
     k, tables, width = plan(classes.count(), threshold, recall)
     hashed = classes.mapInArrow(_hasher(k, tables, width, seed), T.StructType([*classes.schema, T.StructField("signature", T.ArrayType(T.IntegerType()))]))
+    hashed = C.materialize(hashed, "hashed")
     met = hashed.select("*", F.size("embedding").alias("dim"), F.posexplode("signature").alias("table", "key"))
     place = ["table", "key", "dim"]
-    large = met.groupBy(place).count().where(F.col("count") > SLICE).select(*place, F.ceil(F.col("count") / SLICE).cast("int").alias("parts"))
+    # written, so that Spark knows its size before it plans the join: vectors then move once, unless very many buckets are large
+    large = C.materialize(met.groupBy(place).count().where(F.col("count") > SLICE).select(*place, F.ceil(F.col("count") / SLICE).cast("int").alias("parts")), "large-buckets")
     dealt = met.join(large, place, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     found = dealt.repartition(C.partitions(spark), *place, "part").mapInArrow(_comparer(threshold), "id long, links long, other long")
@@ -166,8 +168,8 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, recall: floa
     of = classes.join(links, "id", "left").join(components, "id", "left").select(
         "embedding", F.coalesce("component", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
-    # joined by the vector itself: AQE splits the rows of a frequent one
-    linked = v.where(valid).join(of, "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    # joined by the vector itself; written before, so that AQE can split the rows of a frequent one
+    linked = v.where(valid).join(C.materialize(of, "classes"), "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return linked.union(v.where(~valid).select("vec_id", F.lit(0).cast("long"), F.col("vec_id")))
 
 
