@@ -57,7 +57,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, *, text:
     # repeated rows of one id and text may come twice here; they carry the same count
     counted.groupBy("digest", "tokenizer").agg(F.max("n_tokens").alias("n_tokens")).write.mode("append").parquet(cache_path)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return docs.join(counts, "digest")
+    # written, so that the join has nothing but two exchanges below it and AQE can split the rows of a frequent digest
+    return docs.join(C.materialize(counts, "counts"), "digest")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
