@@ -23,7 +23,7 @@ BITS, DIM, EPOCHS = 16, 16, 6
 #: Texts scored at a time; their arrays then fit a core's cache.
 CACHED_BYTES = 1 << 17
 #: Share of correctly labelled calibration documents that the rejection threshold may lose at most, and its upper bound.
-REJECT_SHARE, REJECT_MOST = 0.002, 0.5
+REJECT_SHARE, REJECT_MOST = 0.002, 0.4
 UNDETERMINED = "und"
 
 _FOLD = np.arange(256, dtype=np.uint32)
