@@ -26,4 +26,23 @@ QUERIES = {
     "op10_order_minhash": op10_order_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_near_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+        ok AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        links AS MATERIALIZED (SELECT p.vec_id AS a, q.vec_id AS b FROM ok p JOIN ok q ON p.vec_id <> q.vec_id AND len(p.e) = len(q.e) WHERE list_cosine_similarity(p.e, q.e) >= 0.95),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+        component AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1), degree AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN component USING (vec_id) LEFT JOIN degree USING (vec_id)""",
+    "op5_chat_format": """
+        WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text, coalesce(floor(turn / 256), -1)::BIGINT AS block FROM conversations),
+        people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+        headed AS (SELECT t.*, perspective, CASE WHEN speaker = 'system' THEN '<|system|>' || chr(10) WHEN speaker = perspective THEN '<|assistant|>' || chr(10)
+            ELSE '<|user name=' || translate(speaker, '<|>' || chr(10), '') || '|>' || chr(10) END AS head FROM t JOIN people ON t.conv_id IS NOT DISTINCT FROM people.conv_id),
+        said AS (SELECT *, head || text || '<|end|>' || chr(10) AS piece FROM headed),
+        placed AS (SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id, perspective, block ORDER BY turn NULLS FIRST, speaker, text ROWS UNBOUNDED PRECEDING) AS stop FROM said),
+        blocks AS (SELECT conv_id, perspective, block, count(*) AS n_turns, string_agg(piece, '' ORDER BY turn NULLS FIRST, speaker, text) AS rendered, coalesce(sum(stop - (stop - length(piece) + length(head))) FILTER (speaker = perspective), 0)::BIGINT AS n_masked,
+            coalesce(string_agg((stop - length(piece) + length(head))::BIGINT || '-' || stop::BIGINT, ',' ORDER BY turn NULLS FIRST, speaker, text) FILTER (speaker = perspective), '') AS mask FROM placed GROUP BY ALL)
+        SELECT conv_id, perspective, block, coalesce(sum(n_turns) OVER w, 0)::BIGINT AS first_turn, n_turns, coalesce(sum(length(rendered)) OVER w, 0)::BIGINT AS start, length(rendered)::BIGINT AS n_chars, sha256(rendered) AS rendered_sha256, mask, n_masked
+        FROM blocks WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+}
