@@ -18,6 +18,7 @@ BLOCK_TURNS = 256
 SPAN = 1024
 #: A speaker of this role never answers as an assistant: it gives instructions.
 INSTRUCTOR = "system"
+END = "<|end|>\n"
 
 
 def _head(speaker: Column, perspective: Column, instructor: str) -> Column:
@@ -63,20 +64,25 @@ def rotate(turns: DataFrame, *, conversation: str = "conv_id", turn: str = "turn
     ).withColumn("block", F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(-1)).cast("long"))
     people = t.where(F.col("speaker") != instructor).select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("perspective")).distinct()
     seen = t.join(people, t["conv_id"].eqNullSafe(people["_conv"])).drop("_conv")
-    head = _head(F.col("speaker"), F.col("perspective"), instructor)
-    said = seen.withColumn("head", F.length(head)).withColumn("piece", F.concat(head, F.col("text"), F.lit("<|end|>\n"))).withColumn("own", F.col("speaker") == F.col("perspective"))
+    length = F.length(_head(F.col("speaker"), F.col("perspective"), instructor)) + F.length("text") + len(END)
     key = ["conv_id", "perspective", "block"]
-    blocks = said.groupBy(*key).agg(F.sum(F.length("piece")).cast("long").alias("length"), F.count("*").alias("n_turns"), F.array_sort(F.collect_list(F.struct("turn", "speaker", "text", "head", "piece", "own"))).alias("turns"))
+    # what is rendered follows from a turn, so turns alone are gathered
+    blocks = seen.groupBy(*key).agg(F.sum(length).cast("long").alias("length"), F.count("*").alias("n_turns"), F.array_sort(F.collect_list(F.struct("turn", "speaker", "text"))).alias("turns"))
     # offsets of blocks: their lengths alone, without texts
     lengths = blocks.select(*key, "length", "n_turns")
     offsets = _running(lengths, ["conv_id", "perspective"], "block", {"length": "start", "n_turns": "first_turn"}).select(*(F.col(k).alias(f"_{k}") for k in key), "start", "first_turn")
     same = blocks["conv_id"].eqNullSafe(offsets["_conv_id"]) & (blocks["perspective"] == offsets["_perspective"]) & (blocks["block"] == offsets["_block"])
-    ends = F.aggregate("turns", F.expr("cast(array(0L) as array<bigint>)"), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x["piece"]))))
-    out = blocks.join(offsets, same).withColumn("_ends", ends)
+    def rendered(x: Column) -> Column:
+        head = _head(x["speaker"], F.col("perspective"), instructor)
+        return F.struct(F.length(head).alias("head"), F.concat(head, x["text"], F.lit(END)).alias("piece"), (x["speaker"] == F.col("perspective")).alias("own"))
+
+    out = blocks.join(offsets, same).withColumn("_said", F.transform("turns", rendered)).drop("turns")
+    ends = F.aggregate("_said", F.expr("cast(array(0L) as array<bigint>)"), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x["piece"]))))
+    out = out.withColumn("_ends", ends)
     spans = F.filter(
-        F.transform("turns", lambda x, i: F.when(x["own"], F.struct((F.get("_ends", i) + x["head"]).alias("start"), F.get("_ends", i + 1).alias("stop")))), lambda s: s.isNotNull()
+        F.transform("_said", lambda x, i: F.when(x["own"], F.struct((F.get("_ends", i) + x["head"]).alias("start"), F.get("_ends", i + 1).alias("stop")))), lambda s: s.isNotNull()
     )
-    out = out.withColumn("rendered", F.array_join("turns.piece", "")).withColumn("spans", spans)
+    out = out.withColumn("rendered", F.array_join("_said.piece", "")).withColumn("spans", spans)
     masked = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
     return out.select("conv_id", "perspective", "block", "first_turn", "n_turns", "start", "rendered", "spans", masked.alias("n_masked"))
 
