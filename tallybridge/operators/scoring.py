@@ -72,7 +72,10 @@ def candidates(a: DataFrame, b: DataFrame, blocking: str | None = None) -> DataF
         raise ValueError(f"unknown blocking {blocking!r}")
     n = b.count()
     if n <= BROADCAST_NAMES:
-        return a.crossJoin(F.broadcast(b))
+        # names are small but what is made of them is not: a fixed number of partitions, which AQE does not merge
+        spark = a.sparkSession
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        return a.repartition(parts).crossJoin(F.broadcast(b))
     parts = -(-n // BROADCAST_NAMES)
     tiles = b.withColumn("tile", F.pmod(F.xxhash64("b_clean"), F.lit(parts)))
     return a.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).join(tiles, "tile").drop("tile")
