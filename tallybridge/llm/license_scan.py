@@ -67,7 +67,7 @@ def _matches(lowered: Column, rule: Column) -> Column:
 
 
 def _rule_table(known: list[Rule]) -> Column:
-    quote = lambda s: "r'" + s + "'" if "'" not in s else 'r"' + s.replace('"', r"\x22") + '"'
+    quote = lambda s: "r'" + s + "'" if "'" not in s else 'r"' + s.replace(r'\"', '"').replace('"', r"\x22") + '"'
     return F.expr("array(" + ", ".join(f"named_struct('number', {r.number}, 'label', '{r.label}', 'priority', {r.priority}, 'keyword', {quote(r.keyword)}, 'pattern', {quote(r.pattern)})" for r in known) + ")")
 
 

@@ -192,3 +192,58 @@ def test_registered_queries(spark):
     known = __spark_entry__.queries()
     assert [n for n in range(1, 11) if any(k.startswith(f"op{n}_") for k in known)] == list(range(1, 11)) and "pipeline" in known
     assert known["op5_chat_format"](spark, SF).count() > 0 and known["op6_license_scan"](spark, SF).count() == 200
+
+
+def sample(parsed, rng, space, gap="x"):
+    """A text that matches a parsed pattern; ``space`` stands for white space and for gaps across lines, ``gap`` for those within one."""
+    out = ""
+    for op, av in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(av)
+        elif op == "IN":
+            kind, value = map(str, rng.choice(av))
+            out += space if value == "CATEGORY_SPACE" else "7" if value == "CATEGORY_DIGIT" else chr(rng.choice(av)[1] if kind == "LITERAL" and all(str(k) == "LITERAL" for k, _ in av) else av[0][1][0])
+        elif op == "ANY":
+            out += gap
+        elif op == "BRANCH":
+            out += sample(rng.choice(av[1]), rng, space, gap)
+        elif op == "SUBPATTERN":
+            out += sample(av[3], rng, space, space if av[1] & re.S else gap)
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(sample(av[2], rng, space, gap) for _ in range(rng.randint(av[0], min(av[1], av[0] + 1))))
+        else:
+            assert op in ("AT", "ASSERT_NOT"), op
+    return out
+
+
+def samples(space, known):
+    rng = random.Random(3)
+    return [(r, f"x {sample(re._parser.parse(r.pattern, re.A), rng, space)} x") for r in known for _ in range(4)]
+
+
+def ungated(text):
+    """Detections by all rules, none of them behind a keyword or an anchor."""
+    found = sorted((m.start(), -m.end(), r.priority, r.number, r.label) for r in rules() for m in re.finditer(r.pattern, text, re.A))
+    return found, [(a, -b, p, n, label) for k, (a, b, p, n, label) in enumerate(found) if not any(e[2] <= p and -e[1] >= -b for e in found[:k])]
+
+
+@pytest.mark.parametrize("space", [" ", "\n", "  ", "\r\n\t"])
+def test_keywords_hide_no_match(spark, space):
+    texts = [(r.number, t, ungated(t)) for r, t in samples(space, rules())]
+    assert all(any(f[3] == n for f in found) for n, _, (found, _) in texts)  # each sample has a match of its rule
+    assert [(r.pattern, t) for r, t in samples(space, rules()) if r.keyword not in t] == []
+    anchored = [(k, "licen permission " + t) for k, (_, t, _) in enumerate(texts)]
+    got = {r.k: [tuple(d) for d in r.detections] for r in license_scan.scan(spark.createDataFrame(anchored, "k int, text string")).collect()}
+    wrong = [(t, got[k]) for k, t in anchored if got[k] != ungated(t)[1]]
+    assert not wrong, (len(wrong), wrong[:3])
+
+
+def test_wrapped_licences(spark):
+    texts = {
+        "permission is hereby\ngranted, free of charge, to any\nperson obtaining a copy of this software": "mit", "redistribution and\nuse in source and binary forms, with or  without\nmodification, are permitted provided": "bsd",
+        "copyright in the public\ndomain: released into the public\ndomain": "public-domain", "copyright: all rights\nreserved": "rights-reserved", "without the express written permission": "proprietary", "the 2-clause license": "bsd-2-clause",
+        "permission is hereby granted, to whom\nit may concern, machine-executable\nobject code": "boost", "licensed as creative commons  attribution  noderivatives": "cc-by-nd",
+    }
+    df = spark.createDataFrame(list(texts.items()), "text string, want string")
+    assert all(r.want in {d.label for d in r.detections} for r in license_scan.scan(df).collect())
