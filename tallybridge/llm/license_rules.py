@@ -22,8 +22,11 @@ class Rule(NamedTuple):
 TEXT, IDENTIFIER, GRANT, NAME, HINT = range(5)
 CONFIDENCE = (1.0, 0.95, 0.9, 0.7, 0.3)
 
-#: A text with none of these matches no rule: every pattern needs one of them.
-ANCHORS = ("licen", "copyright", "rights reserved", "public domain", "creative commons", "cc by", "cc-by", "cc0", "gpl", "wtfpl", "redistribution", "permission", "warrant", "source code form", "spdx", "proprietary", "confidential", "patent")
+#: A text with none of these matches no rule: every match of every pattern has one of them. A space stands for any white space.
+ANCHORS = (
+    "licen", "copyright", "reserved", "public domain", "creative commons", "cc by", "cc-by", "cc0", "gpl", "wtfpl", "redistribution", "permission", "warrant", "proprietary", "source code form",
+    "mozilla.org/", "eclipse.org/legal", "scripts.sil.org", "gnu.org/", "joinup.ec.europa.eu", "creativecommons.org",
+)
 
 #: Label, keyword, name, short identifier, web address. The identifier and the name are patterns; an empty address makes no rule.
 LICENSES = [

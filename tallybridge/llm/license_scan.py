@@ -66,6 +66,13 @@ def _matches(lowered: Column, rule: Column) -> Column:
     return let(F.regexp_extract_all(lowered, rule["pattern"], F.lit(0)), spans)
 
 
+def _holds(lowered: Column, phrase: str) -> Column:
+    """Whether the words of a phrase follow each other, with any white space between them."""
+    first, *rest = phrase.split(" ")
+    held = F.contains(lowered, F.lit(first))
+    return held & F.rlike(lowered, F.lit(phrase.replace(" ", r"\s+"))) if rest else held
+
+
 def _rule_table(known: list[Rule]) -> Column:
     quote = lambda s: "r'" + s + "'" if "'" not in s else 'r"' + s.replace(r'\"', '"').replace('"', r"\x22") + '"'
     return F.expr("array(" + ", ".join(f"named_struct('number', {r.number}, 'label', '{r.label}', 'priority', {r.priority}, 'keyword', {quote(r.keyword)}, 'pattern', {quote(r.pattern)})" for r in known) + ")")
@@ -97,14 +104,15 @@ def scan(docs: DataFrame, *, text: str = "text", known: list[Rule] | None = None
     """``docs`` with n_words, places (start, label of base phrases), detections (start, stop, priority, rule, label; after suppression).
 
     A null text counts as empty: no words, no places, no detections. Texts are scanned whole; a row's result depends on its text alone.
+    Rules that are given pass by their own keywords instead of the anchor words.
     Other columns pass through, those with the names of results are replaced.
     """
-    known = rules() if known is None else known
+    anchors, known = (ANCHORS, rules()) if known is None else (sorted({r.keyword for r in known}), known)
     lowered = F.col("_lowered")
     out = docs.drop("n_words", "places", "detections").withColumn("_lowered", F.lower(F.coalesce(F.col(text), F.lit(""))))
     out = out.withColumn("_words", _words(lowered))
     places = F.when(F.contains(lowered, F.lit("license")), _phrase_places(F.col("_words"))).otherwise(F.expr("cast(array() as array<struct<start:int,label:string>>)"))
-    gate = reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(a)) for a in ANCHORS))
+    gate = reduce(lambda a, b: a | b, (_holds(lowered, a) for a in anchors), F.lit(False))
     spans = F.when(gate, let(_detections(lowered, known), _unsuppressed)).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)"))
     return out.withColumn("n_words", _n_words(F.col("_words")).cast("long")).withColumn("places", places).withColumn("detections", spans).drop("_lowered", "_words")
 

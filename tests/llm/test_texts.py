@@ -247,3 +247,13 @@ def test_wrapped_licences(spark):
     }
     df = spark.createDataFrame(list(texts.items()), "text string, want string")
     assert all(r.want in {d.label for d in r.detections} for r in license_scan.scan(df).collect())
+
+
+@pytest.mark.parametrize("space", [" ", "\n"])
+def test_every_rule_passes_the_gate(spark, space):
+    texts = [(k, t) for k, (_, t) in enumerate(samples(space, rules()))]
+    got = {r.k: [tuple(d) for d in r.detections] for r in license_scan.scan(spark.createDataFrame(texts, "k int, text string")).collect()}
+    assert [t for k, t in texts if not got[k] or got[k] != ungated(t)[1]] == []
+    own = [license_scan.Rule(0, "beer", 0, "beerware", r"the\s+beerware")]
+    (r,) = license_scan.scan(spark.createDataFrame([("under the beerware",)], "text string"), known=own).collect()
+    assert [d.label for d in r.detections] == ["beer"]
