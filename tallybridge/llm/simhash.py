@@ -14,7 +14,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
@@ -57,23 +57,31 @@ def _columns(words: int) -> list[str]:
     return ["fp", *(f"fp{w}" for w in range(1, words))]
 
 
-def _fingerprinter(size: int, words: int):
+def _fingerprinter(size: int, words: int, carried: list[str]):
     def run(batches):
         for batch in batches:
             hashes = (shingle_hashes(t or "", size) for t in batch.column("text").to_pylist())
             prints = np.array([wide_simhash(h if words == 1 else np.unique(h), words) for h in hashes], np.uint64).reshape(-1, words)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(prints[:, w]).view(np.int64)) for w in range(words))], ["doc_id", *_columns(words)])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, carried), *(pa.array(np.ascontiguousarray(prints[:, w]).view(np.int64)) for w in range(words))], [*carried, *_columns(words)])
 
     return run
 
 
-def fingerprints(docs: DataFrame, size: int = 3, words: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, size: int = 3, words: int = 1, digest: bool = False) -> DataFrame:
     """(doc_id, fp, fp1, …): ``words`` 64-bit fingerprints of every row as signed longs; null text counts as empty, which has fingerprint zero.
+    With ``digest``, ``text_digest`` of the text comes after the id.
 
     A plain fingerprint counts a repeated shingle each time, wide ones count it once, as they stand for the similarity of sets.
     """
     C.small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_fingerprinter(size, words), "doc_id long, " + ", ".join(f"{c} long" for c in _columns(words)))
+    carried = ["doc_id", *(["text_digest"] if digest else [])]
+    read = docs.select("doc_id", "text", *([text_digest().alias("text_digest")] if digest else []))
+    return read.mapInArrow(_fingerprinter(size, words, carried), ", ".join(f"{c} long" for c in [*carried, *_columns(words)]))
+
+
+def text_digest() -> Column:
+    """What tells texts of one id apart; a null text is an empty one."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:
@@ -241,17 +249,35 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, radius: int = 3, blocks:
     words = 1 if similarity is None else WIDE
     own = _columns(words)
     prints = C.materialize(fingerprints(docs, size, words), "fingerprints")
-    classes = prints.where(F.col("doc_id").isNotNull()).groupBy(*own).agg(F.min("doc_id").alias("rep"))
     if similarity is None:
-        links = close_links(classes, radius, blocks)
+        classes = prints.where(F.col("doc_id").isNotNull()).groupBy(*own).agg(F.min("doc_id").alias("rep"))
+        components = C.connected_components(close_links(classes, radius, blocks))
+        of = classes.join(components, classes["rep"] == components["id"], "left").select(*own, F.coalesce("component", "rep").alias("component_id"))
     else:
-        classes = C.materialize(classes, "classes")
-        links = similar_links(classes, classes.count(), similarity)
-    components = C.connected_components(links)
-    of = classes.join(components, classes["rep"] == components["id"], "left").select(*own, F.coalesce("component", "rep").alias("component_id"))
+        of = _similar_classes(prints, similarity, F.col("doc_id"))
+        of = of.join(of.groupBy("component").agg(F.min("first").alias("component_id")), "component").select(*own, "component_id")
     return prints.join(of, own, "left").select("doc_id", "fp", "component_id")
 
 
+def _similar_classes(prints: DataFrame, similarity: float, first: Column) -> DataFrame:
+    """(wide fingerprint, first, component) of every distinct wide fingerprint of rows with an id; ``first`` is the least of its rows.
+
+    Fingerprints are numbered, as two of them can have one id when ids repeat.
+    """
+    own = _columns(WIDE)
+    classes = prints.where(F.col("doc_id").isNotNull()).groupBy(*own).agg(F.min(first).alias("first"))
+    classes = C.materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    components = C.connected_components(similar_links(classes, classes.count(), similarity))
+    return classes.join(components, classes["rep"] == components["id"], "left").select(*own, "first", F.coalesce("component", "rep").alias("component"))
+
+
+def one_of_each(docs: DataFrame, *, size: int, similarity: float) -> DataFrame:
+    """(doc_id, text_digest) of the row that stands for each component over rows with an id: the smallest id, then the smallest digest."""
+    prints = C.materialize(fingerprints(docs, size, WIDE, digest=True), "fingerprints")
+    of = _similar_classes(prints, similarity, F.struct("doc_id", "text_digest"))
+    return of.groupBy("component").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_digest")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents at 3 or fewer differing bits."""
     out = near_duplicates(C.table(spark, sf_dir, "documents"))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from tallybridge.llm import _common as C
 from tallybridge.llm import embedding_dedup, simhash
 
@@ -139,3 +140,14 @@ def test_embedding_links(spark, monkeypatch, small):
 def test_more_vectors_make_narrower_buckets():
     plans = [embedding_dedup.plan(n, 0.95) for n in (10, 10**4, 10**6, 10**9)]
     assert [p[0] for p in plans] == sorted(p[0] for p in plans) and [p[1] for p in plans] == sorted(p[1] for p in plans)
+
+
+def test_repeated_ids_keep_unrelated_texts(spark):
+    """Rows of one id are told apart by their texts: each unrelated text stays, and no group goes with another's row."""
+    rng = random.Random(12)
+    a, b, c = (" ".join(f"w{rng.randrange(5000)}" for _ in range(100)) for _ in range(3))
+    near = a + " more"
+    rows = [(1, a), (1, b), (1, b), (2, near), (3, b), (0, b + " end"), (4, c), (4, None), (4, ""), (None, c)]
+    got = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    told = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in got)
+    assert told == sorted([(1, a), (0, b + " end"), (4, c), (4, ""), (-1, c)])
