@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 #: Texts are cut into groups of about so many bytes for vectorised work; a longer text is a group of its own.
 GROUP_BYTES = 2 << 20
+#: Contents of character classes of Java patterns: white space, and scripts written without spaces (Thai to Tibetan, Burmese, Khmer, Tai, Chinese, Japanese).
+SPACE = r"\s\u0085\u00A0\u1680\u2000-\u200B\u2028\u2029\u202F\u205F\u3000"
+UNSPACED = r"\u0E00-\u0FFF\u1000-\u109F\u1780-\u17FF\u1950-\u1AAF\u2E80-\u2FFF\u3001-\u9FFF\uA9E0-\uA9FF\uAA60-\uAADF\uF900-\uFAFF\uFF66-\uFF9F" + "\U00020000-\U0003FFFD"  # as they are: Java's lookbehind misses them as escapes
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -74,8 +74,9 @@ def budgets(tokens: dict, w: dict, budget: int | None = None) -> dict:
 
 
 def token_length(text: Column) -> Column:
-    """Pieces between spaces: a cheap measure that every text has at least one of."""
-    return F.size(F.split(F.coalesce(text, F.lit("")), " ")).cast("long")
+    """Words between white space, and single characters of scripts without spaces: a cheap measure, and 1 at least."""
+    pieces = f"[{C.UNSPACED}]|[^{C.SPACE}{C.UNSPACED}]+"
+    return F.greatest(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(pieces)), F.lit(1)).cast("long")
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", target: float = ENTROPY, limit: float = REPEATS, budget: int | None = None, seed: int = 5) -> DataFrame:

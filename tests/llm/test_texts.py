@@ -257,3 +257,12 @@ def test_every_rule_passes_the_gate(spark, space):
     own = [license_scan.Rule(0, "beer", 0, "beerware", r"the\s+beerware")]
     (r,) = license_scan.scan(spark.createDataFrame([("under the beerware",)], "text string"), known=own).collect()
     assert [d.label for d in r.detections] == ["beer"]
+
+
+def test_tokens_of_any_white_space_and_script(spark):
+    texts = {"one two three": 3, "one\ntwo\tthree\r\nfour": 4, "  one    two  ": 2, "\u6f22\u5b57\u4eee\u540d\u3000\u4ea4\u3058\u308a": 7, "ab\u6f22\U00020000cd": 4, "\u0e44\u0e17\u0e22": 3, "a\u00a0b": 2, "": 1, " \n": 1}
+    df = spark.createDataFrame(list(texts.items()), "text string, want long")
+    assert {r.text: r.n for r in df.select("text", mixing.token_length(F.col("text")).alias("n")).collect()} == texts
+    rows = [(k, ("w\n" if k % 2 else "w ") * 50, "lines" if k % 2 else "words") for k in range(40)]
+    weights = {r.source: r.weight for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert weights["lines"] == pytest.approx(weights["words"])
