@@ -1,6 +1,7 @@
 """Order MinHash fingerprints in DataFrame functions only.
 
-A text is split at spaces; every run of ``K`` pieces is a k-mer, and equal k-mers of a text are numbered by occurrence. Each numbered
+A text is split at white space, and between the characters of scripts without spaces; a piece of over ``LONG`` code points, and a text of fewer pieces than
+``K``, is split into code points. Every run of ``K`` pieces is a k-mer, and equal k-mers of a text are numbered by occurrence. Each numbered
 k-mer has a 64-bit hash whose top bits choose one of ``BINS`` bins: within a bin the ``KEEP`` smallest hashes are selected, put back in the order of the text,
 and hashed as a tuple. The tuples are the fingerprint: as tuples keep order, a moved passage changes it where a bag of k-mers would not.
 One pass of hashing serves all bins. Arrays of longs that pack a hash with its place are sorted as primitives, in generated code.
@@ -15,6 +16,8 @@ from . import _common as C
 
 #: Pieces in a k-mer, bins (a power of two), and k-mers selected in a bin.
 K, BINS, KEEP = 5, 32, 2
+#: Code points in a piece at most.
+LONG = 32
 #: Low bits of a packed long that hold a place in the text; a text may have 16 million pieces.
 PLACE = 24
 _LOW = (1 << PLACE) - 1
@@ -29,9 +32,25 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _pieces(text: Column) -> Column:
+    """Every white-space character parts two pieces, so two in a row have an empty one between them."""
+    unspaced, seen = f"[{C.UNSPACED}]", f"[^{C.SPACE}]"
+    at_spaces = F.split(text, f"[{C.SPACE}]")
+    words = F.when(F.rlike(text, F.lit(unspaced)), F.split(text, f"[{C.SPACE}]|(?<={unspaced})(?={seen})|(?<={seen})(?={unspaced})")).otherwise(at_spaces)
+
+    def points(t: Column) -> Column:
+        return F.split(t, "")
+
+    def cut(w: Column) -> Column:
+        short = F.flatten(F.transform(w, lambda p: F.when(F.length(p) > LONG, points(p)).otherwise(F.array(p))))
+        return F.when(F.size(w) < K, points(text)).when(F.rlike(text, F.lit(f"{seen}{{{LONG + 1}}}")), short).otherwise(w)
+
+    return let(words, cut)
+
+
 def _packed_kmers(text: Column) -> Column:
-    """Sorted longs: the high bits of each k-mer's hash, then its place. A text of fewer pieces than K is one k-mer; an empty one has none."""
-    hashes = F.transform(F.split(text, " "), lambda w: F.xxhash64(w))
+    """Longs: the high bits of each k-mer's hash, then its place. A text of fewer pieces than K is one k-mer; an empty one has none."""
+    hashes = F.transform(_pieces(text), lambda w: F.xxhash64(w))
 
     def kmers(h: Column) -> Column:
         def at(i: Column) -> Column:

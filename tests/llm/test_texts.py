@@ -266,3 +266,20 @@ def test_tokens_of_any_white_space_and_script(spark):
     rows = [(k, ("w\n" if k % 2 else "w ") * 50, "lines" if k % 2 else "words") for k in range(40)]
     weights = {r.source: r.weight for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert weights["lines"] == pytest.approx(weights["words"])
+
+
+def test_every_text_has_kmers_in_proportion(spark):
+    """Whatever parts the words, a small edit leaves most of a fingerprint."""
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    hanzi = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(400))
+    letters = "".join(rng.choice("abcdefghij") for _ in range(400))
+    pairs = [(sep.join(words), sep.join([*words[:-1], "end"])) for sep in (" ", "\n", "\t", "\u3000")] + [(t, t[:-1] + "z") for t in (hanzi, letters, "four of " + letters, "a b c d e f " + letters)]
+    fps = fingerprints(spark, [t for p in pairs for t in p])
+    for k, (a, _) in enumerate(pairs):
+        same = len(set(fps[2 * k]) & set(fps[2 * k + 1]))
+        assert len(fps[2 * k]) == order_minhash.BINS and order_minhash.BINS / 2 < same, (a[:30], same)
+    df = spark.createDataFrame([("a b",), ("a\nb c\td  e",), ("\u6f22\u5b57 ab \U00020000x",), ("x" * 33 + " a b c d",), ("ab\U0001f600",)], "t string")
+    assert [r.p for r in df.select(order_minhash._pieces(F.col("t")).alias("p")).collect()] == [
+        ["a", " ", "b"], ["a", "b", "c", "d", "", "e"], ["\u6f22", "\u5b57", "ab", "\U00020000", "x"], ["x"] * 33 + ["a", "b", "c", "d"], ["a", "b", "\U0001f600"],
+    ]
