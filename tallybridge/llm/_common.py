@@ -1,7 +1,8 @@
-"""What several operators share: the shared folder, written tables, text batches, word hashes, components."""
+"""What several operators share: the shared folder, written tables, rows dealt by key, text batches, word hashes, components."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,11 +20,14 @@ UNSPACED = r"\u0E00-\u0FFF\u1000-\u109F\u1780-\u17FF\u1950-\u1AAF\u2E80-\u2FFF\u
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``, or a new local one where it is unset (tests)."""
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``. Where it is unset a local master (tests) gets a new local one; a
+    cluster is an error, as its machines would not see each other's files."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d is None:
         d = spark.sparkContext.getCheckpointDir()
     if d is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="tallybridge-")
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
@@ -74,6 +78,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to clash with no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def tiles(keyed: DataFrame, place: list[str], member: list[str], slice_rows: int) -> DataFrame:
+    """Rows of ``keyed`` brought together by ``place``, sorted, for comparing the members of a place with each other.
+
+    A place of over ``slice_rows`` members is cut into slices by a hash of ``member``, and every pair of slices (low, high) is a group of its own, so no task
+    holds more than two slices whatever the size of the place. ``own`` is a row's slice: in a group with low = high all pairs count, in another one those of a
+    row of ``low`` with a row of ``high``. Groups come whole and in the order of (place, low, high, own, member).
+    """
+    # written, so that Spark knows its size before it plans the join: rows then move once, unless very many places are large
+    large = keyed.groupBy(*place).count().where(F.col("count") > slice_rows).select(*place, F.ceil(F.col("count") / slice_rows).cast("int").alias("slices"))
+    dealt = keyed.join(materialize(large, "large-places"), place, "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(*member), F.col("slices")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other", "slices")
+    order = [*place, "low", "high"]
+    return dealt.repartition(partitions(keyed.sparkSession), *order).sortWithinPartitions(*order, "own", *member)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: list[str], rows: int = 1 << 16) -> Iterator[pa.Table]:
+    """Tables of whole groups of equal ``key`` out of sorted batches, of ``rows`` rows or little more; a larger group is a table of its own."""
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in key]
+        new = np.zeros(batch.num_rows, bool)
+        for k, c in enumerate(columns):
+            new[1:] |= c[1:] != c[:-1]
+            new[0] |= last is None or c[0] != last[k]
+        last = [c[-1] for c in columns]
+        at = np.flatnonzero(new)
+        if size + batch.num_rows >= rows and len(at) and size + at[-1]:
+            yield pa.Table.from_batches([*held, batch.slice(0, at[-1])])
+            held, size, batch = [], 0, batch.slice(at[-1])
+        held.append(batch)
+        size += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def group_starts(columns: list[np.ndarray]) -> np.ndarray:
+    """First rows of the runs of equal values."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Long texts: hold Arrow batches to ``rows`` rows, so that a worker's memory stays bounded."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 SEED = 42
-#: Members of a bucket that one task queries; a larger bucket's queries are shared among tasks.
-SLICE = 2048
-#: Words of 64 bits in a wide fingerprint, and members of a random bucket that set the bits of its key.
+#: Members of a slice of a bucket; a task compares two slices at most.
+SLICE = 8192
+#: Words of 64 bits in a wide fingerprint, and members of a random bucket that set the bits of a bucket's key.
 WIDE, BUCKET = 8, 1024
 #: (query, word) cells compared at a time in a task.
 CELLS = 1 << 16
@@ -131,19 +131,18 @@ def close_lanes(planes: np.ndarray, values: np.ndarray, query: np.ndarray, word:
     return cell, near
 
 
-def _close_pairs(values: np.ndarray, ends: np.ndarray, queries: np.ndarray, radius: int):
-    """Chunks of index pairs (i, j), i < j < ends[i], of values within the radius."""
+def _close_pairs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, queries: np.ndarray, radius: int):
+    """Chunks of index pairs (i, j), starts[i] <= j < ends[i], of values within the radius; i runs over ``queries``."""
     planes = bit_planes(values)
-    first, last = (queries + 1) >> 6, (ends[queries] - 1) >> 6
-    spans = np.maximum(last - first + 1, 0)
-    spans[queries + 1 >= ends[queries]] = 0
+    start, end = starts[queries], ends[queries]
+    spans = np.where(start < end, ((end - 1) >> 6) - (start >> 6) + 1, 0)
     total = np.concatenate([[0], np.cumsum(spans)])
     full = ~np.uint64(0)
     for at in range(0, int(total[-1]), CELLS):
         n = np.arange(at, min(at + CELLS, int(total[-1])))
         k = np.searchsorted(total, n, "right") - 1
-        q, w = queries[k], first[k] + n - total[k]
-        low, high = np.maximum(q + 1 - w * 64, 0), np.minimum(ends[q] - w * 64, 64)
+        q, w = queries[k], (start[k] >> 6) + n - total[k]
+        low, high = np.maximum(start[k] - w * 64, 0), np.minimum(end[k] - w * 64, 64)
         lanes = (full << low.astype(np.uint64)) & (full >> (64 - high).astype(np.uint64))
         cell, near = close_lanes(planes, values, q, w, lanes, radius)
         if len(cell):
@@ -152,28 +151,29 @@ def _close_pairs(values: np.ndarray, ends: np.ndarray, queries: np.ndarray, radi
             yield q[cell[c]], w[cell[c]] * 64 + lane
 
 
+_GROUP = ["block", "key", "low", "high"]
+
+
 def _linker(radius: int, words: int = 1, wide_radius: int = 0):
+    """A spanning forest of the links of every group of ``tiles``, as edges between ``rep``."""
+
     def link(batches):
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        block, key, part, parts, fp, rep = (t.column(c).to_numpy() for c in ("block", "key", "part", "parts", "fp", "rep"))
-        order = np.lexsort((rep, fp, part, key, block))
-        block, key, part, parts, fp, rep = (x[order] for x in (block, key, part, parts, fp, rep))
-        wide = np.array([t.column(c).to_numpy()[order] for c in _columns(words)]).view(np.uint64)
-        new = np.ones(len(fp), bool)
-        new[1:] = (block[1:] != block[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1])
-        start = np.flatnonzero(new)
-        ends = np.repeat(np.append(start[1:], len(fp)), np.diff(np.append(start, len(fp))))
-        rank = np.arange(len(fp)) - np.repeat(start, np.diff(np.append(start, len(fp))))
-        queries = np.flatnonzero(rank % parts == part)
-        pairs = _close_pairs(fp.view(np.uint64), ends, queries, radius)
-        if words > 1:
-            pairs = _also_wide(pairs, wide, wide_radius)
-        label = C.forest(len(fp), pairs)
-        out = np.flatnonzero(label != np.arange(len(fp)))
-        yield pa.RecordBatch.from_arrays([pa.array(rep[out]), pa.array(rep[label[out]])], ["a", "b"])
+        for t in C.whole_groups(batches, _GROUP):
+            low, high, own, rep = (t.column(c).to_numpy() for c in ("low", "high", "own", "rep"))
+            wide = np.array([t.column(c).to_numpy() for c in _columns(words)]).view(np.uint64)
+            first = C.group_starts([t.column(c).to_numpy() for c in _GROUP])
+            size = np.diff(np.append(first, len(rep)))
+            ends = np.repeat(first + size, size)
+            # a group of one slice compares each member with those after it, one of two slices the first slice's with the second's
+            second = np.repeat(first + np.add.reduceat(own == low, first), size)
+            starts = np.where(low == high, np.arange(1, len(rep) + 1), second)
+            queries = np.flatnonzero((own == low) & (starts < ends))
+            pairs = _close_pairs(wide[0], starts, ends, queries, radius)
+            if words > 1:
+                pairs = _also_wide(pairs, wide, wide_radius)
+            label = C.forest(len(rep), pairs)
+            out = np.flatnonzero(label != np.arange(len(rep)))
+            yield pa.RecordBatch.from_arrays([pa.array(rep[out]), pa.array(rep[label[out]])], ["a", "b"])
 
     return link
 
@@ -186,22 +186,25 @@ def _also_wide(pairs, wide: np.ndarray, radius: int):
 
 
 def _edges(keyed: DataFrame, linker) -> DataFrame:
-    """Edges between members of equal (block, key). A bucket over ``SLICE`` members goes to several tasks, each of which compares a share of
-    the members with all of them."""
-    large = keyed.groupBy("block", "key").count().where(F.col("count") > SLICE).select("block", "key", F.ceil(F.col("count") / SLICE).cast("int").alias("parts"))
-    dealt = keyed.join(C.materialize(large, "large-buckets"), ["block", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = dealt.repartition(C.partitions(keyed.sparkSession), "block", "key", "part")
-    return placed.mapInArrow(linker, "a long, b long").distinct()
+    """Edges between members of equal (block, key)."""
+    return C.tiles(keyed, ["block", "key"], ["rep"], SLICE).mapInArrow(linker, "a long, b long").distinct()
+
+
+def blocks_for(n: int, radius: int, bucket: int = BUCKET) -> int:
+    """As few blocks as keep a bucket of ``n`` random fingerprints to ``bucket`` members: a key is ``blocks - radius`` of them."""
+    blocks = radius + 1
+    while blocks < 64 and n / 2.0 ** (64 * (blocks - radius) / blocks) > bucket:
+        blocks += 1
+    return blocks
 
 
 def close_links(classes: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
     """Edges (a, b) over ``rep`` whose components are those of all links between the distinct ``fp`` of ``classes`` (fp, rep).
 
-    ``blocks`` beyond the radius + 1 (the default) make wider keys for larger inputs: any two close values agree on
-    ``blocks - radius`` of them, and every choice of so many is a key.
+    Of ``blocks`` blocks any two close values agree on ``blocks - radius``, and every choice of so many is a key. More blocks make wider keys, so their
+    number follows from that of the fingerprints (``blocks_for``); the links are the same.
     """
-    blocks = blocks or radius + 1
+    blocks = blocks or blocks_for(classes.count(), radius)
     cut = [64 * k // blocks for k in range(blocks + 1)]
     masks = [sum(((1 << cut[k + 1]) - (1 << cut[k])) for k in chosen) for chosen in combinations(range(blocks), blocks - radius)]
     keyed = classes.select("fp", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")) for m in masks])).alias("block", "key"))
@@ -250,7 +253,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, radius: int = 3, blocks:
     own = _columns(words)
     prints = C.materialize(fingerprints(docs, size, words), "fingerprints")
     if similarity is None:
-        classes = prints.where(F.col("doc_id").isNotNull()).groupBy(*own).agg(F.min("doc_id").alias("rep"))
+        classes = C.materialize(prints.where(F.col("doc_id").isNotNull()).groupBy(*own).agg(F.min("doc_id").alias("rep")), "classes")
         components = C.connected_components(close_links(classes, radius, blocks))
         of = classes.join(components, classes["rep"] == components["id"], "left").select(*own, F.coalesce("component", "rep").alias("component_id"))
     else:

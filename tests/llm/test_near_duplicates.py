@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallybridge.llm import _common as C
@@ -51,7 +53,7 @@ def test_bit_sliced_pairs(radius):
     ends = np.full(500, 500)
     ends[:130] = 130
     got = set()
-    for i, j in simhash._close_pairs(v, ends, np.arange(500), radius):
+    for i, j in simhash._close_pairs(v, np.arange(1, 501), ends, np.arange(500), radius):
         got |= set(zip(i.tolist(), j.tolist()))
     assert got == {(i, j) for i in range(500) for j in range(i + 1, ends[i]) if (int(v[i]) ^ int(v[j])).bit_count() <= radius}
 
@@ -81,27 +83,30 @@ def test_near_duplicate_documents(spark, monkeypatch, blocks):
 
 
 def test_similar_documents(spark):
-    """Copies with single words changed are found at a similarity of 0.8 or more; others are left alone."""
+    """All pairs by brute force: those at a Jaccard similarity of 0.8 or more meet, and nothing below 0.55 is linked."""
     rng = random.Random(11)
-    rows, want = [], {}
-    for g in range(40):
-        base = [f"w{rng.randrange(5000)}" for _ in range(220)]
-        for c in range(3):
+    texts = []
+    for g in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 260))]
+        for c in range(4):
             words = list(base)
-            for at in rng.sample(range(220), 3 * c):
+            for at in rng.sample(range(len(base)), c * len(base) // 100):
                 words[at] = "changed"
-            rows.append((len(rows), " ".join(words)))
-            want[len(rows) - 1] = 3 * g
-    for _ in range(200):
-        rows.append((len(rows), " ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randint(1, 80)))))
-        want[len(rows) - 1] = len(rows) - 1
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=5, similarity=0.8).collect()}
-    assert all(got[k] == k for k in range(120, 320)) and all(got[k] in (want[k], k) for k in range(120))
-    assert sum(got[k] == want[k] for k in range(120)) >= 116
+            texts.append(" ".join(words))
+    texts += [" ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randint(1, 80))) for _ in range(200)]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(texts)) for j in range(i) if sets[i] & sets[j]}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=5, similarity=0.8).collect()}
+    close = [p for p, s in alike.items() if s >= 0.8]
+    assert len(close) > 100 and sum(got[i] == got[j] for i, j in close) >= 0.98 * len(close)
+    loose = plain_components(len(texts), [p for p, s in alike.items() if s >= 0.55])
+    assert all(loose[i] == loose[got[i]] for i in got)
 
 
 def test_large_buckets_are_shared(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SLICE", 16)
+    held = []
+    monkeypatch.setattr(C, "tiles", lambda *a, tiles=C.tiles: held.append(tiles(*a)) or held[-1])
     rng = random.Random(6)
     values = [sum(1 << b for b in rng.sample(range(16, 64), 4)) for _ in range(120)]
     classes = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v, k) for k, v in enumerate(dict.fromkeys(values))], "fp long, rep long")
@@ -109,6 +114,22 @@ def test_large_buckets_are_shared(spark, monkeypatch):
     got = {r.id: r.component for r in C.connected_components(simhash.close_links(classes)).collect()}
     label = plain_components(len(values), [(i, j) for i in range(len(values)) for j in range(i) if (values[i] ^ values[j]).bit_count() <= 3])
     assert all(got.get(i, i) == label[i] for i in range(len(values)))
+    groups = held[0].groupBy("block", "key", "low", "high").agg(F.count("*").alias("n"), F.count_distinct("own").alias("slices")).collect()
+    assert max(r.high for r in groups) >= 6 and max(r.n for r in groups) < 4 * 16 and max(r.slices for r in groups) == 2
+
+
+def test_blocks_follow_the_count():
+    assert [simhash.blocks_for(n, 3) for n in (10, 10**6, 10**8, 10**11)] == [4, 4, 5, 6]
+
+
+def test_groups_come_whole():
+    rng = np.random.default_rng(3)
+    key = np.sort(rng.integers(0, 40, 500))
+    table = pa.table({"k": key, "v": np.arange(500)})
+    for rows in (1, 30, 1000):
+        parts = list(C.whole_groups(iter(table.to_batches(max_chunksize=7)), ["k"], rows))
+        assert pa.concat_tables(parts).column("v").to_pylist() == list(range(500))
+        assert all(a.column("k")[-1] != b.column("k")[0] for a, b in zip(parts, parts[1:])) and (rows > 500 or len(parts) > 5)
 
 
 @pytest.mark.parametrize("small", [False, True])
@@ -137,6 +158,14 @@ def test_embedding_links(spark, monkeypatch, small):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_without_an_id(spark):
+    """Rows without an id count and link; a component without any id has none."""
+    a, b, c = [1.0, 0.0, 0.0, 0.0], [1.0, 0.1, 0.0, 0.0], [0.0, 0.0, 0.0, 1e-30]
+    rows = [(None, a), (None, a), (7, b), (5, b), (None, c), (None, None), (9, [0.0, 1e30, 0.0, 0.0])]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted([(None, 3, 5), (None, 3, 5), (7, 3, 5), (5, 3, 5), (None, 0, None), (None, 0, None), (9, 0, 9)], key=str)
+
+
 def test_more_vectors_make_narrower_buckets():
     plans = [embedding_dedup.plan(n, 0.95) for n in (10, 10**4, 10**6, 10**9)]
     assert [p[0] for p in plans] == sorted(p[0] for p in plans) and [p[1] for p in plans] == sorted(p[1] for p in plans)
