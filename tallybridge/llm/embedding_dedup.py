@@ -4,6 +4,7 @@ Normalised vectors are projected on random Gaussian directions, shifted and quan
 vectors a cosine is a distance, so the bucket width, the projections per table and the number of tables follow from the threshold, the number of
 vectors and the recall asked for. Vectors that meet in a bucket are compared exactly, in double precision, by blocks of products.
 A pair counts in the first table in which it meets, so no pairs have to be made distinct: a task returns counts per vector and a spanning forest.
+Wide buckets keep the tables few, as every table moves every vector once.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from . import _common as C
 #: Probability at least with which a pair exactly at the threshold meets in some table; closer pairs meet more often.
 RECALL = 0.995
 #: Bucket width in units of the distance at the threshold, and the random partners in a bucket that set the number of projections.
-WIDTH, PARTNERS = 8.0, 64
-#: Members of a bucket that one task queries, and rows of one product.
-SLICE, BLOCK = 2048, 512
+WIDTH, PARTNERS = 8.0, 2048
+#: Members of a slice of a bucket, of which a task compares two at most, and rows of one product.
+SLICE, BLOCK = 8192, 512
 
 
 def _meet(width_over_distance: float) -> float:
@@ -43,97 +44,114 @@ def plan(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int, fl
     return k, tables, width
 
 
+def _vectors(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All components of a column of vectors, where each vector starts, and its length."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    offsets = np.asarray(column.offsets, np.int64)
+    return column.values.to_numpy(zero_copy_only=False), offsets[:-1], np.diff(offsets)
+
+
+def _unit(flat: np.ndarray, start: np.ndarray, dim: int) -> np.ndarray:
+    """The vectors that start there, in double precision and of length one."""
+    x = flat[start[:, None] + np.arange(dim)].astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)  # squares of very large or small components stay finite
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def _hasher(k: int, tables: int, width: float, seed: int):
-    """Adds each vector's bucket in every table, as a 32-bit hash; a vector that is not valid gets none."""
+    """Adds each vector's bucket in every table, as a 32-bit hash."""
 
     def run(batches):
         drawn: dict[int, tuple] = {}
         weigh = np.random.default_rng(seed).integers(1, 1 << 62, k).astype(np.uint64) | np.uint64(1)
         for batch in batches:
-            vectors = batch.column("embedding").to_pylist()
-            signatures = [None] * len(vectors)
-            by_dim: dict[int, list[int]] = {}
-            for i, v in enumerate(vectors):
-                by_dim.setdefault(len(v), []).append(i)
-            for dim, rows in by_dim.items():
+            flat, start, dims = _vectors(batch.column("embedding"))
+            signatures = np.empty((len(start), tables), np.int32)
+            for dim in np.unique(dims).tolist():
+                rows = np.flatnonzero(dims == dim)
                 if dim not in drawn:
                     rng = np.random.default_rng([seed, dim])
                     drawn[dim] = rng.normal(size=(dim, k * tables)), rng.uniform(0, width, k * tables)
                 a, shift = drawn[dim]
-                x = np.array([vectors[i] for i in rows], np.float64)
-                cell = np.floor(((x / np.linalg.norm(x, axis=1)[:, None]) @ a + shift) / width).astype(np.int64).astype(np.uint64).reshape(len(rows), tables, k)
+                cell = np.floor((_unit(flat, start[rows], dim) @ a + shift) / width).astype(np.int64).astype(np.uint64).reshape(len(rows), tables, k)
                 with np.errstate(over="ignore"):
                     h = C.mix64((cell * weigh).sum(2, dtype=np.uint64) + np.uint64(dim))
-                h = (h >> np.uint64(33)).astype(np.int32)
-                for i, s in zip(rows, h):
-                    signatures[i] = s
-            flat = pa.array(np.concatenate(signatures) if signatures else np.zeros(0, np.int32), pa.int32())
-            offsets = pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * tables)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, flat)], [*batch.schema.names, "signature"])
+                signatures[rows] = (h >> np.uint64(33)).astype(np.int32)
+            offsets = pa.array(np.arange(len(start) + 1, dtype=np.int32) * tables)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(signatures.reshape(-1)))], [*batch.schema.names, "signature"])
 
     return run
 
 
+_PLACE = ["table", "key", "dim"]
+_GROUP = [*_PLACE, "low", "high"]
+
+
+def close_pairs(x: np.ndarray, first: np.ndarray, second: np.ndarray | None, threshold: float):
+    """Chunks of (i, j) with a cosine of the unit vectors ``x`` at the threshold or above: i of ``first`` with the later ones of it, or with all of ``second``.
+
+    A product in single precision decides all pairs that are farther from the threshold than its error can be; the others are multiplied in double precision.
+    """
+    single, slack = x.astype(np.float32), max(1e-6, x.shape[1] * 2.0**-22)
+    for at in range(0, len(first), BLOCK):
+        q = first[at : at + BLOCK]
+        others = first[at + 1 :] if second is None else second
+        for to in range(0, len(others), BLOCK):
+            o = others[to : to + BLOCK]
+            near = single[q] @ single[o].T
+            i, j = np.nonzero(near >= threshold - slack)
+            cosine = near[i, j]
+            i, j = q[i], o[j]
+            if second is None:
+                later = i < j
+                i, j, cosine = i[later], j[later], cosine[later]
+            unsure = np.flatnonzero(cosine < threshold + slack)
+            if len(unsure):
+                below = unsure[np.einsum("nd,nd->n", x[i[unsure]], x[j[unsure]]) < threshold]
+                i, j = np.delete(i, below), np.delete(j, below)
+            if len(i):
+                yield i, j
+
+
 def _comparer(threshold: float):
     schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
 
-    def bucket(table: int, part: int, parts: int, x: np.ndarray, copies: np.ndarray, ids: np.ndarray, sig: np.ndarray):
-        """Rows of one bucket: copies linked with each member, and its root within the bucket."""
-        n = len(ids)
+    def bucket(table: int, low: int, high: int, own: np.ndarray, x: np.ndarray, copies: np.ndarray, before: np.ndarray):
+        """Of one group: copies linked with each member, and each member's root within it."""
+        n = len(copies)
         links = np.zeros(n, np.int64)
-        queries = np.flatnonzero(np.arange(n) % parts == part)
-        if table and (sig[:, :table] == sig[0, :table]).all(0).any():
+        if table and (before == before[0]).all(0).any():
             return links, np.arange(n)  # all of them met in one earlier table
+        first, second = (np.arange(n), None) if low == high else (np.flatnonzero(own == low), np.flatnonzero(own == high))
 
         def pairs():
-            for at in range(0, len(queries), BLOCK):
-                q = queries[at : at + BLOCK]
-                for to in range(int(q[0]) // BLOCK * BLOCK, n, BLOCK):
-                    near = x[q] @ x[to : to + BLOCK].T >= threshold
-                    i, j = np.nonzero(near)
-                    i, j = q[i], j + to
-                    keep = j > i
-                    i, j = i[keep], j[keep]
-                    if table:
-                        for t in range(table):
-                            fresh = sig[i, t] != sig[j, t]
-                            i, j = i[fresh], j[fresh]
-                    if len(i):
-                        np.add.at(links, i, copies[j])
-                        np.add.at(links, j, copies[i])
-                        yield i, j
+            for i, j in close_pairs(x, first, second, threshold):
+                for t in range(table):
+                    fresh = before[i, t] != before[j, t]
+                    i, j = i[fresh], j[fresh]
+                np.add.at(links, i, copies[j])
+                np.add.at(links, j, copies[i])
+                yield i, j
 
         return links, C.forest(n, pairs())
 
     def run(batches):
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        table, key, dim, part, parts, copies, ids = (t.column(c).to_numpy() for c in ("table", "key", "dim", "part", "parts", "copies", "id"))
-        order = np.lexsort((ids, part, dim, key, table))
-        differs = np.zeros(len(order) - 1, bool)
-        for c in (table, key, dim, part):
-            differs |= c[order][1:] != c[order][:-1]
-        cuts = np.concatenate([[0], np.flatnonzero(differs) + 1, [len(order)]])
-        vectors = t.column("embedding").combine_chunks()
-        signature = t.column("signature").combine_chunks()
-        flat, start = np.asarray(vectors.values, np.float64), np.asarray(vectors.offsets)
-        tables = int(np.asarray(signature.offsets)[1])
-        sig = np.asarray(signature.values).reshape(-1, tables)
-        out: list[list] = [[], [], []]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if b - a < 2:
-                continue
-            rows = order[a:b]
-            d = dim[rows[0]]
-            x = flat[start[rows][:, None] + np.arange(d)]
-            x /= np.linalg.norm(x, axis=1)[:, None]
-            links, root = bucket(int(table[rows[0]]), int(part[rows[0]]), int(parts[rows[0]]), x, copies[rows], ids[rows], sig[rows])
-            said = np.flatnonzero((links > 0) | (root != np.arange(b - a)))
-            for o, v in zip(out, (ids[rows][said], links[said], ids[rows][root[said]])):
-                o.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o) if o else np.zeros(0, np.int64)) for o in out], schema=schema)
+        for t in C.whole_groups(batches, _GROUP):
+            table, dim, low, high, own, copies, ids = (t.column(c).to_numpy() for c in ("table", "dim", "low", "high", "own", "copies", "rep"))
+            first = C.group_starts([t.column(c).to_numpy() for c in _GROUP])
+            size = np.diff(np.append(first, len(ids)))
+            flat, start, _ = _vectors(t.column("embedding"))
+            seen, seen_start, _ = _vectors(t.column("before"))
+            out: list[list] = [[], [], []]
+            for a, n in zip(first[size > 1], size[size > 1]):
+                rows = slice(a, a + n)
+                before = seen[seen_start[a] : seen_start[a] + n * table[a]].reshape(n, table[a])
+                links, root = bucket(int(table[a]), low[a], high[a], own[rows], _unit(flat, start[rows], int(dim[a])), copies[rows], before)
+                said = np.flatnonzero((links > 0) | (root != np.arange(n)))
+                for o, v in zip(out, (ids[rows][said], links[said], ids[rows][root[said]])):
+                    o.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o) if o else np.zeros(0, np.int64)) for o in out], schema=schema)
 
     return run
 
@@ -142,34 +160,34 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, recall: floa
     """``vectors`` (vec_id, embedding) with n_links and component_id, one row for each input row.
 
     Equal vectors are compared as one class that remembers its copies, so thousands of copies cost one vector; all its rows have the
-    same links, the other copies among them. A vector that is null, empty, zero or holds a null or a non-finite component links with nothing, and vectors
-    of different lengths don't link. Rows with a null id keep a row with n_links and no component of their own. No pair below the threshold is
-    linked; a pair at it is found with probability ``recall`` at least. A bucket over ``SLICE`` classes goes to several tasks.
+    same links, the other copies among them. A vector that is null, empty, zero or holds a null or a non-finite component links with nothing and is its own
+    component; vectors of different lengths don't link. A row with a null id counts and links like any other; a component in which every id is null has component
+    null. No pair below the threshold is linked; a pair at it is found with probability ``recall`` at least. A bucket over ``SLICE`` classes goes to several
+    tasks, each with two slices of it. An empty table gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
     C.small_batches(spark, 4096)
     v = vectors.select("vec_id", "embedding")
     finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     valid = F.coalesce(F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    classes = C.materialize(v.where(valid).groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).where(F.col("id").isNotNull()), "vectors")
+    # a class is named by a number, as its rows may have no id; it is fixed by being written
+    classes = v.where(valid).groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id())
+    classes = C.materialize(classes, "vectors")
     k, tables, width = plan(classes.count(), threshold, recall)
-    hashed = classes.mapInArrow(_hasher(k, tables, width, seed), T.StructType([*classes.schema, T.StructField("signature", T.ArrayType(T.IntegerType()))]))
-    hashed = C.materialize(hashed, "hashed")
-    met = hashed.select("*", F.size("embedding").alias("dim"), F.posexplode("signature").alias("table", "key"))
-    place = ["table", "key", "dim"]
-    # written, so that Spark knows its size before it plans the join: vectors then move once, unless very many buckets are large
-    large = C.materialize(met.groupBy(place).count().where(F.col("count") > SLICE).select(*place, F.ceil(F.col("count") / SLICE).cast("int").alias("parts")), "large-buckets")
-    dealt = met.join(large, place, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    found = dealt.repartition(C.partitions(spark), *place, "part").mapInArrow(_comparer(threshold), "id long, links long, other long")
+    read = classes.select("rep", "copies", "embedding")
+    hashed = C.materialize(read.mapInArrow(_hasher(k, tables, width, seed), T.StructType([*read.schema, T.StructField("signature", T.ArrayType(T.IntegerType()))])), "hashed")
+    met = hashed.select("rep", "copies", "embedding", F.size("embedding").alias("dim"), "signature", F.posexplode("signature").alias("table", "key"))
+    met = met.withColumn("before", F.slice("signature", F.lit(1), F.col("table"))).drop("signature")
+    found = C.tiles(met, _PLACE, ["rep"], SLICE).mapInArrow(_comparer(threshold), "id long, links long, other long")
     found = C.materialize(found.groupBy("id", "other").agg(F.sum("links").alias("links")), "links")
     components = C.connected_components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    of = classes.join(links, "id", "left").join(components, "id", "left").select(
-        "embedding", F.coalesce("component", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-    )
+    of = classes.join(links, F.col("rep") == links["id"], "left").drop("id").join(components, F.col("rep") == components["id"], "left").withColumn("component", F.coalesce("component", "rep"))
+    of = C.materialize(of.select("embedding", "component", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
+    named = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    of = of.join(named, "component").select("embedding", "n_links", "component_id")
     # joined by the vector itself; written before, so that AQE can split the rows of a frequent one
-    linked = v.where(valid).join(C.materialize(of, "classes"), "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    linked = v.where(valid).join(C.materialize(of, "classes"), "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
     return linked.union(v.where(~valid).select("vec_id", F.lit(0).cast("long"), F.col("vec_id")))
 
 
