@@ -22,9 +22,9 @@ from . import _common as C
 #: Probability at least with which a pair exactly at the threshold meets in some table; closer pairs meet more often.
 RECALL = 0.995
 #: Bucket width in units of the distance at the threshold, and the random partners in a bucket that set the number of projections.
-WIDTH, PARTNERS = 8.0, 2048
+WIDTH, PARTNERS = 8.0, 8192
 #: Members of a slice of a bucket, of which a task compares two at most, and rows of one product.
-SLICE, BLOCK = 8192, 512
+SLICE, BLOCK = 16384, 512
 
 
 def _meet(width_over_distance: float) -> float:
@@ -167,27 +167,26 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, recall: floa
     """
     spark = vectors.sparkSession
     C.small_batches(spark, 4096)
-    v = vectors.select("vec_id", "embedding")
+    # two hashes of 64 bits stand for a vector where only its class is looked up
+    v = vectors.select("vec_id", "embedding", F.xxhash64("embedding").alias("h"), F.xxhash64(F.lit(seed), "embedding").alias("g"))
     finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     valid = F.coalesce(F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
+    k, tables, width = plan(v.where(valid).select("h", "g").distinct().count(), threshold, recall)
     # a class is named by a number, as its rows may have no id; it is fixed by being written
-    classes = v.where(valid).groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id())
-    classes = C.materialize(classes, "vectors")
-    k, tables, width = plan(classes.count(), threshold, recall)
-    read = classes.select("rep", "copies", "embedding")
-    hashed = C.materialize(read.mapInArrow(_hasher(k, tables, width, seed), T.StructType([*read.schema, T.StructField("signature", T.ArrayType(T.IntegerType()))])), "hashed")
+    classes = v.where(valid).groupBy("embedding", "h", "g").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id())
+    hashed = C.materialize(classes.mapInArrow(_hasher(k, tables, width, seed), T.StructType([*classes.schema, T.StructField("signature", T.ArrayType(T.IntegerType()))])), "hashed")
     met = hashed.select("rep", "copies", "embedding", F.size("embedding").alias("dim"), "signature", F.posexplode("signature").alias("table", "key"))
     met = met.withColumn("before", F.slice("signature", F.lit(1), F.col("table"))).drop("signature")
     found = C.tiles(met, _PLACE, ["rep"], SLICE).mapInArrow(_comparer(threshold), "id long, links long, other long")
     found = C.materialize(found.groupBy("id", "other").agg(F.sum("links").alias("links")), "links")
     components = C.connected_components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    of = classes.join(links, F.col("rep") == links["id"], "left").drop("id").join(components, F.col("rep") == components["id"], "left").withColumn("component", F.coalesce("component", "rep"))
-    of = C.materialize(of.select("embedding", "component", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
+    of = hashed.join(links, F.col("rep") == links["id"], "left").drop("id").join(components, F.col("rep") == components["id"], "left").withColumn("component", F.coalesce("component", "rep"))
+    of = C.materialize(of.select("h", "g", "component", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
     named = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = of.join(named, "component").select("embedding", "n_links", "component_id")
-    # joined by the vector itself; written before, so that AQE can split the rows of a frequent one
-    linked = v.where(valid).join(C.materialize(of, "classes"), "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
+    of = of.join(named, "component").select("h", "g", "n_links", "component_id")
+    # written before, so that AQE can split the rows of a frequent vector
+    linked = v.where(valid).select("vec_id", "h", "g").join(C.materialize(of, "classes"), ["h", "g"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
     return linked.union(v.where(~valid).select("vec_id", F.lit(0).cast("long"), F.col("vec_id")))
 
 
