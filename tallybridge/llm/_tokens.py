@@ -15,8 +15,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Entries that a dictionary takes; what comes later is encoded each time. About 100 MB for each.
-CACHE_LIMIT = 400_000
+#: Bytes that a dictionary takes, roughly, and characters of a text that it takes; what comes later or is longer is encoded each time.
+CACHE_BYTES, CACHE_LENGTH = 64 << 20, 64
 
 _PLAIN = re.compile("[^\x00-\x08\x0e-\x1f\x7f-\x9fĀ-\U0010ffff]*")
 _ODD_SPACE = re.compile("[\t\r\x0b\x0c\xa0]|  | \n|\n ")
@@ -34,7 +34,21 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
-class _Pieces(dict):
+class _Bounded(dict):
+    """A dictionary that stops taking entries at ``CACHE_BYTES``."""
+
+    room = CACHE_BYTES
+
+    def keep(self, text: str, out):
+        """``out``, kept for ``text`` if there is room."""
+        size = 160 + 2 * len(text) + (len(out) if isinstance(out, bytes) else 0)
+        if len(text) <= CACHE_LENGTH and size <= self.room:
+            self.room -= size
+            self[text] = out
+        return out
+
+
+class _Pieces(_Bounded):
     """Text without inner cuts -> what ``value`` makes of its token ids; made when first asked for."""
 
     def __init__(self, model, pattern, value, total):
@@ -46,22 +60,17 @@ class _Pieces(dict):
             out = self.value([t.id for t in self.tokenize(text.encode().decode("latin-1").translate(_LETTERS))])
         else:
             out = self.total(map(self.__getitem__, pieces))
-        if len(self) < CACHE_LIMIT:
-            self[text] = out
-        return out
+        return self.keep(text, out)
 
 
-class _Spaced(dict):
+class _Spaced(_Bounded):
     """The same for text that follows a space."""
 
     def __init__(self, pieces: _Pieces):
         self.pieces = pieces
 
     def __missing__(self, text: str):
-        out = self.pieces.total(map(self.pieces.__getitem__, self.pieces.find(" " + text)))
-        if len(self) < CACHE_LIMIT:
-            self[text] = out
-        return out
+        return self.keep(text, self.pieces.total(map(self.pieces.__getitem__, self.pieces.find(" " + text))))
 
 
 def _is_plain(text: str, specials: tuple[str, ...]) -> bool:

@@ -31,7 +31,7 @@ def test_encoders_equal_the_library():
 
 def test_counts_come_from_the_cache(spark, tmp_path):
     texts = [None, *some_texts(20)]
-    rows = [(k, t, "kept") for k, t in enumerate(texts)] + [(None, "null id", "kept"), (0, None, "kept"), (1, texts[1], "kept")]
+    rows = [(k, t, "kept") for k, t in enumerate(texts)] + [(None, "null id", "kept")] * 40 + [(0, None, "kept"), (1, texts[1], "kept"), (500, texts[2], "kept"), (501, "word " * 30000, "kept")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, digest string")
     cache = str(tmp_path / "cache")
     library = Tokenizer.from_file(BYTE)
@@ -39,7 +39,11 @@ def test_counts_come_from_the_cache(spark, tmp_path):
     assert len(got) == len(rows)
     assert all(r.n_tokens == len(library.encode(r.text or "", add_special_tokens=False).ids) for r in got)
     stored = spark.read.parquet(cache)
-    assert stored.count() == len({t or "" for _, t, _ in rows})
+    assert stored.count() == stored.select("digest").distinct().count() == len({t or "" for _, t, _ in rows})  # each distinct miss once, null and repeated ids too
+    more = spark.createDataFrame([(900, "a new one", "")], docs.schema)
+    assert token_counts.count_tokens(docs.union(more), BYTE, cache).count() == len(rows) + 1
+    stored = spark.read.parquet(cache)
+    assert stored.count() == len({t or "" for _, t, _ in rows}) + 1
     token_counts.count_tokens(docs, BYTE, cache).collect()
     assert spark.read.parquet(cache).count() == stored.count()
     spark.read.parquet(cache).selectExpr("digest", "tokenizer", "n_tokens + 1000 AS n_tokens").write.parquet(str(tmp_path / "other"))
@@ -65,6 +69,26 @@ def test_search_empties_a_bin_by_swaps():
     assert len(packing.local_search(sizes, [[0, 1], [2, 3], [4, 5]], 100)) == 2
 
 
+def test_ids_stay_exact_beside_nulls(spark):
+    rows = [(2**60 + 1, "a b"), (2**60 + 3, "c"), (None, "d")]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), WORD, 2048).collect()
+    assert {r.doc_id for r in got} == {2**60 + 1, 2**60 + 3, None} and len(got) == 3
+
+
+@pytest.mark.parametrize("shape", ["small", "halves", "thirds", "long", "mixed"])
+def test_search_ends_with_no_exchange_left(shape):
+    rng = random.Random(2)
+    draw = {"small": lambda: rng.randint(1, 90), "halves": lambda: rng.randint(300, 700), "thirds": lambda: rng.randint(200, 500), "long": lambda: rng.randint(600, 1000), "mixed": lambda: min(1000, int(rng.lognormvariate(5, 1.2)) + 1)}[shape]
+    sizes = [draw() for _ in range(1500)]
+    first = packing.best_fit(sizes, 1000)
+    last = packing.local_search(sizes, [list(b) for b in first], 1000)
+    assert sorted(i for b in last for i in b) == list(range(1500)) and max(sum(sizes[i] for i in b) for b in last) <= 1000
+    squares = lambda bins: sum(sum(sizes[i] for i in b) ** 2 for b in bins)
+    assert len(last) <= len(first) and squares(last) >= squares(first)
+    state = packing._Open(sizes, last, 1000)
+    assert len(last) == max(-(-sum(sizes) // 1000), sum(s > 500 for s in sizes)) or not any(state.best_exchange(b)[0] > 0 for b in range(len(last)) if state.fill[b] < 1000)
+
+
 def test_packed_documents(spark):
     words = "the quick brown fox jumps over the lazy dog " * 300
     rows = [(0, "one", 1), (1, None, 1), (2, "", 1), (3, words * 3, 1), (4, words, 1), (4, words, 1), (None, "null", 1)] + [(k, words[: k * 7], 1) for k in range(10, 120)]
@@ -89,10 +113,13 @@ def test_packed_documents(spark):
     assert packing.pack_documents(docs.limit(0), WORD).count() == 0
 
 
-def test_shards_are_repacked_together(spark):
+@pytest.mark.parametrize("low,high", [(1, 900), (1, 200), (300, 450), (510, 900), (600, 600)])
+def test_shards_lose_little(spark, low, high):
+    """Many small shards take as many bins as one pack of everything, or one more."""
     rng = random.Random(3)
-    rows = [(k, 0, 0, rng.randint(1, 900), k) for k in range(600)]
-    pieces = spark.createDataFrame(rows, packing.PIECE_SCHEMA)
-    got = packing.pack_pieces(pieces, 1000, shard=64).collect()
-    assert sorted(r.doc_id for r in got) == list(range(600))
-    assert len({r.sequence_id for r in got}) <= -(-sum(r[3] for r in rows) // 1000) * 1.05 + 10
+    sizes = [rng.randint(low, high) for _ in range(3000)]
+    pieces = spark.createDataFrame([(k, 0, 0, n, k) for k, n in enumerate(sizes)], packing.PIECE_SCHEMA)
+    got = packing.pack_pieces(pieces, 1000, shard=256).collect()
+    assert sorted(r.doc_id for r in got) == list(range(3000))
+    whole = len(packing.local_search(sizes, packing.best_fit(sizes, 1000), 1000))
+    assert len({r.sequence_id for r in got}) <= 1.02 * whole + 1
