@@ -7,6 +7,7 @@ contains. The labels of plain phrases are found on word level and always stay.
 
 from __future__ import annotations
 
+import string
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,20 +47,42 @@ def _phrase_places(words: Column) -> Column:
     return F.array_compact(F.transform(ends, label))
 
 
+#: Items that a fold appends to one array before it begins another.
+_CHUNK = 64
+
+
+def _fold(items: Column, state: str, kind: str, step) -> Column:
+    """All spans that ``step(state, item) -> (state, spans)`` gives in turn, beginning with the SQL value ``state`` of type ``kind``.
+
+    An append copies its array, so items go by chunks: the work grows with their number, but for a small share (the square of it over the square of a chunk).
+    """
+    inner, outer = f"struct<state:{kind},out:array<{_SPAN}>>", f"struct<state:{kind},out:array<array<{_SPAN}>>>"
+
+    def chunk(acc: Column, part: Column) -> Column:
+        begin = F.struct(acc["state"].alias("state"), F.expr(f"cast(array() as array<{_SPAN}>)").alias("out")).cast(inner)
+
+        def one(a: Column, x: Column) -> Column:
+            after, spans = step(a["state"], x)
+            return F.struct(after.alias("state"), F.concat(a["out"], spans).alias("out")).cast(inner)
+
+        return let(F.aggregate(part, begin, one), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")).cast(outer))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(items) / _CHUNK).cast("int") - 1), lambda c: F.slice(items, c * _CHUNK + 1, F.lit(_CHUNK)))
+    none = F.expr(f"cast(struct({state} as state, array() as out) as {outer})")
+    return F.when(F.size(items) == 0, F.expr(f"cast(array() as array<{_SPAN}>)")).otherwise(F.flatten(F.aggregate(chunks, none, chunk)["out"]))
+
+
 def _matches(lowered: Column, rule: Column) -> Column:
     """Spans of all matches of a rule, in code points."""
 
     def spans(found: Column) -> Column:
         def walk(pieces: Column) -> Column:
-            none = F.expr(f"cast(struct(0 as at, cast(array() as array<{_SPAN}>) as out) as struct<at:int,out:array<{_SPAN}>>)")
-
-            def step(acc: Column, k: Column) -> Column:
-                start = acc["at"] + F.length(F.get(pieces, k))
+            def step(at: Column, k: Column) -> tuple[Column, Column]:
+                start = at + F.length(F.get(pieces, k))
                 stop = start + F.length(F.get(found, k))
-                span = F.struct(start.alias("start"), stop.alias("stop"), rule["priority"].alias("priority"), rule["number"].alias("rule"), rule["label"].alias("label"))
-                return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(span.cast(_SPAN))).alias("out")).cast(f"struct<at:int,out:array<{_SPAN}>>")
+                return stop, F.array(F.struct(start.alias("start"), stop.alias("stop"), rule["priority"].alias("priority"), rule["number"].alias("rule"), rule["label"].alias("label")).cast(_SPAN))
 
-            return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), none, step)["out"]
+            return _fold(F.sequence(F.lit(0), F.size(found) - 1), "0", "int", step)
 
         return F.when(F.size(found) == 0, F.expr(f"cast(array() as array<{_SPAN}>)")).otherwise(let(F.split(lowered, rule["pattern"], -1), walk))
 
@@ -89,15 +112,12 @@ def _detections(lowered: Column, known: list[Rule]) -> Column:
 def _unsuppressed(sorted_spans: Column) -> Column:
     """Detections that no earlier one of the same or a better priority contains. Sorted by start, then longest first, then priority and
     rule, so a container always comes before what it contains; the farthest end for each priority tells the rest."""
-    shape = f"struct<ends:array<int>,out:array<{_SPAN}>>"
-    none = F.expr(f"cast(struct(array({', '.join(['-1'] * _LEVELS)}) as ends, cast(array() as array<{_SPAN}>) as out) as {shape})")
-
-    def step(acc: Column, d: Column) -> Column:
-        ends = F.transform(acc["ends"], lambda e, p: F.when(p >= d["priority"], F.greatest(e, d["stop"])).otherwise(e))
-        kept = F.struct(ends.alias("ends"), F.concat(acc["out"], F.array(d)).alias("out")).cast(shape)
-        return F.when(F.get(acc["ends"], d["priority"]) >= d["stop"], acc).otherwise(kept)
+    def step(ends: Column, d: Column) -> tuple[Column, Column]:
+        hidden = F.get(ends, d["priority"]) >= d["stop"]
+        farther = F.transform(ends, lambda e, p: F.when(p >= d["priority"], F.greatest(e, d["stop"])).otherwise(e))
+        return F.when(hidden, ends).otherwise(farther), F.when(hidden, F.expr(f"cast(array() as array<{_SPAN}>)")).otherwise(F.array(d))
 
-    return F.aggregate(sorted_spans, none, step)["out"]
+    return _fold(sorted_spans, f"array({', '.join(['-1'] * _LEVELS)})", "array<int>", step)
 
 
 def scan(docs: DataFrame, *, text: str = "text", known: list[Rule] | None = None) -> DataFrame:
@@ -108,13 +128,15 @@ def scan(docs: DataFrame, *, text: str = "text", known: list[Rule] | None = None
     Other columns pass through, those with the names of results are replaced.
     """
     anchors, known = (ANCHORS, rules()) if known is None else (sorted({r.keyword for r in known}), known)
-    lowered = F.col("_lowered")
-    out = docs.drop("n_words", "places", "detections").withColumn("_lowered", F.lower(F.coalesce(F.col(text), F.lit(""))))
-    out = out.withColumn("_words", _words(lowered))
-    places = F.when(F.contains(lowered, F.lit("license")), _phrase_places(F.col("_words"))).otherwise(F.expr("cast(array() as array<struct<start:int,label:string>>)"))
+    out = docs.drop("n_words", "places", "detections")
+    low, parted = C.free_names(out, "lowered", "words")
+    lowered = F.col(low)
+    out = out.withColumn(low, F.translate(F.coalesce(F.col(text), F.lit("")), string.ascii_uppercase, string.ascii_lowercase))
+    out = out.withColumn(parted, _words(lowered))
+    places = F.when(F.contains(lowered, F.lit("license")), _phrase_places(F.col(parted))).otherwise(F.expr("cast(array() as array<struct<start:int,label:string>>)"))
     gate = reduce(lambda a, b: a | b, (_holds(lowered, a) for a in anchors), F.lit(False))
     spans = F.when(gate, let(_detections(lowered, known), _unsuppressed)).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)"))
-    return out.withColumn("n_words", _n_words(F.col("_words")).cast("long")).withColumn("places", places).withColumn("detections", spans).drop("_lowered", "_words")
+    return out.withColumn("n_words", _n_words(F.col(parted)).cast("long")).withColumn("places", places).withColumn("detections", spans).drop(low, parted)
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,10 +35,10 @@ ORACLE_SQL: dict[str, str] = {
         component AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1), degree AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1)
         SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN component USING (vec_id) LEFT JOIN degree USING (vec_id)""",
     "op5_chat_format": """
-        WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text, coalesce(floor(turn / 256), -1)::BIGINT AS block FROM conversations),
+        WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '<||') AS text, coalesce(floor(turn / 256), -1)::BIGINT AS block FROM conversations),
         people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
         headed AS (SELECT t.*, perspective, CASE WHEN speaker = 'system' THEN '<|system|>' || chr(10) WHEN speaker = perspective THEN '<|assistant|>' || chr(10)
-            ELSE '<|user name=' || translate(speaker, '<|>' || chr(10), '') || '|>' || chr(10) END AS head FROM t JOIN people ON t.conv_id IS NOT DISTINCT FROM people.conv_id),
+            ELSE '<|user name=' || replace(replace(replace(replace(replace(speaker, '%', '%25'), '<', '%3C'), '|', '%7C'), '>', '%3E'), chr(10), '%0A') || '|>' || chr(10) END AS head FROM t JOIN people ON t.conv_id IS NOT DISTINCT FROM people.conv_id),
         said AS (SELECT *, head || text || '<|end|>' || chr(10) AS piece FROM headed),
         placed AS (SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id, perspective, block ORDER BY turn NULLS FIRST, speaker, text ROWS UNBOUNDED PRECEDING) AS stop FROM said),
         blocks AS (SELECT conv_id, perspective, block, count(*) AS n_turns, string_agg(piece, '' ORDER BY turn NULLS FIRST, speaker, text) AS rendered, coalesce(sum(stop - (stop - length(piece) + length(head))) FILTER (speaker = perspective), 0)::BIGINT AS n_masked,
