@@ -115,6 +115,21 @@ class LowerWordEncoder:
         return b"".join(map(self.words.__getitem__, text.lower().split()))
 
 
+class LowerWordCounter(LowerWordEncoder):
+    """Number of ids of the same file."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.words = _Pieces(self.library.model, self.PATTERN, len, sum)
+
+    def count(self, text: str) -> int:
+        if not text:
+            return 0
+        if not _is_plain(text, self.specials):
+            return len(self.library.encode(text, add_special_tokens=False).ids)
+        return sum(map(self.words.__getitem__, text.lower().split()))
+
+
 @functools.cache
 def byte_level_counter(path: str) -> ByteLevelCounter:
     return ByteLevelCounter(path)
@@ -123,3 +138,8 @@ def byte_level_counter(path: str) -> ByteLevelCounter:
 @functools.cache
 def lower_word_encoder(path: str) -> LowerWordEncoder:
     return LowerWordEncoder(path)
+
+
+@functools.cache
+def lower_word_counter(path: str) -> LowerWordCounter:
+    return LowerWordCounter(path)

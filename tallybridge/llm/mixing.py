@@ -2,22 +2,26 @@
 
 A source's share of all tokens is raised to an exponent between 0 (all sources equal) and 1 (as they are). Bisection finds the largest
 exponent whose weights reach a target entropy, and the smallest that keeps every source under a repetition limit; the limit wins. The
-weights become token budgets, a budget becomes whole epochs and a part of one, and every epoch of a source is a pseudo-random permutation, cut
-into blocks. The default budget is the least at which no source falls below one epoch, so no document is lost.
+weights become token budgets. Every epoch of a source is a pseudo-random permutation of its rows; its epochs one after the other are cut at its budget and into
+blocks, so that each block holds the same part of every source's budget, but for the document at its edge. The default budget is the least at which no source
+falls below one epoch, so no document is lost.
 """
 
 from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _common as C
+from ._tokens import lower_word_counter
 
 #: Entropy to reach as a share of that of equal weights, and how often a document may come at most.
 ENTROPY, REPEATS = 0.97, 2.0
-#: Tokens in a block of the mixture, and hash slices of a source within which a part of an epoch is summed up row by row.
+#: Tokens in a block of the mixture, and hash slices of an epoch of a source, within which places are summed up row by row.
 BLOCK_TOKENS, SLICES = 1 << 20, 4096
 
 
@@ -74,51 +78,72 @@ def budgets(tokens: dict, w: dict, budget: int | None = None) -> dict:
 
 
 def token_length(text: Column) -> Column:
-    """Words between white space, and single characters of scripts without spaces: a cheap measure, and 1 at least."""
+    """Words between white space, and single characters of scripts without spaces: a measure without a tokenizer, and 1 at least."""
     pieces = f"[{C.UNSPACED}]|[^{C.SPACE}{C.UNSPACED}]+"
     return F.greatest(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(pieces)), F.lit(1)).cast("long")
 
 
-def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", target: float = ENTROPY, limit: float = REPEATS, budget: int | None = None, seed: int = 5) -> DataFrame:
-    """Rows of ``docs``, repeated by epoch, with n_tokens, weight, epoch (from 0), block and place (the order within the block; equal rows share one).
+def _counter(tokenizer_path: str, text: str, name: str):
+    def count(batches):
+        tokens = lower_word_counter(tokenizer_path).count
+        for batch in batches:
+            n = [tokens(t or "") + 1 for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], [*batch.schema.names, name])
 
-    A null source is a source of its own. Whole epochs take every row. The rows of a part of an epoch are the first in a hash order until the
-    budget is reached, the one that reaches it included. They are found by summing hash slices of a source first, and single rows only in
-    the slice where its budget ends, so a source with a third of all rows is never gathered. Null ids and texts and repeated rows count like others.
-    An empty table gives no rows. Other columns pass through; those with the names of results are replaced. One number per source is gathered.
-    """
+    return count
+
+
+def with_tokens(docs: DataFrame, name: str, text: str = "text", tokenizer_path: str | None = None) -> DataFrame:
+    """``docs`` and ``name``: tokens of each text and the one that ends it, by the lower-casing word tokenizer; without one, by ``token_length``."""
+    if tokenizer_path is None:
+        return docs.withColumn(name, token_length(F.col(text)))
+    C.small_batches(docs.sparkSession)
+    return docs.mapInArrow(_counter(tokenizer_path, text, name), T.StructType([*docs.schema, T.StructField(name, T.LongType())]))
+
+
+def mix(
+    docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", tokenizer_path: str | None = None, without: tuple[str, ...] = (),
+    target: float = ENTROPY, limit: float = REPEATS, budget: int | None = None, seed: int = 5, block_tokens: int = BLOCK_TOKENS,
+) -> DataFrame:
+    """Rows of ``docs``, repeated by epoch, with n_tokens, weight, epoch (from 0), block and place (a pseudo-random order within the block).
+
+    A null source is a source of its own. A source's rows come epoch after epoch, each in an order of its own, until its budget is reached; the row that reaches
+    it is the last. A row's place in that sequence, in tokens, tells its block. Places are sums over hash slices of an epoch first and over the rows of
+    a slice second, so a source with a third of all rows is never gathered. Null ids and texts and repeated rows count like others. An empty
+    table gives no rows. Other columns pass through but for those of ``without``; those with the names of results are replaced. One number per source is gathered.
+    """
     spark = docs.sparkSession
-    given = [c for c in docs.columns if c not in ("n_tokens", "weight", "epoch", "block", "place")]
-    rows = docs.select(*given, token_length(F.col(text)).alias("n_tokens"), F.xxhash64(doc_id, text, F.lit(seed)).alias("_hash"), F.col(source).cast("string").alias("_source"))
-    rows = rows.withColumn("_partial", F.xxhash64("_hash", F.lit("part"))).withColumn("_slice", F.pmod("_partial", F.lit(SLICES)).cast("int"))
-    sums = C.materialize(rows.groupBy("_source", "_slice").agg(F.sum("n_tokens").alias("n")), "slices")
-    tokens = {r["_source"]: r["n"] for r in sums.groupBy("_source").agg(F.sum("n").alias("n")).collect()}
+    docs = docs.drop("n_tokens", "weight", "epoch", "block", "place")
+    given = [c for c in docs.columns if c not in without]
+    counts, hashed, of, turn, part, before, run, share, epochs, known = C.free_names(docs, "_n", "_hash", "_source", "_turn", "_slice", "_before", "_run", "_budget", "_epochs", "_of")
+    rows = with_tokens(docs, counts, text, tokenizer_path)
+    # rows without an id are told apart by where they were read, or copies of one text would all be neighbours
+    own = F.xxhash64(doc_id, text, F.lit(seed), F.when(F.col(doc_id).isNull(), F.monotonically_increasing_id()))
+    named = F.concat(F.when(F.col(source).isNull(), F.lit("")).otherwise(F.lit("=")), F.coalesce(F.col(source).cast("string"), F.lit("")))
+    rows = C.materialize(rows.select(*given, counts, own.alias(hashed), named.alias(of)), "counted")
+    tokens = {r[of]: r["n"] for r in rows.groupBy(of).agg(F.sum(counts).alias("n")).collect()}
     w = weights(tokens, exponent(tokens, target, limit)) if tokens else {}
     wanted = budgets(tokens, w, budget)
-    plan = []
-    for s, n in wanted.items():
-        whole = int(n / tokens[s] + 1e-9)
-        part = n - whole * tokens[s]
-        plan.append((s, float(w[s]), whole, float(part) if part > 1e-6 * tokens[s] else 0.0))
-    table = spark.createDataFrame(plan, "_of string, weight double, _whole int, _part double")
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("_source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    reached = sums.withColumn("_before", before).join(F.broadcast(table), F.col("_source").eqNullSafe(F.col("_of")))
-    ends = reached.where((F.col("_before") < F.col("_part")) & (F.col("_before") + F.col("n") >= F.col("_part"))).select("_of", F.col("_slice").alias("_last"), "_before")
-    # both tables have one row per source at most, as counted above
-    known = table.join(ends.withColumnRenamed("_of", "_ends"), F.col("_of").eqNullSafe(F.col("_ends")), "left")
-    known = known.select("_of", "weight", "_whole", "_part", F.coalesce("_last", F.lit(-1)).alias("_last"), "_before")
-    rows = rows.join(F.broadcast(known), F.col("_source").eqNullSafe(F.col("_of")))
-    copies = F.col("_whole") + (F.col("_slice") < F.col("_last")).cast("int")
-    sure = rows.withColumn("_copies", copies).where(F.col("_copies") > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
-    running = F.sum("n_tokens").over(Window.partitionBy("_source", "_slice").orderBy("_partial", doc_id).rowsBetween(Window.unboundedPreceding, -1))
-    edge = rows.where(F.col("_slice") == F.col("_last")).withColumn("_run", F.coalesce(running, F.lit(0)) + F.col("_before"))
-    edge = edge.where(F.col("_run") < F.col("_part")).drop("_run").withColumn("epoch", F.col("_whole"))
-    n_blocks = max(1, math.ceil(sum(wanted.values()) / BLOCK_TOKENS))
-    out = sure.unionByName(edge).withColumn("place", F.xxhash64("_hash", "epoch", F.lit(seed + 1)))
-    out = out.withColumn("block", F.pmod(F.xxhash64("place"), F.lit(n_blocks)).cast("long"))
-    return out.select(*given, "n_tokens", "weight", "epoch", "block", "place")
+    plan = [(s, float(w[s]), float(n), max(1, math.ceil(n / tokens[s] - 1e-9))) for s, n in wanted.items() if n > 0]
+    table = spark.createDataFrame(plan, f"`{known}` string, weight double, `{share}` double, `{epochs}` int")
+    rows = rows.join(F.broadcast(table), F.col(of) == F.col(known)).drop(known)  # one row per source, as counted above
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col(epochs) - 1))).drop(epochs)
+    rows = rows.withColumn(turn, F.xxhash64(hashed, "epoch", F.lit(seed + 1))).withColumn(part, F.pmod(turn, F.lit(SLICES)).cast("int"))
+    key = [of, "epoch", part]
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy(of).orderBy("epoch", part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slices = rows.groupBy(*key, share).agg(F.sum(counts).alias("n")).withColumn(before, earlier)
+    slices = C.materialize(slices.where(F.col(before) < F.col(share)).select(*key, before), "slices")
+    dealt = rows.join(slices, key)
+    sums = F.sum(counts).over(Window.partitionBy(*key).orderBy(turn, doc_id).rowsBetween(Window.unboundedPreceding, -1))
+    dealt = dealt.withColumn(run, F.col(before) + F.coalesce(sums, F.lit(0))).where(F.col(run) < F.col(share))
+    n_blocks = max(1, math.ceil(sum(wanted.values()) / block_tokens))
+    block = F.least(F.floor(F.col(run) / F.col(share) * n_blocks), F.lit(n_blocks - 1)).cast("long")
+    return dealt.select(*given, F.col(counts).alias("n_tokens"), "weight", "epoch", block.alias("block"), F.xxhash64(turn, of, run).alias("place"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mixture of all documents by source."""
-    return mix(C.table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
+    """The mixture of all documents by source, counted in tokens of the tokenizer that packs them."""
+    import public_tokenizers
+
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs, tokenizer_path=public_tokenizers.path("word_bpe_49k.json"), without=("text",))

@@ -1,13 +1,14 @@
 """Licence scan, Order MinHash, mixing, chat formatting and the pipeline against plain versions."""
 
-import hashlib
 import math
 import os
 import random
 import re
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tallybridge.llm import chat_format, language_id, license_scan, mixing, order_minhash, simhash
@@ -107,27 +108,55 @@ def test_exponents():
     assert mixing.exponent({"a": 5}) == 1.0 and mixing.exponent({"a": 5, "b": 5}) == 1.0 and sum(mixing.weights(tokens, 0.3).values()) == pytest.approx(1)
 
 
-def test_mixture(spark):
+def plain_mixture(n, target, limit, budget=None):
+    """Token budgets of sources by a scan over exponents, without the code under test."""
+    total = sum(n.values())
+    best = None
+    for k in range(20001):
+        raised = {s: (x / total) ** (k / 20000) for s, x in n.items()}
+        w = {s: x / sum(raised.values()) for s, x in raised.items()}
+        epochs = [w[s] / n[s] for s in n]
+        spread = -sum(x * math.log(x) for x in w.values())
+        if max(epochs) / min(epochs) <= limit and (best is None or spread >= target * math.log(len(n))):
+            best = w
+    size = budget if budget is not None else max(n[s] / best[s] for s in n)
+    return {s: best[s] * size for s in n}
+
+
+@pytest.mark.parametrize("tokenizer", [None, public_tokenizers.path("word_bpe_49k.json")])
+def test_mixture(spark, tokenizer):
     rng = random.Random(6)
     rows = [(k, " ".join("w" * rng.randint(1, 30)), "big" if k % 10 else f"s{k % 3}", 7) for k in range(2000)]
-    rows += [(3000, None, None, 7), (3001, "a b", None, 7), (None, "c", None, 7), (3001, "a b", None, 7)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, epoch int")
-    got = mixing.mix(docs, target=0.9, limit=2.5).collect()
-    ids = lambda rs: sorted((r[0] if r[0] is not None else -1) for r in rs)
-    assert ids(r for r in got if r.epoch == 0) == ids(rows)  # every row once
+    rows += [(3000, None, None, 7), (3001, "a b", None, 7), (None, "c", None, 7), (3001, "a b", None, 7), (3002, "w " * 5000, "s1", 7)] + [(None, "same", "s2", 7)] * 30
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, source string, epoch int, _hash int")
+    mixed = mixing.mix(docs, target=0.9, limit=2.5, tokenizer_path=tokenizer, block_tokens=4000)
+    got = mixed.collect()
+    assert mixed.columns == ["doc_id", "text", "source", "_hash", "n_tokens", "weight", "epoch", "block", "place"]
+    assert sorted(r._hash for r in got if r.epoch == 0) == list(range(len(rows)))  # every row once
+    library = Tokenizer.from_file(tokenizer) if tokenizer else None
+    length = lambda t: len(library.encode(t or "", add_special_tokens=False).ids) + 1 if library else max(1, len((t or "").split()))
+    assert all(r.n_tokens == length(r.text) for r in got[::7])
     n = {}
-    for _, t, s, _ in rows:
-        n[s] = n.get(s, 0) + len((t or "").split(" "))
-    w = mixing.weights(n, mixing.exponent(n, 0.9, 2.5))
-    want = mixing.budgets(n, w)
+    for _, t, s, *_ in rows:
+        n[s] = n.get(s, 0) + length(t)
+    want = plain_mixture(n, 0.9, 2.5)
+    blocks = max(r.block for r in got) + 1
+    assert blocks == math.ceil(sum(want.values()) / 4000)
     for s in n:
-        have = sum(r.n_tokens for r in got if r.source == s)
-        assert want[s] - 1e-6 * n[s] - 1 <= have <= want[s] + 30, s
-        for e in range(max(r.epoch for r in got if r.source == s)):
-            assert sum(r.source == s and r.epoch == e for r in got) == sum(x[2] == s for x in rows)
-    less = mixing.mix(docs, target=0.9, limit=2.5, budget=3000).collect()
-    assert 3000 <= sum(r.n_tokens for r in less) <= 3000 + 30 * len(n)
-    assert mixing.mix(docs.limit(0)).count() == 0
+        own = [r for r in got if r.source == s]
+        most = max(r.n_tokens for r in own)
+        assert want[s] * 0.999 <= sum(r.n_tokens for r in own) <= want[s] * 1.001 + most, s
+        for e in range(max(r.epoch for r in own)):
+            assert sum(r.epoch == e for r in own) == sum(x[2] == s for x in rows)
+        for k in range(blocks):  # each block has its part of the budget, but for the document at either edge
+            held = sum(r.n_tokens for r in own if r.block == k)
+            assert abs(held - want[s] / blocks) <= 0.001 * want[s] + 2 * most, (s, k)
+    assert len({(r.block, r.place) for r in got}) == len(got)
+    order = [[r._hash for r in sorted((r for r in got if r.source == "big" and r.epoch == e), key=lambda r: (r.block, r.place))] for e in (0,)]
+    assert order[0] != sorted(order[0])
+    less = mixing.mix(docs, target=0.9, limit=2.5, budget=3000, tokenizer_path=tokenizer).collect()
+    assert 3000 <= sum(r.n_tokens for r in less) <= 3000 + 31 * len(n) + (5001 if any(r.doc_id == 3002 for r in less) else 0)
+    assert mixing.mix(docs.limit(0), tokenizer_path=tokenizer).count() == 0
 
 
 def plain_dialogue(turns, who):
