@@ -18,9 +18,21 @@ from . import _common as C
 K, BINS, KEEP = 5, 32, 2
 #: Code points in a piece at most.
 LONG = 32
-#: Low bits of a packed long that hold a place in the text; a text may have 16 million pieces.
+#: Low bits of a packed long that hold a place in the text: so many, or 32 in a text that may have more pieces than they can tell.
 PLACE = 24
-_LOW = (1 << PLACE) - 1
+
+
+def _place_bits(text: Column) -> Column:
+    return F.when(F.length(text) >= 1 << PLACE, 32).otherwise(PLACE)
+
+
+def _mask(bits: Column) -> Column:
+    return F.when(bits == PLACE, F.lit((1 << PLACE) - 1)).otherwise(F.lit((1 << 32) - 1))
+
+
+def _kmer(packed: Column, bits: Column | int) -> Column:
+    """The hash without its place."""
+    return F.call_function("shiftright", packed, bits if isinstance(bits, Column) else F.lit(bits))
 
 
 #: An empty array of longs whose type allows no nulls.
@@ -48,7 +60,7 @@ def _pieces(text: Column) -> Column:
     return let(words, cut)
 
 
-def _packed_kmers(text: Column) -> Column:
+def _packed_kmers(text: Column, low: Column) -> Column:
     """Longs: the high bits of each k-mer's hash, then its place. A text of fewer pieces than K is one k-mer; an empty one has none."""
     hashes = F.transform(_pieces(text), lambda w: F.xxhash64(w))
 
@@ -57,19 +69,19 @@ def _packed_kmers(text: Column) -> Column:
             return F.xxhash64(*(F.get(h, i + j) for j in range(K)))
 
         places = F.sequence(F.lit(0), F.greatest(F.size(h) - K, F.lit(0)))
-        return F.transform(places, lambda i: at(i).bitwiseAND(F.lit(~_LOW)).bitwiseOR(i.cast("long")))
+        return F.transform(places, lambda i: at(i).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")))
 
     return F.when(F.length(text) == 0, F.expr(_NONE_SQL)).otherwise(let(hashes, kmers))
 
 
-def _numbered(sorted_kmers: Column) -> Column:
+def _numbered(sorted_kmers: Column, bits: Column, low: Column) -> Column:
     """The same longs with each hash mixed with the number of equal ones before it in the text."""
 
     def kmer(x: Column) -> Column:
-        return F.shiftright(x, PLACE)
+        return _kmer(x, bits)
 
     def mixed(x: Column, n: Column) -> Column:
-        return F.xxhash64(kmer(x), n).bitwiseAND(F.lit(~_LOW)).bitwiseOR(x.bitwiseAND(F.lit(_LOW)))
+        return F.xxhash64(kmer(x), n).bitwiseAND(F.bitwise_not(low)).bitwiseOR(x.bitwiseAND(low))
 
     def runs(s: Column) -> Column:
         indexes = F.sequence(F.lit(0), F.size(s) - 1)
@@ -84,7 +96,7 @@ def _numbered(sorted_kmers: Column) -> Column:
     return F.when(F.size(sorted_kmers) == 0, sorted_kmers).otherwise(let(sorted_kmers, runs))
 
 
-def _tuples(sorted_numbered: Column) -> Column:
+def _tuples(sorted_numbered: Column, low: Column) -> Column:
     """The fingerprint: for every bin that is not empty, the hash of its selected k-mers in the order of the text; the bin is in the low bits."""
     bits = BINS.bit_length() - 1
 
@@ -95,7 +107,7 @@ def _tuples(sorted_numbered: Column) -> Column:
         return F.filter(s, lambda x, i: (i < KEEP) | (bin_of(x) != bin_of(F.get(s, i - KEEP))))
 
     def hashed(own: Column) -> Column:
-        turned = F.transform(own, lambda x: F.struct(x.bitwiseAND(F.lit(_LOW)).alias("place"), F.shiftright(x, PLACE).alias("kmer")))
+        turned = F.transform(own, lambda x: F.struct(x.bitwiseAND(low).alias("place"), _kmer(x, 32).alias("kmer")))
         return F.xxhash64(F.array_sort(turned)["kmer"]).bitwiseAND(F.lit(-BINS)).bitwiseOR(bin_of(F.get(own, F.lit(0))))
 
     def by_bin(chosen: Column) -> Column:
@@ -107,11 +119,13 @@ def _tuples(sorted_numbered: Column) -> Column:
 
 def with_fingerprint(docs: DataFrame, text: Column, name: str) -> DataFrame:
     """``docs`` with the fingerprint of ``text`` as an array of ``BINS`` longs; null counts as empty."""
-    held = f"_{name}"
+    held, bits, low = C.free_names(docs, f"_{name}", "_bits", "_low")
+    text = F.coalesce(text, F.lit(""))
+    out = docs.withColumn(bits, _place_bits(text)).withColumn(low, _mask(F.col(bits)))
     # a sort of non-null longs outside lambdas is one of primitives; each step is a column of its own so that it is computed once
-    out = docs.withColumn(held, F.sort_array(_packed_kmers(F.coalesce(text, F.lit("")))))
-    out = out.withColumn(held, F.sort_array(_numbered(F.col(held))))
-    return out.withColumn(name, _tuples(F.col(held))).drop(held)
+    out = out.withColumn(held, F.sort_array(_packed_kmers(text, F.col(low))))
+    out = out.withColumn(held, F.sort_array(_numbered(F.col(held), F.col(bits), F.col(low))))
+    return out.withColumn(name, _tuples(F.col(held), F.col(low))).drop(held, bits, low)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -129,30 +143,46 @@ def as_text(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
+#: Sub-ranges of a range at most, as a power of two.
+_SUB = 20
+
+
 def with_next(docs: DataFrame, order: str, carried: list[str]) -> DataFrame:
-    """``docs`` with ``next_<column>`` of the row that follows by ascending ``order`` (ties by ``carried``), the first after the last.
+    """``docs`` with ``next_<column>`` of the row that follows, the first after the last. Rows follow by ascending ``order``, a long, nulls first; rows with
+    equal ones by a hash of the first of ``carried``, then by it.
 
-    Rows are cut into ranges of ``order`` at quantiles, and each range also gets the first row of the next one, so that a window per
-    range sees every neighbour and each row moves once. Null ids come first and form one range with the smallest ids. Only the first id of each range is gathered.
+    Rows are cut into ranges of ``order`` at quantiles. A value that fills whole quantiles, and null, has a range of its own, cut by that hash, so
+    no value gathers its rows in one task. Each range also gets the first row of the next one, so that a window per range sees every neighbour and each row moves
+    once. Only the first row's order and hash of each range are gathered; their number follows from the shuffle partitions.
     """
-    parts = 4 * C.partitions(docs.sparkSession)
-    cuts = docs.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 10 * parts)).first()[0]
-    bounds = F.array(*[F.lit(x).cast("long") for x in sorted(set(cuts))]) if cuts else F.expr(_NONE_SQL)
-    ranged = docs.withColumn("_range", F.when(F.col(order).isNull(), 0).otherwise(F.size(F.filter(bounds, lambda x: x <= F.col(order)))))
-    heads = sorted(ranged.groupBy("_range").agg(F.min(order).alias("least"), F.count_if(F.col(order).isNull()).alias("nulls")).collect())
+    spark = docs.sparkSession
+    parts = 4 * C.partitions(spark)
+    tie, at, extra, first, first_tie, before = C.free_names(docs, "_tie", "_at", "_extra", "_first", "_first_tie", "_before")
+    known = docs.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 10 * parts).alias("cuts"), F.count_if(F.col(order).isNull()).alias("nulls"), F.count("*").alias("n")).first()
+    cuts = known["cuts"] or []
+    shares = {x: cuts.count(x) + 1 for x in set(cuts) if cuts.count(x) > 1}  # quantiles that one value fills
+    bounds = sorted({*cuts, *(x + 1 for x in shares if x + 1 < 1 << 63)})
+    array = F.array(*[F.lit(x).cast("long") for x in bounds]) if bounds else F.expr(_NONE_SQL)
+    pieces = F.lit(1)
+    if shares:
+        pieces = F.coalesce(F.create_map(*(F.lit(y).cast("long") for x in shares.items() for y in x))[F.col(order)], F.lit(1))
+    pieces = F.when(F.col(order).isNull(), max(1, -(-parts * known["nulls"] // max(1, known["n"])))).otherwise(pieces)
+    sub = F.least(F.floor((F.col(tie) / F.lit(2.0**64) + 0.5) * pieces), pieces - 1)  # rises with the hash
+    place = F.when(F.col(order).isNull(), 0).otherwise(1 + F.size(F.filter(array, lambda x: x <= F.col(order))))
+    ranged = docs.withColumn(tie, F.xxhash64(carried[0])).withColumn(at, (F.shiftleft(place.cast("long"), _SUB) + sub).cast("long"))
+    lead = F.min(F.struct(F.col(order).isNotNull().alias("told"), F.col(order).alias("value"), F.col(tie).alias("tie")))
+    heads = sorted(ranged.groupBy(at).agg(lead.alias("lead")).collect(), key=lambda r: r[at])
     # the row that leads a range also closes the range before it; the very first row closes the last range
-    closes = {(None if r["nulls"] else r["least"]): heads[k - 1]["_range"] for k, r in enumerate(heads)}
-    known = [x for first, at in closes.items() if first is not None for x in (F.lit(first).cast("long"), F.lit(at))]
-    leads = F.create_map(*known)[F.col(order)] if known else F.lit(None).cast("int")
-    if None in closes:
-        leads = F.when(F.col(order).isNull(), F.lit(closes[None])).otherwise(leads)
-    key = [F.col(order).asc_nulls_first(), F.col(carried[0]).asc_nulls_first()]
-    copies = F.array_compact(F.array(F.struct(F.col("_range").alias("at"), F.lit(0).alias("extra")), F.when(leads.isNotNull(), F.struct(leads.alias("at"), F.lit(1).alias("extra")))))
-    dealt = ranged.withColumn("_copy", F.explode(copies)).withColumn("_at", F.col("_copy.at")).withColumn("_extra", F.col("_copy.extra")).drop("_copy", "_range")
-    w = Window.partitionBy("_at").orderBy(F.col("_extra"), *key)
+    closes = [(r[at], r["lead"]["value"], r["lead"]["tie"], heads[k - 1][at]) for k, r in enumerate(heads)]
+    table = spark.createDataFrame(closes, f"`{at}` long, `{first}` long, `{first_tie}` long, `{before}` long")
+    ranged = ranged.join(F.broadcast(table), at, "left")  # one row per range
+    leads = F.col(order).eqNullSafe(F.col(first)) & (F.col(tie) == F.col(first_tie))
+    copies = F.array_compact(F.array(F.struct(F.col(at).alias("at"), F.lit(0).alias("extra")), F.when(leads, F.struct(F.col(before).alias("at"), F.lit(1).alias("extra")))))
+    dealt = ranged.withColumn("_copy", F.explode(copies)).withColumn(at, F.col("_copy.at")).withColumn(extra, F.col("_copy.extra")).drop("_copy", first, first_tie, before)
+    w = Window.partitionBy(at).orderBy(F.col(extra), F.col(order).asc_nulls_first(), F.col(tie), F.col(carried[0]).asc_nulls_first())
     for c in carried:
         dealt = dealt.withColumn(f"next_{c}", F.lead(c).over(w))
-    return dealt.where(F.col("_extra") == 0).drop("_at", "_extra")
+    return dealt.where(F.col(extra) == 0).drop(at, extra, tie)
 
 
 def edited_pairs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -160,7 +190,7 @@ def edited_pairs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
 
     The edited text replaces the last quarter of the code points by the first as many of the next row's text by ascending id, the first
     row following the last. Null texts count as empty; equal texts have equal fingerprints. Null ids come first; rows with equal ids follow
-    each other by text. A table of one row follows itself; an empty table gives no rows. Other columns are not read.
+    each other by a hash of their texts. A text of any length counts whole. A table of one row follows itself; an empty table gives no rows. Other columns are not read.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     told = with_next(with_fingerprint(base, F.col("text"), "fp"), "doc_id", ["text", "fp"])

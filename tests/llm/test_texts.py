@@ -7,6 +7,7 @@ import re
 
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -55,25 +56,6 @@ def fingerprints(spark, texts):
     return [r.fp for r in order_minhash.with_fingerprint(df, F.col("t"), "fp").orderBy("k").collect()]
 
 
-def test_occurrences_are_numbered_and_kmers_selected(spark):
-    rng = random.Random(4)
-    texts = ["a b c d e", "a b c d e a b c d e", "a b", "x " * 300, " ".join(f"w{rng.randrange(30)}" for _ in range(400))]
-    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
-    df = df.withColumn("s", F.sort_array(order_minhash._packed_kmers(F.col("t"))))
-    df = df.withColumn("n", F.sort_array(order_minhash._numbered(F.col("s")))).withColumn("fp", order_minhash._tuples(F.col("n")))
-    low, bins = (1 << order_minhash.PLACE) - 1, order_minhash.BINS
-    hashed = spark.createDataFrame([(0, 0)], "x long, o int").select(F.xxhash64("x", "o")).first()[0]
-    assert isinstance(hashed, int)
-    for r in df.collect():
-        places = [x & low for x in r.n]
-        assert sorted(places) == list(range(max(1, len(r.t.split(" ")) - order_minhash.K + 1)))
-        assert len({x >> order_minhash.PLACE for x in r.n}) == len(r.n)  # equal k-mers differ by their number
-        by_bin = {}
-        for x in sorted(r.n):
-            by_bin.setdefault((x & (1 << 64) - 1) >> 59, []).append(x)
-        assert {x & bins - 1 for x in r.fp} == set(by_bin) and len(r.fp) == len(by_bin)
-
-
 def test_order_matters_and_equal_texts_agree(spark):
     words = [f"w{k}" for k in range(300)]
     turned = words[150:] + words[:150]
@@ -81,6 +63,55 @@ def test_order_matters_and_equal_texts_agree(spark):
     assert a == b and len(set(a) & set(d)) > len(set(a) & set(c))
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def chained(values, seed=42):
+    """Spark's 64-bit hash of several longs."""
+    for v in values:
+        seed = xxhash.xxh64_intdigest((v & (2**64 - 1)).to_bytes(8, "little"), seed)
+    return seed
+
+
+def plain_order_minhash(text, bits=24):
+    """{bin: hash of its tuple}: for every bin the two smallest hashes of occurrence-numbered k-mers of five pieces, in the order of the text."""
+    pieces = re.split(r"[\s\u200b]", text)
+    if any(len(p) > 32 for p in pieces):
+        pieces = [q for p in pieces for q in (p if len(p) > 32 else [p])]
+    if len(pieces) < 5:
+        pieces = list(text)
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in pieces]
+    seen, bins = {}, {}
+    for k in range(max(1, len(hashes) - 4) if text else 0):
+        kmer = signed(chained(hashes[k : k + 5])) >> bits
+        n = seen[kmer] = seen.get(kmer, -1) + 1
+        x = xxhash.xxh64_intdigest(n.to_bytes(4, "little"), chained([kmer])) >> bits << bits
+        bins.setdefault(x >> 59, []).append((signed(x), k))
+    out = {}
+    for b, own in bins.items():
+        chosen = sorted(sorted(own)[:2], key=lambda c: c[1])
+        out[b] = chained([c[0] >> 32 for c in chosen]) >> 5 << 5 | b
+    return out
+
+
+@pytest.mark.parametrize("place", [24, 6])
+def test_fingerprints_equal_a_plain_version(spark, monkeypatch, place):
+    """With few bits for places, texts over 64 characters take the wide ones."""
+    monkeypatch.setattr(order_minhash, "PLACE", place)
+    rng = random.Random(9)
+    texts = ["", "a", "a b", "a  b c d e f", "x " * 300, "y" * 70, "é\u3000ß b\nc d"] + [" ".join(f"w{rng.randrange(n)}" for _ in range(rng.randint(3, 400))) for n in (3, 30, 3000) for _ in range(8)]
+    got = fingerprints(spark, texts)
+    plain = [plain_order_minhash(t, 32 if len(t) >= 1 << place else place) for t in texts]
+    for t, fp, want in zip(texts, got, plain):
+        assert sorted(x & (2**64 - 1) for x in fp) == sorted(want.values()), t[:40]
+    pairs = [(rng.randrange(len(texts)), rng.randrange(len(texts))) for _ in range(60)]
+    df = spark.createDataFrame([(k, got[a], got[b]) for k, (a, b) in enumerate(pairs)], "k int, a array<long>, b array<long>")
+    for r in df.select("k", order_minhash.likeness(F.col("a"), F.col("b")).alias("s")).collect():
+        a, b = (plain[i] for i in pairs[r.k])
+        assert r.s == pytest.approx(sum(a.get(x) == y for x, y in b.items()) / len(set(a) | set(b)) if a or b else 1.0)
+
+
 def test_edited_texts(spark):
     rng = random.Random(5)
     texts = {k * 5: rng.choice([None, "", "é", " ".join(f"w{rng.randrange(9)}" for _ in range(rng.randint(0, 60)))]) for k in range(60)}
@@ -95,8 +126,10 @@ def test_edited_texts(spark):
     one = spark.createDataFrame([(7, "a b c d e f g h")], "doc_id long, text string")
     assert order_minhash.edited_pairs(one).first().next_text == "a b c d e f g h"
     assert order_minhash.edited_pairs(one.limit(0)).count() == 0
-    odd = spark.createDataFrame([(None, "n"), (3, "b"), (3, "a"), (None, "m")], "doc_id long, text string")
-    assert {r.text: r.next_text for r in order_minhash.edited_pairs(odd).collect()} == {"m": "n", "n": "a", "a": "b", "b": "m"}
+    for rows in ([(None, "n"), (3, "b"), (3, "a"), (None, "m")], [(None if k % 3 else 7 if k % 2 else 2**63 - 1 - k, f"t{k}") for k in range(300)]):
+        odd = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+        order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(xxhash.xxh64_intdigest(r[1].encode(), 42)), r[1]))
+        assert {r.text: r.next_text for r in order_minhash.edited_pairs(odd).collect()} == {a[1]: b[1] for a, b in zip(order, order[1:] + order[:1])}
 
 
 def test_exponents():
