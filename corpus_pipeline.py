@@ -36,7 +36,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The temperature mixture of sources: every document at least once, those of small sources again in later epochs."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs, tokenizer_path=public_tokenizers.path("word_bpe_49k.json")).select(*docs.columns)
 
 
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
