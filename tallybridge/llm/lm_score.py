@@ -1,14 +1,18 @@
-"""An interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped by the workers that score with it.
+"""An interpolated modified Kneser-Ney model of any order from 2 on, counted in Spark and memory-mapped by the workers that score with it.
 
-Counting runs in three passes over sorted arrays. Map tasks turn texts into word hashes and ship sorted, delta-coded, compressed arrays of
-distinct keys with their counts; reduce tasks merge those of one key range and write plain arrays into the shared folder:
+Counting runs from words to n-grams of the highest order and from there down, as the count of a shorter n-gram is the number of words seen before it. Map tasks
+ship arrays of distinct keys or grams with their counts, compressed; reduce tasks merge those of one part and write plain arrays into the shared folder:
 
 - ``word-*``: hashes of all training tokens, sorted, with their counts; a token's place over all files is its number.
-- ``pair-*``: sorted 64-bit keys (number of the first token, number of the second) with their counts.
+- ``gram3-*`` and so on: for every n-gram of order 3 or more a 64-bit key, sorted: a hash of its context in the high bits, its last number in the low ones. All
+  that follows a context is then one range of keys, and its statistics are sums over that range. Contexts are dealt to parts by their hash.
+- ``pair-*``: sorted exact 64-bit keys (number of the first token, number of the second) with their counts.
 - ``stat-*``: for every number: followers' tokens and how many followers occur once, twice, more often; distinct predecessors.
 
-Files are written under a temporary name and renamed, so a repeated task replaces its file by an equal one. Scoring sorts the distinct keys of a batch
-and looks them up by binary search in the mapped arrays.
+Counts take one byte, and those that don't fit are listed beside. Words are told apart by 64-bit hashes and contexts of order 3 or more within a part
+by the 64 bits less those of a word's number; nothing verifies them, so at about a million contexts in a part and four million words one in four million shares
+another's statistics. Files are written under a temporary name and renamed, so a repeated task replaces its file by an equal one. Scoring sorts the distinct
+keys of a batch and looks them up by binary search in the mapped arrays.
 """
 
 from __future__ import annotations
@@ -29,8 +33,12 @@ from .language_id import remainder
 
 #: The hash that stands for the end of a text; word hashes are mixed 64-bit values, this is one more of them.
 END = np.uint64(0x5851F42D4C957F2D)
+#: Order of the model by default.
+ORDER = 3
 #: Keys that a map task gathers before it ships them.
 FLUSH = 4 << 20
+#: Tokens of the training texts for each part of the n-grams at most; there are as many parts as shuffle partitions at least.
+PART_TOKENS = 32 << 20
 #: A first token whose share of all tokens is above 1 / (SPREAD * parts) has its pairs dealt by the second token.
 SPREAD = 4
 
@@ -120,14 +128,34 @@ def _save(path: str, x: np.ndarray) -> None:
 
 
 def _by_part(batches):
-    """Each part of a task with its merged keys and counts; parts come whole because rows are dealt by part."""
-    held: dict[int, list] = {}
+    """(part, rows) of one part after the other; batches are sorted by part, and parts come whole because rows are dealt by part."""
+    part, rows = None, []
     for batch in batches:
-        for part, keys, counts in zip(*(batch.column(k).to_pylist() for k in ("part", "keys", "counts"))):
-            held.setdefault(part, []).append((keys, counts))
-    for part in sorted(held):
-        pieces = held.pop(part)
-        yield part, *merged(np.concatenate([unpress_keys(k) for k, _ in pieces]), np.concatenate([_unpress(c, np.uint64) for _, c in pieces]))
+        for now, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if now != part and rows:
+                yield part, rows
+                rows = []
+            part = now
+            rows.append(row)
+    if rows:
+        yield part, rows
+
+
+def _merged_parts(batches):
+    """Each part of a task with its merged keys and counts."""
+    for part, rows in _by_part(batches):
+        yield part, *merged(np.concatenate([unpress_keys(k) for k, _ in rows]), np.concatenate([_unpress(c, np.uint64) for _, c in rows]))
+
+
+def _to_parts(rows: DataFrame, parts: int) -> DataFrame:
+    return rows.repartition(parts, "part").sortWithinPartitions("part")
+
+
+def _save_counts(path: str, counts: np.ndarray) -> None:
+    """One byte for each count; 255 stands for those listed in a file of (place, count)."""
+    _save(f"{path}.count.npy", np.minimum(counts, 255).astype(np.uint8))
+    large = np.flatnonzero(counts >= 255)
+    _save(f"{path}.large.npy", np.stack([large.astype(np.int64), counts[large].astype(np.int64)]))
 
 
 def _numbers(values: list) -> pa.RecordBatch:
@@ -145,7 +173,7 @@ def _frequencies(counts: np.ndarray) -> list[int]:
 def _word_writer(folder: str):
     def run(batches):
         rows = []
-        for part, keys, counts in _by_part(batches):
+        for part, keys, counts in _merged_parts(batches):
             _save(f"{folder}/word-{part:06d}.key.npy", keys)
             _save(f"{folder}/word-{part:06d}.count.npy", counts)
             rows.append((part, len(keys), int(counts.sum()), 0, 0, 0))
@@ -195,22 +223,116 @@ class Layout:
         return (C.mix64(first) % np.uint64(self.parts)).astype(np.int32)
 
 
+def _windows(words: Words, data: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarray]:
+    """Numbers of every token (the last array) and of the ``size - 1`` before it; the number after the last word stands before a text's first token."""
+    h, _, count = tokens_of(data, off)
+    distinct, back = np.unique(h, return_inverse=True)
+    out = [words.lookup(distinct)[0][back].astype(np.uint64)]
+    starts = np.cumsum(count) - count
+    for _ in range(size - 1):
+        before = np.empty_like(out[0])
+        before[1:] = out[0][:-1]
+        before[starts] = words.size
+        out.insert(0, before)
+    return out
+
+
 def _pairs_of(words: Words):
-    """Keys of neighbouring tokens; the number after the last word stands before a text's first token."""
+    """Keys of neighbouring tokens."""
 
     def run(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        h, _, count = tokens_of(data, off)
-        distinct, back = np.unique(h, return_inverse=True)
-        number = words.lookup(distinct)[0][back].astype(np.uint64)
-        before = np.empty_like(number)
-        before[1:] = number[:-1]
-        before[np.cumsum(count) - count] = words.size
-        return (before << np.uint64(32)) | number
+        first, second = _windows(words, data, off, 2)
+        return (first << np.uint64(32)) | second
+
+    return run
+
+
+_STEP = np.uint64(0x9FB21C651E98DF25)
+
+
+def chained(columns: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each row of numbers."""
+    with np.errstate(over="ignore"):
+        h = C.mix64(columns[0] + _STEP)
+        for c in columns[1:]:
+            h = C.mix64(h * _STEP + c + np.uint64(1))
+    return h
+
+
+class GramLayout:
+    """Of n-grams of order 3 or more: the part and the high bits of the key of a context."""
+
+    def __init__(self, parts: int, size: int):
+        self.parts, self.low = parts, np.uint64((1 << max(1, size.bit_length())) - 1)
+
+    def part(self, context: np.ndarray) -> np.ndarray:
+        return (C.mix64(~context) % np.uint64(self.parts)).astype(np.int32)
+
+
+_GRAMS = "part int, grams binary, counts binary"
+
+
+def _distinct_grams(columns: list[np.ndarray], counts: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of numbers and their summed counts (1 each by default)."""
+    whole = chained(columns)
+    order = np.argsort(whole)
+    whole = whole[order]
+    first = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]])) if len(whole) else np.zeros(0, int)
+    total = np.diff(np.append(first, len(whole))) if counts is None else np.add.reduceat(counts[order], first) if len(first) else counts[:0]
+    return [c[order[first]] for c in columns], total.astype(np.uint64)
+
+
+def _shipped_grams(columns: list[np.ndarray], counts: np.ndarray, place: GramLayout):
+    """Rows of one part each: the numbers, column after column, and the counts."""
+    part = place.part(chained(columns[:-1]))
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, int)
+    rows = [(int(part[a]), _press(np.concatenate([c[order[a:b]] for c in columns]).astype(np.uint32)), _press(counts[order[a:b]])) for a, b in zip(cut[:-1], cut[1:])]
+    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int32(), pa.binary(), pa.binary()))], ["part", "grams", "counts"])
+
+
+def _gram_gatherer(words: Words, order: int, place: GramLayout, batches):
+    """Map side of the highest order."""
+    held: list[list[np.ndarray]] = []
+    n = 0
+    for batch in batches:
+        for _, data, off in C.text_groups(batch):
+            held.append([c.astype(np.uint32) for c in _windows(words, data, off, order)])
+            n += len(held[-1][0])
+            if n > FLUSH:
+                yield from _shipped_grams(*_distinct_grams([np.concatenate(c).astype(np.uint64) for c in zip(*held)], None), place)
+                held, n = [], 0
+    if held:
+        yield from _shipped_grams(*_distinct_grams([np.concatenate(c).astype(np.uint64) for c in zip(*held)], None), place)
+
+
+def _gram_writer(folder: str, order: int, place: GramLayout, pair_place: Layout):
+    """Reduce side of one order: writes its arrays, passes on the distinct grams without their first word, each counting once."""
+
+    def run(batches):
+        for part, rows in _by_part(batches):
+            counts = np.concatenate([_unpress(c, np.uint64) for _, c in rows])
+            columns = [np.concatenate(c).astype(np.uint64) for c in zip(*(_unpress(g, np.uint32).reshape(order, -1) for g, _ in rows))]
+            columns, counts = _distinct_grams(columns, counts)
+            keys = (chained(columns[:-1]) & ~place.low) | columns[-1]
+            by_key = np.argsort(keys)
+            _save(f"{folder}/gram{order}-{part:06d}.key.npy", keys[by_key])
+            _save_counts(f"{folder}/gram{order}-{part:06d}", counts[by_key])
+            _save(f"{folder}/gram{order}-{part:06d}.frequency.npy", np.array(_frequencies(counts)))
+            shorter, before = _distinct_grams(columns[1:], None)
+            if order > 3:
+                yield from _shipped_grams(shorter, before, place)
+            else:
+                pairs = (shorter[0] << np.uint64(32)) | shorter[1]
+                by_key = np.argsort(pairs)
+                pairs = pairs[by_key]
+                yield from _shipped(pairs, before[by_key], pair_place.part(pairs))
 
     return run
 
 
-#: Statistics of a token, and the numbers that one file of them covers.
+#: Statistics of a token, and the numbers that one file of them covers: its followers' counts in all, followers that occur once, twice, more often, predecessors.
 _KINDS = 5
 _STAT_SPAN = 1 << 18
 
@@ -219,9 +341,9 @@ def _pair_writer(folder: str):
     """Reduce side of the pairs: writes their arrays, passes on what they add to the statistics of single tokens."""
 
     def run(batches):
-        for part, keys, counts in _by_part(batches):
+        for part, keys, counts in _merged_parts(batches):
             _save(f"{folder}/pair-{part:06d}.key.npy", keys)
-            _save(f"{folder}/pair-{part:06d}.count.npy", np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
+            _save_counts(f"{folder}/pair-{part:06d}", counts)
             n = _frequencies(counts)
             yield _stat_rows(keys, counts, part, n)
 
@@ -278,12 +400,14 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return [min(max(d, 0.05), k + 0.95) for k, d in enumerate(raw)]
 
 
-def train(docs: DataFrame, text: str = "text") -> str:
-    """Count all rows of ``docs`` and return the model's folder, as every worker sees it.
+def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> str:
+    """Count all rows of ``docs`` and return the folder of the model of this order, as every worker sees it.
 
     Null texts count as empty: their end is their only token. Hot words are merged in the map tasks and their pairs are spread, so no
-    part depends on one word. Parts number as the session's shuffle partitions.
+    part depends on one word. Parts number as the session's shuffle partitions, or one for every ``PART_TOKENS`` tokens if that is more.
     """
+    if order < 2:
+        raise ValueError(f"an order of 2 at least, not {order}")
     spark = docs.sparkSession
     C.small_batches(spark)
     folder = C.local_view(C.new_path(spark, "ngrams"))
@@ -293,22 +417,36 @@ def train(docs: DataFrame, text: str = "text") -> str:
     bits = max(4, (parts - 1).bit_length())
     shift = np.uint64(64 - bits)
     words = texts.mapInArrow(_gatherer(lambda data, off: tokens_of(data, off)[0], lambda keys: (keys >> shift).astype(np.int32)), _MOVED)
-    counted = {r["part"]: (r["n"], r["n1"]) for r in words.repartition(parts, "part").mapInArrow(_word_writer(folder), _NUMBERS).collect()}
+    counted = {r["part"]: (r["n"], r["n1"]) for r in _to_parts(words, parts).mapInArrow(_word_writer(folder), _NUMBERS).collect()}
     sizes = [counted.get(k, (0, 0))[0] for k in range(1 << bits)]
+    if sum(sizes) >= 0xFFFFFFFF:
+        raise ValueError(f"{sum(sizes)} distinct tokens don't fit numbers of 32 bits")
     total = sum(x[1] for x in counted.values())
+    parts = max(parts, -(-total // PART_TOKENS))
     spread = _frequent(folder, bits, sizes, total / (SPREAD * parts))
-    place = Layout(parts, spread)
+    place, grams = Layout(parts, spread), GramLayout(parts, sum(sizes))
 
     def pair_gatherer(batches):
         yield from _gatherer(_pairs_of(Words(folder, bits, sizes)), place.part)(batches)
 
-    pairs = texts.mapInArrow(pair_gatherer, _MOVED).repartition(parts, "part").mapInArrow(_pair_writer(folder), _STATS)
-    pairs = C.materialize(pairs, "ngram-stats")
+    def gram_gatherer(batches):
+        yield from _gram_gatherer(Words(folder, bits, sizes), order, grams, batches)
+
+    if order == 2:
+        moved = texts.mapInArrow(pair_gatherer, _MOVED)
+    else:
+        moved = texts.mapInArrow(gram_gatherer, _GRAMS)
+        for k in range(order, 2, -1):
+            moved = _to_parts(moved, parts).mapInArrow(_gram_writer(folder, k, grams, place), _GRAMS if k > 3 else _MOVED)
+    pairs = C.materialize(_to_parts(moved, parts).mapInArrow(_pair_writer(folder), _STATS), "ngram-stats")
     n = pairs.where("kind < 0").select("part", "n", "n1", "n2", "n3", "n4").collect()
     stats = pairs.where("kind >= 0").select("kind", "span", "keys", "counts").repartition(parts, "span").mapInArrow(_stat_writer(folder), _NUMBERS).collect()
+    cuts = {2: discounts(*(sum(r[k] for r in n) for k in ("n1", "n2", "n3", "n4"))), 1: discounts(*(sum(r[k] for r in stats) for k in ("n1", "n2", "n3", "n4")))}
+    for k in range(3, order + 1):
+        seen = [np.load(f) for f in Path(folder).glob(f"gram{k}-*.frequency.npy")]
+        cuts[k] = discounts(*(int(x) for x in np.sum(seen, 0))) if seen else discounts(0, 0, 0, 0)
     meta = {
-        "bits": bits, "sizes": sizes, "tokens": total, "parts": parts, "spread": [int(x) for x in spread], "pair_parts": sorted(r["part"] for r in n),
-        "high": discounts(*(sum(r[k] for r in n) for k in ("n1", "n2", "n3", "n4"))), "low": discounts(*(sum(r[k] for r in stats) for k in ("n1", "n2", "n3", "n4"))),
+        "order": order, "bits": bits, "sizes": sizes, "tokens": total, "parts": parts, "spread": [int(x) for x in spread], "discounts": [cuts[k] for k in range(1, order + 1)],
         "pairs": sum(r["n"] for r in stats), "low_counts": [sum(r[k] for r in stats) for k in ("n1", "n2")],
     }
     C.release(pairs)
@@ -331,10 +469,52 @@ def _low_mass(folder: str, meta: dict) -> float:
         return 1.0
     known = sum(meta["sizes"])
     ones, twos = meta["low_counts"]
-    d1, d2, d3 = meta["low"]
+    d1, d2, d3 = meta["discounts"][0]
     return (d1 * ones + d2 * twos + d3 * (known - ones - twos)) / meta["pairs"]
 
 
+#: Followers of a context from which on its statistics are kept once they are summed up.
+LARGE = 4096
+
+
+class _Table:
+    """Mapped sorted keys of one part with their counts."""
+
+    def __init__(self, path: str):
+        self.keys = np.load(f"{path}.key.npy", mmap_mode="r")
+        self.small = np.load(f"{path}.count.npy", mmap_mode="r")
+        self.places, self.large = np.load(f"{path}.large.npy")
+        self.kept: dict[int, list[int]] = {}
+
+    def counts(self, at: np.ndarray) -> np.ndarray:
+        out = self.small[at].astype(np.int64)
+        large = np.flatnonzero(out == 255)
+        out[large] = self.large[np.searchsorted(self.places, at[large])]
+        return out
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of sorted keys; 0 for those that are not there."""
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts(at), 0)
+
+    def ranges(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """For each range of places: the sum of its counts, and how many are 1, 2, more."""
+        out = np.zeros((4, len(low)), np.int64)
+        n = high - low
+        for i in np.flatnonzero(n > LARGE):
+            if low[i] not in self.kept:
+                c = self.counts(np.arange(low[i], high[i]))
+                self.kept[low[i]] = [c.sum(), (c == 1).sum(), (c == 2).sum(), (c > 2).sum()]
+            out[:, i] = self.kept[low[i]]
+        few = np.flatnonzero((n > 0) & (n <= LARGE))
+        if len(few):
+            first = np.cumsum(n[few]) - n[few]
+            c = self.counts(np.repeat(low[few] - first, n[few]) + np.arange(int(n[few].sum())))
+            for k, x in enumerate((c, c == 1, c == 2, c > 2)):
+                out[k, few] = np.add.reduceat(x, first, dtype=np.int64)
+        return out
+
+
 class Model:
     """A trained model's mapped arrays."""
 
@@ -343,37 +523,69 @@ class Model:
         self.meta = json.loads(Path(folder, "meta.json").read_text())
         self.words = Words(folder, self.meta["bits"], self.meta["sizes"])
         self.layout = Layout(self.meta["parts"], np.array(self.meta["spread"], np.uint64))
-        self.open: dict[str, np.ndarray] = {}
+        self.grams = GramLayout(self.meta["parts"], self.words.size)
+        self.open: dict[str, np.ndarray | _Table | None] = {}
 
-    def mapped(self, name: str) -> np.ndarray:
+    def table(self, name: str) -> _Table | None:
         if name not in self.open:
-            self.open[name] = np.load(f"{self.folder}/{name}.npy", mmap_mode="r")
+            path = f"{self.folder}/{name}"
+            self.open[name] = _Table(path) if os.path.exists(f"{path}.key.npy") else None
         return self.open[name]
 
+    def _by_part(self, part: np.ndarray, name: str):
+        """(table, rows) of every part that is asked for and there."""
+        order = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange(self.meta["parts"] + 1))
+        for k in np.flatnonzero(np.diff(edges)):
+            table = self.table(f"{name}-{k:06d}")
+            if table is not None:
+                yield table, order[edges[k] : edges[k + 1]]
+
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
         """Counts of sorted distinct keys."""
         out = np.zeros(len(keys), np.int64)
-        part = self.layout.part(keys)
-        order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(self.meta["parts"] + 1))
-        for k in self.meta["pair_parts"]:
-            rows = order[edges[k] : edges[k + 1]]
-            if len(rows):
-                known = self.mapped(f"pair-{k:06d}.key")
-                at = np.minimum(np.searchsorted(known, keys[rows]), len(known) - 1)
-                out[rows] = np.where(known[at] == keys[rows], self.mapped(f"pair-{k:06d}.count")[at], 0)
+        for table, rows in self._by_part(self.layout.part(keys), "pair"):
+            out[rows] = table.find(keys[rows])
         return out
 
+    def gram_counts(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of rows of numbers, and the four statistics of their contexts; a last number beyond the words counts 0."""
+        contexts, back = np.unique(chained(columns[:-1]), return_inverse=True)
+        stats = np.zeros((4, len(contexts)), np.int64)
+        part, name = self.grams.part(contexts), f"gram{len(columns)}"
+        for table, rows in self._by_part(part, name):
+            head = contexts[rows] & ~self.grams.low
+            stats[:, rows] = table.ranges(np.searchsorted(table.keys, head), np.searchsorted(table.keys, head | self.grams.low, "right"))
+        count = np.zeros(len(back), np.int64)
+        asked = np.flatnonzero((stats[0][back] > 0) & (columns[-1] < self.words.size))
+        keys, part = (contexts[back[asked]] & ~self.grams.low) | columns[-1][asked], part[back[asked]]
+        order = np.lexsort((keys, part))
+        for table, rows in self._by_part(part[order], name):
+            count[asked[order[rows]]] = table.find(keys[order[rows]])
+        return count, stats[:, back]
+
     def stats(self, number: np.ndarray) -> np.ndarray:
         """The five statistics of sorted numbers; zeros for -1."""
         out = np.zeros((_KINDS, len(number)), np.int64)
         span = number // _STAT_SPAN
         for k in np.unique(span):
-            if k >= 0 and os.path.exists(f"{self.folder}/stat-{k:06d}.npy"):
+            name = f"stat-{k:06d}"
+            if k >= 0 and (name in self.open or os.path.exists(f"{self.folder}/{name}.npy")):
+                if name not in self.open:
+                    self.open[name] = np.load(f"{self.folder}/{name}.npy", mmap_mode="r")
                 rows = slice(*np.searchsorted(span, [k, k + 1]))
-                out[:, rows] = self.mapped(f"stat-{k:06d}")[:, number[rows] % _STAT_SPAN]
+                out[:, rows] = self.open[name][:, number[rows] % _STAT_SPAN]
         return out
 
+    @staticmethod
+    def interpolated(cut: list[float], count: np.ndarray, stats: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Probabilities of one order out of counts, contexts' statistics and the next lower order's; the latter alone where a context was never seen."""
+        d = np.array([0.0, *cut])
+        total, ones, twos, more = stats
+        safe = np.where(total > 0, total, 1)
+        free = d[1] * ones + d[2] * twos + d[3] * more
+        return np.where(total > 0, np.maximum(count - d[np.minimum(count, 3)], 0) / safe + free / safe * lower, lower)
+
     def score(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
         """For each text: tokens, known tokens, base score, log10 probability by the model."""
         m = self.meta
@@ -384,29 +596,31 @@ class Model:
         vocabulary = self.words.size
         base = np.log10((seen + 1) / (m["tokens"] + vocabulary + 1))
         order = np.argsort(number, kind="stable")
-        before = np.zeros(len(number), np.int64)
         of = np.zeros((_KINDS, len(number) + 1), np.int64)  # the last column: the start of a text
         of[:, order] = self.stats(number[order])
         of[:, -1:] = self.stats(np.array([vocabulary]))
         before = of[4, :-1]
-        d = np.array([0.0, *m["low"]])
+        d = np.array([0.0, *m["discounts"][0]])
         low = np.maximum(before - d[np.minimum(before, 3)], 0) / max(1, m["pairs"]) + m["low_mass"] / (vocabulary + 1)
-        prior = np.empty_like(back)
-        prior[1:] = back[:-1]
-        prior[np.cumsum(count) - count] = len(distinct)
-        first = np.append(number, vocabulary)[prior]
-        second = number[back]
+        starts = np.cumsum(count) - count
+        places = [back]  # of the token and those before it in ``distinct``; after the last: the start of a text
+        for _ in range(m["order"] - 1):
+            earlier = np.empty_like(back)
+            earlier[1:] = places[0][:-1]
+            earlier[starts] = len(distinct)
+            places.insert(0, earlier)
+        numbers = np.append(number, vocabulary)
+        first, second = numbers[places[-2]], numbers[back]
         asked = (first >= 0) & (second >= 0)
-        keys = (first[asked].astype(np.uint64) << np.uint64(32)) | second[asked].astype(np.uint64)
-        keys, at = np.unique(keys, return_inverse=True)
+        keys, at = np.unique((first[asked].astype(np.uint64) << np.uint64(32)) | second[asked].astype(np.uint64), return_inverse=True)
         c = np.zeros(len(h), np.int64)
         c[asked] = self.pair_counts(keys)[at]
-        total = of[0][prior]
-        d = np.array([0.0, *m["high"]])
-        free = (d[1] * of[1] + d[2] * of[2] + d[3] * of[3])[prior]
-        followed = total > 0
-        safe = np.where(followed, total, 1)
-        p = np.where(followed, np.maximum(c - d[np.minimum(c, 3)], 0) / safe + free / safe * low[back], low[back])
+        p = self.interpolated(m["discounts"][1], c, of[:4, places[-2]], low[back])
+        for k in range(3, m["order"] + 1):
+            columns = [numbers[x] for x in places[-k:]]
+            rows = np.flatnonzero(np.logical_and.reduce([x >= 0 for x in columns[:-1]]) & (of[0][places[-2]] > 0))
+            c, stats = self.gram_counts([x[rows].astype(np.uint64) for x in columns])  # an unknown last number becomes the largest
+            p[rows] = self.interpolated(m["discounts"][k - 1], c, stats, p[rows])
         sums = lambda x: np.bincount(text, x, n)
         return count, sums(seen[back] > 0).astype(np.int64), sums(base[back]), sums(np.log10(p))
 

@@ -19,34 +19,44 @@ def tokens(text):
 
 
 class Plain:
-    """A bigram model in dictionaries."""
-
-    def __init__(self, texts):
-        rows = [tokens(t) for t in texts]
-        self.one = collections.Counter(w for r in rows for w in r)
-        self.two = collections.Counter(p for r in rows for p in zip(["<s>", *r], r))
-        self.before = collections.Counter(b for _, b in self.two)
-        self.after = collections.defaultdict(lambda: [0, 0, 0, 0])
-        for (a, _), c in self.two.items():
-            self.after[a][0] += c
-            self.after[a][min(c, 3)] += 1
-        cut = lambda counts: lm_score.discounts(*(sum(c == k for c in counts) for k in (1, 2, 3, 4)))
-        self.high, self.low = cut(list(self.two.values())), cut(list(self.before.values()))
-        self.types, self.size, self.n = max(1, len(self.two)), len(self.one), sum(self.one.values())
-        self.free = sum(self.low[min(c, 3) - 1] for c in self.before.values()) / self.types if self.two else 1.0
-
-    def p(self, a, b):
-        n = self.before[b]
-        low = (max(n - self.low[min(n, 3) - 1], 0) if n else 0) / self.types + self.free / (self.size + 1)
-        if a not in self.after:
-            return low
-        total, *kinds = self.after[a]
-        c = self.two.get((a, b), 0)
-        return (max(c - self.high[min(c, 3) - 1], 0) if c else 0) / total + sum(d * k for d, k in zip(self.high, kinds)) / total * low
+    """An interpolated modified Kneser-Ney model in dictionaries, from the definitions."""
+
+    def __init__(self, texts, order):
+        rows = [["<s>"] * (order - 1) + tokens(t) for t in texts]
+        self.order = order
+        self.one = collections.Counter(w for t in texts for w in tokens(t))
+        self.counts = {order: collections.Counter(tuple(r[i : i + order]) for r in rows for i in range(len(r) - order + 1))}
+        for k in range(order - 1, 0, -1):  # a shorter gram counts the words seen before it
+            self.counts[k] = collections.Counter(g[1:] for g in self.counts[k + 1])
+        self.cuts, self.after = {}, {}
+        for k, counts in self.counts.items():
+            n = collections.Counter(counts.values())
+            self.cuts[k] = [0.5] * 3
+            if n[1] and n[2]:
+                y = n[1] / (n[1] + 2 * n[2])
+                raw = [j - (j + 1) * y * n[j + 1] / n[j] if n[j] else 1.5 for j in (1, 2, 3)]
+                self.cuts[k] = [min(max(x, 0.05), j + 0.95) for j, x in enumerate(raw)]
+            self.after[k] = collections.defaultdict(lambda: [0, 0, 0, 0])
+            for g, c in counts.items():
+                self.after[k][g[:-1]][0] += c
+                self.after[k][g[:-1]][min(c, 3)] += 1
+        self.size, self.n = len(self.one), sum(self.one.values())
+
+    def p(self, context, word):
+        """Of a word after at least ``order - 1`` words."""
+        out = 1 / (self.size + 1)
+        for k in range(1, self.order + 1):
+            gram = (*context[len(context) - k + 1 :], word)
+            if gram[:-1] in self.after[k]:
+                total, *kinds = self.after[k][gram[:-1]]
+                c = self.counts[k].get(gram, 0)
+                cut = self.cuts[k][min(c, 3) - 1] if c else 0
+                out = (c - cut) / total + sum(d * n for d, n in zip(self.cuts[k], kinds)) / total * out
+        return out
 
     def score(self, text):
-        r = tokens(text)
-        return sum(math.log10(self.p(a, b)) for a, b in zip(["<s>", *r], r))
+        r = ["<s>"] * (self.order - 1) + tokens(text)
+        return sum(math.log10(self.p(tuple(r[:i]), r[i])) for i in range(self.order - 1, len(r)))
 
 
 def texts(n, seed):
@@ -55,16 +65,17 @@ def texts(n, seed):
     return [" ".join(rng.choices(words, [1 / (k + 1) for k in range(len(words))], k=rng.randint(0, 30))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("flush", [None, 50])
-def test_scores_equal_a_plain_model(spark, monkeypatch, flush):
+@pytest.mark.parametrize("order,flush", [(2, None), (2, 50), (3, None), (3, 50), (4, 200)])
+def test_scores_equal_a_plain_model(spark, monkeypatch, order, flush):
     if flush:
         monkeypatch.setattr(lm_score, "FLUSH", flush)
-    learned = [None, "", *texts(120, 1)]
+        monkeypatch.setattr(lm_score, "PART_TOKENS", 300)
+    learned = [None, "", "w1 w2 w1 " * 300, *texts(120, 1)]
     asked = learned[:30] + texts(20, 2) + ["unknown words only", "W1\tW2\nW1 new"]
     train = spark.createDataFrame([(k, t) for k, t in enumerate(learned)], "doc_id long, text string").repartition(3)
     docs = spark.createDataFrame([(k, t, 0) for k, t in enumerate(asked)] + [(None, "W1", 0)], "doc_id long, text string, score int")
-    plain = Plain(learned)
-    got = lm_score.score(docs, lm_score.train(train)).collect()
+    plain = Plain(learned, order)
+    got = lm_score.score(docs, lm_score.train(train, order=order)).collect()
     assert len(got) == len(asked) + 1
     for r in got:
         t = asked[r.doc_id] if r.doc_id is not None else "W1"
@@ -74,9 +85,28 @@ def test_scores_equal_a_plain_model(spark, monkeypatch, flush):
 
 
 def test_probabilities_sum_to_one():
-    plain = Plain(texts(60, 3))
-    for context in ["<s>", b"w0", b"w5", b"none"]:
-        assert sum(plain.p(context, w) for w in plain.one) + plain.p(context, "unknown") == pytest.approx(1)
+    for order in (2, 3, 4):
+        plain = Plain(texts(60, 3), order)
+        for context in [("<s>",) * 3, (b"w0", b"w1", b"w0"), (b"w5", b"w5", b"w5"), (b"none",) * 3]:
+            assert sum(plain.p(context, w) for w in plain.one) + plain.p(context, "unknown") == pytest.approx(1)
+
+
+def test_large_counts_and_hot_contexts(tmp_path, monkeypatch):
+    monkeypatch.setattr(lm_score, "LARGE", 5)
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 40, 1000, dtype=np.uint64))
+    counts = rng.choice(np.array([1, 2, 3, 254, 255, 256, 1 << 40], np.uint64), len(keys))
+    np.save(tmp_path / "x.key.npy", keys)
+    lm_score._save_counts(str(tmp_path / "x"), counts)
+    table = lm_score._Table(str(tmp_path / "x"))
+    absent = np.setdiff1d(keys + np.uint64(1), keys)
+    assert (table.find(keys) == counts.astype(np.int64)).all() and not table.find(absent).any()
+    low = np.arange(0, 900, 9)
+    high = low + rng.integers(0, 9, len(low))
+    for _ in range(2):
+        for k, (a, b) in enumerate(zip(low, high)):
+            c = counts[a:b].astype(np.int64)
+            assert table.ranges(low, high)[:, k].tolist() == [c.sum(), (c == 1).sum(), (c == 2).sum(), (c > 2).sum()]
 
 
 def test_model_of_nothing(spark):
