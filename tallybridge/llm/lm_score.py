@@ -3,7 +3,8 @@
 Counting runs from words to n-grams of the highest order and from there down, as the count of a shorter n-gram is the number of words seen before it. Map tasks
 ship arrays of distinct keys or grams with their counts, compressed; reduce tasks merge those of one part and write plain arrays into the shared folder:
 
-- ``word-*``: hashes of all training tokens, sorted, with their counts; a token's place over all files is its number.
+- ``word-*``: hashes of all training tokens, sorted, with their counts and ranks by count; the rank within its part, and then the part, make a token's number, so
+  frequent tokens have small numbers, which take little room wherever they are moved.
 - ``gram3-*`` and so on: for every n-gram of order 3 or more a 64-bit key, sorted: a hash of its context in the high bits, its last number in the low ones. All
   that follows a context is then one range of keys, and its statistics are sums over that range. Contexts are dealt to parts by their hash.
 - ``pair-*``: sorted exact 64-bit keys (number of the first token, number of the second) with their counts.
@@ -176,6 +177,9 @@ def _word_writer(folder: str):
         for part, keys, counts in _merged_parts(batches):
             _save(f"{folder}/word-{part:06d}.key.npy", keys)
             _save(f"{folder}/word-{part:06d}.count.npy", counts)
+            rank = np.empty(len(counts), np.uint32)
+            rank[np.argsort(~counts, kind="stable")] = np.arange(len(counts))
+            _save(f"{folder}/word-{part:06d}.rank.npy", rank)
             rows.append((part, len(keys), int(counts.sum()), 0, 0, 0))
         yield _numbers(rows)
 
@@ -183,15 +187,19 @@ def _word_writer(folder: str):
 
 
 class Words:
-    """The mapped word arrays: hash -> number, number -> count."""
+    """The mapped word arrays: hash -> number, count."""
 
     def __init__(self, folder: str, bits: int, sizes: list[int]):
         self.shift = np.uint64(64 - bits)
-        self.base = np.concatenate([[0], np.cumsum(sizes)])
-        self.size = int(self.base[-1])
+        self.size = sum(sizes)
+        self.start = number_of_start(sizes)
         load = lambda k, what: np.load(f"{folder}/word-{k:06d}.{what}.npy", mmap_mode="r") if sizes[k] else np.zeros(0, np.uint64)
         self.keys = [load(k, "key") for k in range(len(sizes))]
         self.counts = [load(k, "count") for k in range(len(sizes))]
+        self.ranks = [load(k, "rank") for k in range(len(sizes))]
+
+    def number(self, part: int, at: np.ndarray) -> np.ndarray:
+        return self.ranks[part][at].astype(np.int64) * len(self.keys) + part
 
     def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers (-1: unknown) and counts (0) of sorted hashes."""
@@ -204,11 +212,16 @@ class Words:
                 continue
             at = np.minimum(np.searchsorted(keys, h[part]), len(keys) - 1)
             hit = keys[at] == h[part]
-            number[part] = np.where(hit, at + self.base[k], -1)
+            number[part] = np.where(hit, self.number(k, at), -1)
             count[part] = np.where(hit, self.counts[k][at], 0)
         return number, count
 
 
+def number_of_start(sizes: list[int]) -> int:
+    """The number that stands before a text's first token, beyond those of all tokens."""
+    return max(sizes, default=0) * len(sizes)
+
+
 class Layout:
     """Where a pair's key lies: by a hash of its first token, or of both where the first is frequent."""
 
@@ -224,7 +237,7 @@ class Layout:
 
 
 def _windows(words: Words, data: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarray]:
-    """Numbers of every token (the last array) and of the ``size - 1`` before it; the number after the last word stands before a text's first token."""
+    """Numbers of every token (the last array) and of the ``size - 1`` before it; ``start`` stands before a text's first token."""
     h, _, count = tokens_of(data, off)
     distinct, back = np.unique(h, return_inverse=True)
     out = [words.lookup(distinct)[0][back].astype(np.uint64)]
@@ -232,7 +245,7 @@ def _windows(words: Words, data: np.ndarray, off: np.ndarray, size: int) -> list
     for _ in range(size - 1):
         before = np.empty_like(out[0])
         before[1:] = out[0][:-1]
-        before[starts] = words.size
+        before[starts] = words.start
         out.insert(0, before)
     return out
 
@@ -419,12 +432,12 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> str:
     words = texts.mapInArrow(_gatherer(lambda data, off: tokens_of(data, off)[0], lambda keys: (keys >> shift).astype(np.int32)), _MOVED)
     counted = {r["part"]: (r["n"], r["n1"]) for r in _to_parts(words, parts).mapInArrow(_word_writer(folder), _NUMBERS).collect()}
     sizes = [counted.get(k, (0, 0))[0] for k in range(1 << bits)]
-    if sum(sizes) >= 0xFFFFFFFF:
+    if number_of_start(sizes) >= 0xFFFFFFFF:
         raise ValueError(f"{sum(sizes)} distinct tokens don't fit numbers of 32 bits")
     total = sum(x[1] for x in counted.values())
     parts = max(parts, -(-total // PART_TOKENS))
     spread = _frequent(folder, bits, sizes, total / (SPREAD * parts))
-    place, grams = Layout(parts, spread), GramLayout(parts, sum(sizes))
+    place, grams = Layout(parts, spread), GramLayout(parts, number_of_start(sizes))
 
     def pair_gatherer(batches):
         yield from _gatherer(_pairs_of(Words(folder, bits, sizes)), place.part)(batches)
@@ -460,7 +473,7 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> str:
 def _frequent(folder: str, bits: int, sizes: list[int], above: float) -> np.ndarray:
     """Numbers of the tokens that occur more often than ``above``: at most a few times the number of parts. Counts are read from the mapped files."""
     words = Words(folder, bits, sizes)
-    return np.concatenate([np.flatnonzero(c > max(above, 1)) + b for c, b in zip(words.counts, words.base)] or [[]]).astype(np.uint64)
+    return np.sort(np.concatenate([words.number(k, np.flatnonzero(c > max(above, 1))) for k, c in enumerate(words.counts)] or [[]])).astype(np.uint64)
 
 
 def _low_mass(folder: str, meta: dict) -> float:
@@ -523,7 +536,7 @@ class Model:
         self.meta = json.loads(Path(folder, "meta.json").read_text())
         self.words = Words(folder, self.meta["bits"], self.meta["sizes"])
         self.layout = Layout(self.meta["parts"], np.array(self.meta["spread"], np.uint64))
-        self.grams = GramLayout(self.meta["parts"], self.words.size)
+        self.grams = GramLayout(self.meta["parts"], self.words.start)
         self.open: dict[str, np.ndarray | _Table | None] = {}
 
     def table(self, name: str) -> _Table | None:
@@ -557,7 +570,7 @@ class Model:
             head = contexts[rows] & ~self.grams.low
             stats[:, rows] = table.ranges(np.searchsorted(table.keys, head), np.searchsorted(table.keys, head | self.grams.low, "right"))
         count = np.zeros(len(back), np.int64)
-        asked = np.flatnonzero((stats[0][back] > 0) & (columns[-1] < self.words.size))
+        asked = np.flatnonzero((stats[0][back] > 0) & (columns[-1] < self.words.start))
         keys, part = (contexts[back[asked]] & ~self.grams.low) | columns[-1][asked], part[back[asked]]
         order = np.lexsort((keys, part))
         for table, rows in self._by_part(part[order], name):
@@ -598,7 +611,7 @@ class Model:
         order = np.argsort(number, kind="stable")
         of = np.zeros((_KINDS, len(number) + 1), np.int64)  # the last column: the start of a text
         of[:, order] = self.stats(number[order])
-        of[:, -1:] = self.stats(np.array([vocabulary]))
+        of[:, -1:] = self.stats(np.array([self.words.start]))
         before = of[4, :-1]
         d = np.array([0.0, *m["discounts"][0]])
         low = np.maximum(before - d[np.minimum(before, 3)], 0) / max(1, m["pairs"]) + m["low_mass"] / (vocabulary + 1)
@@ -609,7 +622,7 @@ class Model:
             earlier[1:] = places[0][:-1]
             earlier[starts] = len(distinct)
             places.insert(0, earlier)
-        numbers = np.append(number, vocabulary)
+        numbers = np.append(number, self.words.start)
         first, second = numbers[places[-2]], numbers[back]
         asked = (first >= 0) & (second >= 0)
         keys, at = np.unique((first[asked].astype(np.uint64) << np.uint64(32)) | second[asked].astype(np.uint64), return_inverse=True)
