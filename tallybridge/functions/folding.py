@@ -8,15 +8,13 @@ from pyspark.sql import functions as F
 from . import vocab as V
 from .cleaning import once, quoted, strip_parens
 
-#: Words that are taken off a name's end at most.
-PASSES = 16
-
 
 def _strip_tail(c: Column, words: list[str]) -> Column:
-    """Take words off the end, the longest that fits first, never the whole text. The lazy head makes the tail as long as possible."""
+    """Take words off the end until none is left, the longest that fits first, never the whole text. The lazy head makes the tail as long as possible; a text has
+    fewer words at its end than characters."""
     pattern = f"^(.+?)(?:{quoted(words)})$"
     less = lambda t, _: F.regexp_replace(t, pattern, "$1")
-    return once(c, lambda x: F.when(x.rlike(pattern), F.aggregate(F.sequence(F.lit(1), F.lit(PASSES)), x, less)).otherwise(x))
+    return once(c, lambda x: F.when(x.rlike(pattern), F.aggregate(F.sequence(F.lit(2), F.length(x)), x, less)).otherwise(x))
 
 
 def _or_nothing(c: Column) -> Column:

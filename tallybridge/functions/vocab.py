@@ -55,7 +55,6 @@ SAME_FOLD_SCORE = 95.0
 INDUSTRY_FACTOR, INDUSTRY_BELOW, INDUSTRY_TOP = 1.15, 60.0, 59.9
 CONFLICT_FACTOR, CONFLICT_TOP = 0.40, 50.0
 CONTAINED_EDGE, CONTAINED_INSIDE, CONTAINED_SHORT, CONTAINED_SHORT_LENGTH, CONTAINED_LEAST_LENGTH = 15.0, 28.0, 92.0, 3, 2
-TIE = 1e-6
 
 # --- fixed values: texts that results carry ------------------------------------------------------------------------------------------------
 TIERS = ["完全匹配", "高度匹配", "中低匹配", "低置信度匹配", "A系统独有"]

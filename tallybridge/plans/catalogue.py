@@ -305,9 +305,7 @@ def _bare_sql(c: str) -> str:
 
 def _tail_sql(c: str, words: list[str]) -> str:
     pattern = _q(f"^(.+?)(?:{cleaning.quoted(words)})$")
-    for _ in range(8):
-        c = f"regexp_replace({c}, {pattern}, '\\1')"
-    return c
+    return f"list_reduce(list_prepend({c}, list_transform(range(length({c})), lambda i: '')), lambda t, x: regexp_replace(t, {pattern}, '\\1'))"
 
 
 def _nothing_sql(c: str) -> str:

@@ -49,7 +49,7 @@ def strip_tail(text, words):
 def test_folding_matches_a_plain_loop(spark):
     rng = random.Random(4)
     parts = [*V.GENERIC, *V.INDUSTRIES, *V.REGIONS, "顺", "丰", "哔哩"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 7))) for _ in range(400)]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 7))) for _ in range(400)] + ["顺丰" + "科技" * 20, "顺" + "厂" * 40 + "控股" * 25, "店" * 30]
     fold = folding.collapse_generic(F.col("t"))
     got = values(spark, texts, fold, folding.collapse_industry(fold))
     for t, (a, b) in zip(texts, got):
@@ -112,11 +112,72 @@ def test_ratios_of_long_texts():
     assert similarity.partial_ratio(a, b) == pytest.approx([plain_partial(x, y) for x, y in zip(a, b)])
 
 
+def plain_jaro_winkler(a, b):
+    if not a or not b:
+        return 100.0 if a == b else 0.0
+    reach = max(0, max(len(a), len(b)) // 2 - 1)
+    free, pairs = list(range(len(b))), []
+    for i, c in enumerate(a):
+        j = next((j for j in free if b[j] == c and abs(i - j) <= reach), None)
+        if j is not None:
+            free.remove(j)
+            pairs.append(j)
+    if not pairs:
+        return 0.0
+    m = len(pairs)
+    hit = [b[j] for j in pairs]
+    moved = sum(x != y for x, y in zip(hit, [b[j] for j in sorted(pairs)])) // 2
+    s = (m / len(a) + m / len(b) + (m - moved) / m) / 3
+    start = 0
+    while start < min(4, len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    return 100 * (s + start * 0.1 * (1 - s) if s > 0.7 else s)
+
+
 def test_jaro_winkler():
-    assert similarity.jaro_winkler("MARTHA", "MARHTA") == pytest.approx(96.1111, abs=1e-3)
-    assert similarity.jaro_winkler("DIXON", "DICKSONX") == pytest.approx(81.3333, abs=1e-3)
-    assert similarity.jaro_winkler("中国石油", "中国石化") == pytest.approx(88.3333, abs=1e-3)
-    assert similarity.jaro_winkler("", "a") == 0 and similarity.jaro_winkler("", "") == 100
+    got = similarity.jaro_winkler(["MARTHA", "DIXON", "中国石油", "", ""], ["MARHTA", "DICKSONX", "中国石化", "a", ""])
+    assert got.tolist() == pytest.approx([96.1111, 81.3333, 88.3333, 0, 100], abs=1e-3)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(text, text), min_size=1, max_size=8))
+def test_jaro_winkler_matches_a_plain_version(pairs):
+    a, b = [p[0] for p in pairs], [p[1] for p in pairs]
+    assert similarity.jaro_winkler(a, b).tolist() == pytest.approx([plain_jaro_winkler(x, y) for x, y in pairs])
+
+
+def plain_factor(a, b):
+    """By regular expression and slices of all splits: the longest common start, then the longest common end of what is left."""
+    import os.path
+
+    if not a or not b:
+        return 1.0
+    start = len(os.path.commonprefix([a, b]))
+    a, b = a[start:][::-1], b[start:][::-1]
+    end = len(os.path.commonprefix([a, b]))
+    short, long = sorted((a[end:][::-1], b[end:][::-1]), key=len)
+    if not short:
+        return {0: 1.0, 1: 1.0, 2: 0.55}.get(len(long), 0.40)
+    if len(long) == 1 or (len(short) < 3 and short in long):
+        return 1.0
+    r = plain_ratio(short, long)
+    return 1.0 if r >= 70 else 0.9 if r >= 45 else 0.5
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.tuples(text, text, text, text), min_size=1, max_size=8))
+def test_penalties_match_a_plain_version(parts):
+    a, b = [p + x + q for p, x, _, q in parts], [p + y + q for p, _, y, q in parts]
+    bare_a, bare_b = [x.replace("b", "") for x in a], [x.replace("b", "") for x in b]
+    want = [1.0 if c == d else min(plain_factor(x, y), plain_factor(c, d)) for x, y, c, d in zip(a, b, bare_a, bare_b)]
+    assert similarity.divergence_penalty(a, b, bare_a, bare_b).tolist() == want
+
+
+def test_penalties_of_long_texts():
+    rng = random.Random(6)
+    a = ["x" + "".join(rng.choice("abcd") for _ in range(n)) + "y" for n in (63, 64, 65, 150)]
+    b = ["x" + "".join(rng.choice("abcd") for _ in range(n)) + "y" for n in (64, 64, 80, 140)]
+    assert similarity.divergence_penalty(a, b, a, b).tolist() == [plain_factor(x, y) for x, y in zip(a, b)]
 
 
 def test_penalties():
