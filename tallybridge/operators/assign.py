@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-
-#: Participants served in turn, and turns in a chunk: a task holds candidates of one chunk.
-SERIAL, CHUNK = 100_000, 2000
+from .shared import release, written
 
 
 def with_tie_keys(pairs: DataFrame, a: DataFrame, b: DataFrame, *, amount: tuple[str, str] | None = None, date: tuple[str, str] | None = None) -> DataFrame:
@@ -29,7 +22,7 @@ def with_tie_keys(pairs: DataFrame, a: DataFrame, b: DataFrame, *, amount: tuple
 
 
 def preference() -> list[Column]:
-    """How a ledger row ranks candidates: score, same day, amount gap, then the statement's order."""
+    """How a ledger row ranks candidates: score, same day, amount gap, then the statement's order. Scores have four places, so those within 1e-6 are equal."""
     return [F.col("score").desc(), F.col("same_day").desc(), F.col("gap").asc(), F.col("b_idx").asc()]
 
 
@@ -54,83 +47,41 @@ def mutual_best(pairs: DataFrame) -> DataFrame:
     return mine.join(best_per_b(pairs).select("b_idx", "a_idx"), ["a_idx", "b_idx"])
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """``df`` through a table in the shared folder: its plan is cut and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        folder = "file://" + tempfile.mkdtemp(prefix="tallybridge-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/assign-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _serve(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One chunk in turn: each ledger row takes its first candidate that is still free."""
-    pdf = pdf.sort_values(["turn", "rank"], kind="stable")
-    taken: set[int] = set()
-    rows = []
-    for turn, a, wants in ((t, g["a_idx"].iloc[0], g[["b_idx", "score"]].itertuples(index=False)) for t, g in pdf.groupby("turn", sort=True)):
-        for b, score in wants:
-            if b not in taken:
-                taken.add(b)
-                rows.append((a, b, score))
-                break
-    return pd.DataFrame(rows, columns=["a_idx", "b_idx", "score"])
-
-
-def _in_turn(order: DataFrame, turns: DataFrame, n: int) -> DataFrame:
-    """Serial assignment in chunks of ``CHUNK`` turns. Within a chunk only as many free candidates of a row matter as rows have come before it
-    there, so what a task holds is bounded by the square of the chunk."""
-    out = None
-    for start in range(0, n, CHUNK):
-        own = turns.where((F.col("turn") > start) & (F.col("turn") <= start + CHUNK))
-        free = order.join(own, "a_idx")
-        if out is not None:
-            free = free.join(out.select("b_idx"), "b_idx", "left_anti")
-        place = F.row_number().over(Window.partitionBy("a_idx").orderBy("rank"))
-        free = free.withColumn("_p", place).where(F.col("_p") <= F.col("turn") - start).drop("_p")
-        served = free.groupBy(F.lit(0).alias("_one")).applyInPandas(lambda _, pdf: _serve(pdf), "a_idx long, b_idx long, score double")
-        out = _written(served if out is None else out.union(served))
-    return out
-
-
 def _by_proposals(order: DataFrame, turns: DataFrame) -> DataFrame:
-    """The same by rounds of proposals: a row proposes to its best candidate that is free or held by a later turn, and the earliest turn holds.
-    Holders only ever get earlier, so candidates that would turn a row down are passed over for good; rounds end when nobody is turned down."""
-    state = _written(order.where("rank = 1").join(turns, "a_idx").select("a_idx", "turn", "b_idx", "score"))
+    """(a_idx, b_idx, score) as if rows were served in turn, by rounds of proposals.
+
+    A row proposes to its best candidate that is free or held by a later turn, and the earliest turn holds. Holders only ever get earlier, so candidates that
+    would turn a row down are passed over for good; rounds end when nobody is turned down. A round reads the candidates of those who were alone.
+    """
+    state = written(order.where("rank = 1").join(turns, "a_idx").select("a_idx", "turn", "b_idx", "score"), "proposals")
     while True:
         holders = state.where(F.col("b_idx").isNotNull()).groupBy("b_idx").agg(F.min("turn").alias("held"))
-        judged = _written(state.join(holders, "b_idx", "left").withColumn("out", F.coalesce(F.col("turn") != F.col("held"), F.lit(False))))
+        judged = written(state.join(holders, "b_idx", "left").withColumn("out", F.coalesce(F.col("turn") != F.col("held"), F.lit(False))), "judged")
         lost = judged.where("out").select("a_idx", "turn")
         if lost.isEmpty():
             return state.where(F.col("b_idx").isNotNull()).select("a_idx", "b_idx", "score")
         kept = judged.where(~F.col("out")).select("a_idx", "turn", "b_idx", "score")
-        open_to = order.join(lost, "a_idx").join(judged.where(~F.col("out")).select("b_idx", "held").where(F.col("b_idx").isNotNull()), "b_idx", "left")
-        open_to = open_to.where(F.col("held").isNull() | (F.col("held") > F.col("turn")))
+        held = judged.where(~F.col("out") & F.col("b_idx").isNotNull()).select("b_idx", "held")
+        open_to = order.join(lost, "a_idx").join(held, "b_idx", "left").where(F.col("held").isNull() | (F.col("held") > F.col("turn")))
         asked = open_to.groupBy("a_idx").agg(F.min_by(F.struct("b_idx", "score"), "rank").alias("_to"))
-        state = _written(kept.unionByName(lost.join(asked, "a_idx", "left").select("a_idx", "turn", F.col("_to.b_idx").alias("b_idx"), F.col("_to.score").alias("score"))))
+        after = written(kept.unionByName(lost.join(asked, "a_idx", "left").select("a_idx", "turn", F.col("_to.b_idx").alias("b_idx"), F.col("_to.score").alias("score"))), "proposals")
+        release(state)
+        release(judged)
+        state = after
 
 
-def assign(pairs: DataFrame, floor: float = 60.0, prune_below_floor: bool = False, serial_up_to: int = SERIAL) -> DataFrame:
+def assign(pairs: DataFrame, floor: float = 60.0, prune_below_floor: bool = False) -> DataFrame:
     """One-to-one assignment: (a_idx, b_idx, score, best_idx, best_score, displaced, assigned).
 
     Ledger rows whose best score reaches ``floor`` take part, in order of that score and then of a_idx; each takes its best statement row that no
-    earlier one took. Up to ``serial_up_to`` participants are served in turn, chunk by chunk; more of them by rounds of proposals, which end the same
-    because all statement rows rank ledger rows alike. A row may end with a candidate below the floor, which then still occupies it;
-    ``prune_below_floor`` leaves such candidates out. Rows without any candidate left keep their best one with score 0.
+    earlier one took. All statement rows rank ledger rows alike, so rounds of proposals end with the result of serving them in turn, whatever their number.
+    A row may end with a candidate below the floor, which then still occupies it; ``prune_below_floor`` leaves such candidates out. Rows without any candidate left
+    keep their best one with score 0. Rows without any pair in ``pairs`` are not there.
     """
-    order = _written(ranked(pairs.where(F.col("score") >= floor) if prune_below_floor else pairs).select("a_idx", "b_idx", "score", "rank"))
+    order = written(ranked(pairs.where(F.col("score") >= floor) if prune_below_floor else pairs).select("a_idx", "b_idx", "score", "rank"), "ranked")
     best = order.where(F.col("rank") == 1).select("a_idx", F.col("b_idx").alias("best_idx"), F.col("score").alias("best_score"))
-    taking = _written(best.where(F.col("best_score") >= floor).select("a_idx", "best_score"))
-    n = taking.count()
-    if n <= serial_up_to:
-        turns = _written(taking.select("a_idx", F.row_number().over(Window.orderBy(F.col("best_score").desc(), "a_idx")).cast("long").alias("turn")))  # bounded by the check
-        final = _in_turn(order, turns, n) if n else order.limit(0).select("a_idx", "b_idx", "score")
-    else:
-        turns = _written(taking.select("a_idx", F.struct((-F.col("best_score")).alias("o"), "a_idx").alias("turn")))
-        final = _by_proposals(order, turns)
+    turns = written(best.where(F.col("best_score") >= floor).select("a_idx", F.struct((-F.col("best_score")).alias("o"), "a_idx").alias("turn")), "turns")
+    final = _by_proposals(order, turns)
     out = best.join(final, "a_idx", "left").withColumn("taking", F.col("best_score") >= floor)
     score = F.when(~F.col("taking"), F.col("best_score")).otherwise(F.coalesce("score", F.lit(0.0)))
     assigned = F.col("taking") & F.col("b_idx").isNotNull()
@@ -146,7 +97,8 @@ def claim_groups(pairs: DataFrame, floor: float = 60.0) -> DataFrame:
 
 
 def sample_band(results: DataFrame, low: float, high: float, k: int = 3, seed: int = 42) -> DataFrame:
-    """k rows with low <= score < high, chosen by a seeded hash, in the order of a_idx."""
-    return results.where((F.col("score") >= low) & (F.col("score") < high)).orderBy(F.xxhash64("a_idx", F.lit(seed))).limit(k).orderBy("a_idx")
+    """k rows with low <= score < high, chosen by a seeded digest, in the order of a_idx."""
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("a_idx").cast("string")))
+    return results.where((F.col("score") >= low) & (F.col("score") < high)).orderBy(drawn).limit(k).orderBy("a_idx")
 
 

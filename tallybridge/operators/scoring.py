@@ -17,8 +17,8 @@ from ..functions import vocab as V
 
 #: What scores can be made of; the weights of one measure are 1.
 ALGORITHMS = {"weighted": V.WEIGHTS} | {k: {k: 1.0} for k in ("ratio", "partial", "wratio", "core", "jaro_winkler")}
-#: Names that are sent to all tasks at most; above, both sides are dealt out in a grid.
-BROADCAST_NAMES = 200_000
+#: Names that are sent to all tasks at most; above, both sides are dealt out in a grid of tiles of so many names a side.
+BROADCAST_NAMES, TILE_NAMES = 200_000, 5_000
 
 
 @dataclass(frozen=True)
@@ -76,9 +76,16 @@ def candidates(a: DataFrame, b: DataFrame, blocking: str | None = None) -> DataF
         spark = a.sparkSession
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
         return a.repartition(parts).crossJoin(F.broadcast(b))
-    parts = -(-n // BROADCAST_NAMES)
-    tiles = b.withColumn("tile", F.pmod(F.xxhash64("b_clean"), F.lit(parts)))
-    return a.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).join(tiles, "tile").drop("tile")
+    return _grid(a, b, -(-a.count() // TILE_NAMES), -(-n // TILE_NAMES))
+
+
+def _grid(a: DataFrame, b: DataFrame, rows: int, columns: int) -> DataFrame:
+    """All pairs by a join of equal tiles: a name goes to one row or column of the grid and is copied along it, so a task holds one tile's names of either side."""
+    across = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n, 1) - 1).cast("long")))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(max(n, 1)).cast("long"))
+    left = a.withColumn("tile_a", own("a_clean", rows)).withColumn("tile_b", across(columns))
+    right = b.withColumn("tile_b", own("b_clean", columns)).withColumn("tile_a", across(rows))
+    return left.join(right, ["tile_a", "tile_b"]).drop("tile_a", "tile_b")
 
 
 def base_score(algorithm: str = "weighted") -> Column:
@@ -127,6 +134,21 @@ def score_names(a: DataFrame, b: DataFrame, algorithm: str = "weighted", blockin
     return pairs.withColumn("score", F.when(named, ruled(F.col("base"), F.col("penalty"))).otherwise(F.lit(0.0)))
 
 
+def best_names(scored: DataFrame, first_b: DataFrame, least: float = 0.0) -> DataFrame:
+    """(a_clean, b_idx, score): of every ledger name the statement row with the highest score above ``least``, the smallest b_idx on ties.
+
+    ``first_b`` (b_clean, b_idx) is the smallest row of every statement name. One aggregation with partial sums; no pair is kept.
+    """
+    met = scored.where(F.col("score") > least).join(F.broadcast(first_b) if first_b.count() <= BROADCAST_NAMES else first_b, "b_clean")
+    # one number ranks a pair: its score in ten-thousandths, then its row from the largest down; a maximum of numbers is hashed, one of structs would be sorted
+    span, last = F.expr(f"CAST('{1 << 64}' AS DECIMAL(20,0))"), F.lit((1 << 63) - 1).cast("decimal(20,0)")
+    place = F.rint(F.col("score") * 10000).cast("decimal(8,0)") * span + (last - F.col("b_idx").cast("decimal(20,0)"))
+    best = met.groupBy("a_clean").agg(F.max(place.cast("decimal(30,0)")).alias("best"))
+    rest = F.pmod(F.col("best"), span)
+    score = ((F.col("best") - rest) / span).cast("double")
+    return best.select("a_clean", (last - rest).cast("long").alias("b_idx"), (score / 10000).alias("score"))
+
+
 def score_records(a: DataFrame, b: DataFrame, a_name: str, b_name: str, *, a_key: str = "a_idx", b_key: str = "b_idx", algorithm: str = "weighted", blocking: str | None = None, least: float = 0.0) -> DataFrame:
     """(a_key, b_key, score and the measures) of records whose names score above ``least``."""
     scored = score_names(names(a, a_name, "a"), names(b, b_name, "b"), algorithm, blocking).where(F.col("score") > least)

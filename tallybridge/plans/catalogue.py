@@ -219,9 +219,12 @@ def blocked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every ledger row that has a candidate above 0 the best one; names are ranked, records follow."""
     a, b = _both(spark, sf_dir)
-    pairs = scoring.score_records(a, b, "客户名称", "对方户名").withColumn("same_day", F.lit(False)).withColumn("gap", F.lit(0.0))
-    return S.top_candidates(pairs, 1).select("a_idx", "b_idx", "score", scoring.Thresholds().tier(F.col("score")).alias("tier"))
+    first = b.groupBy(cleaning.clean_name(F.col("对方户名")).alias("b_clean")).agg(F.min("b_idx").alias("b_idx"))
+    best = scoring.best_names(scoring.score_names(*_name_tables(spark, sf_dir)), first)
+    rows = a.select("a_idx", cleaning.clean_name(F.col("客户名称")).alias("a_clean")).join(best, "a_clean")
+    return rows.select("a_idx", "b_idx", "score", scoring.Thresholds().tier(F.col("score")).alias("tier"))
 
 
 # --- whole runs ------------------------------------------------------------------------------------------------------------------------

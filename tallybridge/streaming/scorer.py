@@ -2,29 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
-from ..functions import cleaning, folding, similarity
+from ..functions import cleaning
 from ..operators import scoring
 
 
-def best_for_stream(stream: DataFrame, ledger: DataFrame, stream_name: str, ledger_name: str, *, key: str = "b_idx", watermark: tuple[str, str] | None = None, thresholds: scoring.Thresholds = scoring.Thresholds()) -> DataFrame:
-    """(key, a_clean, score, tier): the best ledger name of every streamed row, found within its micro-batch, without state.
+def best_of_batch(rows: DataFrame, ledger: DataFrame, rows_name: str, ledger_name: str, *, key: str = "b_idx", algorithm: str = "weighted", thresholds: scoring.Thresholds = scoring.Thresholds()) -> DataFrame:
+    """(key, a_clean, score, tier): the best ledger name of every row, by the scores of the batch plan; the first name of equals, score 0 and no name for a row
+    that nothing is like."""
+    pairs = scoring.score_names(scoring.names(ledger, ledger_name, "a"), scoring.names(rows, rows_name, "b"), algorithm).where(F.col("score") > 0)
+    best = pairs.groupBy("b_clean").agg(F.min_by(F.struct("a_clean", "score"), F.struct((-F.col("score")).alias("o"), "a_clean")).alias("best"))
+    told = rows.select(key, cleaning.clean_name(F.col(rows_name).cast("string")).alias("b_clean")).join(best, "b_clean", "left")
+    score = F.coalesce("best.score", F.lit(0.0))
+    return told.select(key, F.col("best.a_clean").alias("a_clean"), score.alias("score"), thresholds.tier(score).alias("tier"))
+
+
+def best_for_stream(stream: DataFrame, ledger: DataFrame, stream_name: str, ledger_name: str, write: Callable[[DataFrame, int], None], **options) -> DataStreamWriter:
+    """A writer that scores every micro-batch as a batch of its own and hands the result to ``write``; nothing is kept between batches. Start it as any other.
 
-    The ledger's distinct names are broadcast; more than ``scoring.BROADCAST_NAMES`` of them are refused.
+    ``options`` are those of ``best_of_batch``. A repeated micro-batch has the same number, so an idempotent ``write`` makes results exactly once.
     """
-    names = scoring.names(ledger, ledger_name, "a")
-    if names.count() > scoring.BROADCAST_NAMES:
-        raise ValueError("the ledger has too many names to send to every task; use the batch plan")
-    if watermark:
-        stream = stream.withWatermark(*watermark)
-    b = stream.select(key, cleaning.clean_name(F.col(stream_name).cast("string")).alias("b_clean"))
-    b = b.select("*", cleaning.strip_punct(F.col("b_clean")).alias("b_core"), cleaning.strip_parens(F.col("b_clean")).alias("b_bare"), folding.collapse_generic(F.col("b_clean")).alias("b_fold"), folding.protected_in(F.col("b_clean")).alias("b_protected"))
-    b = b.withColumn("b_industry", folding.collapse_industry(F.col("b_fold")))
-    packed = names.agg(F.collect_list(F.struct(*names.columns)).alias("_all"))  # bounded by the check above
-    pairs = b.crossJoin(F.broadcast(packed)).withColumn("_a", F.explode("_all")).select(*b.columns, "_a.*")
-    pairs = pairs.withColumn("_s", similarity.pair_scores("a_clean", "b_clean", "a_core", "b_core", "a_bare", "b_bare")).select("*", "_s.*").drop("_s")
-    pairs = pairs.withColumn("score", scoring.ruled(scoring.base_score(), F.col("penalty")))
-    best = pairs.groupBy(key).agg(F.max_by(F.struct("a_clean", "score"), F.struct("score", "a_clean")).alias("_m"))
-    return best.select(key, "_m.a_clean", "_m.score", thresholds.tier(F.col("_m.score")).alias("tier"))
+    return stream.writeStream.foreachBatch(lambda rows, number: write(best_of_batch(rows, ledger, stream_name, ledger_name, **options), number))

@@ -54,14 +54,13 @@ def serial(pairs, floor):
     return out
 
 
-@pytest.mark.parametrize("seed,chunk,serial_up_to", [(0, 2000, 100), (1, 3, 100), (0, 1, 0), (1, 1, 0)])
-def test_assignment_is_the_serial_one(spark, monkeypatch, seed, chunk, serial_up_to):
-    monkeypatch.setattr(assign, "CHUNK", chunk)
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_assignment_is_the_serial_one(spark, seed):
     rng = random.Random(seed)
     n, m = rng.randint(3, 14), rng.randint(2, 10)
     pairs = [(a, b, float(rng.choice([20, 55, 60, 70, 80, 90, 100]))) for a in range(n) for b in range(m)]
     df = spark.createDataFrame(pairs, "a_idx long, b_idx long, score double").withColumn("same_day", F.lit(False)).withColumn("gap", F.lit(0.0))
-    got = {r.a_idx: r for r in assign.assign(df, 60.0, serial_up_to=serial_up_to).collect()}
+    got = {r.a_idx: r for r in assign.assign(df, 60.0).collect()}
     want = serial(pairs, 60.0)
     assert {a: (r.b_idx, r.score) for a, r in got.items() if r.assigned} == {a: p for a, p in want.items() if p}
     assert all(got[a].score == 0 and not got[a].assigned for a, p in want.items() if p is None)
@@ -136,15 +135,44 @@ def test_arbiter(spark):
     assert arbiter.parse_reply({}) is None and arbiter.parse_reply({"content": "no"}) is None
     pairs = spark.createDataFrame([(0, 0, "x", "y", 65.0), (1, 1, "x", "z", 80.0), (2, 2, "bad", "z", 61.0)], "a_idx long, b_idx long, a_name string, b_name string, score double")
 
-    def ask(x, y):
+    def ask(x, y, context):
         if x == "bad":
             raise OSError
-        return {"content": '{"same_entity": false}'}
+        return {"content": f'Here it is: {{"same_entity": false, "reason": "{context["score"]}"}}'}
 
-    assert [tuple(r)[:4] for r in arbiter.arbitrate(pairs, ask).collect()] == [(0, 0, False, 0.5)]
+    assert [tuple(r)[:5] for r in arbiter.arbitrate(pairs, ask).collect()] == [(0, 0, False, 0.5, "65.0")]
     assert arbiter.arbitrate(pairs, None).count() == 0
 
 
+def test_arbiter_service(monkeypatch):
+    import http.server
+    import json
+    import threading
+
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked.append((self.headers["Authorization"], json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"completion": '{"same_entity": true, "confidence": 0.9, "reason": "x"}'}).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.delenv(arbiter.ENDPOINT, raising=False)
+    assert arbiter.service() is None
+    monkeypatch.setenv(arbiter.ENDPOINT, f"http://127.0.0.1:{server.server_port}/")
+    monkeypatch.setenv(arbiter.KEY, "k")
+    assert arbiter.parse_reply(arbiter.service(model="m")("甲", "乙", {"score": 61})) == arbiter.Verdict(True, 0.9, "x")
+    (key, body) = asked[0]
+    assert key == "Bearer k" and body["model"] == "m" and "甲" in body["messages"][0]["content"] and "61" in body["messages"][0]["content"]
+    server.shutdown()
+
+
 def test_workbooks(spark, tmp_path):
     run = linkage.link(*sides(spark))
     path, counts = tables.export_workbook(run, str(tmp_path), "t")
@@ -175,14 +203,34 @@ def test_command_line(spark, tmp_path, capsys):
 def test_stream(spark, tmp_path):
     from tallybridge.streaming.scorer import best_for_stream
 
-    a, b = sides(spark)
+    a, b = sides(spark, b=[*B, (4, "", "1", None), (5, "%", "1", None)])
     b.write.parquet(str(tmp_path / "b"))
     stream = spark.readStream.schema(b.schema).parquet(str(tmp_path / "b"))
-    q = best_for_stream(stream, a, "对方户名", "客户名称").writeStream.format("memory").queryName("best").outputMode("complete").start()
+    got = {}
+
+    def write(best, number):
+        got.update({r.b_idx: (r.a_clean, r.score, r.tier) for r in best.collect()})
+
+    q = best_for_stream(stream, a, "对方户名", "客户名称", write).start()
     q.processAllAvailable()
     q.stop()
-    got = {r.b_idx: (r.a_clean, r.score) for r in spark.table("best").collect()}
-    assert got[0] == ("顺丰控股股份有限公司", 100.0) and got[1] == ("腾讯", 92.0) and len(got) == 4
+    assert got[0][:2] == ("顺丰控股股份有限公司", 100.0) and got[1][:2] == ("腾讯", 92.0) and len(got) == 6
+    assert got[4] == (None, 0.0, "A系统独有")  # an empty name is like nothing, a null ledger name included
+
+
+def test_grid_makes_every_pair_once(spark, monkeypatch):
+    a = spark.createDataFrame([(f"a{k}",) for k in range(23)], "a_clean string")
+    b = spark.createDataFrame([(f"b{k}",) for k in range(17)], "b_clean string")
+    monkeypatch.setattr(scoring, "BROADCAST_NAMES", 5)
+    monkeypatch.setattr(scoring, "TILE_NAMES", 4)
+    got = [tuple(r) for r in scoring.candidates(a, b).select("a_clean", "b_clean").collect()]
+    assert len(got) == 23 * 17 == len(set(got))
+
+
+def test_progress_and_log(spark):
+    told, said = [], []
+    linkage.link(*sides(spark), progress=lambda done, what: told.append(done), log=said.append)
+    assert told == sorted(told) and told[0] == 0 and told[-1] == 100 and any("matched: 3" in x for x in said)
 
 
 def test_numbering_over_several_spans(spark):
