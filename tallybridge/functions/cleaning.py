@@ -67,7 +67,8 @@ def add_clean_columns(df: DataFrame, name: str) -> DataFrame:
 
 
 def unicode_report(c: Column) -> Column:
-    """Length, code points, whether white space surrounds the text, places of invisible characters, whether there is more than ASCII."""
+    """Length, code points, whether white space surrounds the text, places, code points and names of invisible characters, whether there is more than ASCII,
+    and the category letter of every character."""
     chars = F.filter(F.split(c, ""), lambda x: x != "")
     point = lambda x: F.concat(F.lit("U+"), F.lpad(F.hex(F.conv(F.hex(F.encode(x, "UTF-32")), 16, 10).cast("long")), 4, "0"))
     kinds = [("L", r"^\p{L}"), ("M", r"^\p{M}"), ("N", r"^\p{N}"), ("P", r"^\p{P}"), ("S", r"^\p{S}"), ("Z", r"^\p{Z}")]
@@ -78,7 +79,13 @@ def unicode_report(c: Column) -> Column:
             out = F.when(x.rlike(pattern), letter).otherwise(out)
         return out
 
-    places = F.filter(F.transform(chars, lambda x, i: F.when(has_invisible(x) | x.rlike(r"^[\p{Cc}\p{Cf}\x{20}]"), F.struct(i.alias("place"), point(x).alias("point")))), lambda s: s.isNotNull())
+    def meaning(x: Column) -> Column:
+        out = F.lit("")
+        for code, name in V.MEANINGS.items():
+            out = F.when(x == chr(code), name).otherwise(out)
+        return out
+
+    places = F.filter(F.transform(chars, lambda x, i: F.when(has_invisible(x) | x.rlike(r"^[\p{Cc}\p{Cf}\x{20}]"), F.struct(i.alias("place"), point(x).alias("point"), meaning(x).alias("meaning")))), lambda s: s.isNotNull())
     return F.struct(
         F.length(c).alias("length"), F.array_join(F.transform(chars, point), " ").alias("codepoints"), (c.rlike(r"(?U)^\s|\s$")).alias("surrounded"),
         places.alias("invisibles"), c.rlike(r"[^\x00-\x7F]").alias("non_ascii"), F.array_join(F.transform(chars, kind), "").alias("categories"),

@@ -63,5 +63,15 @@ TAGS = [
     "包含关系（附加分支机构）", "包含关系（附加组织形式）", "包含关系（简称 vs 全称）", "字号一致", "疑似错别字", "字号不同", "同一字号（通用词差异）", "括号附注不同",
     "关键字号冲突", "括号内信息不同", "含中英文字符", "数字不同", "长度差异", "非互为最优", "已让位（首选被更高分记录认领）", "低置信度（建议逐条核实）",
 ]
+#: Differences of two raw names as the console shows them.
+DIFFERENCES = {
+    "same": "名称完全一致", "brackets": "括号全/半角格式不同", "invisible": "含不可见字符", "spaces": "存在多余空格", "case": "含英文大小写差异", "clean": "清洗后完全一致", "added_b": "B在A基础上附加",
+    "added_a": "A在B基础上附加", "other": "字号不同", "near": "字号近似", "notes": "括号内附加信息不同", "from": "第{}字起不同", "length": "长度 {}字 vs {}字", "none": "（无）", "unknown": "字符存在差异",
+}
+#: What invisible characters are called in reports.
+MEANINGS = {
+    0x00A0: "NBSP 不换行空格", 0x3000: "IDEOGRAPHIC SPACE 全角空格", 0x200B: "ZERO WIDTH SPACE 零宽空格", 0xFEFF: "BOM / ZERO WIDTH NO-BREAK SPACE", 0x0009: "TAB 制表符", 0x000A: "LF 换行", 0x000D: "CR 回车",
+    0x2028: "LINE SEPARATOR 行分隔符", 0x2029: "PARAGRAPH SEPARATOR 段分隔符",
+}
 A_COLUMNS = ["序号", "客户编码", "客户名称", "交易金额（元）", "交易日期", "业务类型", "部门"]
 B_COLUMNS = ["序号", "对方户名", "对方账号", "交易金额（元）", "交易日期", "流水号", "摘要"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import cleaning, folding
+from ..functions import cleaning, folding, similarity
 from ..functions import vocab as V
 
 NO_TAGS = "cast(array() as array<struct<tag:string,detail:string>>)"
@@ -99,3 +99,37 @@ def explain_text(tags: Column, sep: str = "；", limit: int = 5) -> Column:
     one = lambda t: F.when(t["detail"] != "", F.concat(t["tag"], F.lit("（"), t["detail"], F.lit("）"))).otherwise(t["tag"])
     text = F.array_join(F.transform(F.slice(tags, 1, limit), one), sep)
     return F.when(F.size(tags) > limit, F.concat(text, F.lit(f"{sep}…（共"), F.size(tags).cast("string"), F.lit("项）"))).otherwise(text)
+
+
+def differences(raw_a: Column, raw_b: Column) -> Column:
+    """array<string>: how two raw names differ, for the console: first in how they are written, then, where cleaning leaves a difference, in what they say."""
+    d = V.DIFFERENCES
+    a, b = cleaning.clean_name(raw_a), cleaning.clean_name(raw_b)
+    bare = cleaning.strip_parens
+    told = lambda *parts: F.array(F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)))
+    none = F.expr("cast(array() as array<string>)")
+    if_ = lambda condition, reasons: F.when(condition, reasons).otherwise(none)
+    half = lambda c: F.translate(c, "（）", "()")
+    spaced = raw_a.rlike(r"(?U)\s") | raw_b.rlike(r"(?U)\s")
+    written = F.concat(
+        if_(half(raw_a) == half(raw_b), told(d["brackets"])),
+        F.when(cleaning.has_invisible(raw_a) | cleaning.has_invisible(raw_b), told(d["invisible"])).when(spaced, told(d["spaces"])).otherwise(none),
+        if_((F.upper(raw_a) != raw_a) | (F.upper(raw_b) != raw_b), told(d["case"])),
+    )
+    ca, cb = cores(a, b)
+    penalty = similarity.penalty_factor(a, b, bare(a), bare(b))
+    either = lambda c: F.when(c == "", d["none"]).otherwise(c)
+    between = lambda show: [F.lit("「"), show(ca), F.lit("」vs「"), show(cb), F.lit("」")]
+    notes = lambda c: F.regexp_extract_all(c, F.lit(r"\(([^)]*)\)"), F.lit(1))
+    trade = F.when(penalty <= V.PENALTY_TWO, told(d["other"], *between(either))).when(penalty < 1, told(d["near"], *between(lambda c: c))).otherwise(none)
+    said = F.concat(trade, if_(notes(a) != notes(b), told(d["notes"])))
+    n = F.least(F.length(a), F.length(b))
+    same_start = F.array_max(F.filter(F.sequence(F.lit(0), n), lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)))
+    before, after = d["from"].split("{}")
+    said = F.when((F.size(said) == 0) & (F.size(written) == 0), told(before, (same_start + 1).cast("string"), after, *between(either))).otherwise(said)
+    added = lambda text, long, short: told(text, "「", _without_first(long, short), "」")
+    relation = F.when(F.contains(b, a), added(d["added_b"], b, a)).when(F.contains(a, b), added(d["added_a"], a, b)).otherwise(said)
+    x, y, z = d["length"].split("{}")
+    length = if_(F.abs(F.length(a) - F.length(b)) >= 2, told(x, F.length(a).cast("string"), y, F.length(b).cast("string"), z))
+    or_else = lambda reasons, text: F.when(F.size(reasons) == 0, told(text)).otherwise(reasons)
+    return F.when(raw_a == raw_b, told(d["same"])).when(a == b, or_else(written, d["clean"])).otherwise(or_else(F.concat(written, relation, length), d["unknown"]))

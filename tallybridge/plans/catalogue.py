@@ -123,8 +123,10 @@ def lenient_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unicode_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = statement(spark, sf_dir).select("b_idx", cleaning.unicode_report(F.col("对方户名")).alias("r"))
-    return b.select("b_idx", "r.length", "r.codepoints", "r.surrounded", F.size("r.invisibles").alias("n_invisible"), "r.non_ascii", "r.categories")
+    a, b = _both(spark, sf_dir)
+    rows = a.select(F.lit("a").alias("side"), F.col("a_idx").alias("idx"), F.col("客户名称").alias("raw")).union(b.select(F.lit("b"), "b_idx", "对方户名"))
+    told = rows.select("side", "idx", cleaning.unicode_report(F.col("raw")).alias("r"))
+    return told.select("side", "idx", F.col("r.length").cast("long").alias("length"), "r.codepoints", "r.surrounded", F.size("r.invisibles").cast("long").alias("n_invisible"), F.array_join("r.invisibles.meaning", ";").alias("meanings"), "r.non_ascii", "r.categories")
 
 
 # --- pairs -----------------------------------------------------------------------------------------------------------------------------
@@ -255,7 +257,9 @@ def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claim_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.claim_groups(_run(spark, sf_dir).pairs)
+    """Statement rows that some ledger row wants, with all that do, the best first."""
+    g = S.claim_groups(_run(spark, sf_dir).pairs)
+    return g.select("b_idx", "n", F.array_join(F.transform("claimants", lambda c: c["a_idx"].cast("string")), ",").alias("claimants"), F.col("claimants")[0]["score"].alias("best"))
 
 
 def status_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,7 +272,7 @@ def reconciliation_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.sample_band(_run(spark, sf_dir).done, 40, 60)
+    return S.sample_band(_run(spark, sf_dir).done, 40, 60).select("a_idx", "b_idx", "score", "tier")
 
 
 def tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,7 +372,21 @@ def _windows_sql(m: str, n: str, masks: str) -> str:
     return f"greatest({whole}, {heads})"
 
 
-def _with_scores() -> str:
+def _jaro_winkler_sql(a: str, b: str) -> dict[str, str]:
+    """Steps to the Jaro-Winkler similarity of two columns, in code points: the greedy walk, what it found, the similarity. A set of taken places is a number's bits."""
+    reach = f"greatest(greatest(length({a}), length({b})) // 2 - 1, 0)"
+    found = f"list_filter(range(1, length({b}) + 1), lambda j: {b}[j] = {a}[e.i] AND (acc.used >> j) & 1 = 0 AND abs(e.i - j) <= {reach})[1]"
+    walk = f"""list_reduce(list_prepend({{'i': 0::BIGINT, 'used': 0::BIGINT, 's': ''}}, list_transform(range(1, length({a}) + 1), lambda i: {{'i': i, 'used': 0::BIGINT, 's': ''}})),
+        lambda acc, e: {{'i': e.i, 'used': acc.used | coalesce(1::BIGINT << {found}, 0), 's': acc.s || CASE WHEN {found} IS NULL THEN '' ELSE {a}[e.i] END}})"""
+    other = f"coalesce(list_aggregate(list_transform(list_filter(range(1, length({b}) + 1), lambda p: (walk.used >> p) & 1 = 1), lambda q: {b}[q]), 'string_agg', ''), '')"
+    moved = "len(list_filter(range(1, hits + 1), lambda k: own[k] <> other[k])) // 2"
+    jaro = f"CASE WHEN hits = 0 THEN 0.0::DOUBLE ELSE (hits::DOUBLE / length({a}) + hits::DOUBLE / length({b}) + (hits - {moved})::DOUBLE / hits) / 3 END"
+    start = f"len(list_filter(range(1, least(4, length({a}), length({b})) + 1), lambda h: {a}[1:h] = {b}[1:h]))"
+    score = f"CASE WHEN {a} = '' AND {b} = '' THEN 100.0::DOUBLE ELSE 100.0::DOUBLE * CASE WHEN jaro > 0.7 THEN jaro + {start} * 0.1::DOUBLE * (1 - jaro) ELSE jaro END END"
+    return {"walk": walk, "own": "walk.s", "other": other, "hits": "length(own)", "jaro": jaro, "jw": score}
+
+
+def _with_scores(algorithm: str = "weighted") -> str:
     """Adds ``named`` (a_clean, b_clean, the measures, base, score) and ``pairs`` (a_idx, b_idx, score, same_day, gap) by the whole method."""
 
     def view(a: str, b: str, to: str, source: str, tag: str) -> str:
@@ -384,13 +402,19 @@ def _with_scores() -> str:
     short = "CASE WHEN length(a_clean) <= length(b_clean) THEN a_clean ELSE b_clean END"
     long = "CASE WHEN length(a_clean) <= length(b_clean) THEN b_clean ELSE a_clean END"
     w = V.WEIGHTS
+    base, extra, last = f"ratio * {w['ratio']}::DOUBLE + partial * {w['partial']}::DOUBLE + wratio * {w['wratio']}::DOUBLE + core * {w['core']}::DOUBLE", "", "vb"
+    if algorithm == "jaro_winkler":
+        base = "jw"
+        for name, step in _jaro_winkler_sql("a_clean", "b_clean").items():
+            extra += f"j_{name} AS (SELECT *, {step} AS {name} FROM {last}), "
+            last = f"j_{name}"
     lift = f"""CASE WHEN m >= 2 AND m < n AND contains(t, s) THEN (CASE WHEN m <= 3 THEN greatest(edge, {V.CONTAINED_SHORT}::DOUBLE) ELSE edge END) ELSE 0.0::DOUBLE END"""
     return _with_names() + f""", met AS (SELECT *, {short} AS s, {long} AS t FROM na, nb), sized AS (SELECT *, length(s) AS m, length(t) AS n, {_masks_sql('s', 't')} AS masks, {_masks_sql('t', 's')} AS swapped FROM met),
         measured AS (SELECT *, {_ratio_sql('s', 't')} AS ratio, CASE WHEN n = 0 THEN 100.0::DOUBLE WHEN m = 0 THEN 0.0::DOUBLE WHEN m = n THEN greatest({_windows_sql('m', 'n', 'masks')}, {_windows_sql('n', 'm', 'swapped')}) ELSE {_windows_sql('m', 'n', 'masks')} END AS partial,
             {_ratio_sql('a_core', 'b_core')} AS core FROM sized),
         weighed AS (SELECT * EXCLUDE (masks, swapped), CASE WHEN m = 0 THEN 0.0::DOUBLE WHEN n::DOUBLE / m < 1.5 THEN ratio ELSE greatest(ratio, partial * CASE WHEN n::DOUBLE / m <= 8 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END) END AS wratio FROM measured),
         {view('a_clean', 'b_clean', 'p1', 'weighed', 'va')}, {view('a_bare', 'b_bare', 'p2', 'va', 'vb')},
-        based AS (SELECT *, CASE WHEN a_bare = b_bare THEN 1.0::DOUBLE ELSE least(p1, p2) END AS penalty, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE ratio * {w['ratio']}::DOUBLE + partial * {w['partial']}::DOUBLE + wratio * {w['wratio']}::DOUBLE + core * {w['core']}::DOUBLE END AS base FROM vb),
+        {extra}based AS (SELECT *, CASE WHEN a_bare = b_bare THEN 1.0::DOUBLE ELSE least(p1, p2) END AS penalty, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE {base} END AS base FROM {last}),
         r1 AS (SELECT *, CASE WHEN a_fold <> '' AND a_fold = b_fold THEN greatest(base * penalty, {V.SAME_FOLD_SCORE}::DOUBLE) ELSE base * penalty END AS x FROM based),
         r2 AS (SELECT * EXCLUDE x, CASE WHEN a_industry <> '' AND a_industry = b_industry AND a_industry <> a_fold AND b_industry <> b_fold AND x < {V.INDUSTRY_BELOW} THEN least(x * {V.INDUSTRY_FACTOR}::DOUBLE, {V.INDUSTRY_TOP}::DOUBLE) ELSE x END AS x FROM r1),
         r3 AS (SELECT * EXCLUDE x, CASE WHEN a_protected <> b_protected THEN least(x * {V.CONFLICT_FACTOR}::DOUBLE, {V.CONFLICT_TOP}::DOUBLE) ELSE x END AS x,
@@ -418,14 +442,69 @@ def _with_assignment() -> str:
         done AS (SELECT joined.*, assigned AND score >= {t.floor} AS matched, coalesce(for_b = a_idx, false) AS mutual, CASE WHEN assigned AND score >= {t.floor} THEN {tier} ELSE '{V.TIERS[4]}' END AS tier FROM joined LEFT JOIN best_b USING (b_idx))"""
 
 
+def _with_tags(source: str, runtime: str = "[]") -> str:
+    """Steps from ``source`` (raw_a, raw_b and more) to ``tagged``, which has the list of (tag, detail) of every row as ``tags``."""
+    tag = lambda name, detail="''": f"[{{'tag': '{name}', 'detail': {detail}}}]"
+    none = "[]::STRUCT(tag VARCHAR, detail VARCHAR)[]"
+    if_ = lambda c, tags: f"CASE WHEN {c} THEN {tags} ELSE {none} END"
+    both = lambda *tags: "(" + " || ".join(f"({t})" for t in tags) + ")"
+    any_of = lambda c, words: f"regexp_matches({c}, {_q(cleaning.quoted(words))})"
+    blank = r"[\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+    hidden = lambda c: f"regexp_matches({c}, {_q(cleaning.INVISIBLE_CLASS)})"
+    written = both(
+        if_("translate(raw_a, '（）', '()') = translate(raw_b, '（）', '()')", tag("括号全/半角差异")),
+        f"CASE WHEN {hidden('raw_a')} OR {hidden('raw_b')} THEN {tag('不可见字符')} WHEN regexp_matches(raw_a, '{blank}') OR regexp_matches(raw_b, '{blank}') THEN {tag('多余空格')} ELSE {none} END",
+        if_("upper(raw_a) <> raw_a OR upper(raw_b) <> raw_b", tag("英文大小写差异")),
+        if_("regexp_matches(a, '[A-Za-z]') <> regexp_matches(b, '[A-Za-z]')", tag("含中英文字符", "'一侧含英文，另一侧不含'")),
+    )
+    words = "[" + ", ".join(_q(w) for w in V.PROTECTED) + "]"
+    differ = f"list_aggregate(list_sort(list_filter({words}, lambda w: contains(a, w) <> contains(b, w))), 'string_agg', '、')"
+    notes = r"regexp_extract_all(a, '\(([^)]*)\)', 1) <> regexp_extract_all(b, '\(([^)]*)\)', 1)"
+    folded = both(tag("同一字号（通用词差异）", "'「' || fa || '」'"), if_(notes, tag("括号附注不同")))
+    shown = lambda c: f"CASE WHEN {c} = '' THEN '（无）' ELSE {c} END"
+    between = f"'「' || {shown('ca')} || '」vs「' || {shown('cb')} || '」'"
+    long, short = "CASE WHEN length(ca) >= length(cb) THEN ca ELSE cb END", "CASE WHEN length(ca) >= length(cb) THEN cb ELSE ca END"
+    one_apart = f"""CASE WHEN length(ca) = length(cb) THEN len(list_filter(range(1, length(ca) + 1), lambda i: ca[i] <> cb[i])) = 1
+        WHEN abs(length(ca) - length(cb)) = 1 THEN len(list_filter(range(1, length({long}) + 1), lambda k: substr({long}, 1, k - 1) || substr({long}, k + 1) = {short})) > 0 ELSE false END"""
+    typo = f"CASE WHEN ca = '' OR cb = '' THEN greatest(length(ca), length(cb)) <= 1 ELSE {one_apart} OR least(length(ca), length(cb)) <= 1 END"
+    core = if_("ca <> '' OR cb <> ''", both(f"CASE WHEN {typo} THEN {tag('疑似错别字', between)} ELSE {tag('字号不同', between)} END", if_(notes, tag("括号内信息不同"))))
+
+    def added(who: str, long: str, short: str) -> str:
+        extra = f"(substr({long}, 1, instr({long}, {short}) - 1) || substr({long}, instr({long}, {short}) + length({short})))"
+        said = f"'{who}多出「' || {extra} || '」'"
+        cases = [("包含关系（附加分支机构）", V.BRANCHES), ("包含关系（丢弃公司后缀）", V.ORGANISATIONS), ("包含关系（附加地区）", V.EXPLAINED_REGIONS)]
+        return f"CASE WHEN {extra} = '' THEN {tag('字号一致', said)} " + " ".join(f"WHEN {any_of(extra, w)} THEN {tag(name, said)}" for name, w in cases) + f" ELSE {tag('包含关系（简称 vs 全称）', said)} END"
+
+    relation = f"CASE WHEN contains(b, a) THEN {added('B', 'b', 'a')} WHEN contains(a, b) THEN {added('A', 'a', 'b')} ELSE {core} END"
+    lengths = "length(a)::VARCHAR || '字 vs ' || length(b)::VARCHAR || '字'"
+    rest = both(relation, if_(r"regexp_extract_all(a, '\d+') <> regexp_extract_all(b, '\d+')", tag("数字不同")), if_("NOT contains(b, a) AND NOT contains(a, b) AND abs(length(a) - length(b)) >= 4", tag("长度差异", lengths)))
+    conflict = tag("关键字号冲突", f"'「' || {differ} || '」仅一方含有'")
+    beyond = f"CASE WHEN pa <> pb THEN {conflict} WHEN fa <> '' AND fa = fb THEN {folded} ELSE {rest} END"
+    equal = tag("清洗后一致")
+    whole = f"CASE WHEN raw_a = raw_b THEN {tag('名称完全一致')} ELSE {both(written, f'CASE WHEN a = b THEN {equal} ELSE {beyond} END')} END"
+    return f"""t0 AS (SELECT s.*, na.a_clean AS a, nb.b_clean AS b, na.a_protected AS pa, nb.b_protected AS pb, na.a_fold AS fa, nb.b_fold AS fb FROM {source} s JOIN na ON na.a_clean = {_clean_sql('s.raw_a')} JOIN nb ON nb.b_clean = {_clean_sql('s.raw_b')}),
+        t1 AS (SELECT *, list_max(list_filter(range(0, least(length(a), length(b)) + 1), lambda i: a[1:i] = b[1:i])) AS pre FROM t0),
+        t2 AS (SELECT *, list_max(list_filter(range(0, least(length(a), length(b)) - pre + 1), lambda i: right(a, i) = right(b, i))) AS suf FROM t1),
+        t3 AS (SELECT *, CASE WHEN a = '' OR b = '' OR a = b THEN '' ELSE substr(a, pre + 1, length(a) - pre - suf) END AS ca, CASE WHEN a = '' OR b = '' OR a = b THEN '' ELSE substr(b, pre + 1, length(b) - pre - suf) END AS cb FROM t2),
+        tagged AS (SELECT *, ({whole}) || ({runtime}) AS tags FROM t3)"""
+
+
 def _oracles() -> dict[str, str]:
     n, r, w, g = _with_names(), _with_ratio(), _with_scores(), _with_assignment()
     advice = lambda occupied, taken, lower: f"CASE WHEN {occupied} THEN '{taken}' WHEN top < 40 THEN '{lower[0]}' WHEN top < 55 THEN '{lower[1]}' ELSE '{R.NEAR}' END"
     share = lambda x, y: f"CASE WHEN {y} = 0 THEN 0 ELSE round_even(({x})::DOUBLE / {y}, 4) END"
+    blank = r"[\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+    kinds = " ".join(f"WHEN regexp_matches(x, '^\\p{{{k}}}') THEN '{k}'" for k in "LMNPSZ")
+    meanings = " ".join(f"WHEN x = chr({c}) THEN {_q(m)}" for c, m in V.MEANINGS.items())
+    joined = lambda each, sep: f"coalesce(list_aggregate({each}, 'string_agg', '{sep}'), '')"
+    odd = f"list_filter(chars, lambda x: regexp_matches(x, {_q(cleaning.INVISIBLE_CLASS)}) OR regexp_matches(x, '^[\\p{{Cc}}\\p{{Cf}} ]'))"
+    grams = lambda side: f"(SELECT {side}_clean, unnest(list_distinct(list_transform(range(1, greatest(length({side}_clean) - 1, 1) + 1), lambda i: substr({side}_clean, i, 2)))) AS gram FROM n{side})"
     raw = f"{n}, r AS (SELECT 'a' AS side, a_idx AS idx, \"客户名称\" AS raw FROM a UNION ALL SELECT 'b', b_idx, \"对方户名\" FROM b), c AS (SELECT *, {_clean_sql('raw')} AS clean FROM r)"
     sides = "SELECT 'a' AS side, a_clean AS clean, a_fold AS fold, a_protected AS protected, a_industry AS industry FROM na UNION ALL SELECT 'b', b_clean, b_fold, b_protected, b_industry FROM nb"
     t = scoring.Thresholds()
     tier = f"CASE WHEN score >= 100 THEN '{V.TIERS[0]}' WHEN score >= {t.high} THEN '{V.TIERS[1]}' WHEN score >= {t.low} THEN '{V.TIERS[2]}' WHEN score >= {t.floor} THEN '{V.TIERS[3]}' ELSE '{V.TIERS[4]}' END"
+    runtime = f"""CASE WHEN displaced THEN [{{'tag': '已让位（首选被更高分记录认领）', 'detail': ''}}] WHEN NOT mutual THEN [{{'tag': '非互为最优', 'detail': '建议复核'}}] ELSE []::STRUCT(tag VARCHAR, detail VARCHAR)[] END
+        || CASE WHEN score >= {t.floor} AND score < {t.low} THEN [{{'tag': '低置信度（建议逐条核实）', 'detail': ''}}] ELSE []::STRUCT(tag VARCHAR, detail VARCHAR)[] END"""
     short = "CASE WHEN length(a_clean) <= length(b_clean) THEN a_clean ELSE b_clean END"
     long = "CASE WHEN length(a_clean) <= length(b_clean) THEN b_clean ELSE a_clean END"
     return {
@@ -436,6 +515,20 @@ def _oracles() -> dict[str, str]:
         "page_urls": f"SELECT page_id, {_clean_sql('url')} AS clean, {_punct_sql(_clean_sql('url'))} AS core FROM pages",
         "document_names": f"SELECT doc_id, length({_clean_sql('text')}) AS n_clean, md5({_clean_sql('text')}) AS clean_md5 FROM documents",
         "lenient_amounts": "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 0.0::DOUBLE ELSE (p_size * 1000)::DOUBLE END AS amount FROM part",
+        "unicode_reports": f"""{raw}, s AS (SELECT side, idx, raw, list_filter(string_split(raw, ''), lambda x: x <> '') AS chars FROM r)
+            SELECT side, idx, length(raw) AS length, {joined("list_transform(chars, lambda x: printf('U+%04X', unicode(x)))", ' ')} AS codepoints, regexp_matches(raw, '^{blank}|{blank}$') AS surrounded, len({odd}) AS n_invisible,
+            {joined(f"list_transform({odd}, lambda x: CASE {meanings} ELSE '' END)", ';')} AS meanings, regexp_matches(raw, '[^\\x00-\\x7F]') AS non_ascii, {joined(f"list_transform(chars, lambda x: CASE {kinds} ELSE 'C' END)", '')} AS categories FROM s""",
+        "score_jaro_winkler": f"{_with_scores('jaro_winkler')} SELECT a_clean, b_clean, base, score FROM named",
+        "blocked_candidates": f"{n} SELECT DISTINCT a_clean, b_clean FROM {grams('a')} JOIN {grams('b')} USING (gram)",
+        "claim_groups": f"{w}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a_idx ORDER BY score DESC, same_day DESC, gap, b_idx) AS x FROM pairs) WHERE x = 1 AND score >= {t.floor}) SELECT b_idx, count(*) AS n, string_agg(a_idx::VARCHAR, ',' ORDER BY score DESC, a_idx) AS claimants, max(score) AS best FROM best GROUP BY 1",
+        "sample_band": f"{g} SELECT a_idx, b_idx, score, tier FROM done WHERE score >= 40 AND score < 60 ORDER BY md5('42:' || a_idx) LIMIT 3",
+        "tag_histogram": f"""{w}, top AS (SELECT a_idx, b_idx FROM (SELECT *, row_number() OVER (PARTITION BY a_idx ORDER BY score DESC, b_idx) AS x FROM pairs) WHERE x = 1),
+            told AS (SELECT a."客户名称" AS raw_a, b."对方户名" AS raw_b FROM top JOIN a USING (a_idx) JOIN b USING (b_idx)), {_with_tags('told')},
+            each AS (SELECT unnest(tags).tag AS tag FROM tagged) SELECT tag, count(*) AS n FROM each GROUP BY 1""",
+        "matches": f"""{g}, told AS (SELECT done.*, a."客户编码" AS code, a."客户名称" AS raw_a, a."交易金额（元）" AS x, a."交易日期"::VARCHAR AS day, b."对方户名" AS raw_b, b."交易金额（元）" AS y FROM done JOIN a USING (a_idx) JOIN b USING (b_idx) WHERE matched),
+            {_with_tags('told', runtime)}, ended AS (SELECT *, list_aggregate(list_transform(tags[1:5], lambda z: CASE WHEN z.detail = '' THEN z.tag ELSE z.tag || '（' || z.detail || '）' END), 'string_agg', '；') AS said FROM tagged)
+            SELECT row_number() OVER (ORDER BY a_idx) AS 匹配序号, code AS "A系统-客户编码", raw_a AS "A系统-客户名称", raw_b AS "B系统-对方户名", round_even(score, 1) AS "相似度(%)", tier AS 匹配状态, x AS "A系统-交易金额", y AS "B系统-交易金额",
+            round_even(x - y, 2) AS 金额差异, day AS 交易日期, CASE WHEN len(tags) > 5 THEN said || '；…（共' || len(tags)::VARCHAR || '项）' ELSE said END AS 备注 FROM ended""",
         "score_ratio": f"{r} SELECT a_idx, b_idx, score FROM pairs",
         "exact_match": f"{n} SELECT a_clean, b_clean, a_clean = b_clean AS same_clean FROM na JOIN nb ON a_core = b_core AND a_core <> ''",
         "fold_match": f"{n} SELECT a_clean, b_clean, a_fold AS fold FROM na JOIN nb ON a_fold = b_fold AND a_fold <> ''",

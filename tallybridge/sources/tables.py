@@ -7,11 +7,13 @@ import math
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vocab as V
+from ..operators.results import summary_note
 from ..plans.linkage import A_NAME, B_NAME, Linkage, LinkageError
 from . import xlsx
 
@@ -103,7 +105,10 @@ def load_table(spark: SparkSession, path: str, expected: list[str], name: str, l
     """A table by its kind: .xlsx, .csv (header row, text columns inferred), else parquet."""
     if path.endswith(".xlsx"):
         return load_workbook(spark, path, sheet or "", expected, name, label)
-    df = spark.read.csv(path, header=True, inferSchema=True) if path.endswith((".csv", ".csv.gz")) else spark.read.parquet(path)
+    try:
+        df = spark.read.csv(path, header=True, inferSchema=True) if path.endswith((".csv", ".csv.gz")) else spark.read.parquet(path)
+    except AnalysisException as e:
+        raise LinkageError(f"{path} cannot be read: {e.getCondition() or e}") from e
     df = df.select(*(F.col(f"`{c}`").alias(norm_header(c)) for c in df.columns if norm_header(c)))
     if name not in df.columns:
         raise LinkageError(f"no column {name!r} in {path}")
@@ -146,13 +151,15 @@ def export_workbook(run: Linkage, out_dir: str, team: str = "team", filename: st
         rows = [tuple(r) for r in df.orderBy(key).toLocalIterator()]
         header = df.columns
         if name == "匹配统计汇总":
-            header, rows = ["指标", "数量", "占比"], [r[1:] for r in rows]
+            header, rows = ["指标", "数量", "占比"], [*(r[1:] for r in rows), (None, None, None), (summary_note(run.thresholds), None, None)]
         sheets[name] = (header, rows)
     base = Path(out_dir, filename or default_filename(team))
     for k in range(1, tries + 1):
         path = base if k == 1 else base.with_stem(f"{base.stem}({k})")
         try:
-            return str(path), xlsx.write_workbook(path, sheets, _row_style)
+            counts = xlsx.write_workbook(path, sheets, _row_style)
+            counts["匹配统计汇总"] -= 2  # an empty row and the note
+            return str(path), counts
         except PermissionError:
             continue
     raise PermissionError(f"none of {tries} names can be written: {base}")

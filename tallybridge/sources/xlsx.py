@@ -38,6 +38,11 @@ def _column(reference: str) -> int:
     return n - 1
 
 
+def _text(item) -> str:
+    """A string item's text, plain or in runs, without the phonetic guides beside it."""
+    return "".join(t.text or "" for part in item if part.tag != f"{_M}rPh" for t in part.iter(f"{_M}t"))
+
+
 def read_rows(path: str | Path, sheet: str, limit: int | None = None) -> list[list]:
     """Cell values by row: text, float, bool, date or None. Formulas give their stored values."""
     with zipfile.ZipFile(path) as z:
@@ -46,7 +51,7 @@ def read_rows(path: str | Path, sheet: str, limit: int | None = None) -> list[li
             raise KeyError(sheet)
         shared: list[str] = []
         if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in s.iter(f"{_M}t")) for s in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_M}si")]
+            shared = [_text(s) for s in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_M}si")]
         dates = _date_styles(z)
         rows: list[list] = []
         for row in ET.fromstring(z.read(files[sheet])).iter(f"{_M}row"):
@@ -73,7 +78,7 @@ def _date_styles(z: zipfile.ZipFile) -> set[int]:
 def _value(cell: ET.Element, shared: list[str], dates: set[int]):
     kind, v = cell.get("t", "n"), cell.find(f"{_M}v")
     if kind == "inlineStr":
-        return "".join(t.text or "" for t in cell.iter(f"{_M}t"))
+        return "".join(map(_text, cell.iter(f"{_M}is")))
     if v is None or v.text is None:
         return None
     if kind == "s":

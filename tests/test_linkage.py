@@ -122,6 +122,17 @@ def test_explanations(spark):
             assert r.got == r.want
 
 
+def test_differences(spark):
+    rows = [
+        ("顺丰", "顺丰", ["名称完全一致"]), ("顺丰（集团）", "顺丰(集团)", ["括号全/半角格式不同"]), ("顺 丰a", "顺丰A", ["存在多余空格", "含英文大小写差异"]), ("顺\u200b丰", "顺丰", ["含不可见字符"]), ("、", ",", ["清洗后完全一致"]),
+        ("腾讯", "腾讯科技", ["B在A基础上附加「科技」", "长度 2字 vs 4字"]), ("深圳市腾讯", "腾讯", ["A在B基础上附加「深圳市」", "长度 5字 vs 2字"]),
+        ("中国建设银行股份有限公司", "中国银行股份有限公司", ["字号不同「建设」vs「（无）」", "长度 12字 vs 10字"]), ("甲乙丙股份", "甲丁丙股份", ["第2字起不同「乙」vs「丁」"]),
+        ("安永事务所(特殊)", "安永事务所(北京)", ["括号内附加信息不同"]), ("甲乙丙丁己(合伙)所", "甲戊丙壬己(合伙)所", ["字号不同「乙丙丁」vs「戊丙壬」"]),
+    ]
+    df = spark.createDataFrame(rows, "a string, b string, want array<string>")
+    assert [(r.a, r.got) for r in df.select("*", explain.differences(F.col("a"), F.col("b")).alias("got")).collect()] == [(a, want) for a, _, want in rows]
+
+
 def test_tags_are_cut_after_the_limit(spark):
     tags = F.array(*[F.struct(F.lit(f"t{k}").alias("tag"), F.lit("").alias("detail")) for k in range(6)])
     assert spark.range(1).select(explain.explain_text(tags)).first()[0] == "t0；t1；t2；t3；t4；…（共6项）"
@@ -177,6 +188,9 @@ def test_workbooks(spark, tmp_path):
     run = linkage.link(*sides(spark))
     path, counts = tables.export_workbook(run, str(tmp_path), "t")
     assert xlsx.list_sheets(path) == ["模糊匹配结果", "A系统独有", "B系统独有", "匹配统计汇总"] and counts["模糊匹配结果"] == 3
+    assert xlsx.read_rows(path, "匹配统计汇总")[-1][0].startswith("说明：") and counts["匹配统计汇总"] == 9
+    guided = xlsx.ET.fromstring(f'<si xmlns="{xlsx._M[1:-1]}"><r><t>顺</t></r><r><t>丰</t></r><rPh sb="0" eb="1"><t>shun</t></rPh></si>')
+    assert xlsx._text(guided) == "顺丰"
     rows = xlsx.read_rows(path, "A系统独有")
     assert rows[0][:3] == ["序号", "客户编码", "客户名称"] and [r[1] for r in rows[1:]] == ["C4", "C5"]
     book = tmp_path / "in.xlsx"
@@ -197,7 +211,13 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["--a-file", str(tmp_path / "a"), "--b-file", str(tmp_path / "b"), "--out-dir", str(tmp_path / "out"), "--parquet"], spark) == 0
     assert spark.read.parquet(str(tmp_path / "out/matches")).count() == 3
     assert cli.main(["--a-file", str(tmp_path / "none.xlsx"), "--b-file", "x"], spark) == 1
+    out = capsys.readouterr().out
+    assert "U+817E U+8BAF" in out and "matched: 3" in out and "->" in out
+    assert cli.main(["--a-file", str(tmp_path / "none"), "--b-file", "x"], spark) == 1 and "cannot be read" in capsys.readouterr().err
     assert cli.main(["--list-algo"], spark) == 0 and "weighted" in capsys.readouterr().out
+    for bad in (["--high", "79"], ["--low", "81"], ["--floor", "71"], ["--algo", "none"]):
+        with pytest.raises(SystemExit):
+            cli.parse_args(bad)
 
 
 def test_stream(spark, tmp_path):

@@ -197,4 +197,4 @@ def test_unicode_report(spark):
     (got,) = values(spark, [" 中a​1"], cleaning.unicode_report(F.col("t")))
     r = got[0]
     assert (r.length, r.codepoints, r.surrounded, r.non_ascii, r.categories) == (5, "U+0020 U+4E2D U+0061 U+200B U+0031", True, True, "ZLLCN")
-    assert [(x.place, x.point) for x in r.invisibles] == [(0, "U+0020"), (3, "U+200B")]
+    assert [(x.place, x.point, x.meaning) for x in r.invisibles] == [(0, "U+0020", ""), (3, "U+200B", "ZERO WIDTH SPACE 零宽空格")]
