@@ -18,21 +18,12 @@ from . import _common as C
 K, BINS, KEEP = 5, 32, 2
 #: Code points in a piece at most.
 LONG = 32
-#: Low bits of a packed long that hold a place in the text: so many, or 32 in a text that may have more pieces than they can tell.
+#: Low bits of a packed long that hold a place in the text: so many, or 32 in a text of so many bytes that it may have more pieces than they can tell.
 PLACE = 24
 
 
-def _place_bits(text: Column) -> Column:
-    return F.when(F.length(text) >= 1 << PLACE, 32).otherwise(PLACE)
-
-
-def _mask(bits: Column) -> Column:
-    return F.when(bits == PLACE, F.lit((1 << PLACE) - 1)).otherwise(F.lit((1 << 32) - 1))
-
-
-def _kmer(packed: Column, bits: Column | int) -> Column:
-    """The hash without its place."""
-    return F.call_function("shiftright", packed, bits if isinstance(bits, Column) else F.lit(bits))
+def _low(bits: int) -> int:
+    return (1 << bits) - 1
 
 
 #: An empty array of longs whose type allows no nulls.
@@ -60,7 +51,7 @@ def _pieces(text: Column) -> Column:
     return let(words, cut)
 
 
-def _packed_kmers(text: Column, low: Column) -> Column:
+def _packed_kmers(text: Column, bits: int) -> Column:
     """Longs: the high bits of each k-mer's hash, then its place. A text of fewer pieces than K is one k-mer; an empty one has none."""
     hashes = F.transform(_pieces(text), lambda w: F.xxhash64(w))
 
@@ -69,19 +60,19 @@ def _packed_kmers(text: Column, low: Column) -> Column:
             return F.xxhash64(*(F.get(h, i + j) for j in range(K)))
 
         places = F.sequence(F.lit(0), F.greatest(F.size(h) - K, F.lit(0)))
-        return F.transform(places, lambda i: at(i).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")))
+        return F.transform(places, lambda i: at(i).bitwiseAND(F.lit(~_low(bits))).bitwiseOR(i.cast("long")))
 
     return F.when(F.length(text) == 0, F.expr(_NONE_SQL)).otherwise(let(hashes, kmers))
 
 
-def _numbered(sorted_kmers: Column, bits: Column, low: Column) -> Column:
+def _numbered(sorted_kmers: Column, bits: int) -> Column:
     """The same longs with each hash mixed with the number of equal ones before it in the text."""
 
     def kmer(x: Column) -> Column:
-        return _kmer(x, bits)
+        return F.shiftright(x, bits)
 
     def mixed(x: Column, n: Column) -> Column:
-        return F.xxhash64(kmer(x), n).bitwiseAND(F.bitwise_not(low)).bitwiseOR(x.bitwiseAND(low))
+        return F.xxhash64(kmer(x), n).bitwiseAND(F.lit(~_low(bits))).bitwiseOR(x.bitwiseAND(F.lit(_low(bits))))
 
     def runs(s: Column) -> Column:
         indexes = F.sequence(F.lit(0), F.size(s) - 1)
@@ -96,18 +87,18 @@ def _numbered(sorted_kmers: Column, bits: Column, low: Column) -> Column:
     return F.when(F.size(sorted_kmers) == 0, sorted_kmers).otherwise(let(sorted_kmers, runs))
 
 
-def _tuples(sorted_numbered: Column, low: Column) -> Column:
+def _tuples(sorted_numbered: Column, bits: int) -> Column:
     """The fingerprint: for every bin that is not empty, the hash of its selected k-mers in the order of the text; the bin is in the low bits."""
-    bits = BINS.bit_length() - 1
+    beyond_bin = 64 - (BINS.bit_length() - 1)
 
     def bin_of(x: Column) -> Column:
-        return F.shiftrightunsigned(x, 64 - bits)
+        return F.shiftrightunsigned(x, beyond_bin)
 
     def pick(s: Column) -> Column:
         return F.filter(s, lambda x, i: (i < KEEP) | (bin_of(x) != bin_of(F.get(s, i - KEEP))))
 
     def hashed(own: Column) -> Column:
-        turned = F.transform(own, lambda x: F.struct(x.bitwiseAND(low).alias("place"), _kmer(x, 32).alias("kmer")))
+        turned = F.transform(own, lambda x: F.struct(x.bitwiseAND(F.lit(_low(bits))).alias("place"), F.shiftright(x, 32).alias("kmer")))
         return F.xxhash64(F.array_sort(turned)["kmer"]).bitwiseAND(F.lit(-BINS)).bitwiseOR(bin_of(F.get(own, F.lit(0))))
 
     def by_bin(chosen: Column) -> Column:
@@ -119,13 +110,14 @@ def _tuples(sorted_numbered: Column, low: Column) -> Column:
 
 def with_fingerprint(docs: DataFrame, text: Column, name: str) -> DataFrame:
     """``docs`` with the fingerprint of ``text`` as an array of ``BINS`` longs; null counts as empty."""
-    held, bits, low = C.free_names(docs, f"_{name}", "_bits", "_low")
+    (held,) = C.free_names(docs, f"_{name}")
     text = F.coalesce(text, F.lit(""))
-    out = docs.withColumn(bits, _place_bits(text)).withColumn(low, _mask(F.col(bits)))
+    # both widths are literals, as whatever a lambda refers to may be computed again for each element
+    either = lambda step: F.when(F.octet_length(text) >= 1 << PLACE, step(32)).otherwise(step(PLACE))
     # a sort of non-null longs outside lambdas is one of primitives; each step is a column of its own so that it is computed once
-    out = out.withColumn(held, F.sort_array(_packed_kmers(text, F.col(low))))
-    out = out.withColumn(held, F.sort_array(_numbered(F.col(held), F.col(bits), F.col(low))))
-    return out.withColumn(name, _tuples(F.col(held), F.col(low))).drop(held, bits, low)
+    out = docs.withColumn(held, F.sort_array(either(lambda bits: _packed_kmers(text, bits))))
+    out = out.withColumn(held, F.sort_array(either(lambda bits: _numbered(F.col(held), bits))))
+    return out.withColumn(name, either(lambda bits: _tuples(F.col(held), bits))).drop(held)
 
 
 def likeness(a: Column, b: Column) -> Column:

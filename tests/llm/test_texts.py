@@ -97,12 +97,12 @@ def plain_order_minhash(text, bits=24):
 
 @pytest.mark.parametrize("place", [24, 6])
 def test_fingerprints_equal_a_plain_version(spark, monkeypatch, place):
-    """With few bits for places, texts over 64 characters take the wide ones."""
+    """With few bits for places, texts over 64 bytes take the wide ones."""
     monkeypatch.setattr(order_minhash, "PLACE", place)
     rng = random.Random(9)
     texts = ["", "a", "a b", "a  b c d e f", "x " * 300, "y" * 70, "é\u3000ß b\nc d"] + [" ".join(f"w{rng.randrange(n)}" for _ in range(rng.randint(3, 400))) for n in (3, 30, 3000) for _ in range(8)]
     got = fingerprints(spark, texts)
-    plain = [plain_order_minhash(t, 32 if len(t) >= 1 << place else place) for t in texts]
+    plain = [plain_order_minhash(t, 32 if len(t.encode()) >= 1 << place else place) for t in texts]
     for t, fp, want in zip(texts, got, plain):
         assert sorted(x & (2**64 - 1) for x in fp) == sorted(want.values()), t[:40]
     pairs = [(rng.randrange(len(texts)), rng.randrange(len(texts))) for _ in range(60)]
