@@ -38,15 +38,17 @@ def let(value: Column, body) -> Column:
 def _pieces(text: Column) -> Column:
     """Every white-space character parts two pieces, so two in a row have an empty one between them."""
     unspaced, seen = f"[{C.UNSPACED}]", f"[^{C.SPACE}]"
-    at_spaces = F.split(text, f"[{C.SPACE}]")
-    words = F.when(F.rlike(text, F.lit(unspaced)), F.split(text, f"[{C.SPACE}]|(?<={unspaced})(?={seen})|(?<={seen})(?={unspaced})")).otherwise(at_spaces)
+    # classes of many ranges are slow, and only characters from U+0E00 on need them; below, white space is in a class of eight characters
+    high = (F.octet_length(text) != F.length(text)) & F.rlike(text, F.lit(r"[\x{E00}-\x{10FFFF}]"))
+    mixed = F.when(F.rlike(text, F.lit(unspaced)), F.split(text, f"[{C.SPACE}]|(?<={unspaced})(?={seen})|(?<={seen})(?={unspaced})")).otherwise(F.split(text, f"[{C.SPACE}]"))
+    words = F.when(high, mixed).otherwise(F.split(text, r"[ \t\n\x0B\f\r\u0085\u00A0]"))
 
     def points(t: Column) -> Column:
         return F.split(t, "")
 
     def cut(w: Column) -> Column:
         short = F.flatten(F.transform(w, lambda p: F.when(F.length(p) > LONG, points(p)).otherwise(F.array(p))))
-        return F.when(F.size(w) < K, points(text)).when(F.rlike(text, F.lit(f"{seen}{{{LONG + 1}}}")), short).otherwise(w)
+        return F.when(F.size(w) < K, points(text)).when(F.exists(w, lambda p: F.length(p) > LONG), short).otherwise(w)
 
     return let(words, cut)
 
