@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -247,10 +247,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
         now = after
 
 
-def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest index in each index's component, over chunks of index pairs."""
+def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], holds: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """The smallest index in each index's component, over chunks of index pairs; with ``holds``, over those for which it is true. Pairs that are joined
+    already are not asked for."""
     label = np.arange(n)
     for i, j in pairs:
+        if holds is not None:
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+            true = holds(i, j)
+            i, j = i[true], j[true]
         while len(i):
             p, q = label[i], label[j]
             differ = p != q

@@ -26,6 +26,8 @@ SLICE = 8192
 WIDE, BUCKET = 8, 1024
 #: (query, word) cells compared at a time in a task.
 CELLS = 1 << 16
+#: Sets of so many shingles at most are compared as they are: the majorities of few shingles say too little of them. Pairs of them checked at a time.
+FEW, FEW_PAIRS = 32, 1 << 15
 
 
 def shingle_hashes(text: str, size: int = 3) -> np.ndarray:
@@ -60,23 +62,34 @@ def _columns(words: int) -> list[str]:
 def _fingerprinter(size: int, words: int, carried: list[str]):
     def run(batches):
         for batch in batches:
-            hashes = (shingle_hashes(t or "", size) for t in batch.column("text").to_pylist())
-            prints = np.array([wide_simhash(h if words == 1 else np.unique(h), words) for h in hashes], np.uint64).reshape(-1, words)
-            yield pa.RecordBatch.from_arrays([*map(batch.column, carried), *(pa.array(np.ascontiguousarray(prints[:, w]).view(np.int64)) for w in range(words))], [*carried, *_columns(words)])
+            prints, few = [], []
+            for text in batch.column("text").to_pylist():
+                h = shingle_hashes(text or "", size)
+                h = h if words == 1 else np.unique(h)
+                prints.append(wide_simhash(h, words))
+                few.append(h.view(np.int64) if 0 < len(h) <= FEW else None)
+            prints = np.array(prints, np.uint64).reshape(-1, words)
+            out = [*map(batch.column, carried), *(pa.array(np.ascontiguousarray(prints[:, w]).view(np.int64)) for w in range(words))]
+            names = [*carried, *_columns(words)]
+            if words > 1:
+                out, names = [*out, pa.array(few, pa.list_(pa.int64()))], [*names, "few"]
+            yield pa.RecordBatch.from_arrays(out, names)
 
     return run
 
 
 def fingerprints(docs: DataFrame, size: int = 3, words: int = 1, digest: bool = False) -> DataFrame:
     """(doc_id, fp, fp1, …): ``words`` 64-bit fingerprints of every row as signed longs; null text counts as empty, which has fingerprint zero.
-    With ``digest``, ``text_digest`` of the text comes after the id.
+    With ``digest``, ``text_digest`` of the text comes after the id. Wide fingerprints come with ``few``: the distinct shingles' hashes in the order of
+    unsigned numbers where there are ``FEW`` at most, else (and for no shingle) null.
 
     A plain fingerprint counts a repeated shingle each time, wide ones count it once, as they stand for the similarity of sets.
     """
     C.small_batches(docs.sparkSession)
     carried = ["doc_id", *(["text_digest"] if digest else [])]
     read = docs.select("doc_id", "text", *([text_digest().alias("text_digest")] if digest else []))
-    return read.mapInArrow(_fingerprinter(size, words, carried), ", ".join(f"{c} long" for c in [*carried, *_columns(words)]))
+    longs = ", ".join(f"{c} long" for c in [*carried, *_columns(words)])
+    return read.mapInArrow(_fingerprinter(size, words, carried), longs + (", few array<long>" if words > 1 else ""))
 
 
 def text_digest() -> Column:
@@ -154,35 +167,70 @@ def _close_pairs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, queri
 _GROUP = ["block", "key", "low", "high"]
 
 
+def _spans(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, queries): the rows that each query row is compared with in whole groups of ``tiles``."""
+    low, high, own = (t.column(c).to_numpy() for c in ("low", "high", "own"))
+    first = C.group_starts([t.column(c).to_numpy() for c in _GROUP])
+    size = np.diff(np.append(first, len(own)))
+    ends = np.repeat(first + size, size)
+    # a group of one slice compares each member with those after it, one of two slices the first slice's with the second's
+    second = np.repeat(first + np.add.reduceat(own == low, first), size)
+    starts = np.where(low == high, np.arange(1, len(own) + 1), second)
+    return starts, ends, np.flatnonzero((own == low) & (starts < ends))
+
+
+def _forest_edges(t: pa.Table, pairs, holds=None) -> pa.RecordBatch:
+    """A spanning forest of the links of every group, as edges between ``rep``."""
+    rep = t.column("rep").to_numpy()
+    label = C.forest(len(rep), pairs, holds)
+    out = np.flatnonzero(label != np.arange(len(rep)))
+    return pa.RecordBatch.from_arrays([pa.array(rep[out]), pa.array(rep[label[out]])], ["a", "b"])
+
+
 def _linker(radius: int, words: int = 1, wide_radius: int = 0):
-    """A spanning forest of the links of every group of ``tiles``, as edges between ``rep``."""
+    """Links of fingerprints within ``radius``; of wide ones only if all bits are within ``wide_radius`` and not both rows are ``short``."""
 
     def link(batches):
         for t in C.whole_groups(batches, _GROUP):
-            low, high, own, rep = (t.column(c).to_numpy() for c in ("low", "high", "own", "rep"))
             wide = np.array([t.column(c).to_numpy() for c in _columns(words)]).view(np.uint64)
-            first = C.group_starts([t.column(c).to_numpy() for c in _GROUP])
-            size = np.diff(np.append(first, len(rep)))
-            ends = np.repeat(first + size, size)
-            # a group of one slice compares each member with those after it, one of two slices the first slice's with the second's
-            second = np.repeat(first + np.add.reduceat(own == low, first), size)
-            starts = np.where(low == high, np.arange(1, len(rep) + 1), second)
-            queries = np.flatnonzero((own == low) & (starts < ends))
-            pairs = _close_pairs(wide[0], starts, ends, queries, radius)
-            if words > 1:
-                pairs = _also_wide(pairs, wide, wide_radius)
-            label = C.forest(len(rep), pairs)
-            out = np.flatnonzero(label != np.arange(len(rep)))
-            yield pa.RecordBatch.from_arrays([pa.array(rep[out]), pa.array(rep[label[out]])], ["a", "b"])
+            short = t.column("short").to_numpy() if words > 1 else None
+
+            def holds(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                return ~(short[i] & short[j]) & (sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in wide) <= wide_radius)
+
+            yield _forest_edges(t, _close_pairs(wide[0], *_spans(t), radius), holds if words > 1 else None)
 
     return link
 
 
-def _also_wide(pairs, wide: np.ndarray, radius: int):
-    """Those of the pairs whose whole fingerprints are within ``radius``."""
-    for i, j in pairs:
-        near = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in wide) <= radius
-        yield i[near], j[near]
+def _few_linker(similarity: float):
+    """Links of sets ``few`` at a Jaccard similarity of ``similarity`` or more, decided by the sets themselves.
+
+    Each set marks the bits that its hashes' lowest six bits name. Marks differ in no more bits than sets in elements, so the bit-sliced comparison
+    of marks leaves out only pairs that differ too much.
+    """
+    radius = int(2 * FEW * (1 - similarity) / (1 + similarity) + 1e-9)
+
+    def link(batches):
+        for t in C.whole_groups(batches, _GROUP):
+            sets = t.column("few").combine_chunks()
+            flat = sets.flatten().to_numpy().view(np.uint64)
+            size = sets.value_lengths().to_numpy()
+            at = np.cumsum(size) - size
+            marks = np.bitwise_or.reduceat(np.uint64(1) << (flat & np.uint64(63)), at)
+            held = np.full((len(size), FEW), ~np.uint64(0))
+            held[np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - np.repeat(at, size)] = flat
+
+            def holds(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                both = np.sort(np.concatenate([held[i], held[j]], axis=1), axis=1)
+                shared = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] != ~np.uint64(0))).sum(1)
+                return shared >= similarity * (size[i] + size[j] - shared) - 1e-9
+
+            close = _close_pairs(marks, *_spans(t), radius)
+            parts = ((i[k : k + FEW_PAIRS], j[k : k + FEW_PAIRS]) for i, j in close for k in range(0, len(i), FEW_PAIRS))
+            yield _forest_edges(t, parts, holds)
+
+    return link
 
 
 def _edges(keyed: DataFrame, linker) -> DataFrame:
@@ -225,7 +273,7 @@ def similar_links(classes: DataFrame, n: int, similarity: float, words: int = WI
 
     Such fingerprints differ in too many bits for whole blocks to agree. Instead tables of random bits make the buckets, as many tables as
     ``recall`` asks for and as many bits as hold random buckets of ``n`` members to ``BUCKET``. In a bucket the first 64 bits are compared by bit planes
-    at three standard deviations beyond what is expected, and what passes by all bits at two and a half.
+    at three standard deviations beyond what is expected, and what passes by all bits at two and a half. Pairs with ``few`` on both sides are left to ``few_links``.
     """
     p = differing_bits(similarity)
     bits = max(12, math.ceil(math.log2(max(n, 1) / BUCKET)))
@@ -238,13 +286,25 @@ def similar_links(classes: DataFrame, n: int, similarity: float, words: int = WI
         for b in rng.choice(64 * words, bits, replace=False).tolist():
             masks[b // 64] |= 1 << b % 64
         keys.append(F.xxhash64(*(F.col(c).bitwiseAND(F.lit(_signed(m)).cast("long")) for c, m in zip(_columns(words), masks))))
-    keyed = classes.select(*_columns(words), "rep", F.posexplode(F.array(*keys)).alias("block", "key"))
+    keyed = classes.select(*_columns(words), F.col("few").isNotNull().alias("short"), "rep", F.posexplode(F.array(*keys)).alias("block", "key"))
     return _edges(keyed, _linker(beyond(64, 3), words, beyond(64 * words, 2.5)))
 
 
+def few_links(classes: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) over ``rep`` between sets ``few`` at a Jaccard similarity of ``similarity`` or more, all of them and no other.
+
+    Two sets so alike share at least the part ``similarity`` of either, so in one common order they share an element among the first
+    n - ceil(similarity * n) + 1 of each; these are the keys.
+    """
+    n = F.size("few")
+    first = (n - F.ceil(n * similarity - 1e-9) + 1).cast("int")
+    keyed = classes.where(F.col("few").isNotNull()).select("few", "rep", F.lit(0).alias("block"), F.explode(F.slice("few", F.lit(1), first)).alias("key"))
+    return _edges(keyed, _few_linker(similarity))
+
+
 def near_duplicates(docs: DataFrame, *, size: int = 3, radius: int = 3, blocks: int | None = None, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row: the smallest doc_id reachable over fingerprints at most ``radius`` bits apart, or, where
-    ``similarity`` is given, over wide fingerprints that speak for so similar sets of shingles.
+    ``similarity`` is given, over wide fingerprints that speak for so similar sets of shingles (two sets of ``FEW`` shingles at most: over their own similarity).
 
     Null and empty texts have fingerprint zero and link like any other. Rows with a null id keep a row and take the component of their
     fingerprint; a component in which every id is null has component null. Repeated rows stay. An empty table gives no rows. Other columns are not read.
@@ -268,9 +328,9 @@ def _similar_classes(prints: DataFrame, similarity: float, first: Column) -> Dat
     Fingerprints are numbered, as two of them can have one id when ids repeat.
     """
     own = _columns(WIDE)
-    classes = prints.where(F.col("doc_id").isNotNull()).groupBy(*own).agg(F.min(first).alias("first"))
+    classes = prints.where(F.col("doc_id").isNotNull()).groupBy(*own).agg(F.min(first).alias("first"), F.any_value("few").alias("few"))
     classes = C.materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    components = C.connected_components(similar_links(classes, classes.count(), similarity))
+    components = C.connected_components(similar_links(classes, classes.count(), similarity).union(few_links(classes, similarity)))
     return classes.join(components, classes["rep"] == components["id"], "left").select(*own, "first", F.coalesce("component", "rep").alias("component"))
 
 

@@ -103,6 +103,41 @@ def test_similar_documents(spark):
     assert all(loose[i] == loose[got[i]] for i in got)
 
 
+@pytest.mark.parametrize("cut", [None, 8])
+def test_few_shingles_are_compared_exactly(spark, monkeypatch, cut):
+    """Short texts, some of frequent passages: exactly the pairs at 0.8 or more are linked, 4 of 5 shingles shared among them."""
+    if cut:
+        monkeypatch.setattr(simhash, "SLICE", cut)
+    rng = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(9))
+    texts = [None, "", " \n", "one", "one", "two words", "a b c d", "a b c d e f g h", "a b c d e f g h i"]
+    for g in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(5, 36))]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            other = list(words)
+            edit = rng.randrange(4)
+            if edit == 0:
+                other.append(f"x{rng.randrange(99)}")
+            elif edit == 1:
+                del other[0]
+            else:
+                other[rng.choice([0, -1, len(other) // 2])] = f"y{rng.randrange(99)}"
+            texts.append(" ".join(other))
+    texts += [f"{passage} v{k} {' '.join(f'u{rng.randrange(40)}' for _ in range(k % 3))}" for k in range(60)]
+    sets = [set(simhash.shingle_hashes(t or "", 5).tolist()) for t in texts]
+    assert max(map(len, sets)) <= simhash.FEW + 1
+    short = [k for k, s in enumerate(sets) if len(s) <= simhash.FEW]
+    texts, sets = [texts[k] for k in short], [sets[k] for k in short]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert any(len(sets[i]) + len(sets[j]) == 9 and len(sets[i] & sets[j]) == 4 for i, j in links)
+    label = plain_components(len(texts), links)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, size=5, similarity=0.8).collect()}
+    assert got == {k: label[k] for k in range(len(texts))}
+    assert simhash.near_duplicates(docs.limit(0), size=5, similarity=0.8).count() == 0
+
+
 def test_large_buckets_are_shared(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SLICE", 16)
     held = []
