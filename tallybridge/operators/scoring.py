@@ -119,8 +119,12 @@ def contained_score() -> Column:
     return F.when((n >= V.CONTAINED_LEAST_LENGTH) & (n < m) & F.contains(long, short), lifted).otherwise(F.lit(0.0))
 
 
-def score_names(a: DataFrame, b: DataFrame, algorithm: str = "weighted", blocking: str | None = None) -> DataFrame:
-    """Scored pairs of names: a_clean, b_clean, the measures, penalty, base and score. Two empty names count as 0, not as alike."""
+def score_names(a: DataFrame, b: DataFrame, algorithm: str = "weighted", blocking: str | None = None, penalty_from: float = 0.0) -> DataFrame:
+    """Scored pairs of names: a_clean, b_clean, the measures, penalty, base and score. Two empty names count as 0, not as alike.
+
+    The core penalty lowers pairs whose base score is ``penalty_from`` or more. Above 0 it can turn the order of pairs round: a likely pair is lowered
+    below an unlikely one that is left as it is.
+    """
     _weights(algorithm)
     pairs = candidates(a, b, blocking)
     s = similarity.pair_scores("a_clean", "b_clean", "a_core", "b_core", "a_bare", "b_bare")
@@ -131,7 +135,8 @@ def score_names(a: DataFrame, b: DataFrame, algorithm: str = "weighted", blockin
     pairs = pairs.select("*", *(F.col(f"_s.{m}").alias(m) for m in measures)).drop("_s")
     named = (F.col("a_clean") != "") | (F.col("b_clean") != "")
     pairs = pairs.withColumn("base", F.when(named, base_score(algorithm)).otherwise(F.lit(0.0)))
-    return pairs.withColumn("score", F.when(named, ruled(F.col("base"), F.col("penalty"))).otherwise(F.lit(0.0)))
+    penalty = F.col("penalty") if penalty_from <= 0 else F.when(F.col("base") >= penalty_from, F.col("penalty")).otherwise(F.lit(1.0))
+    return pairs.withColumn("score", F.when(named, ruled(F.col("base"), penalty)).otherwise(F.lit(0.0)))
 
 
 def best_names(scored: DataFrame, first_b: DataFrame, least: float = 0.0) -> DataFrame:
@@ -149,9 +154,9 @@ def best_names(scored: DataFrame, first_b: DataFrame, least: float = 0.0) -> Dat
     return best.select("a_clean", (last - rest).cast("long").alias("b_idx"), (score / 10000).alias("score"))
 
 
-def score_records(a: DataFrame, b: DataFrame, a_name: str, b_name: str, *, a_key: str = "a_idx", b_key: str = "b_idx", algorithm: str = "weighted", blocking: str | None = None, least: float = 0.0) -> DataFrame:
+def score_records(a: DataFrame, b: DataFrame, a_name: str, b_name: str, *, a_key: str = "a_idx", b_key: str = "b_idx", algorithm: str = "weighted", blocking: str | None = None, least: float = 0.0, penalty_from: float = 0.0) -> DataFrame:
     """(a_key, b_key, score and the measures) of records whose names score above ``least``."""
-    scored = score_names(names(a, a_name, "a"), names(b, b_name, "b"), algorithm, blocking).where(F.col("score") > least)
+    scored = score_names(names(a, a_name, "a"), names(b, b_name, "b"), algorithm, blocking, penalty_from).where(F.col("score") > least)
     left = a.select(a_key, cleaning.clean_name(F.col(a_name).cast("string")).alias("a_clean"))
     right = b.select(b_key, cleaning.clean_name(F.col(b_name).cast("string")).alias("b_clean"))
     kept = ["ratio", "partial", "wratio", "core", "penalty", "base", "score"]

@@ -53,13 +53,13 @@ def indexed(df: DataFrame, name: str, key: str) -> DataFrame:
     return at.join(F.broadcast(offsets), "_part").withColumn(key, F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")).drop("_at", "_part", "_before")
 
 
-def link(a: DataFrame, b: DataFrame, *, a_name: str = A_NAME, b_name: str = B_NAME, thresholds: Thresholds = Thresholds(), algorithm: str = "weighted", blocking: str | None = None, tie_break: bool = True, prune_below_floor: bool = False, progress: Callable[[int, str], None] | None = None, log: Callable[[str], None] | None = None) -> Linkage:
+def link(a: DataFrame, b: DataFrame, *, a_name: str = A_NAME, b_name: str = B_NAME, thresholds: Thresholds = Thresholds(), algorithm: str = "weighted", blocking: str | None = None, tie_break: bool = True, prune_below_floor: bool = False, penalty_from: float = 0.0, progress: Callable[[int, str], None] | None = None, log: Callable[[str], None] | None = None) -> Linkage:
     """Clean, score, rule, assign one to one, and lay out the result tables.
 
     ``progress`` is told the per cent done and what comes next, ``log`` the counts of what was done; counts cost a pass each and are made only for ``log``.
 
     Null and empty names match nothing. An empty side leaves every row of the other on its own. Missing optional columns become empty text or 0; a missing
-    name column is an error. Only pairs that score above 0 are kept.
+    name column is an error. Only pairs that score above 0 are kept. ``penalty_from`` is the base score from which the core penalty counts (``score_names``).
     """
     tell = progress or (lambda done, what: None)
     tell(0, "clean")
@@ -67,7 +67,7 @@ def link(a: DataFrame, b: DataFrame, *, a_name: str = A_NAME, b_name: str = B_NA
     if log:
         log(f"rows: {a.count()} and {b.count()}; changed by cleaning: {changed_rows(a, a_name).count()} and {changed_rows(b, b_name).count()}; names on both sides: {shared_names(a, b, a_name, b_name).count()}")
     tell(10, "score")
-    pairs = score_records(a, b, a_name, b_name, algorithm=algorithm, blocking=blocking)
+    pairs = score_records(a, b, a_name, b_name, algorithm=algorithm, blocking=blocking, penalty_from=penalty_from)
     amounts = tie_break and AMOUNT in a.columns and AMOUNT in b.columns
     days = DAY in a.columns and DAY in b.columns
     pairs = S.with_tie_keys(pairs, a, b, amount=(AMOUNT, AMOUNT) if amounts else None, date=(DAY, DAY) if amounts and days else None)

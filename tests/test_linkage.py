@@ -23,6 +23,16 @@ def test_golden_pairs(spark, algorithm):
     assert [round(got[k], 4) for k in range(len(GOLDEN))] == [p[2] for p in GOLDEN]
 
 
+def test_penalty_from_a_base_score_on(spark):
+    a = spark.createDataFrame([(0, "上海哔哩哔哩科技有限公司"), (1, "中国海外发展有限公司")], "a_idx long, n string")
+    b = spark.createDataFrame([(0, "上海哔哩哔哩有限公司"), (1, "深圳海外装饰工程有限公司")], "b_idx long, n string")
+    all_pairs, from_55 = ({(r.a_idx, r.b_idx): r for r in scoring.score_records(a, b, "n", "n", penalty_from=p).collect()} for p in (0.0, 55.0))
+    for k, r in from_55.items():
+        assert r.base == all_pairs[k].base and r.penalty == all_pairs[k].penalty
+        assert r.score == all_pairs[k].score if r.base >= 55 else r.score >= all_pairs[k].score
+    assert any(r.base < 55 and r.penalty < 1 and r.score > all_pairs[k].score for k, r in from_55.items())
+
+
 def test_scores_are_bounded_and_nothing_matches_empty_names(spark):
     names = ["", None, "顺丰", "顺 丰", "顺丰控股", "中国银行", "!!"]
     a = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "a_idx long, n string")
