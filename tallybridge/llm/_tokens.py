@@ -97,6 +97,23 @@ class ByteLevelCounter:
         return sum(map(self.spaced.__getitem__, rest), sum(map(self.pieces.__getitem__, self.pieces.find(first))))
 
 
+class ByteLevelEncoder(ByteLevelCounter):
+    """Ids of the same file, as little-endian unsigned 32-bit bytes."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.pieces = _Pieces(self.library.model, self.PATTERN, lambda ids: np.array(ids, "<u4").tobytes(), b"".join)
+        self.spaced = _Spaced(self.pieces)
+
+    def ids(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if not _is_plain(text, self.specials):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        first, *rest = _LONE_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+        return b"".join([*map(self.pieces.__getitem__, self.pieces.find(first)), *map(self.spaced.__getitem__, rest)])
+
+
 class LowerWordEncoder:
     """Ids, as little-endian unsigned 32-bit bytes, of the lower-casing BPE file with word ends."""
 
@@ -135,6 +152,11 @@ def byte_level_counter(path: str) -> ByteLevelCounter:
     return ByteLevelCounter(path)
 
 
+@functools.cache
+def byte_level_encoder(path: str) -> ByteLevelEncoder:
+    return ByteLevelEncoder(path)
+
+
 @functools.cache
 def lower_word_encoder(path: str) -> LowerWordEncoder:
     return LowerWordEncoder(path)

@@ -12,6 +12,7 @@ from .order_minhash import op10_order_minhash
 from .packing import op1_best_fit_packing
 from .simhash import op7_simhash_near_dedup
 from .token_counts import op9_token_counts
+from .token_files import op12_token_files
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_order_minhash": op10_order_minhash,
+    "op12_token_files": op12_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
