@@ -17,6 +17,8 @@ from tokenizers import Tokenizer
 
 #: Bytes that a dictionary takes, roughly, and characters of a text that it takes; what comes later or is longer is encoded each time.
 CACHE_BYTES, CACHE_LENGTH = 64 << 20, 64
+#: The same for words with their ids, most of which occur seldom.
+ID_CACHE_BYTES = 192 << 20
 
 _PLAIN = re.compile("[^\x00-\x08\x0e-\x1f\x7f-\x9fĀ-\U0010ffff]*")
 _ODD_SPACE = re.compile("[\t\r\x0b\x0c\xa0]|  | \n|\n ")
@@ -54,13 +56,12 @@ class _Pieces(_Bounded):
     def __init__(self, model, pattern, value, total):
         self.tokenize, self.find, self.value, self.total = model.tokenize, regex.compile(pattern).findall, value, total
 
+    def of_one(self, piece: str):
+        return self.value([t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))])
+
     def __missing__(self, text: str):
         pieces = self.find(text)
-        if len(pieces) == 1 and pieces[0] == text:
-            out = self.value([t.id for t in self.tokenize(text.encode().decode("latin-1").translate(_LETTERS))])
-        else:
-            out = self.total(map(self.__getitem__, pieces))
-        return self.keep(text, out)
+        return self.keep(text, self.of_one(text) if pieces == [text] else self.total(map(self.__getitem__, pieces)))
 
 
 class _Spaced(_Bounded):
@@ -70,7 +71,8 @@ class _Spaced(_Bounded):
         self.pieces = pieces
 
     def __missing__(self, text: str):
-        return self.keep(text, self.pieces.total(map(self.pieces.__getitem__, self.pieces.find(" " + text))))
+        pieces = self.pieces.find(" " + text)
+        return self.keep(text, self.pieces.of_one(pieces[0]) if len(pieces) == 1 else self.pieces.total(map(self.pieces.__getitem__, pieces)))
 
 
 def _is_plain(text: str, specials: tuple[str, ...]) -> bool:
@@ -104,6 +106,7 @@ class ByteLevelEncoder(ByteLevelCounter):
         super().__init__(path)
         self.pieces = _Pieces(self.library.model, self.PATTERN, lambda ids: np.array(ids, "<u4").tobytes(), b"".join)
         self.spaced = _Spaced(self.pieces)
+        self.spaced.room = ID_CACHE_BYTES
 
     def ids(self, text: str) -> bytes:
         if not text:

@@ -10,8 +10,10 @@ documents, planes weighed by their powers of two the links; both are counted by
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
-from ._tokens import _LETTERS, _LONE_SPACE, _ODD_SPACE, _PLAIN, _Bounded
+from ._tokens import _LETTERS, _LONE_SPACE, _ODD_SPACE, _PLAIN, ID_CACHE_BYTES, ByteLevelCounter, _Bounded, _Pieces
 
 #: A block ends at so many documents, or at the document that brings it to so many postings: what a task holds.
 BLOCK_DOCS, BLOCK_POSTINGS = 1 << 16, 1 << 22
@@ -44,6 +46,8 @@ class Aligner(_Bounded):
 
         self.a, self.b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True
+        self.pieces = _Pieces(self.a.model, ByteLevelCounter.PATTERN, list, lambda parts: [*itertools.chain.from_iterable(parts)])
+        self.room = ID_CACHE_BYTES
         byte = {letter: b for b, letter in _LETTERS.items()}
         vocab = {i: t for t, i in self.a.get_vocab(with_added_tokens=False).items()}
         self.a_bytes = [bytes(map(byte.__getitem__, vocab.get(i, ""))) for i in range(max(vocab) + 1)]
@@ -54,25 +58,29 @@ class Aligner(_Bounded):
         #: No piece has a space after another character, so none reaches over a lone space, and merges on its two sides can't meet.
         self.apart = not any("▁" in p.lstrip("▁") for p in pieces)
 
-    def library(self, text: str):
-        """By the two libraries, for any text."""
-        a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+    def library(self, text: str, a: list[int] | None = None):
+        """By the two libraries, for any text; ``a`` are the ids of A where they are known."""
+        a, b = a or self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
         by_a, by_b = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
         whole = b" " + text.encode()
         if b"".join(by_a) != whole or b"".join(by_b) != whole:
             return None
-        ends_a, ends_b = np.cumsum([len(x) for x in by_a]), np.cumsum([len(x) for x in by_b])
-        _, last_a, last_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        groups, i, j = [], 0, 0
-        for p, q in zip((last_a + 1).tolist(), (last_b + 1).tolist()):
-            groups.append(",".join(map(str, a[i:p])) + "|" + ",".join(map(str, b[j:q])))
-            i, j = p, q
-        pairs = (np.array(a, np.int64)[last_a] << ID_BITS) | np.array(b, np.int64)[last_b]
-        return len(a) + (len(b) << 40) + (len(groups) << 80), ";".join(groups).encode(), pairs.tobytes()
+        groups, pairs, i, j, p, at_a, at_b = [], [], 0, 0, 0, 0, 0
+        for q, piece in enumerate(by_b, 1):
+            at_b += len(piece)
+            while at_a < at_b:
+                at_a += len(by_a[p])
+                p += 1
+            if at_a == at_b:
+                groups.append(f"{','.join(map(str, a[i:p]))}|{','.join(map(str, b[j:q]))}")
+                pairs.append(a[p - 1] << ID_BITS | b[q - 1])
+                i, j = p, q
+        return len(a) + (len(b) << 40) + (len(groups) << 80), ";".join(groups).encode(), array.array("q", pairs).tobytes()
 
     def __missing__(self, text: str):
-        out = self.library(text)
-        self.room -= len(out[1]) if out else 0
+        out = self.library(text, self.pieces.total(map(self.pieces.__getitem__, self.pieces.find(" " + text))))
+        if out and self.room > 0:
+            self.room -= 240 + len(out[1]) + len(out[2])
         return self.keep(text, out)
 
     def align(self, text: str):

@@ -33,7 +33,7 @@ def _lists(parts: list[bytes]) -> pa.ListArray:
 def _encoder(tokenizer_path: str, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
-    def encode(batches):
+    def rows(batches):
         ids, part, start = byte_level_encoder(tokenizer_path).ids, TaskContext.get().partitionId(), 0
         for batch in batches:
             lists = _lists([ids(t or "") + end for t in batch.column("text").to_pylist()])
@@ -43,7 +43,7 @@ def _encoder(tokenizer_path: str, end_id: int):
             columns = [batch.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(before), pa.array(n), lists]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "place", "n_tokens", "ids"])
 
-    return encode
+    return rows
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, *, files: int | None = None, stripe_bytes: int = STRIPE_BYTES, row_group: int = ROW_GROUP) -> None:

@@ -1,5 +1,6 @@
 """Token files: round trip, order, and what a reader passes over."""
 
+import random
 import zlib
 
 import numpy as np
@@ -26,9 +27,15 @@ def expected(rows):
 
 
 def test_encoder_equals_the_library():
-    library, ids = Tokenizer.from_file(BYTE), byte_level_encoder(BYTE).ids
-    for t in ODD:
-        assert ids(t or "") == np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+    library, rng = Tokenizer.from_file(BYTE), random.Random(8)
+    letters = list("abcXYZ  \n\n\t'stm,.!?éßÀ×÷µª²¼\xa01290<|>") + ["<|endoftext|>", "'ll", " é", "  ", "\r\n"]
+    texts = [t or "" for t in ODD] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(2000)]
+    encoder = byte_level_encoder(BYTE)
+    expected = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert [t for t, x in zip(texts, expected) if encoder.ids(t) != x] == []
+    encoder.spaced.clear()
+    encoder.spaced.room = 3000  # no room for most
+    assert [*map(encoder.ids, texts)] == expected
 
 
 @pytest.mark.parametrize("files", [1, 3])
