@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
-from ._tokens import _LETTERS, _LONE_SPACE, _ODD_SPACE, _PLAIN, ID_CACHE_BYTES, ByteLevelCounter, _Bounded, _Pieces
+from ._tokens import _LETTERS, _LONE_SPACE, _ODD_SPACE, _PLAIN, ID_CACHE_BYTES, _Bounded
 
 #: A block ends at so many documents, or at the document that brings it to so many postings: what a task holds.
 BLOCK_DOCS, BLOCK_POSTINGS = 1 << 16, 1 << 22
 #: Bits of an id of either vocabulary; with 16 bits for a document of a block a posting is one number.
 ID_BITS = 24
+#: Characters of texts whose new words are aligned together.
+TEXT_CHARS = 4 << 20
 
 DOCUMENT = "doc_id {id}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 POSTING = "pair long, words binary, planes binary"
@@ -46,11 +48,11 @@ class Aligner(_Bounded):
 
         self.a, self.b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True
-        self.pieces = _Pieces(self.a.model, ByteLevelCounter.PATTERN, list, lambda parts: [*itertools.chain.from_iterable(parts)])
-        self.room = ID_CACHE_BYTES
+        self.room, self.local = ID_CACHE_BYTES, {}
         byte = {letter: b for b, letter in _LETTERS.items()}
         vocab = {i: t for t, i in self.a.get_vocab(with_added_tokens=False).items()}
         self.a_bytes = [bytes(map(byte.__getitem__, vocab.get(i, ""))) for i in range(max(vocab) + 1)]
+        self.leads = np.array([x[:1] == b" " for x in self.a_bytes])
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         if max(len(self.a_bytes), len(pieces)) > 1 << ID_BITS:
@@ -58,9 +60,9 @@ class Aligner(_Bounded):
         #: No piece has a space after another character, so none reaches over a lone space, and merges on its two sides can't meet.
         self.apart = not any("▁" in p.lstrip("▁") for p in pieces)
 
-    def library(self, text: str, a: list[int] | None = None):
-        """By the two libraries, for any text; ``a`` are the ids of A where they are known."""
-        a, b = a or self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+    def library(self, text: str, a: list[int] | None = None, b: list[int] | None = None):
+        """By the two libraries, for any text; ``a`` and ``b`` are its ids where they are known."""
+        a, b = a or self.a.encode(" " + text, add_special_tokens=False).ids, b or self.b.encode(text)
         by_a, by_b = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
         whole = b" " + text.encode()
         if b"".join(by_a) != whole or b"".join(by_b) != whole:
@@ -78,24 +80,50 @@ class Aligner(_Bounded):
         return len(a) + (len(b) << 40) + (len(groups) << 80), ";".join(groups).encode(), array.array("q", pairs).tobytes()
 
     def __missing__(self, text: str):
-        out = self.library(text, self.pieces.total(map(self.pieces.__getitem__, self.pieces.find(" " + text))))
-        if out and self.room > 0:
-            self.room -= 240 + len(out[1]) + len(out[2])
-        return self.keep(text, out)
-
-    def align(self, text: str):
-        """(n_a, n_b, n_groups, SHA-256 of the groups, pairs) of a text, or None."""
-        if not text:
+        return self.local[text]
+
+    def learn(self, texts: set[str]) -> None:
+        """Align what stands between lone spaces and is not known yet. A encodes it all as one text, in which a token that begins with a space begins a word; B as a list."""
+        words, odd = [], []
+        for t in texts - self.keys():
+            (odd if not t or " " in t or t[-1].isspace() else words).append(t)
+        self.local = {t: self.library(t) for t in odd}
+        if words:
+            a = np.array(self.a.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids)
+            at = [*np.flatnonzero(self.leads[a]).tolist(), len(a)]
+            if len(at) != len(words) + 1:
+                raise ValueError("the tokenizer file does not begin each word with a token of its own")
+            a = a.tolist()
+            self.local |= {w: self.library(w, a[i:j], b) for w, i, j, b in zip(words, at, at[1:], self.b.encode(words, num_threads=1))}
+        for t, out in self.local.items() if self.room > 0 else ():
+            self.keep(t, out)
+            if out:
+                self.room -= 240 + len(out[1]) + len(out[2])
+
+    def align(self, texts: list[str]):
+        """(n_a, n_b, n_groups, SHA-256 of the groups, pairs), or None, for each text in turn; about ``TEXT_CHARS`` of them are worked on at a time."""
+        i = 0
+        while i < len(texts):
+            j, size = i, 0
+            while j < len(texts) and size < TEXT_CHARS:
+                size += len(texts[j])
+                j += 1
+            cut = [self._cut(t) for t in texts[i:j]]
+            self.learn(set().union(*filter(None, cut)))
+            for text, words in zip(texts[i:j], cut):
+                found = [*map(self.__getitem__, words)] if words else [self.library(text)] if text else [None]
+                if None in found:
+                    yield None
+                    continue
+                counts, groups, pairs = zip(*found)
+                n, field = sum(counts), (1 << 40) - 1
+                yield n & field, n >> 40 & field, n >> 80, hashlib.sha256(b";".join(groups)).hexdigest(), b"".join(pairs)
+            i = j
+
+    def _cut(self, text: str) -> list[str] | None:
+        if not text or not self.apart or not _PLAIN.fullmatch(text):
             return None
-        if self.apart and _PLAIN.fullmatch(text):
-            found = [*map(self.__getitem__, _LONE_SPACE.split(text) if text[0] == " " or text[-1] == " " or _ODD_SPACE.search(text) else text.split(" "))]
-        else:
-            found = [self.library(text)]
-        if None in found:
-            return None
-        counts, groups, pairs = zip(*found)
-        n, field = sum(counts), (1 << 40) - 1
-        return n & field, n >> 40 & field, n >> 80, hashlib.sha256(b";".join(groups)).hexdigest(), b"".join(pairs)
+        return _LONE_SPACE.split(text) if text[0] == " " or text[-1] == " " or _ODD_SPACE.search(text) else text.split(" ")
 
 
 @functools.cache
@@ -169,7 +197,7 @@ def _encoder(a_path: str, b_path: str, docs_limit: int, postings_limit: int):
     names = ["block", "place", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pair", "words", "planes"]
 
     def encode(batches):
-        align = aligner(a_path, b_path).align
+        align = aligner(a_path, b_path).align  # kept by the worker
         block, place, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
 
         def flush():
@@ -184,12 +212,13 @@ def _encoder(a_path: str, b_path: str, docs_limit: int, postings_limit: int):
 
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            column, texts, i = batch.column("doc_id"), batch.column("text").to_pylist(), 0
+            column, texts, i = batch.column("doc_id"), [t or "" for t in batch.column("text").to_pylist()], 0
+            aligned = align(texts)
             while i < len(texts):
                 j = min(len(texts), i + docs_limit - place)
                 got, each, there, total = [], [], [], size
-                for t in texts[i:j]:
-                    found = align(t or "") or (0, 0, 0, "", b"")
+                for found in itertools.islice(aligned, j - i):
+                    found = found or (0, 0, 0, "", b"")
                     got.append((*found[:3], len(found[4]) // 8, found[3]))
                     each.append(found[4])
                     total += len(found[4]) // 8
