@@ -1,11 +1,15 @@
-"""Best candidates, tie-breaking and one-to-one assignment over scored pairs (a_idx, b_idx, score)."""
+"""Best candidates and tie-breaking over scored pairs (a_idx, b_idx, score), and one-to-one assignment over short lists of names."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .shared import release, written
+from .nearest import FREE, choose, in_turn
+from .shared import release, running, written
+from .shortlist import LENGTH, LONGER
 
 
 def with_tie_keys(pairs: DataFrame, a: DataFrame, b: DataFrame, *, amount: tuple[str, str] | None = None, date: tuple[str, str] | None = None) -> DataFrame:
@@ -47,58 +51,177 @@ def mutual_best(pairs: DataFrame) -> DataFrame:
     return mine.join(best_per_b(pairs).select("b_idx", "a_idx"), ["a_idx", "b_idx"])
 
 
-def _by_proposals(order: DataFrame, turns: DataFrame) -> DataFrame:
-    """(a_idx, b_idx, score) as if rows were served in turn, by rounds of proposals.
+#: Rows of either side that are served one by one, and entries of lists that a task of it holds.
+FEW, ENTRIES = 50_000, 1 << 21
+#: Room for an index beside a score in one number, which orders by score first.
+_INDEX_BITS = 43
+_TOP_POINTS = 1_000_000
 
-    A row proposes to its best candidate that is free or held by a later turn, and the earliest turn holds. Holders only ever get earlier, so candidates that
-    would turn a row down are passed over for good; rounds end when nobody is turned down. A round reads the candidates of those who were alone.
-    """
-    state = written(order.where("rank = 1").join(turns, "a_idx").select("a_idx", "turn", "b_idx", "score"), "proposals")
+
+def turn_of(points: Column, a_idx: Column) -> Column:
+    """A number that orders ledger rows by their best score, the highest first, then by index (from 0, below 2^43)."""
+    return (F.lit(_TOP_POINTS).cast("long") - points) * F.lit(1 << _INDEX_BITS).cast("long") + a_idx
+
+
+def first_in_turn(takers: DataFrame, n: int) -> DataFrame:
+    """The n rows with the smallest ``turn``: scores are counted, and only rows of the score at the border are ranked."""
+    score = F.shiftright("turn", _INDEX_BITS)
+    counts = takers.groupBy(score.alias("s")).count()  # a row for each score at most, and scores are ten-thousandths
+    sums = counts.withColumn("upto", F.sum("count").over(Window.orderBy("s")))
+    border = sums.where(F.col("upto") > n).orderBy("s").first()
+    if border is None:
+        return takers
+    rest = n - (border["upto"] - border["count"])
+    at_border = running(takers.where(score == border["s"]), ["turn"], _k=F.lit(1)).where(F.col("_k") < rest).drop("_k")
+    return takers.where(score < border["s"]).unionByName(at_border.select(*takers.columns))
+
+
+def top_rows(records: DataFrame, lists: DataFrame, rows: DataFrame, longer: Callable[[DataFrame, int, DataFrame | None], DataFrame], sizes_known: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(a_idx, best_idx, points) of every record whose name has a list, and the lists, made longer where a list ended among its best ones."""
+    k = LENGTH
     while True:
-        holders = state.where(F.col("b_idx").isNotNull()).groupBy("b_idx").agg(F.min("turn").alias("held"))
-        judged = written(state.join(holders, "b_idx", "left").withColumn("out", F.coalesce(F.col("turn") != F.col("held"), F.lit(False))), "judged")
-        lost = judged.where("out").select("a_idx", "turn")
-        if lost.isEmpty():
-            return state.where(F.col("b_idx").isNotNull()).select("a_idx", "b_idx", "score")
-        kept = judged.where(~F.col("out")).select("a_idx", "turn", "b_idx", "score")
-        held = judged.where(~F.col("out") & F.col("b_idx").isNotNull()).select("b_idx", "held")
-        open_to = order.join(lost, "a_idx").join(held, "b_idx", "left").where(F.col("held").isNull() | (F.col("held") > F.col("turn")))
-        asked = open_to.groupBy("a_idx").agg(F.min_by(F.struct("b_idx", "score"), "rank").alias("_to"))
-        after = written(kept.unionByName(lost.join(asked, "a_idx", "left").select("a_idx", "turn", F.col("_to.b_idx").alias("b_idx"), F.col("_to.score").alias("score"))), "proposals")
-        release(state)
-        release(judged)
-        state = after
-
-
-def assign(pairs: DataFrame, floor: float = 60.0, prune_below_floor: bool = False) -> DataFrame:
-    """One-to-one assignment: (a_idx, b_idx, score, best_idx, best_score, displaced, assigned).
-
-    Ledger rows whose best score reaches ``floor`` take part, in order of that score and then of a_idx; each takes its best statement row that no
-    earlier one took. All statement rows rank ledger rows alike, so rounds of proposals end with the result of serving them in turn, whatever their number.
-    A row may end with a candidate below the floor, which then still occupies it; ``prune_below_floor`` leaves such candidates out. Rows without any candidate left
-    keep their best one with score 0. Rows without any pair in ``pairs`` are not there.
+        w = Window.partitionBy("a_first")
+        top = lists.withColumn("_m", F.max("points").over(w)).where(F.col("points") == F.col("_m")).groupBy("a_first", "points", "cut").agg(F.sort_array(F.collect_list("b_first")).alias("names"))
+        cut_off = written(top.where(F.col("points") <= F.col("cut")).select("a_first"), "cut-off")
+        if cut_off.isEmpty():
+            break
+        k *= LONGER
+        lists = written(lists.join(cut_off, "a_first", "left_anti").unionByName(longer(cut_off, k, None)), "lists")
+    asked = written(records.join(top, "a_first").select("a_idx", F.lit(0).cast("long").alias("turn"), "x", "a_day", "names", "points"), "asked")
+    single = rows.groupBy("b_first").agg(F.min("b_idx").alias("b_idx"), F.count("*").alias("n")).where("n = 1").select("b_first", "b_idx")
+    met = asked.join(single, (F.size("names") == 1) & (F.get("names", F.lit(0)) == F.col("b_first")), "left")
+    several = choose(met.where(F.col("b_idx").isNull()).select(*asked.columns), rows.withColumn("until", F.lit(FREE)), False, sizes_known=sizes_known)
+    chosen = met.where(F.col("b_idx").isNotNull()).select("a_idx", "b_idx").unionByName(several)
+    return chosen.join(asked.select("a_idx", "points"), "a_idx").select("a_idx", F.col("b_idx").alias("best_idx"), "points"), lists
+
+
+def serve(takers: DataFrame, lists: DataFrame, rows: DataFrame, longer: Callable[[DataFrame, int, DataFrame | None], DataFrame], *, zero: bool = True, sizes_known: int | None = None, few: int | None = None, told: Callable[[int], None] | None = None) -> DataFrame:
+    """(a_idx, b_idx, points): ledger rows ``takers`` (a_idx, a_first, turn, x, a_day) one after the other take the best statement row that is left.
+
+    With ``zero`` a row without any candidate left takes the first free one, at score 0. Where neither side has more than ``few`` rows they are served one by one in tasks of bounded
+    size; else by rounds of proposals, which end alike. A list that has run out is made again, longer, over the names that are still open. ``told`` hears how many are still to be
+    served. ``sizes_known`` is a bound of the rows of either side, where the caller has one.
     """
-    order = written(ranked(pairs.where(F.col("score") >= floor) if prune_below_floor else pairs).select("a_idx", "b_idx", "score", "rank"), "ranked")
-    best = order.where(F.col("rank") == 1).select("a_idx", F.col("b_idx").alias("best_idx"), F.col("score").alias("best_score"))
-    turns = written(best.where(F.col("best_score") >= floor).select("a_idx", F.struct((-F.col("best_score")).alias("o"), "a_idx").alias("turn")), "turns")
-    final = _by_proposals(order, turns)
-    out = best.join(final, "a_idx", "left").withColumn("taking", F.col("best_score") >= floor)
-    score = F.when(~F.col("taking"), F.col("best_score")).otherwise(F.coalesce("score", F.lit(0.0)))
-    assigned = F.col("taking") & F.col("b_idx").isNotNull()
-    return out.select("a_idx", F.coalesce("b_idx", "best_idx").alias("b_idx"), score.alias("score"), "best_idx", "best_score", (assigned & (F.col("b_idx") != F.col("best_idx"))).alias("displaced"), assigned.alias("assigned"))
+    small = sizes_known is not None and sizes_known <= (FEW if few is None else few)
+    way = _serve_one_by_one if small else _serve_by_rounds
+    return way(takers, lists, rows, longer, zero, sizes_known, told)
 
 
-def claim_groups(pairs: DataFrame, floor: float = 60.0) -> DataFrame:
-    """Statement rows that several ledger rows want: (b_idx, n, claimants by score)."""
-    best = top_candidates(pairs, 1).where(F.col("score") >= floor)
-    claim = F.struct((-F.col("score")).alias("_o"), "a_idx", "score")
-    g = best.groupBy("b_idx").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(claim)).alias("_c"))
-    return g.select("b_idx", "n", F.transform("_c", lambda c: F.struct(c["a_idx"].alias("a_idx"), c["score"].alias("score"))).alias("claimants"))
+def _serve_one_by_one(takers: DataFrame, lists: DataFrame, rows: DataFrame, longer: Callable, zero: bool, sizes_known: int | None, told: Callable[[int], None] | None) -> DataFrame:
+    left, held, length = takers, takers.select("a_idx", F.lit(0).cast("long").alias("b_idx"), F.lit(0).cast("long").alias("points")).limit(0), LENGTH
+    while True:
+        wants = lists.groupBy("a_first").agg(F.sort_array(F.collect_list(F.struct((-F.col("points")).alias("points"), "b_first"))).alias("wants"), F.max("cut").alias("cut"))  # no more than a list has
+        asking = left.orderBy("turn").limit(max(1, ENTRIES // length)).join(wants, "a_first", "left")
+        asking = asking.select("a_idx", "turn", "x", "a_day", "wants", F.coalesce("cut", F.lit(0)).alias("cut"), F.lit(0).alias("all"))
+        free = rows.join(held, "b_idx", "left_anti").select("b_idx", "b_first", "y", "b_day", F.lit(0).alias("all"))
+        served = asking.groupBy("all").cogroup(free.groupBy("all")).applyInPandas(in_turn(zero), "a_idx long, b_idx long, points long, way string")
+        counts = Observation()
+        served = written(served.observe(counts, *(F.count_if(F.col("way") == w).alias(w) for w in ("held", "none", "later"))), "served")
+        held = written(held.unionByName(served.where("way = 'held'").select("a_idx", "b_idx", "points")), "held")
+        left = written(left.join(served.where("way <> 'later'"), "a_idx", "left_anti"), "left")
+        n = left.count()
+        if told:
+            told(n)
+        if not n:
+            return held
+        if counts.get["later"]:
+            length *= LONGER
+            names = written(left.select("a_first").distinct(), "short-names")
+            open_names = written(rows.join(held, "b_idx", "left_anti").select("b_first").distinct(), "open-names")
+            lists = longer(names, length, open_names)
+
+
+def _first_free(idle: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a_idx, turn, b_idx): rows of ``idle`` (a_idx, turn), in turn, each take the first statement row (b_idx, until) that no earlier turn has.
+
+    A row is open to the first c of ``idle``, whose turns come before its ``until``. Going through rows in order, one is taken if fewer than c were taken before it. Bounds of
+    that count from running sums decide rows, first of all the first undecided one, until all are decided.
+    """
+    queue = running(idle.select("a_idx", "turn"), ["turn"], k=F.lit(1))
+    ends = rows.where(F.col("until") != FREE).select(F.col("until").alias("turn"), F.lit(0).alias("one"), "b_idx").unionByName(idle.select("turn", F.lit(1).alias("one"), F.lit(None).cast("long").alias("b_idx")))
+    bounded = running(ends, ["turn"], c=F.col("one")).where(F.col("b_idx").isNotNull()).select("b_idx", "c")
+    free = rows.where(F.col("until") == FREE).select("b_idx").crossJoin(idle.agg(F.count("*").alias("c")))  # one row
+    line = written(free.unionByName(bounded).where("c > 0").withColumn("taken", F.lit(None).cast("boolean")), "line")
+    while not line.where(F.col("taken").isNull()).isEmpty():
+        counted = running(line, ["b_idx"], most=F.when(F.coalesce("taken", F.lit(True)), 1).otherwise(0), least=F.when(F.coalesce("taken", F.lit(False)), 1).otherwise(0))
+        decided = F.coalesce("taken", F.when(F.col("c") > F.col("most"), True).when(F.col("c") <= F.col("least"), False))
+        after = written(counted.select("b_idx", "c", decided.alias("taken")), "line")
+        release(line)
+        line = after
+    final = running(line.select("b_idx", "taken"), ["b_idx"], k=F.when(F.col("taken"), 1).otherwise(0)).where("taken")
+    return queue.join(final, "k").select("a_idx", "turn", "b_idx")
+
+
+def _serve_by_rounds(takers: DataFrame, lists: DataFrame, rows: DataFrame, longer: Callable, zero: bool, sizes_known: int | None, told: Callable[[int], None] | None) -> DataFrame:
+    """A row asks for the best one that is free or held by a later turn, and the earliest turn holds. Holders only ever get earlier, so what turns a row down is lost to it for good, and
+    any order of asking ends alike. Rows are asked for by name: a ledger name's list tells the best names of which any row is open, and ``choose`` finds the row."""
+    def with_cut(df: DataFrame) -> DataFrame:
+        """Where the list of each ends."""
+        cuts = lists.groupBy("a_first").agg(F.max("cut").alias("cut"))
+        return df.select(*takers.columns).join(cuts, "a_first", "left").select(*takers.columns, F.coalesce("cut", F.lit(0)).alias("cut"))
+
+    open_, idle, length = with_cut(takers), None, LENGTH
+    held = takers.select(F.lit(0).cast("long").alias("b_idx"), "turn", "a_idx", F.lit(0).cast("long").alias("points")).limit(0)
+    while True:
+        state = rows.join(held.select("b_idx", F.col("turn").alias("until")), "b_idx", "left").withColumn("until", F.coalesce("until", F.lit(FREE)))
+        latest = state.groupBy("b_first").agg(F.max("until").alias("latest"))
+        seen = open_.select("a_idx", "a_first", "turn").join(lists.select("a_first", "b_first", "points"), "a_first").join(latest, "b_first").where(F.col("latest") > F.col("turn"))
+        level = seen.groupBy("a_idx", "points").agg(F.sort_array(F.collect_list("b_first")).alias("names"))  # no more than a list has
+        top = level.groupBy("a_idx").agg(F.max_by(F.struct("points", "names"), "points").alias("t")).select("a_idx", "t.points", "t.names")
+        able = F.coalesce(F.col("points") > F.col("cut"), F.lit(False))
+        counts = Observation()
+        asks = open_.join(top, "a_idx", "left").withColumn("way", F.when(able, "asks").when(F.col("cut") > 0, "short").otherwise("idle"))
+        asks = written(asks.observe(counts, *(F.count_if(F.col("way") == w).alias(w) for w in ("asks", "short", "idle"))), "asks")
+        n = counts.get
+        if told:
+            told(sum(n.values()))
+        if n["idle"]:
+            new = asks.where("way = 'idle'").select("a_idx", "turn")
+            idle = new if idle is None else written(idle.unionByName(new), "idle")
+        if n["asks"]:
+            asking = asks.where("way = 'asks'")
+            chosen = choose(asking.select("a_idx", "turn", "x", "a_day", "names"), state, True, sizes_known=sizes_known)
+            wanted = chosen.join(asking.select("a_idx", "turn", "points"), "a_idx").select("b_idx", "turn", "a_idx", "points")
+        elif n["short"]:
+            length *= LONGER
+            short = asks.where("way = 'short'")
+            names = written(short.select("a_first").distinct(), "short-names")
+            earliest = takers.join(names, "a_first", "left_semi").agg(F.min("turn").alias("_t"))  # one row; of all that use these lists, as one may lose its row later
+            open_names = latest.join(earliest, F.col("latest") > F.col("_t")).select("b_first")
+            lists = written(lists.join(names, "a_first", "left_anti").unionByName(longer(names, length, written(open_names, "open-names"))), "lists")
+            open_ = with_cut(short)
+            continue
+        elif zero and idle is not None:
+            wanted = _first_free(idle, written(state, "state")).select("b_idx", "turn", "a_idx", F.lit(0).cast("long").alias("points"))
+            idle = None
+        else:
+            return held
+        best = held.unionByName(wanted).groupBy("b_idx").agg(F.min_by(F.struct("turn", "a_idx", "points"), "turn").alias("h")).select("b_idx", "h.turn", "h.a_idx", "h.points")
+        now = written(best, "held")
+        # who asked in vain asks again, and so does who has lost a row; a row is never lost to a later turn
+        lost = held.select("a_idx").join(now.select("a_idx"), "a_idx", "left_anti").join(takers, "a_idx")
+        open_ = with_cut(asks.where("way <> 'idle'").select(*takers.columns).join(now.select("a_idx"), "a_idx", "left_anti").unionByName(lost.select(*takers.columns)))
+        held = now
+
+
+def outcome(base: DataFrame, held: DataFrame, floor: float) -> DataFrame:
+    """(a_idx, b_idx, score, best_idx, best_score, displaced, assigned) of every ledger row of ``base`` (a_idx, best_idx, points). One that was to be served and
+    got nothing keeps its best row with score 0."""
+    out = base.select("a_idx", "best_idx", "points").join(held.select("a_idx", "b_idx", F.col("points").alias("_got")), "a_idx", "left")
+    taking = F.col("points") >= floor * 10000
+    assigned = taking & F.col("b_idx").isNotNull()
+    score = F.when(taking, F.coalesce("_got", F.lit(0))).otherwise(F.col("points")) / 10000
+    return out.select("a_idx", F.coalesce("b_idx", "best_idx").alias("b_idx"), score.alias("score"), "best_idx", (F.col("points") / 10000).alias("best_score"), (assigned & F.coalesce(F.col("b_idx") != F.col("best_idx"), F.lit(False))).alias("displaced"), assigned.alias("assigned"))
+
+
+def claims(done: DataFrame, floor: float = 60.0) -> DataFrame:
+    """Ledger rows that want a statement row, by score: (b_idx, n, rank, a_idx, score), one row for each claim, however many a statement row has."""
+    wanting = done.where(F.col("best_idx").isNotNull() & (F.col("best_score") >= floor)).select(F.col("best_idx").alias("b_idx"), "a_idx", F.col("best_score").alias("score"))
+    placed = running(wanting, [F.col("score").desc(), "a_idx"], ["b_idx"], rank=F.lit(1))
+    return placed.join(wanting.groupBy("b_idx").agg(F.count("*").alias("n")), "b_idx").select("b_idx", "n", (F.col("rank") + 1).cast("long").alias("rank"), "a_idx", "score")
 
 
 def sample_band(results: DataFrame, low: float, high: float, k: int = 3, seed: int = 42) -> DataFrame:
     """k rows with low <= score < high, chosen by a seeded digest, in the order of a_idx."""
     drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("a_idx").cast("string")))
     return results.where((F.col("score") >= low) & (F.col("score") < high)).orderBy(drawn).limit(k).orderBy("a_idx")
-
-

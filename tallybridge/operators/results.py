@@ -123,9 +123,9 @@ def summary_note(t: Thresholds) -> str:
 
 
 def statistics(a: DataFrame, b: DataFrame, done: DataFrame, claims: DataFrame) -> DataFrame:
-    """One row: pairs compared, exact scores, wanted statement rows and their claimants, displaced, claimed, mutual."""
+    """One row: pairs compared, exact scores, wanted statement rows and their claimants (``claims``: n of every claim), displaced, claimed, mutual."""
     one = done.agg(F.count_if(F.col("matched") & (F.col("score") >= 100)).alias("exact_100"), F.count_if("displaced").alias("displaced"), F.count_distinct(F.when(F.col("matched"), F.col("b_idx"))).alias("b_claimed"), F.count_if(F.col("matched") & F.col("mutual")).alias("mutual_best"))
-    wanted = claims.where("n > 1").agg(F.count("*").alias("conflict_targets"), F.coalesce(F.sum("n"), F.lit(0)).alias("conflict_rows"))
+    wanted = claims.where("n > 1 AND rank = 1").agg(F.count("*").alias("conflict_targets"), F.coalesce(F.sum("n"), F.lit(0)).alias("conflict_rows"))
     sizes = a.agg(F.count("*").alias("_na")).crossJoin(b.agg(F.count("*").alias("_nb")))
     return sizes.crossJoin(one).crossJoin(wanted).withColumn("pairs", F.col("_na") * F.col("_nb")).drop("_na", "_nb")
 

@@ -50,10 +50,11 @@ def _weights(algorithm: str) -> dict[str, float]:
     return ALGORITHMS[algorithm]
 
 
-def names(records: DataFrame, name: str, side: str) -> DataFrame:
-    """Distinct cleaned names of one side with all that rules need of a name, columns prefixed by ``side``."""
-    clean = records.select(cleaning.clean_name(F.col(name).cast("string")).alias("clean")).distinct()
-    out = clean.select("clean", cleaning.strip_punct(F.col("clean")).alias("core"), cleaning.strip_parens(F.col("clean")).alias("bare"), folding.collapse_generic(F.col("clean")).alias("fold"), folding.protected_in(F.col("clean")).alias("protected"))
+def names(records: DataFrame, name: str, side: str, key: str | None = None) -> DataFrame:
+    """Distinct cleaned names of one side with all that rules need of a name, columns prefixed by ``side``; with ``key`` also ``first``, the smallest key of its records."""
+    clean = records.select(cleaning.clean_name(F.col(name).cast("string")).alias("clean"), *([F.col(key).alias("first")] if key else []))
+    clean = clean.groupBy("clean").agg(F.min("first").alias("first")) if key else clean.distinct()
+    out = clean.select(*clean.columns, cleaning.strip_punct(F.col("clean")).alias("core"), cleaning.strip_parens(F.col("clean")).alias("bare"), folding.collapse_generic(F.col("clean")).alias("fold"), folding.protected_in(F.col("clean")).alias("protected"))
     out = out.withColumn("industry", folding.collapse_industry(F.col("fold")))
     return out.select(*(F.col(c).alias(f"{side}_{c}") for c in out.columns))
 
@@ -119,17 +120,27 @@ def contained_score() -> Column:
     return F.when((n >= V.CONTAINED_LEAST_LENGTH) & (n < m) & F.contains(long, short), lifted).otherwise(F.lit(0.0))
 
 
-def score_names(a: DataFrame, b: DataFrame, algorithm: str = "weighted", blocking: str | None = None, penalty_from: float = 0.0) -> DataFrame:
-    """Scored pairs of names: a_clean, b_clean, the measures, penalty, base and score. Two empty names count as 0, not as alike.
+def contained_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a_clean, b_clean, lift) of names of which one lies in the other, by equality of a name with a part of a longer one.
 
-    The core penalty lowers pairs whose base score is ``penalty_from`` or more. Above 0 it can turn the order of pairs round: a likely pair is lowered
-    below an unlikely one that is left as it is.
+    A longer name gives its parts of those lengths that names of the other side have, of which there are no more than their longest has characters.
     """
-    _weights(algorithm)
-    pairs = candidates(a, b, blocking)
+    def within(long: DataFrame, short: DataFrame, l: str, s: str) -> DataFrame:
+        fitting = short.where(F.length(s) >= V.CONTAINED_LEAST_LENGTH).select(s)
+        lengths = sorted(r[0] for r in fitting.select(F.length(s)).distinct().collect())
+        shorter = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n < F.length(l))
+        parts = F.flatten(F.transform(shorter, lambda n: F.transform(F.sequence(F.lit(1), F.length(l) - n + 1), lambda i: F.substring(F.col(l), i, n))))
+        return long.select(l, F.explode(F.array_distinct(parts)).alias("part")).join(fitting, F.col("part") == F.col(s)).select("a_clean", "b_clean")
+
+    found = within(b, a, "b_clean", "a_clean").unionByName(within(a, b, "a_clean", "b_clean"))
+    return found.withColumn("lift", F.rint(contained_score() * 10000) / 10000)
+
+
+def score_pairs(pairs: DataFrame, algorithm: str = "weighted", penalty_from: float = 0.0) -> DataFrame:
+    """The measures, penalty, base and score of pairs of names that have all columns of ``names`` for both sides."""
     s = similarity.pair_scores("a_clean", "b_clean", "a_core", "b_core", "a_bare", "b_bare")
     pairs = pairs.withColumn("_s", s)
-    if "jaro_winkler" in ALGORITHMS[algorithm]:
+    if "jaro_winkler" in _weights(algorithm):
         pairs = pairs.withColumn("jaro_winkler", similarity.jaro_winkler_score("a_clean", "b_clean"))
     measures = ["ratio", "partial", "wratio", "core", "penalty"]
     pairs = pairs.select("*", *(F.col(f"_s.{m}").alias(m) for m in measures)).drop("_s")
@@ -139,19 +150,14 @@ def score_names(a: DataFrame, b: DataFrame, algorithm: str = "weighted", blockin
     return pairs.withColumn("score", F.when(named, ruled(F.col("base"), penalty)).otherwise(F.lit(0.0)))
 
 
-def best_names(scored: DataFrame, first_b: DataFrame, least: float = 0.0) -> DataFrame:
-    """(a_clean, b_idx, score): of every ledger name the statement row with the highest score above ``least``, the smallest b_idx on ties.
+def score_names(a: DataFrame, b: DataFrame, algorithm: str = "weighted", blocking: str | None = None, penalty_from: float = 0.0) -> DataFrame:
+    """Scored pairs of names: a_clean, b_clean, the measures, penalty, base and score. Two empty names count as 0, not as alike.
 
-    ``first_b`` (b_clean, b_idx) is the smallest row of every statement name. One aggregation with partial sums; no pair is kept.
+    The core penalty lowers pairs whose base score is ``penalty_from`` or more. Above 0 it can turn the order of pairs round: a likely pair is lowered
+    below an unlikely one that is left as it is.
     """
-    met = scored.where(F.col("score") > least).join(F.broadcast(first_b) if first_b.count() <= BROADCAST_NAMES else first_b, "b_clean")
-    # one number ranks a pair: its score in ten-thousandths, then its row from the largest down; a maximum of numbers is hashed, one of structs would be sorted
-    span, last = F.expr(f"CAST('{1 << 64}' AS DECIMAL(20,0))"), F.lit((1 << 63) - 1).cast("decimal(20,0)")
-    place = F.rint(F.col("score") * 10000).cast("decimal(8,0)") * span + (last - F.col("b_idx").cast("decimal(20,0)"))
-    best = met.groupBy("a_clean").agg(F.max(place.cast("decimal(30,0)")).alias("best"))
-    rest = F.pmod(F.col("best"), span)
-    score = ((F.col("best") - rest) / span).cast("double")
-    return best.select("a_clean", (last - rest).cast("long").alias("b_idx"), (score / 10000).alias("score"))
+    _weights(algorithm)
+    return score_pairs(candidates(a, b, blocking), algorithm, penalty_from)
 
 
 def score_records(a: DataFrame, b: DataFrame, a_name: str, b_name: str, *, a_key: str = "a_idx", b_key: str = "b_idx", algorithm: str = "weighted", blocking: str | None = None, least: float = 0.0, penalty_from: float = 0.0) -> DataFrame:

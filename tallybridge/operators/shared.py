@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,3 +36,24 @@ def release(df: DataFrame) -> None:
     spark = df.sparkSession
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def running(df: DataFrame, order: list[Column | str], group: list[str] | None = None, **values: Column) -> DataFrame:
+    """``df`` with running sums of ``values``, exclusive, in ``order`` within ``group``: ranges are summed first and no window holds more than one range of rows.
+
+    Rows that are equal in ``order`` stand together in one range. One of the columns ``values`` may be called as an existing one, which it replaces.
+    """
+    spark, group = df.sparkSession, group or []
+    taken = df.withColumns({f"_v_{k}": v for k, v in values.items()})
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a fixed part number, as a range that is computed again must not get other rows
+    ranged = written(taken.repartitionByRange(n, *group, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("_part", *group).agg(*(F.sum(f"_v_{k}").alias(f"_s_{k}") for k in values))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a group
+    before = sums.select("_part", *group, *(F.coalesce(F.sum(f"_s_{k}").over(earlier), F.lit(0)).alias(f"_b_{k}") for k in values))
+    within = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    met = ranged.withColumns({f"_w_{k}": F.coalesce(F.sum(f"_v_{k}").over(within), F.lit(0)) for k in values})
+    same = met["_part"] == before["_part"]
+    for g in group:
+        same = same & met[g].eqNullSafe(before[g])
+    return met.join(before, same).select(*(met[c] for c in df.columns if c not in values), *((F.col(f"_w_{k}") + F.col(f"_b_{k}")).alias(k) for k in values))

@@ -16,6 +16,7 @@ from ..operators import assign as S
 from ..operators import explain as X
 from ..operators import results as R
 from ..operators import scoring
+from ..operators.shortlist import shortlists
 from .linkage import changed_rows, link, shared_names
 
 _REGION = ["", "中国", "上海", "北京", "深圳", "广东", "江苏", "", "杭州"]
@@ -175,9 +176,7 @@ def brand_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x, y = _name_tables(spark, sf_dir)
-    pairs = scoring.candidates(x.select("a_clean"), y.select("b_clean")).withColumn("lift", F.rint(scoring.contained_score() * 10000) / 10000)
-    return pairs.where(F.col("lift") > 0)
+    return scoring.contained_pairs(*_name_tables(spark, sf_dir))
 
 
 def topk_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,12 +220,13 @@ def blocked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every ledger row that has a candidate above 0 the best one; names are ranked, records follow."""
+    """The best candidate of every ledger row, the first statement row at score 0 where it is like none; names are ranked, records follow."""
     a, b = _both(spark, sf_dir)
-    first = b.groupBy(cleaning.clean_name(F.col("对方户名")).alias("b_clean")).agg(F.min("b_idx").alias("b_idx"))
-    best = scoring.best_names(scoring.score_names(*_name_tables(spark, sf_dir)), first)
-    rows = a.select("a_idx", cleaning.clean_name(F.col("客户名称")).alias("a_clean")).join(best, "a_clean")
-    return rows.select("a_idx", "b_idx", "score", scoring.Thresholds().tier(F.col("score")).alias("tier"))
+    x, y = scoring.names(a, "客户名称", "a", "a_idx"), scoring.names(b, "对方户名", "b", "b_idx")
+    best = shortlists(scoring.score_names(x, y), 1)[0]
+    rows = a.select("a_idx", cleaning.clean_name(F.col("客户名称")).alias("a_clean")).join(x.select("a_clean", "a_first"), "a_clean").join(best, "a_first", "left")
+    told = rows.crossJoin(b.agg(F.min("b_idx").alias("_first"))).withColumn("score", F.coalesce("points", F.lit(0)) / 10000)  # one row
+    return told.select("a_idx", F.coalesce("b_first", "_first").alias("b_idx"), "score", scoring.Thresholds().tier(F.col("score")).alias("tier"))
 
 
 # --- whole runs ------------------------------------------------------------------------------------------------------------------------
@@ -257,9 +257,8 @@ def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claim_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statement rows that some ledger row wants, with all that do, the best first."""
-    g = S.claim_groups(_run(spark, sf_dir).pairs)
-    return g.select("b_idx", "n", F.array_join(F.transform("claimants", lambda c: c["a_idx"].cast("string")), ",").alias("claimants"), F.col("claimants")[0]["score"].alias("best"))
+    """Every claim of a ledger row on the statement row that it likes best, by score."""
+    return _run(spark, sf_dir).claims
 
 
 def status_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -422,14 +421,14 @@ def _with_scores(algorithm: str = "weighted") -> str:
         named AS (SELECT a_clean, b_clean, ratio, partial, wratio, core, penalty, base, CASE WHEN n = 0 THEN 0.0::DOUBLE WHEN (a_core = b_core AND a_core <> '') OR (a_clean = b_clean AND a_clean <> '') THEN 100.0::DOUBLE
             ELSE round_even(least(greatest(greatest(x, {lift}), 0.0::DOUBLE), 100.0::DOUBLE) * 10000, 0) / 10000 END AS score FROM r3),
         ka AS (SELECT *, {_clean_sql('"客户名称"')} AS a_clean FROM a), kb AS (SELECT *, {_clean_sql('"对方户名"')} AS b_clean FROM b),
-        pairs AS (SELECT a_idx, b_idx, score, ka."交易日期" = kb."交易日期" AS same_day, abs(ka."交易金额（元）" - kb."交易金额（元）") AS gap FROM named JOIN ka USING (a_clean) JOIN kb USING (b_clean) WHERE score > 0)"""
+        pairs AS (SELECT a_idx, b_idx, score, ka."交易日期" = kb."交易日期" AS same_day, abs(ka."交易金额（元）" - kb."交易金额（元）") AS gap FROM named JOIN ka USING (a_clean) JOIN kb USING (b_clean))"""
 
 
 def _with_assignment() -> str:
     """Adds ``done`` (a_idx, b_idx, score, best_idx, best_score, displaced, assigned, matched, mutual, tier): one ledger row after the other takes its best free row."""
     t = scoring.Thresholds()
     tier = f"CASE WHEN score >= 100 THEN '{V.TIERS[0]}' WHEN score >= {t.high} THEN '{V.TIERS[1]}' WHEN score >= {t.low} THEN '{V.TIERS[2]}' ELSE '{V.TIERS[3]}' END"
-    return "WITH RECURSIVE " + _with_scores()[5:] + f""", ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY a_idx ORDER BY score DESC, same_day DESC, gap, b_idx) AS place FROM pairs),
+    return "WITH RECURSIVE " + _with_scores()[5:] + f""", ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY a_idx ORDER BY score DESC, score > 0 AND same_day DESC, CASE WHEN score > 0 THEN gap END, b_idx) AS place FROM pairs),
         best AS (SELECT a_idx, b_idx AS best_idx, score AS best_score FROM ranked WHERE place = 1),
         listed AS MATERIALIZED (SELECT a_idx, list(struct_pack(b := b_idx, s := score) ORDER BY place) AS wants FROM ranked GROUP BY a_idx),
         turns AS MATERIALIZED (SELECT row_number() OVER (ORDER BY best_score DESC, a_idx) AS turn, a_idx, wants FROM best JOIN listed USING (a_idx) WHERE best_score >= {t.floor}),
@@ -520,7 +519,7 @@ def _oracles() -> dict[str, str]:
             {joined(f"list_transform({odd}, lambda x: CASE {meanings} ELSE '' END)", ';')} AS meanings, regexp_matches(raw, '[^\\x00-\\x7F]') AS non_ascii, {joined(f"list_transform(chars, lambda x: CASE {kinds} ELSE 'C' END)", '')} AS categories FROM s""",
         "score_jaro_winkler": f"{_with_scores('jaro_winkler')} SELECT a_clean, b_clean, base, score FROM named",
         "blocked_candidates": f"{n} SELECT DISTINCT a_clean, b_clean FROM {grams('a')} JOIN {grams('b')} USING (gram)",
-        "claim_groups": f"{w}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a_idx ORDER BY score DESC, same_day DESC, gap, b_idx) AS x FROM pairs) WHERE x = 1 AND score >= {t.floor}) SELECT b_idx, count(*) AS n, string_agg(a_idx::VARCHAR, ',' ORDER BY score DESC, a_idx) AS claimants, max(score) AS best FROM best GROUP BY 1",
+        "claim_groups": f"{w}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a_idx ORDER BY score DESC, same_day DESC, gap, b_idx) AS x FROM pairs) WHERE x = 1 AND score >= {t.floor}) SELECT b_idx, count(*) OVER (PARTITION BY b_idx) AS n, row_number() OVER (PARTITION BY b_idx ORDER BY score DESC, a_idx) AS rank, a_idx, score FROM best",
         "sample_band": f"{g} SELECT a_idx, b_idx, score, tier FROM done WHERE score >= 40 AND score < 60 ORDER BY md5('42:' || a_idx) LIMIT 3",
         "tag_histogram": f"""{w}, top AS (SELECT a_idx, b_idx FROM (SELECT *, row_number() OVER (PARTITION BY a_idx ORDER BY score DESC, b_idx) AS x FROM pairs) WHERE x = 1),
             told AS (SELECT a."客户名称" AS raw_a, b."对方户名" AS raw_b FROM top JOIN a USING (a_idx) JOIN b USING (b_idx)), {_with_tags('told')},

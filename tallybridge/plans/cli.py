@@ -10,7 +10,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import cleaning
+from ..functions import cleaning, similarity
 from ..operators import assign as S
 from ..operators import results
 from ..operators.explain import differences
@@ -60,7 +60,10 @@ def show_sample(run: Linkage, n: int) -> None:
     """Some pairs between the bounds of ``SAMPLED`` with their differences, for checking by eye."""
     drawn = S.sample_band(run.done.where("matched"), *SAMPLED, n)
     a, b = run.a.select("a_idx", cleaning.raw_name(F.col(A_NAME)).alias("a_name")), run.b.select("b_idx", cleaning.raw_name(F.col(B_NAME)).alias("b_name"))
-    shown = drawn.join(a, "a_idx").join(b, "b_idx").join(run.pairs.select("a_idx", "b_idx", "ratio", "partial", "wratio", "core"), ["a_idx", "b_idx"])
+    shown = drawn.join(a, "a_idx").join(b, "b_idx")
+    for side in "ab":
+        shown = shown.withColumn(f"{side}_clean", cleaning.clean_name(F.col(f"{side}_name"))).withColumn(f"{side}_core", cleaning.strip_punct(F.col(f"{side}_clean"))).withColumn(f"{side}_bare", cleaning.strip_parens(F.col(f"{side}_clean")))
+    shown = shown.withColumn("s", similarity.pair_scores("a_clean", "b_clean", "a_core", "b_core", "a_bare", "b_bare")).select("*", "s.ratio", "s.partial", "s.wratio", "s.core")
     for r in shown.withColumn("why", differences(F.col("a_name"), F.col("b_name"))).orderBy("a_idx").collect():
         print(f"{r.a_name} -> {r.b_name} ({r.score:.1f}): {'；'.join(r.why)}; ratio {r.ratio:.1f}, partial {r.partial:.1f}, weighted {r.wratio:.1f}, core {r.core:.1f}; mutual: {r.mutual}")
 
@@ -119,7 +122,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     run.matches.limit(args.preview).show(truncate=False)
     results.status_distribution(run.matches).show(truncate=False)
     show_sample(run, args.preview)
-    S.claim_groups(run.pairs, thresholds.floor).where("n > 1").orderBy("n", ascending=False).limit(args.preview).show(truncate=False)
+    wanted = run.claims.where("n > 1 AND rank = 1").orderBy(F.col("n").desc(), "b_idx").limit(args.preview).select("b_idx")
+    run.claims.join(wanted, "b_idx").where(F.col("rank") <= args.preview).orderBy(F.col("n").desc(), "b_idx", "rank").show(args.preview**2, truncate=False)
     if not args.no_export:
         try:
             if args.parquet:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallybridge.operators import arbiter, assign, explain, results, scoring
+from tallybridge.operators import arbiter, assign, explain, nearest, results, scoring, shortlist
 from tallybridge.plans import cli, linkage
 from tallybridge.sources import tables, xlsx
 
@@ -48,32 +48,112 @@ def test_scores_are_bounded_and_nothing_matches_empty_names(spark):
         scoring.describe("none")
 
 
-def serial(pairs, floor):
-    """One after the other by best score, each takes its best untaken row."""
-    ranked = {}
-    for a, b, s in pairs:
-        ranked.setdefault(a, []).append((-s, b))
-    for r in ranked.values():
-        r.sort()
-    taken, out = set(), {}
-    for a in sorted((a for a in ranked if -ranked[a][0][0] >= floor), key=lambda a: (ranked[a][0][0], a)):
-        pick = next(((b, -s) for s, b in ranked[a] if b not in taken), None)
-        if pick:
-            taken.add(pick[0])
-        out[a] = pick
+def serial(a_rows, b_rows, points, floor, prune=False):
+    """One after the other by best score, each takes its best untaken row; at score 0 the first one. (a_idx, b_idx, score, best_idx, best_score, displaced, assigned)."""
+
+    def order(a, b):
+        if not (p := points.get((a[1], b[1]), 0)):
+            return (0, False, 0.0, b[0])
+        return (-p, not (a[3] is not None and a[3] == b[3]), float("inf") if a[2] is None or b[2] is None else abs(a[2] - b[2]), b[0])
+
+    best = {a[0]: min(b_rows, key=lambda b: order(a, b)) for a in a_rows}
+    score = lambda a, b: points.get((a[1], b[1]), 0)
+    taken, got = set(), {}
+    for a in sorted((a for a in a_rows if score(a, best[a[0]]) >= floor), key=lambda a: (-score(a, best[a[0]]), a[0])):
+        left = [b for b in b_rows if b[0] not in taken and (not prune or score(a, b) >= floor)]
+        got[a[0]] = min(left, key=lambda b: order(a, b)) if left else None
+        taken |= {got[a[0]][0]} if left else set()
+    out = set()
+    for a in a_rows:
+        top, pick = best[a[0]], got.get(a[0])
+        b, s = (pick, score(a, pick)) if pick else (top, 0 if a[0] in got else score(a, top))
+        out.add((a[0], b[0], s / 10000, top[0], score(a, top) / 10000, bool(pick) and pick[0] != top[0], bool(pick)))
     return out
 
 
-@pytest.mark.parametrize("seed", [0, 1, 2])
-def test_assignment_is_the_serial_one(spark, seed):
+def served(spark, a_rows, b_rows, points, floor, k, prune=False, few=100, bound=100):
+    """The same by short lists of k names, one by one or, with ``few`` below ``bound``, by rounds of proposals."""
+    own = spark.createDataFrame(a_rows, "a_idx long, a_first long, x double, a_day string")
+    rows = spark.createDataFrame(b_rows, "b_idx long, b_first long, y double, b_day string")
+    scored = spark.createDataFrame([(a, b, p / 10000) for (a, b), p in points.items()] or [(0, 0, 0.0)], "a_first long, b_first long, score double").repartition(3).cache()
+    least = lambda df: df.where(F.col("points") >= floor).withColumn("cut", F.when(F.col("cut") < floor, 0).otherwise(F.col("cut"))) if prune else df
+    asked = []
+
+    def longer(names_a, n, names_b):
+        asked.append(n)
+        left = scored.join(names_a, "a_first", "left_semi")
+        return least(shortlist.shortlists(left if names_b is None else left.join(names_b, "b_first", "left_semi"), 12 * k)[0])
+
+    lists, _ = shortlist.shortlists(scored, k)
+    best, lists = assign.top_rows(own, least(lists) if prune else lists, rows, longer, bound)
+    first = min(b[0] for b in b_rows)
+    base = own.join(best, "a_idx", "left").withColumn("best_idx", F.coalesce("best_idx", F.lit(first))).withColumn("points", F.coalesce("points", F.lit(0)))
+    takers = base.where(F.col("points") >= floor).select("a_idx", "a_first", assign.turn_of(F.col("points"), F.col("a_idx")).alias("turn"), "x", "a_day")
+    takers = takers if prune else assign.first_in_turn(takers, len(b_rows))
+    held = assign.serve(takers, lists, rows, longer, zero=not prune, sizes_known=bound, few=few)
+    return {tuple(r) for r in assign.outcome(base, held, floor / 10000).collect()}, asked
+
+
+def some_case(seed, n, m, names, values, share):
     rng = random.Random(seed)
-    n, m = rng.randint(3, 14), rng.randint(2, 10)
-    pairs = [(a, b, float(rng.choice([20, 55, 60, 70, 80, 90, 100]))) for a in range(n) for b in range(m)]
-    df = spark.createDataFrame(pairs, "a_idx long, b_idx long, score double").withColumn("same_day", F.lit(False)).withColumn("gap", F.lit(0.0))
-    got = {r.a_idx: r for r in assign.assign(df, 60.0).collect()}
-    want = serial(pairs, 60.0)
-    assert {a: (r.b_idx, r.score) for a, r in got.items() if r.assigned} == {a: p for a, p in want.items() if p}
-    assert all(got[a].score == 0 and not got[a].assigned for a, p in want.items() if p is None)
+    money = lambda: rng.choice([None, 1.0, 2.5, 4.0, 4.0, 7.0, float(rng.randint(0, 50))])
+    day = lambda: rng.choice([None, "d1", "d2"])
+    a_names, b_names = sorted(rng.sample(range(n), min(n, names))), sorted(rng.sample(range(m), min(m, names)))
+    rows = lambda count, known: [(k, k if k in known else rng.choice([x for x in known if x < k] or [known[0]]), money(), day()) for k in range(known[0], count)]
+    points = {(a, b): rng.choice(values) * 10000 for a in a_names for b in b_names if rng.random() < share}
+    return rows(n, a_names), rows(m, b_names), points
+
+
+@pytest.mark.parametrize("seed,n,m,names,share,k,few,prune", [
+    (1, 14, 6, 14, 0.5, 2, 100, False), (2, 25, 25, 25, 0.15, 2, 100, False), (3, 40, 30, 4, 0.8, 1, 100, False), (5, 60, 60, 60, 0.9, 4, 100, True), (6, 12, 9, 6, 0.6, 4, 0, False), (3, 20, 15, 4, 0.8, 4, 0, True),
+])
+def test_assignment_is_the_serial_one(spark, seed, n, m, names, share, k, few, prune):
+    a, b, points = some_case(seed, n, m, names, [20, 55, 60, 70, 80, 90, 100], share)
+    got, _ = served(spark, a, b, points, 600000, k, prune, few)
+    want = serial(a, b, points, 600000, prune)
+    if prune:  # the best of a row below the floor is not kept then
+        got, want = ({r for r in x if r[6]} for x in (got, want))
+    assert got == want
+
+
+def test_rows_without_candidates_take_the_first_free_ones(spark):
+    """Every ledger row has one result; ledger rows outnumber statement rows, and candidates are few."""
+    a = [(k, k, None, None) for k in range(30)]
+    b = [(k, k, None, None) for k in range(20)]
+    points = {(k, 19 - k % 3): (100 - k) * 10000 for k in range(30)}
+    for few in (100, 0):
+        got, _ = served(spark, a, b, points, 600000, 5, few=few)
+        assert got == serial(a, b, points, 600000) and len(got) == 30
+        assert sum(r[6] for r in got) == 20 and sum(r[6] and r[2] == 0 for r in got) == 17
+
+
+def test_lists_run_out_and_large_choices(spark, monkeypatch):
+    a, b, points = some_case(7, 50, 50, 50, [60, 70, 80], 1.0)
+    got, asked = served(spark, a, b, points, 600000, 2)
+    assert got == serial(a, b, points, 600000) and len(asked) > 1
+    a, b, points = some_case(8, 14, 12, 3, [60, 70], 0.9)
+    monkeypatch.setattr(assign, "choose", lambda *x, sizes_known=None: nearest.choose(*x, large=5))
+    assert served(spark, a, b, points, 600000, 3, few=0)[0] == serial(a, b, points, 600000)
+
+
+def test_very_many_equal_names(spark):
+    """20,000 rows of one name on either side: no pair of records is made, and amounts that go one to one find each other."""
+    n = 20000
+    own = spark.range(n).selectExpr("id AS a_idx", "0L AS a_first", "CAST(id AS DOUBLE) AS x", "CAST(NULL AS STRING) AS a_day")
+    rows = spark.range(n).selectExpr("id AS b_idx", "0L AS b_first", f"CAST(({n} - 1 - id) AS DOUBLE) AS y", "CAST(NULL AS STRING) AS b_day")
+    lists = spark.createDataFrame([(0, 0, 1000000, 0)], "a_first long, b_first long, points long, cut long")
+    takers = own.withColumn("turn", F.col("a_idx"))
+    held = assign.serve(takers, lists, rows, None, sizes_known=n)
+    assert held.where(F.col("a_idx") + F.col("b_idx") != n - 1).count() == 0 and held.count() == n
+
+
+def test_claims_of_a_hot_row_are_split(spark):
+    done = spark.range(50000).selectExpr("id AS a_idx", "IF(id % 5 = 0, id, -1) AS best_idx", "60.0 + id % 7 AS best_score")
+    got = assign.claims(done, 60.0)
+    hot = got.where("b_idx = -1").orderBy("rank").collect()
+    assert [r.rank for r in hot] == list(range(1, 40001)) and {r.n for r in hot} == {40000}
+    assert [(-r.score, r.a_idx) for r in hot] == sorted((-r.score, r.a_idx) for r in hot)
+    assert got.where("b_idx >= 0").count() == 10000
 
 
 A = [
@@ -248,6 +328,17 @@ def test_stream(spark, tmp_path):
     assert got[4] == (None, 0.0, "A系统独有")  # an empty name is like nothing, a null ledger name included
 
 
+def test_contained_pairs_are_those_of_all_pairs(spark):
+    rng = random.Random(3)
+    names = lambda n: sorted({"".join(rng.choice("甲乙丙ab") for _ in range(rng.randint(0, 7))) for _ in range(n)})
+    a, b = (spark.createDataFrame([(x,) for x in names(120)], f"{side}_clean string") for side in "ab")
+    found = scoring.contained_pairs(a, b)
+    every = a.crossJoin(b).withColumn("lift", F.rint(scoring.contained_score() * 10000) / 10000).where("lift > 0")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, every.collect()))
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+    assert scoring.contained_pairs(a.limit(0), b).count() == 0
+
+
 def test_grid_makes_every_pair_once(spark, monkeypatch):
     a = spark.createDataFrame([(f"a{k}",) for k in range(23)], "a_clean string")
     b = spark.createDataFrame([(f"b{k}",) for k in range(17)], "b_clean string")
@@ -260,7 +351,19 @@ def test_grid_makes_every_pair_once(spark, monkeypatch):
 def test_progress_and_log(spark):
     told, said = [], []
     linkage.link(*sides(spark), progress=lambda done, what: told.append(done), log=said.append)
-    assert told == sorted(told) and told[0] == 0 and told[-1] == 100 and any("matched: 3" in x for x in said)
+    assert told == sorted(set(told)) and told[0] == 0 and told[-1] == 100 and len(told) >= 10
+    assert any("matched: 3" in x for x in said) and any("rows: 5 and 4; changed by cleaning: 1 and 1; names on both sides: 1" in x for x in said)
+
+
+def test_log_and_progress_add_no_job(spark):
+    def jobs(**options):
+        """Jobs so far."""
+        linkage.link(*sides(spark), **options)
+        return spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+
+    before = jobs()
+    plain, logged = jobs() - before, -jobs()
+    assert logged + jobs(log=lambda text: None, progress=lambda done, what: None) == plain
 
 
 def test_numbering_over_several_spans(spark):
