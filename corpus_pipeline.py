@@ -26,12 +26,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """One document of each group of SimHash near-duplicates, over shingles of five words at a similarity of 0.8: the one with the smallest doc_id.
 
     Of rows with one id but different texts each belongs to its own text's group, so several can stay. Repeated rows of an id and text leave one row; a
-    document with a null id stays, as no other could stand for it.
+    document with a null id stays where its group has no document with an id, and then one of them does.
     """
     chosen = simhash.one_of_each(docs, size=5, similarity=0.8).select(F.col("doc_id").alias("_id"), F.col("text_digest").alias("_chosen"))
     told = docs.withColumn("_digest", simhash.text_digest())
-    kept = told.join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("_digest") == F.col("_chosen")), "left_semi").dropDuplicates(["doc_id", "_digest"])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = told.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_chosen")), "left_semi").dropDuplicates(["doc_id", "_digest"])
+    return kept.select(*docs.columns)
 
 
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+from . import _common as C
+
 
 class Rule(NamedTuple):
     number: int
@@ -157,10 +159,15 @@ SENTENCES = [
 ]
 
 
+#: What may stand between two words: white space of any kind and length, and after a line end the marks that begin a line of a comment.
+_WITHIN_LINE = C.SPACE.replace(r"\s", r"\x20\t\x0B\f")
+GAP = rf"(?:[{_WITHIN_LINE}]*+[\r\n][{C.SPACE}]*+(?:\*+|#+|//+|--+|;+|%+|>+|\|+)(?=[{C.SPACE}]))*[{C.SPACE}]+"
+
+
 def _spaced(pattern: str) -> str:
-    """The pattern with white space of any kind and length for its spaces, those in brackets included."""
+    """The pattern with a gap (``GAP``) for each of its spaces, those in brackets included."""
     pattern = pattern.replace("[ /-]", "(?: |[/-])").replace("[ -]", "(?: |-)")
-    return pattern.replace(" ?", r"\s*").replace(" ", r"\s+")
+    return pattern.replace(" ?", f"(?:{GAP})?").replace(" ", GAP)
 
 
 def rules() -> list[Rule]:

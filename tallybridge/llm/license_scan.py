@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
-from .license_rules import ANCHORS, CONFIDENCE, Rule, rules
+from .license_rules import ANCHORS, CONFIDENCE, GAP, Rule, rules
 from .order_minhash import let
 
 #: What separates words, after lower-casing.
@@ -90,10 +90,10 @@ def _matches(lowered: Column, rule: Column) -> Column:
 
 
 def _holds(lowered: Column, phrase: str) -> Column:
-    """Whether the words of a phrase follow each other, with any white space between them."""
+    """Whether the words of a phrase follow each other, with gaps as in the rules between them."""
     first, *rest = phrase.split(" ")
     held = F.contains(lowered, F.lit(first))
-    return held & F.rlike(lowered, F.lit(phrase.replace(" ", r"\s+"))) if rest else held
+    return held & F.rlike(lowered, F.lit(phrase.replace(" ", GAP))) if rest else held
 
 
 def _rule_table(known: list[Rule]) -> Column:

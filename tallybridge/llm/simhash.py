@@ -313,31 +313,35 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, radius: int = 3, blocks:
     own = _columns(words)
     prints = C.materialize(fingerprints(docs, size, words), "fingerprints")
     if similarity is None:
-        classes = C.materialize(prints.where(F.col("doc_id").isNotNull()).groupBy(*own).agg(F.min("doc_id").alias("rep")), "classes")
-        components = C.connected_components(close_links(classes, radius, blocks))
-        of = classes.join(components, classes["rep"] == components["id"], "left").select(*own, F.coalesce("component", "rep").alias("component_id"))
+        classes = _numbered(prints.groupBy(*own).agg(F.min("doc_id").alias("first")))
+        of = _components(classes, close_links(classes, radius, blocks), own)
     else:
         of = _similar_classes(prints, similarity, F.col("doc_id"))
-        of = of.join(of.groupBy("component").agg(F.min("first").alias("component_id")), "component").select(*own, "component_id")
+    of = of.join(of.groupBy("component").agg(F.min("first").alias("component_id")), "component").select(*own, "component_id")
     return prints.join(of, own, "left").select("doc_id", "fp", "component_id")
 
 
-def _similar_classes(prints: DataFrame, similarity: float, first: Column) -> DataFrame:
-    """(wide fingerprint, first, component) of every distinct wide fingerprint of rows with an id; ``first`` is the least of its rows.
+def _numbered(classes: DataFrame) -> DataFrame:
+    """Classes by numbers: an id can't name one, as ids repeat and rows without an id link like any other."""
+    return C.materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
 
-    Fingerprints are numbered, as two of them can have one id when ids repeat.
-    """
-    own = _columns(WIDE)
-    classes = prints.where(F.col("doc_id").isNotNull()).groupBy(*own).agg(F.min(first).alias("first"), F.any_value("few").alias("few"))
-    classes = C.materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    components = C.connected_components(similar_links(classes, classes.count(), similarity).union(few_links(classes, similarity)))
+
+def _components(classes: DataFrame, links: DataFrame, own: list[str]) -> DataFrame:
+    components = C.connected_components(links)
     return classes.join(components, classes["rep"] == components["id"], "left").select(*own, "first", F.coalesce("component", "rep").alias("component"))
 
 
+def _similar_classes(prints: DataFrame, similarity: float, first: Column) -> DataFrame:
+    """(wide fingerprint, first, component) of every distinct wide fingerprint; ``first`` is the least of its rows."""
+    own = _columns(WIDE)
+    classes = _numbered(prints.groupBy(*own).agg(F.min(first).alias("first"), F.any_value("few").alias("few")))
+    return _components(classes, similar_links(classes, classes.count(), similarity).union(few_links(classes, similarity)), own)
+
+
 def one_of_each(docs: DataFrame, *, size: int, similarity: float) -> DataFrame:
-    """(doc_id, text_digest) of the row that stands for each component over rows with an id: the smallest id, then the smallest digest."""
+    """(doc_id, text_digest) of the row that stands for each component: the smallest id, then the smallest digest; one without an id only where no row has one."""
     prints = C.materialize(fingerprints(docs, size, WIDE, digest=True), "fingerprints")
-    of = _similar_classes(prints, similarity, F.struct("doc_id", "text_digest"))
+    of = _similar_classes(prints, similarity, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_digest"))
     return of.groupBy("component").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_digest")
 
 
