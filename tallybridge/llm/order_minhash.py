@@ -1,10 +1,13 @@
 """Order MinHash fingerprints in DataFrame functions only.
 
-A text is split at white space, and between the characters of scripts without spaces; a piece of over ``LONG`` code points, and a text of fewer pieces than
-``K``, is split into code points. Every run of ``K`` pieces is a k-mer, and equal k-mers of a text are numbered by occurrence. Each numbered
-k-mer has a 64-bit hash whose top bits choose one of ``BINS`` bins: within a bin the ``KEEP`` smallest hashes are selected, put back in the order of the text,
+A text is split at white space, and between the characters of scripts without spaces; a piece of over ``LONG`` code points is split into code points. Every
+window of ``K`` pieces is a k-mer, windows over either end of the text included, so a text of any number of pieces has k-mers and those of a text and of a longer
+one agree where the texts do. A text of up to ``SHORT`` code points has those of its code points as well, in bins of their own, by which two such texts are
+compared; any other two are compared by the pieces, which every text has. Equal k-mers of a text are numbered by occurrence. Each numbered
+k-mer has a hash whose top bits choose one of ``BINS`` bins: within a bin the ``KEEP`` smallest hashes are selected, put back in the order of the text,
 and hashed as a tuple. The tuples are the fingerprint: as tuples keep order, a moved passage changes it where a bag of k-mers would not.
-One pass of hashing serves all bins. Arrays of longs that pack a hash with its place are sorted as primitives, in generated code.
+One pass of hashing serves all bins. Arrays of longs that pack a hash with its place, in 32 bits each whatever the length of the text, are sorted as
+primitives, in generated code.
 """
 
 from __future__ import annotations
@@ -16,14 +19,11 @@ from . import _common as C
 
 #: Pieces in a k-mer, bins (a power of two), and k-mers selected in a bin.
 K, BINS, KEEP = 5, 32, 2
-#: Code points in a piece at most.
-LONG = 32
-#: Low bits of a packed long that hold a place in the text: so many, or 32 in a text of so many bytes that it may have more pieces than they can tell.
-PLACE = 24
-
-
-def _low(bits: int) -> int:
-    return (1 << bits) - 1
+#: Code points in a piece at most, and in a text that has k-mers of code points as well.
+LONG, SHORT = 32, 256
+#: Low bits of a packed long, which hold a place in the text; the highest bit tells k-mers of code points, the others are of the hash.
+PLACE = 32
+_LOW, _HASH, _POINTS = (1 << PLACE) - 1, (1 << 63) - (1 << PLACE), -(1 << 63)
 
 
 #: An empty array of longs whose type allows no nulls.
@@ -43,38 +43,41 @@ def _pieces(text: Column) -> Column:
     mixed = F.when(F.rlike(text, F.lit(unspaced)), F.split(text, f"[{C.SPACE}]|(?<={unspaced})(?={seen})|(?<={seen})(?={unspaced})")).otherwise(F.split(text, f"[{C.SPACE}]"))
     words = F.when(high, mixed).otherwise(F.split(text, r"[ \t\n\x0B\f\r\u0085\u00A0]"))
 
-    def points(t: Column) -> Column:
-        return F.split(t, "")
-
     def cut(w: Column) -> Column:
-        short = F.flatten(F.transform(w, lambda p: F.when(F.length(p) > LONG, points(p)).otherwise(F.array(p))))
-        return F.when(F.size(w) < K, points(text)).when(F.exists(w, lambda p: F.length(p) > LONG), short).otherwise(w)
+        short = F.flatten(F.transform(w, lambda p: F.when(F.length(p) > LONG, F.split(p, "")).otherwise(F.array(p))))
+        return F.when(F.exists(w, lambda p: F.length(p) > LONG), short).otherwise(w)
 
     return let(words, cut)
 
 
-def _packed_kmers(text: Column, bits: int) -> Column:
-    """Longs: the high bits of each k-mer's hash, then its place. A text of fewer pieces than K is one k-mer; an empty one has none."""
-    hashes = F.transform(_pieces(text), lambda w: F.xxhash64(w))
+def _windows(pieces: Column, mark: int) -> Column:
+    """A long for each window: bits of its hash, its place and the mark. Windows over an end have fewer pieces."""
+    hashes = F.transform(pieces, lambda w: F.xxhash64(w))
 
     def kmers(h: Column) -> Column:
         def at(i: Column) -> Column:
-            return F.xxhash64(*(F.get(h, i + j) for j in range(K)))
+            return F.xxhash64(*(F.get(h, i + j) for j in range(K)))  # null, and so left out, beyond the ends
+
+        places = F.sequence(F.lit(1 - K), F.size(h) - 1)
+        return F.transform(places, lambda i: at(i).bitwiseAND(F.lit(_HASH)).bitwiseOR(F.lit(mark)).bitwiseOR((i + (K - 1)).cast("long")))
 
-        places = F.sequence(F.lit(0), F.greatest(F.size(h) - K, F.lit(0)))
-        return F.transform(places, lambda i: at(i).bitwiseAND(F.lit(~_low(bits))).bitwiseOR(i.cast("long")))
+    return let(hashes, kmers)
 
-    return F.when(F.length(text) == 0, F.expr(_NONE_SQL)).otherwise(let(hashes, kmers))
 
+def _packed_kmers(text: Column) -> Column:
+    """Longs of the k-mers of pieces and, in a short text, of code points. An empty text has none."""
+    points = F.when(F.length(text) <= SHORT, _windows(F.split(text, ""), _POINTS)).otherwise(F.expr(_NONE_SQL))
+    return F.when(F.length(text) == 0, F.expr(_NONE_SQL)).otherwise(F.concat(_windows(_pieces(text), 0), points))
 
-def _numbered(sorted_kmers: Column, bits: int) -> Column:
+
+def _numbered(sorted_kmers: Column) -> Column:
     """The same longs with each hash mixed with the number of equal ones before it in the text."""
 
     def kmer(x: Column) -> Column:
-        return F.shiftright(x, bits)
+        return F.shiftright(x, PLACE)
 
     def mixed(x: Column, n: Column) -> Column:
-        return F.xxhash64(kmer(x), n).bitwiseAND(F.lit(~_low(bits))).bitwiseOR(x.bitwiseAND(F.lit(_low(bits))))
+        return F.xxhash64(kmer(x), n).bitwiseAND(F.lit(_HASH)).bitwiseOR(x.bitwiseAND(F.lit(_POINTS | _LOW)))
 
     def runs(s: Column) -> Column:
         indexes = F.sequence(F.lit(0), F.size(s) - 1)
@@ -89,9 +92,9 @@ def _numbered(sorted_kmers: Column, bits: int) -> Column:
     return F.when(F.size(sorted_kmers) == 0, sorted_kmers).otherwise(let(sorted_kmers, runs))
 
 
-def _tuples(sorted_numbered: Column, bits: int) -> Column:
+def _tuples(sorted_numbered: Column) -> Column:
     """The fingerprint: for every bin that is not empty, the hash of its selected k-mers in the order of the text; the bin is in the low bits."""
-    beyond_bin = 64 - (BINS.bit_length() - 1)
+    beyond_bin = 64 - BINS.bit_length()  # the mark and a bin
 
     def bin_of(x: Column) -> Column:
         return F.shiftrightunsigned(x, beyond_bin)
@@ -100,8 +103,8 @@ def _tuples(sorted_numbered: Column, bits: int) -> Column:
         return F.filter(s, lambda x, i: (i < KEEP) | (bin_of(x) != bin_of(F.get(s, i - KEEP))))
 
     def hashed(own: Column) -> Column:
-        turned = F.transform(own, lambda x: F.struct(x.bitwiseAND(F.lit(_low(bits))).alias("place"), F.shiftright(x, 32).alias("kmer")))
-        return F.xxhash64(F.array_sort(turned)["kmer"]).bitwiseAND(F.lit(-BINS)).bitwiseOR(bin_of(F.get(own, F.lit(0))))
+        turned = F.transform(own, lambda x: F.struct(x.bitwiseAND(F.lit(_LOW)).alias("place"), F.shiftright(x, PLACE).alias("kmer")))
+        return F.xxhash64(F.array_sort(turned)["kmer"]).bitwiseAND(F.lit(-2 * BINS)).bitwiseOR(bin_of(F.get(own, F.lit(0))))
 
     def by_bin(chosen: Column) -> Column:
         heads = F.filter(F.sequence(F.lit(0), F.size(chosen) - 1), lambda i: (i == 0) | (bin_of(F.get(chosen, i)) != bin_of(F.get(chosen, i - 1))))
@@ -111,25 +114,31 @@ def _tuples(sorted_numbered: Column, bits: int) -> Column:
 
 
 def with_fingerprint(docs: DataFrame, text: Column, name: str) -> DataFrame:
-    """``docs`` with the fingerprint of ``text`` as an array of ``BINS`` longs; null counts as empty."""
+    """``docs`` with the fingerprint of ``text`` as an array of longs, one for each bin that is not empty; null counts as empty."""
     (held,) = C.free_names(docs, f"_{name}")
     text = F.coalesce(text, F.lit(""))
-    # both widths are literals, as whatever a lambda refers to may be computed again for each element
-    either = lambda step: F.when(F.octet_length(text) >= 1 << PLACE, step(32)).otherwise(step(PLACE))
     # a sort of non-null longs outside lambdas is one of primitives; each step is a column of its own so that it is computed once
-    out = docs.withColumn(held, F.sort_array(either(lambda bits: _packed_kmers(text, bits))))
-    out = out.withColumn(held, F.sort_array(either(lambda bits: _numbered(F.col(held), bits))))
-    return out.withColumn(name, either(lambda bits: _tuples(F.col(held), bits))).drop(held)
+    out = docs.withColumn(held, F.sort_array(_packed_kmers(text)))
+    out = out.withColumn(held, F.sort_array(_numbered(F.col(held))))
+    return out.withColumn(name, _tuples(F.col(held))).drop(held)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the bins filled in either fingerprint that hold equal tuples; 1 for two empty texts."""
+    """Share of the bins filled in either fingerprint that hold equal tuples; 1 for two empty texts. Bins of code points count where both texts are short, else
+    those of pieces."""
 
     def bins(x: Column) -> Column:
         return F.transform(x, lambda v: v.bitwiseAND(F.lit(BINS - 1)))
 
-    filled = F.size(F.array_union(bins(a), bins(b)))
-    return F.when(filled == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(filled, F.lit(1)))
+    def of_points(v: Column) -> Column:
+        return v.bitwiseAND(F.lit(BINS)) != 0
+
+    def share(own: Column, other: Column) -> Column:
+        filled = F.size(F.array_union(bins(own), bins(other)))
+        return F.when(filled == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(own, other)) / F.greatest(filled, F.lit(1)))
+
+    by_points, by_pieces = ((F.filter(x, of_points) for x in (a, b)), (F.filter(x, lambda v: ~of_points(v)) for x in (a, b)))
+    return F.when(F.exists(a, of_points) & F.exists(b, of_points), share(*by_points)).otherwise(share(*by_pieces))
 
 
 def as_text(fingerprint: Column) -> Column:

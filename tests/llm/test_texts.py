@@ -74,44 +74,55 @@ def chained(values, seed=42):
     return seed
 
 
-def plain_order_minhash(text, bits=24):
-    """{bin: hash of its tuple}: for every bin the two smallest hashes of occurrence-numbered k-mers of five pieces, in the order of the text."""
-    pieces = re.split(r"[\s\u200b]", text)
-    if any(len(p) > 32 for p in pieces):
-        pieces = [q for p in pieces for q in (p if len(p) > 32 else [p])]
-    if len(pieces) < 5:
-        pieces = list(text)
-    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in pieces]
-    seen, bins = {}, {}
-    for k in range(max(1, len(hashes) - 4) if text else 0):
-        kmer = signed(chained(hashes[k : k + 5])) >> bits
-        n = seen[kmer] = seen.get(kmer, -1) + 1
-        x = xxhash.xxh64_intdigest(n.to_bytes(4, "little"), chained([kmer])) >> bits << bits
-        bins.setdefault(x >> 59, []).append((signed(x), k))
+def plain_order_minhash(text):
+    """{bin: hash of its tuple}: for every bin the two smallest hashes of occurrence-numbered windows of five pieces, in the order of the text; bins from 32 on are
+    those of the code points of short texts."""
+    pieces = [q for p in re.split(r"[\s\u200b]", text) for q in (p if len(p) > 32 else [p])]
     out = {}
-    for b, own in bins.items():
-        chosen = sorted(sorted(own)[:2], key=lambda c: c[1])
-        out[b] = chained([c[0] >> 32 for c in chosen]) >> 5 << 5 | b
+    for mark, of in enumerate([pieces, list(text)] if 0 < len(text) <= 256 else [pieces] if text else []):
+        hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in of]
+        seen, bins = {}, {}
+        for k in range(1 - 5, len(hashes)):
+            kmer = (chained(hashes[max(k, 0) : k + 5]) & (2**31 - 1) << 32) >> 32
+            kmer = kmer - (1 << 31) if mark else kmer
+            n = seen[kmer] = seen.get(kmer, -1) + 1
+            x = xxhash.xxh64_intdigest(n.to_bytes(4, "little"), chained([kmer])) & (2**31 - 1) << 32
+            bins.setdefault(x >> 58 | mark << 5, []).append((signed(x | mark << 63), k))
+        for b, own in bins.items():
+            chosen = sorted(sorted(own)[:2], key=lambda c: c[1])
+            out[b] = chained([c[0] >> 32 for c in chosen]) >> 6 << 6 | b
     return out
 
 
-@pytest.mark.parametrize("place", [24, 6])
-def test_fingerprints_equal_a_plain_version(spark, monkeypatch, place):
-    """With few bits for places, texts over 64 bytes take the wide ones."""
-    monkeypatch.setattr(order_minhash, "PLACE", place)
+def test_fingerprints_equal_a_plain_version(spark):
     rng = random.Random(9)
-    texts = ["", "a", "a b", "a  b c d e f", "x " * 300, "y" * 70, "é\u3000ß b\nc d"] + [" ".join(f"w{rng.randrange(n)}" for _ in range(rng.randint(3, 400))) for n in (3, 30, 3000) for _ in range(8)]
+    texts = ["", "a", "a b", "a  b c d e f", "x " * 300, "y" * 70, "z" * 257, "é\u3000ß b\nc d"] + [" ".join(f"w{rng.randrange(n)}" for _ in range(rng.randint(3, 400))) for n in (3, 30, 3000) for _ in range(8)]
     got = fingerprints(spark, texts)
-    plain = [plain_order_minhash(t, 32 if len(t.encode()) >= 1 << place else place) for t in texts]
+    plain = [plain_order_minhash(t) for t in texts]
     for t, fp, want in zip(texts, got, plain):
         assert sorted(x & (2**64 - 1) for x in fp) == sorted(want.values()), t[:40]
     pairs = [(rng.randrange(len(texts)), rng.randrange(len(texts))) for _ in range(60)]
     df = spark.createDataFrame([(k, got[a], got[b]) for k, (a, b) in enumerate(pairs)], "k int, a array<long>, b array<long>")
     for r in df.select("k", order_minhash.likeness(F.col("a"), F.col("b")).alias("s")).collect():
         a, b = (plain[i] for i in pairs[r.k])
+        short = all(max(x, default=0) >= 32 for x in (a, b))
+        a, b = ({k: v for k, v in x.items() if (k >= 32) == short} for x in (a, b))
         assert r.s == pytest.approx(sum(a.get(x) == y for x, y in b.items()) / len(set(a) | set(b)) if a or b else 1.0)
 
 
+def test_a_small_edit_never_parts_two_texts(spark):
+    """Across every number of pieces, length of a piece and length of a text, a text and the same with one more piece or character stay alike."""
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    pairs = [(" ".join(words[:n]), " ".join([*words[:n], "x"])) for n in range(1, 60)]
+    letters = "".join(rng.choice("abcdefghij") for _ in range(300))
+    pairs += [(letters[:n], letters[: n + 1]) for n in range(4, 299)]
+    fps = fingerprints(spark, [t for p in pairs for t in p])
+    df = spark.createDataFrame([(k, fps[2 * k], fps[2 * k + 1]) for k in range(len(pairs))], "k int, a array<long>, b array<long>")
+    near = {r.k: r.s for r in df.select("k", order_minhash.likeness(F.col("a"), F.col("b")).alias("s")).collect()}
+    assert min(near.values()) > 0.1 and sum(near.values()) / len(near) > 0.7
+
+
 def test_edited_texts(spark):
     rng = random.Random(5)
     texts = {k * 5: rng.choice([None, "", "é", " ".join(f"w{rng.randrange(9)}" for _ in range(rng.randint(0, 60)))]) for k in range(60)}
@@ -366,5 +377,5 @@ def test_every_text_has_kmers_in_proportion(spark):
         assert len(fps[2 * k]) == order_minhash.BINS and order_minhash.BINS / 2 < same, (a[:30], same)
     df = spark.createDataFrame([("a b",), ("a\nb c\td  e",), ("\u6f22\u5b57 ab \U00020000x",), ("x" * 33 + " a b c d",), ("ab\U0001f600",)], "t string")
     assert [r.p for r in df.select(order_minhash._pieces(F.col("t")).alias("p")).collect()] == [
-        ["a", " ", "b"], ["a", "b", "c", "d", "", "e"], ["\u6f22", "\u5b57", "ab", "\U00020000", "x"], ["x"] * 33 + ["a", "b", "c", "d"], ["a", "b", "\U0001f600"],
+        ["a", "b"], ["a", "b", "c", "d", "", "e"], ["\u6f22", "\u5b57", "ab", "\U00020000", "x"], ["x"] * 33 + ["a", "b", "c", "d"], ["ab\U0001f600"],
     ]
