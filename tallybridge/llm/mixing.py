@@ -21,8 +21,8 @@ from ._tokens import lower_word_counter
 
 #: Entropy to reach as a share of that of equal weights, and how often a document may come at most.
 ENTROPY, REPEATS = 0.97, 2.0
-#: Tokens in a block of the mixture, and hash slices of an epoch of a source, within which places are summed up row by row.
-BLOCK_TOKENS, SLICES = 1 << 20, 4096
+#: Tokens in a block of the mixture, and rows of a hash slice of an epoch of a source on average at most, within which places are summed up row by row.
+BLOCK_TOKENS, SLICE_ROWS = 1 << 20, 1 << 14
 
 
 def weights(tokens: dict, alpha: float) -> dict:
@@ -109,26 +109,28 @@ def mix(
 
     A null source is a source of its own. A source's rows come epoch after epoch, each in an order of its own, until its budget is reached; the row that reaches
     it is the last. A row's place in that sequence, in tokens, tells its block. Places are sums over hash slices of an epoch first and over the rows of
-    a slice second, so a source with a third of all rows is never gathered. Null ids and texts and repeated rows count like others. An empty
-    table gives no rows. Other columns pass through but for those of ``without``; those with the names of results are replaced. One number per source is gathered.
+    a slice second, so neither a source nor the repeats of one row are ever gathered; the number of slices follows from that of rows. The order depends on where
+    rows are read, so a table split otherwise is mixed otherwise. Null ids and texts and repeated rows count like others. An empty table gives no rows. Other columns pass through but for those of ``without``; those with the names of results are replaced. One number per source is gathered.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_tokens", "weight", "epoch", "block", "place")
     given = [c for c in docs.columns if c not in without]
     counts, hashed, of, turn, part, before, run, share, epochs, known = C.free_names(docs, "_n", "_hash", "_source", "_turn", "_slice", "_before", "_run", "_budget", "_epochs", "_of")
     rows = with_tokens(docs, counts, text, tokenizer_path)
-    # rows without an id are told apart by where they were read, or copies of one text would all be neighbours
-    own = F.xxhash64(doc_id, text, F.lit(seed), F.when(F.col(doc_id).isNull(), F.monotonically_increasing_id()))
+    # rows are told apart by where they were read as well, or repeats of one row would all be neighbours and share a slice; written before use, so it stays
+    own = F.xxhash64(doc_id, text, F.lit(seed), F.monotonically_increasing_id())
     named = F.concat(F.when(F.col(source).isNull(), F.lit("")).otherwise(F.lit("=")), F.coalesce(F.col(source).cast("string"), F.lit("")))
     rows = C.materialize(rows.select(*given, counts, own.alias(hashed), named.alias(of)), "counted")
-    tokens = {r[of]: r["n"] for r in rows.groupBy(of).agg(F.sum(counts).alias("n")).collect()}
+    totals = rows.groupBy(of).agg(F.sum(counts).alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    tokens = {r[of]: r["n"] for r in totals}
+    n_slices = max(C.partitions(spark), -(-max((r["rows"] for r in totals), default=0) // SLICE_ROWS))
     w = weights(tokens, exponent(tokens, target, limit)) if tokens else {}
     wanted = budgets(tokens, w, budget)
     plan = [(s, float(w[s]), float(n), max(1, math.ceil(n / tokens[s] - 1e-9))) for s, n in wanted.items() if n > 0]
     table = spark.createDataFrame(plan, f"`{known}` string, weight double, `{share}` double, `{epochs}` int")
     rows = rows.join(F.broadcast(table), F.col(of) == F.col(known)).drop(known)  # one row per source, as counted above
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col(epochs) - 1))).drop(epochs)
-    rows = rows.withColumn(turn, F.xxhash64(hashed, "epoch", F.lit(seed + 1))).withColumn(part, F.pmod(turn, F.lit(SLICES)).cast("int"))
+    rows = rows.withColumn(turn, F.xxhash64(hashed, "epoch", F.lit(seed + 1))).withColumn(part, F.pmod(turn, F.lit(n_slices)).cast("int"))
     key = [of, "epoch", part]
     earlier = F.coalesce(F.sum("n").over(Window.partitionBy(of).orderBy("epoch", part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     slices = rows.groupBy(*key, share).agg(F.sum(counts).alias("n")).withColumn(before, earlier)

@@ -203,6 +203,21 @@ def test_mixture(spark, tokenizer):
     assert mixing.mix(docs.limit(0), tokenizer_path=tokenizer).count() == 0
 
 
+def test_repeats_of_one_row_spread(spark, monkeypatch):
+    """The slices that places are summed up in stay small, whether a source has many rows or many repeats of one."""
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 50)
+    rows = [(1, "same text", "hot")] * 3000 + [(k, f"text {k}", "hot") for k in range(2, 1000)]
+    kept = {}
+    write = mixing.C.materialize
+    monkeypatch.setattr(mixing.C, "materialize", lambda df, name: kept.setdefault(name, write(df, name)))
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_tokens=500).collect()
+    assert len(got) == len(rows) and len({(r.block, r.place) for r in got}) == len(got)
+    hashes = [r._hash for r in kept["counted"].select("_hash").collect()]
+    assert len(set(hashes)) == len(rows) and kept["slices"].count() == 80
+    held = [sum(r.doc_id == 1 for r in got if r.block == b) for b in range(max(r.block for r in got) + 1)]
+    assert max(held) < 2 * min(held)  # repeats are dealt out over the mixture
+
+
 def plain_dialogue(turns, who):
     out, spans = "", []
     for _, speaker, text in sorted(turns, key=lambda t: (t[0] is not None, t[0] or 0, t[1], t[2])):
