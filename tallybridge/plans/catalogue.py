@@ -7,6 +7,9 @@ aliases.
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +19,9 @@ from ..operators import assign as S
 from ..operators import explain as X
 from ..operators import results as R
 from ..operators import scoring
+from ..operators.shared import shared_dir, written
 from ..operators.shortlist import shortlists
+from ..streaming import scorer
 from .linkage import changed_rows, link, shared_names
 
 _REGION = ["", "中国", "上海", "北京", "深圳", "广东", "江苏", "", "杭州"]
@@ -229,6 +234,42 @@ def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("a_idx", F.coalesce("b_first", "_first").alias("b_idx"), "score", scoring.Thresholds().tier(F.col("score")).alias("tier"))
 
 
+def stream_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best candidate of every ledger row, from statement rows that come as a stream of files in two micro-batches; the query is restarted between them."""
+    a, b = _both(spark, sf_dir)
+    files = written(b.select("b_idx", "对方户名").repartition(8, "b_idx"), "stream")
+    folder = f"{shared_dir(spark)}/tallybridge/{uuid.uuid4().hex[:12]}-best"
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files.written_at)
+    n = sum(s.getPath().getName().startswith("part-") for s in found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(found))
+    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", max(1, n // 2)).parquet(files.written_at)
+    first = scorer.keep_best(stream, a, "对方户名", "客户名称", folder).start()
+    while not scorer.finished(spark, folder) and first.isActive:
+        first.awaitTermination(1)
+    first.stop()
+    scorer.keep_best(stream, a, "对方户名", "客户名称", folder).trigger(availableNow=True).start().awaitTermination()
+    first_of = a.select("a_idx", cleaning.clean_name(F.col("客户名称")).alias("a_clean"))
+    names = first_of.groupBy("a_clean").agg(F.min("a_idx").alias("a_first"))
+    told = first_of.join(names, "a_clean").join(scorer.best_so_far(spark, folder), "a_first").withColumn("score", F.col("points") / 10000)
+    return told.select("a_idx", "b_idx", "score", scoring.Thresholds().tier(F.col("score")).alias("tier"))
+
+
+def titled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger from text files with two title lines above the header, which Spark writes from the table."""
+    from ..sources.titled import read_titled
+
+    head = ["序号", "客户编码", "客户名称", "交易金额（元）"]
+    line = F.to_csv(F.struct(F.col("a_idx").alias("序号"), *head[1:]), {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+
+    def titles(batches):
+        for k, batch in enumerate(batches):
+            top = pa.array(["交易明细", "由系统导出,第一页", ",".join(head)] if k == 0 else [], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([top, batch.column(0).cast(pa.string())])], ["value"])
+
+    path = f"{shared_dir(spark)}/tallybridge/{uuid.uuid4().hex[:12]}-titled"
+    ledger(spark, sf_dir).repartition(4, "a_idx").select(line.alias("value")).mapInArrow(titles, "value string").write.text(path)
+    return read_titled(spark, path, head).select(F.col("序号").cast("long").alias("a_idx"), "客户编码", "客户名称", F.col("交易金额（元）").cast("double").alias("amount"))
+
+
 # --- whole runs ------------------------------------------------------------------------------------------------------------------------
 
 
@@ -283,7 +324,7 @@ def tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     best_candidate, clean_names, fold_core, changed, shared, page_urls, document_names, lenient_amounts, unicode_reports, score_ratio, exact_match, fold_match, industry_match,
-    brand_conflict, containment, topk_ratio, mutual_ratio, tie_break_ratio, tiers_ratio, score_weighted, core_penalty, score_jaro_winkler, blocked_candidates,
+    brand_conflict, containment, topk_ratio, mutual_ratio, tie_break_ratio, tiers_ratio, score_weighted, core_penalty, score_jaro_winkler, blocked_candidates, stream_best, titled_text,
     assign_one_to_one, matches, a_only, b_only, summary, statistics, claim_groups, status_distribution, reconciliation_shares, sample_band, tag_histogram,
 )}
 
@@ -510,6 +551,7 @@ def _oracles() -> dict[str, str]:
         "clean_names": f"{raw} SELECT side, idx, clean, {_punct_sql('clean')} AS core, {_bare_sql('clean')} AS bare, regexp_matches(raw, {_q(cleaning.INVISIBLE_CLASS)}) AS invisible FROM c",
         "fold_core": f"{raw}, f AS ({sides}) SELECT c.side, c.idx, f.fold, f.protected, f.industry FROM c JOIN f ON c.side = f.side AND c.clean = f.clean",
         "changed": f"{n} SELECT a_idx, \"客户名称\" AS raw FROM a WHERE \"客户名称\" IS DISTINCT FROM {_clean_sql('"客户名称"')}",
+        "titled_text": f'{n} SELECT a_idx, "客户编码", "客户名称", "交易金额（元）" AS amount FROM a',
         "shared": f"{n} SELECT a_clean AS name FROM na WHERE a_clean <> '' INTERSECT SELECT b_clean FROM nb",
         "page_urls": f"SELECT page_id, {_clean_sql('url')} AS clean, {_punct_sql(_clean_sql('url'))} AS core FROM pages",
         "document_names": f"SELECT doc_id, length({_clean_sql('text')}) AS n_clean, md5({_clean_sql('text')}) AS clean_md5 FROM documents",
@@ -567,3 +609,4 @@ def _oracles() -> dict[str, str]:
 
 
 ORACLE_SQL = _oracles()
+ORACLE_SQL["stream_best"] = ORACLE_SQL["best_candidate"]

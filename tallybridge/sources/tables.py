@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-import math
+import json
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -15,11 +15,10 @@ from pyspark.sql import types as T
 from ..functions import vocab as V
 from ..operators.results import summary_note
 from ..plans.linkage import A_NAME, B_NAME, Linkage, LinkageError
-from . import xlsx
+from . import titled, xlsx
+from .headers import find_header, norm_header
 
 A_SHEET, B_SHEET = "客户交易明细_A系统", "银行流水明细_B系统"
-HEADER_ROWS = 10
-_EDGES = "　 ﻿"
 
 
 @dataclass
@@ -35,17 +34,6 @@ class TableInfo:
     extra: list[str] = field(default_factory=list)
 
 
-def norm_header(value) -> str:
-    return "" if value is None or (isinstance(value, float) and math.isnan(value)) else str(value).strip().strip(_EDGES)
-
-
-def find_header(rows: list[list], expected: list[str]) -> tuple[int, int]:
-    """(row, hits) of the row among the first ten that has most of the expected names; the first of equals."""
-    hits = [len({norm_header(v) for v in r} & set(expected)) for r in rows[:HEADER_ROWS]] or [0]
-    best = max(range(len(hits)), key=lambda k: (hits[k], -k))
-    return best, hits[best]
-
-
 def _type(values: list) -> T.DataType:
     kinds = {type(v) for v in values if v is not None}
     if kinds <= {float} and kinds:
@@ -101,19 +89,31 @@ def load_workbook(spark: SparkSession, path: str, sheet: str, expected: list[str
     return df, TableInfo(label, str(p), sheet, at, hits, [e for e in expected if e not in names], [n for n in names if n not in expected])
 
 
+def _head(path: str, expected: list[str]) -> titled.Head | None:
+    """The header of a text file; None where Python sees no such file, as Spark may, or will tell what is wrong."""
+    try:
+        return titled.first_head(path, expected=json.dumps(expected))
+    except (OSError, ValueError):
+        return None
+
+
 def load_table(spark: SparkSession, path: str, expected: list[str], name: str, label: str, sheet: str | None = None) -> tuple[DataFrame, TableInfo]:
-    """A table by its kind: .xlsx, .csv (header row, text columns inferred), else parquet."""
+    """A table by its kind: .xlsx, .csv, else parquet. A .csv whose first line is the header has its types inferred; one with title lines above it is read as text."""
     if path.endswith(".xlsx"):
         return load_workbook(spark, path, sheet or "", expected, name, label)
+    head = _head(path, expected) if path.endswith(".csv") else None
     try:
-        df = spark.read.csv(path, header=True, inferSchema=True) if path.endswith((".csv", ".csv.gz")) else spark.read.parquet(path)
+        if head and head.line:
+            df = titled.read_titled(spark, path, expected)
+        else:
+            df = spark.read.csv(path, header=True, inferSchema=True) if path.endswith((".csv", ".csv.gz")) else spark.read.parquet(path)
     except AnalysisException as e:
         raise LinkageError(f"{path} cannot be read: {e.getCondition() or e}") from e
     df = df.select(*(F.col(f"`{c}`").alias(norm_header(c)) for c in df.columns if norm_header(c)))
     if name not in df.columns:
         raise LinkageError(f"no column {name!r} in {path}")
     df = df.withColumn(name, F.col(name).cast("string")).na.drop("all")
-    return df, TableInfo(label, path, None, 0, len(set(df.columns) & set(expected)), [e for e in expected if e not in df.columns], [c for c in df.columns if c not in expected])
+    return df, TableInfo(label, path, None, head.line if head else 0, len(set(df.columns) & set(expected)), [e for e in expected if e not in df.columns], [c for c in df.columns if c not in expected])
 
 
 def load_ledger(spark: SparkSession, path: str, sheet: str = A_SHEET) -> tuple[DataFrame, TableInfo]:

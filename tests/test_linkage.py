@@ -329,6 +329,60 @@ def test_stream(spark, tmp_path):
     assert got[4] == (None, 0.0, "A系统独有")  # an empty name is like nothing, a null ledger name included
 
 
+def test_best_so_far_over_a_restart(spark, tmp_path):
+    """Batches one after the other, a restart and a batch that is run again give what one batch over all rows gives."""
+    from tallybridge.streaming import scorer
+
+    a, b = sides(spark, b=[*B, (4, "", "1", None), (5, "%", "1", None)])
+    schema = b.schema
+    for k, rows in enumerate([b.where("b_idx > 2"), b.where("b_idx = 1"), b.where("b_idx IN (0, 2)")]):
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "b"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "b"))
+        folder = f"file://{tmp_path}/best"
+        if k == 2:  # the last commit is lost, so its batch runs again
+            number = scorer.finished(spark, folder)[-1]
+            (tmp_path / f"best/checkpoint/commits/{number}").unlink()
+            (tmp_path / f"best/checkpoint/commits/.{number}.crc").unlink(missing_ok=True)
+        scorer.keep_best(stream, a, "对方户名", "客户名称", folder).trigger(availableNow=True).start().awaitTermination()
+    got = {r.a_first: (r.b_idx, r.points) for r in scorer.best_so_far(spark, folder).collect()}
+    x, y = scoring.names(a, "客户名称", "a", "a_idx"), scoring.names(b, "对方户名", "b", "b_idx")
+    want = {}
+    for r in scoring.score_names(x, y).select("a_first", "b_first", "score").collect():
+        want[r.a_first] = min(want.get(r.a_first, (0, 10**9)), (-round(r.score * 10000), r.b_first))
+    assert got == {k: (b_idx, -points) for k, (points, b_idx) in want.items()} and len(scorer.finished(spark, folder)) <= 2
+    assert scorer.best_so_far(spark, f"file://{tmp_path}/none") is None
+
+
+def test_text_with_title_lines(spark, tmp_path):
+    import duckdb
+
+    from tallybridge.sources.titled import read_titled
+
+    rows = [(k, f"名{k}" if k % 7 else "", f"{k}.5") for k in range(3000)]
+    lines = ["\ufeff交易明细", "由系统导出，2024", "", "客户名称　,序号,交易金额（元）,序号,"]
+    lines += [f'"{n},甲",{k},{x},other,beyond,more' if n else f",{k}" if k % 2 else f",{k},{x}" for k, n, x in rows] + ["", "末,9999,1"]
+    path = tmp_path / "ledger.csv"
+    path.write_text("\n".join(lines), encoding="utf-8")
+    df = read_titled(spark, str(path), ["客户名称", "序号"], rangeBytes=997)
+    assert df.columns == ["客户名称", "序号", "交易金额（元）"] and df.rdd.getNumPartitions() > 40
+    want = [(f"{n},甲" if n else None, str(k), None if not n and k % 2 else x) for k, n, x in rows]
+    got = [tuple(r) for r in df.collect()]
+    assert sorted(got, key=lambda r: int(r[1]))[:-1] == want and ("末", "9999", "1") in got
+    plain = tmp_path / "plain.csv"
+    plain.write_text("title\nmore\nname,n\n" + "\n".join(f"x{k},{k}" for k in range(500)) + "\n")
+    duck = duckdb.sql(f"SELECT * FROM read_csv('{plain}', skip=2, header=true, all_varchar=true)").fetchall()
+    assert sorted(tuple(r) for r in read_titled(spark, str(plain), ["name"], rangeBytes=100).collect()) == sorted(duck)
+    told, info = tables.load_ledger(spark, str(path))
+    assert info.header_row == 3 and info.header_hits == 3 and told.count() == 3001
+    (tmp_path / "gbk.csv").write_bytes("标题\n客户名称;序号\n顺丰;1\n".encode("gb18030"))
+    assert [tuple(r) for r in read_titled(spark, str(tmp_path / "gbk.csv"), ["客户名称"], sep=";", encoding="gb18030").collect()] == [("顺丰", "1")]
+    (tmp_path / "headed.csv").write_text("客户名称,交易金额（元）\n顺丰,1.5\n")
+    told, info = tables.load_ledger(spark, str(tmp_path / "headed.csv"))
+    assert info.header_row == 0 and told.schema["交易金额（元）"].dataType.typeName() == "double"
+    (tmp_path / "bare.csv").write_text("title\n客户名称,序号")
+    assert read_titled(spark, str(tmp_path / "bare.csv"), ["客户名称", "序号"]).count() == 0
+
+
 def test_contained_pairs_are_those_of_all_pairs(spark):
     rng = random.Random(3)
     names = lambda n: sorted({"".join(rng.choice("甲乙丙ab") for _ in range(rng.randint(0, 7))) for _ in range(n)})
