@@ -34,9 +34,9 @@ def _encoder(tokenizer_path: str, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def rows(batches):
-        ids, part, start = byte_level_encoder(tokenizer_path).ids, TaskContext.get().partitionId(), 0
+        all_ids, part, start = byte_level_encoder(tokenizer_path).all_ids, TaskContext.get().partitionId(), 0
         for batch in batches:
-            lists = _lists([ids(t or "") + end for t in batch.column("text").to_pylist()])
+            lists = _lists([ids + end for ids in all_ids([t or "" for t in batch.column("text").to_pylist()])])
             n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
             before = start + np.cumsum(n) - n
             start += int(n.sum())

@@ -9,7 +9,7 @@ import pyarrow.orc
 import pytest
 from tokenizers import Tokenizer
 
-from tallybridge.llm import token_files
+from tallybridge.llm import _tokens, token_files
 from tallybridge.llm._tokens import byte_level_encoder
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
@@ -38,6 +38,26 @@ def test_encoder_equals_the_library():
     assert [*map(encoder.ids, texts)] == expected
 
 
+def test_new_words_are_encoded_together(monkeypatch):
+    library, rng = Tokenizer.from_file(BYTE), random.Random(9)
+    word = lambda: "".join(rng.choice("abcdeéßÀµª") for _ in range(rng.randint(1, 70)))
+    joint = [" ", "  ", ", ", ".\n", "\n", "'s ", "! ", "\xa0", "?! ", "-"]
+    texts = ["".join(word() + rng.choice(joint) for _ in range(300)) for _ in range(20)] + [t or "" for t in ODD]
+    expected = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for room, apart, chars in [(None, True, 1 << 20), (3000, True, 9000), (0, True, 1), (3000, False, 9000)]:
+        monkeypatch.setattr(_tokens, "TEXT_CHARS", chars)
+        encoder = _tokens.ByteLevelEncoder(BYTE)
+        assert encoder.apart
+        encoder.apart = apart
+        encoder.spaced.room = encoder.pieces.room = encoder.spaced.room if room is None else room
+        calls, model = [], encoder._model
+        encoder._model = lambda text: calls.append(text) or model(text)
+        assert [*encoder.all_ids(texts)] == expected and [*encoder.all_ids(texts)] == expected
+        assert not encoder.spaced.new and not encoder.pieces.new
+        if room is None:
+            assert len(calls) < 600 and len(encoder.spaced) + len(encoder.pieces) > 3000
+
+
 @pytest.mark.parametrize("files", [1, 3])
 def test_round_trip(spark, tmp_path, files):
     rows = [(900 - 7 * k, t) for k, t in enumerate(ODD)] + [(-5, "long text, " * 30000)]
