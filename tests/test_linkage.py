@@ -425,3 +425,39 @@ def test_numbering_over_several_spans(spark):
     df = spark.range(0, 200_000, 997).withColumnRenamed("id", "a_idx")
     got = [r.seq for r in results._numbered(df, "a_idx", "seq").orderBy("a_idx").collect()]
     assert got == list(range(1, len(got) + 1))
+
+
+def test_blocks_score_as_pairs_do(spark):
+    """Scores of whole sides in blocks of equal lengths against those of single pairs, strings of over 64 characters included."""
+    from tallybridge.functions import blocks
+
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("甲乙丙ab()公司有限建设科技") for _ in range(n))
+    names = lambda: ["", "%", "ab", *(text(rng.randint(1, 24)) for _ in range(45)), *(text(n) for n in (63, 64, 65, 70))]
+    a, b = names(), names()
+    b[5:9] = [a[5], a[6] + "科技", a[7][1:], a[8] + "有限公司"]
+    x, y = (scoring.names(spark.createDataFrame([(n,) for n in side], "n string"), "n", s) for side, s in ((a, "a"), (b, "b")))
+    told = lambda df, s: blocks.Side({c: [r[f"{s}_{c}"] for r in df] for c in blocks.PARTS})
+    left, right = x.collect(), y.collect()
+    for algorithm, least in (("weighted", 0.0), ("weighted", 55.0), ("partial", 0.0)):
+        want = {(r.a_clean, r.b_clean): r.score for r in scoring.score_names(x, y, algorithm, penalty_from=least).select("a_clean", "b_clean", "score").collect()}
+        got = blocks.scores(told(left, "a"), told(right, "b"), scoring.ALGORITHMS[algorithm], least)
+        assert {(p.a_clean, q.b_clean): got[i, j] for i, p in enumerate(left) for j, q in enumerate(right)} == want
+
+
+def test_served_one_by_one_by_the_rows_to_be_had(spark, monkeypatch):
+    """As many are served as there are statement rows, however many ledger rows there are: rounds of proposals would take hours."""
+    monkeypatch.setattr(assign, "FEW", 4)
+    monkeypatch.setattr(assign, "_serve_by_rounds", None)
+    assert linkage.link(*sides(spark)).done.where("matched").count() == 3  # 5 ledger rows, 4 statement rows
+
+
+def test_lists_are_shared_by_takers_of_one_name(spark, monkeypatch):
+    """One task's room holds a list of each name, not of each taker; lists that run out are made again over open names alone."""
+    a, b, points = some_case(5, 40, 30, 6, [60, 65, 70, 75, 80, 85, 90, 95], 0.9)
+    calls = []
+    monkeypatch.setattr(assign, "ENTRIES", 40)
+    way = assign.in_turn
+    monkeypatch.setattr(assign, "in_turn", lambda zero: calls.append(1) or way(zero))
+    got, _ = served(spark, a, b, points, 600000, 8)
+    assert got == serial(a, b, points, 600000) and len(calls) == 1
