@@ -461,3 +461,9 @@ def test_lists_are_shared_by_takers_of_one_name(spark, monkeypatch):
     monkeypatch.setattr(assign, "in_turn", lambda zero: calls.append(1) or way(zero))
     got, _ = served(spark, a, b, points, 600000, 8)
     assert got == serial(a, b, points, 600000) and len(calls) == 1
+
+
+def test_explanations_compute_names_once(spark):
+    """What the tags of a pair share stands once in their expression, not in every place that it is used in."""
+    df = spark.createDataFrame([("甲", "乙")], "a string, b string").select(explain.explain(F.col("a"), F.col("b")).alias("tags"))
+    assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 100_000
