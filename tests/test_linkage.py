@@ -467,3 +467,28 @@ def test_explanations_compute_names_once(spark):
     """What the tags of a pair share stands once in their expression, not in every place that it is used in."""
     df = spark.createDataFrame([("甲", "乙")], "a string, b string").select(explain.explain(F.col("a"), F.col("b")).alias("tags"))
     assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+
+
+def _repeated(spark, path, n, m):
+    """Tables of few names with many records each: keys that are a whole number of periods apart have one name."""
+    period = 198360
+    key = lambda count, names: f"CAST(id % {names} + {period} * FLOOR(id / {names}) AS BIGINT)"
+    spark.range(n).selectExpr(f"{key(n, 7)} AS c_custkey", "CAST(id AS STRING) AS c_name", "CAST(id % 37 AS DOUBLE) AS c_acctbal", "'x' AS c_mktsegment").write.parquet(f"{path}/customer.parquet")
+    spark.range(m).selectExpr(f"{key(m, 5)} AS s_suppkey", "CAST(id AS STRING) AS s_name", "CAST(id % 41 AS DOUBLE) AS s_acctbal", "1 AS s_nationkey").write.parquet(f"{path}/supplier.parquet")
+
+
+@pytest.mark.parametrize("query", ["mutual_ratio"])
+def test_ratios_are_ranked_by_name(spark, tmp_path, monkeypatch, query):
+    """Names are compared once, whatever the number of their records, and give what DuckDB makes of all pairs of records."""
+    import duckdb
+
+    from tallybridge.plans import catalogue
+
+    _repeated(spark, tmp_path, 150, 120)
+    monkeypatch.setattr(scoring, "candidates", None)  # makes pairs as rows
+    df = catalogue.QUERIES[query](spark, str(tmp_path))
+    duck = duckdb.connect()
+    for table in ("customer", "supplier"):
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    want = duck.execute(f"SELECT {', '.join(df.columns)} FROM ({catalogue.ORACLE_SQL[query]})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want)
