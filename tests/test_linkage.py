@@ -477,7 +477,7 @@ def _repeated(spark, path, n, m):
     spark.range(m).selectExpr(f"{key(m, 5)} AS s_suppkey", "CAST(id AS STRING) AS s_name", "CAST(id % 41 AS DOUBLE) AS s_acctbal", "1 AS s_nationkey").write.parquet(f"{path}/supplier.parquet")
 
 
-@pytest.mark.parametrize("query", ["mutual_ratio", "tie_break_ratio", "topk_ratio", "tiers_ratio"])
+@pytest.mark.parametrize("query", ["mutual_ratio", "tie_break_ratio", "topk_ratio", "tiers_ratio", "score_ratio"])
 def test_ratios_are_ranked_by_name(spark, tmp_path, monkeypatch, query):
     """Names are compared once, whatever the number of their records, and give what DuckDB makes of all pairs of records."""
     import duckdb
